@@ -1 +1,13 @@
 """Column expressions used inside the jobs: Column in, Column out."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Name a value inside an expression, so that the plan holds and evaluates it once."""
+    return F.get(F.transform(F.array(value), body), 0)

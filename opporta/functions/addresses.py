@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opporta.functions import url
+from opporta.functions import let, url
 
 # IPv4 ranges that are private, loopback, link-local, multicast, reserved or unspecified.
 CLOSED_IPV4 = [
@@ -26,7 +26,8 @@ REASONS = {
     "range": "Không cho phép địa chỉ mạng nội bộ hoặc dành riêng",
 }
 
-_IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+_OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
 @F.pandas_udf(T.BooleanType())
@@ -51,22 +52,24 @@ def _in_any(number: Column, cidrs: list[str]) -> Column:
 
 def url_problem(col: Column) -> Column:
     """Null for a public URL, else the reason. Names are not resolved."""
-    place = url.host(col)
-    octets = [F.regexp_extract(place, _IPV4, g) for g in (1, 2, 3, 4)]
-    proper = place.rlike(_IPV4)
-    for octet in octets:
-        proper = proper & ~octet.rlike(r"^0\d") & (octet.try_cast("int") <= 255)
-    number = sum((octet.try_cast("bigint") * (256 ** (3 - i)) for i, octet in enumerate(octets)), F.lit(0))
-    closed4 = proper & _in_any(number, CLOSED_IPV4) & ~_in_any(number, OPEN_IPV4)
-    has_colon = place.contains(":")
-    closed6 = F.when(has_colon, _closed_ipv6(F.when(has_colon, place)))
+    has_colon = url.host(col).contains(":")
+    closed6 = F.when(has_colon, _closed_ipv6(F.when(has_colon, url.host(col))))
     return (
         F.when(~url.scheme(col).isin("http", "https"), REASONS["scheme"])
         .when(url.netloc(col).rlike(r"^[^@:]+(?::[^@]*)?@|^:[^@]+@"), REASONS["user"])
-        .when(F.trim(place) == "", REASONS["host"])
-        .when(F.trim(place).isin("localhost", "localhost.localdomain") | F.trim(place).endswith(".local"),
-              REASONS["local"])
-        .when(F.coalesce(closed4, F.lit(False)) | F.coalesce(closed6, F.lit(False)), REASONS["range"]))
+        .otherwise(F.coalesce(
+            let(F.trim(url.host(col)), _name_problem),
+            F.when(closed6, REASONS["range"]))))
+
+
+def _name_problem(place: Column) -> Column:
+    octets = [F.regexp_extract(place, _IPV4, g) for g in (1, 2, 3, 4)]
+    number = sum((o.try_cast("bigint") * (256 ** (3 - i)) for i, o in enumerate(octets)), F.lit(0))
+    return (
+        F.when(place == "", REASONS["host"])
+        .when(place.isin("localhost", "localhost.localdomain") | place.endswith(".local"), REASONS["local"])
+        .when(place.rlike(_IPV4), let(number, lambda n: F.when(
+            _in_any(n, CLOSED_IPV4) & ~_in_any(n, OPEN_IPV4), REASONS["range"]))))
 
 
 # Hosts of search engines; their subdomains count too.
@@ -77,8 +80,5 @@ SEARCH_ENGINES = [
 
 
 def is_search_engine(canonical_url: Column) -> Column:
-    place = F.concat(F.lit("."), F.regexp_replace(url.host(canonical_url), r"^www\.", ""))
-    out = F.lit(False)
-    for name in SEARCH_ENGINES:
-        out = out | place.endswith(f".{name}")
-    return out
+    names = "|".join(name.replace(".", r"\.") for name in SEARCH_ENGINES)
+    return url.host(canonical_url).rlike(rf"(?:^|\.)(?:{names})$")

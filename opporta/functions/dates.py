@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opporta.functions import let
+
 # Fixed values.
 LABELS = r"^(?:ngày|ngày đăng|thời điểm đăng|cập nhật|hạn đóng thầu|đăng lúc)\s*:\s*"
 DATE_VALUE = (
@@ -20,15 +22,16 @@ LOCAL_ZONE = "Asia/Ho_Chi_Minh"
 _ISO = r"^(\d{4})-(\d{2})-(\d{2})t(\d{2}):?(\d{2})(?::?(\d{2}(?:[.,]\d{1,9})?))?(?:z|[+-]\d{2}(?::?\d{2}){0,2})?$"
 _TIME_FIRST = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2}))? (\d{1,2})/(\d{1,2})/(\d{4})$"
 _DAY_FIRST = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})(?: (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?$"
-_YEAR_FIRST = r"^(\d{4})(?:-(\d{1,2})-|/(\d{1,2})/)(\d{1,2})(?:(?<=-\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2}))?$"
+_YEAR_DASH = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?: (\d{1,2}):(\d{1,2}):(\d{1,2}))?$"
+_YEAR_SLASH = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
 _LOOSE = r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?:\s+(\d{1,2}):(\d{1,2}))?"
 
 
 def _stamp(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
     whole = [F.coalesce(c.try_cast("int"), F.lit(0)) for c in (year, month, day, hour, minute)]
     seconds = F.coalesce(F.replace(second, F.lit(","), F.lit(".")).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
-    # A clock cannot show second 60 in the stored form.
-    return F.when(seconds < 60, F.try_make_timestamp_ntz(*whole, seconds))
+    # The stored form has no second 60.
+    return let(seconds, lambda s: F.when(s < 60, F.try_make_timestamp_ntz(*whole, s)))
 
 
 def _groups(text: Column, pattern: str, *order: int) -> Column:
@@ -41,40 +44,42 @@ def parse_datetime(text: Column, now: Column) -> Column:
 
     ISO text keeps its own wall clock: the zone is dropped. `text` should be normalized.
     """
-    low = F.lower(text)
-    count = F.regexp_extract(low, r"(\d{1,9})\s*(?:giờ|ngày)\s*trước", 1).try_cast("int")
-    body = F.trim(F.regexp_replace(low, LABELS, ""))
-    relative = (
+    return let(F.when(text != "", F.lower(text)), lambda low: F.coalesce(
+        F.when(low.contains("t"), _groups(F.trim(low), _ISO, 1, 2, 3, 4, 5, 6)),
+        _relative(low, now),
+        let(F.trim(F.regexp_replace(low, LABELS, "")), _absolute)))
+
+
+def _relative(low: Column, now: Column) -> Column:
+    def ago(unit: str) -> Column:
+        return -F.regexp_extract(low, rf"(\d{{1,9}})\s*{unit}\s*trước", 1).try_cast("int")
+    return (
         F.when(low.contains("vừa xong") | low.contains("vừa đăng"), now)
-        .when(low.rlike(r"\d+\s*giờ\s*trước"), F.timestamp_add(
-            "HOUR", -F.regexp_extract(low, r"(\d{1,9})\s*giờ\s*trước", 1).try_cast("int"), now))
-        .when(low.rlike(r"\d+\s*ngày\s*trước"), F.timestamp_add("DAY", -count, now))
+        .when(low.rlike(r"\d\s*giờ\s*trước"), F.timestamp_add("HOUR", ago("giờ"), now))
+        .when(low.rlike(r"\d\s*ngày\s*trước"), F.timestamp_add("DAY", ago("ngày"), now))
         .when(low.contains("hôm qua"), now - F.expr("INTERVAL '1' DAY")))
-    absolute = F.when(body.rlike(r"\d{4}"), F.coalesce(
+
+
+def _absolute(body: Column) -> Column:
+    return F.when(body.rlike(r"\d{4}"), F.coalesce(
         _groups(body, _TIME_FIRST, 6, 5, 4, 1, 2, 3),
         _groups(body, _DAY_FIRST, 4, 3, 1, 5, 6, 7),
-        F.when(body.rlike(_YEAR_FIRST), _stamp(
-            F.regexp_extract(body, _YEAR_FIRST, 1),
-            F.coalesce(F.nullif(F.regexp_extract(body, _YEAR_FIRST, 2), F.lit("")),
-                       F.regexp_extract(body, _YEAR_FIRST, 3)),
-            *[F.regexp_extract(body, _YEAR_FIRST, g) for g in (4, 5, 6, 7)])),
+        _groups(body, _YEAR_DASH, 1, 2, 3, 4, 5, 6),
+        _groups(body, _YEAR_SLASH, 1, 2, 3, 0, 0, 0),
         _groups(body, _LOOSE, 3, 2, 1, 4, 5, 0)))
-    iso = F.when(low.contains("t"), _groups(F.trim(low), _ISO, 1, 2, 3, 4, 5, 6))
-    return F.when(F.coalesce(text, F.lit("")) != "", F.coalesce(iso, relative, absolute))
 
 
 def published_candidate(text: Column, now: Column) -> Column:
     """Date of a text that does not speak of a deadline or another event."""
-    value = F.regexp_extract(text, DATE_VALUE, 0)
-    return F.when((text != "") & ~text.rlike(NOT_PUBLICATION),
-                  parse_datetime(F.when(value != "", value).otherwise(text), now))
+    return let(text, lambda t: F.when((t != "") & ~t.rlike(NOT_PUBLICATION), parse_datetime(
+        F.coalesce(F.nullif(F.regexp_extract(t, DATE_VALUE, 0), F.lit("")), t), now)))
 
 
 def iso_or_null(text: Column) -> Column:
     """Strict ISO date or date-time of a sheet cell, zone dropped."""
-    low = F.lower(F.regexp_replace(F.trim(text), r"^(\d{4}-\d{2}-\d{2})[ T]", "$1t"))
     day = r"^(\d{4})-(\d{2})-(\d{2})$"
-    return F.coalesce(_groups(low, _ISO, 1, 2, 3, 4, 5, 6), _groups(low, day, 1, 2, 3, 0, 0, 0))
+    return let(F.lower(F.regexp_replace(F.trim(text), r"^(\d{4}-\d{2}-\d{2})[ T]", "$1t")), lambda low: F.coalesce(
+        _groups(low, _ISO, 1, 2, 3, 4, 5, 6), _groups(low, day, 1, 2, 3, 0, 0, 0)))
 
 
 def to_local(ts: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opporta.functions import let
+
 _UNIT = r"(?:\s*(?:đồng|vnđ|vnd|đ))?"
 _END = r"(?![\p{L}\p{N}_])"
 
@@ -13,13 +15,16 @@ def _number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
 
 
-def currency(text: Column, compat: bool = False) -> Column:
+def currency(col: Column, compat: bool = False) -> Column:
     """struct(value, matched): the first amount found, largest unit pattern first.
 
     A comma or dot before a unit is a decimal mark. By default the unit must end at a word
     boundary; `compat=True` drops that, so that `10 tin` reads as ten billion.
     """
-    end = "" if compat else _END
+    return let(col, lambda text: _first_amount(text, "" if compat else _END))
+
+
+def _first_amount(text: Column, end: str) -> Column:
     both = rf"(?iu)(\d+(?:[.,]\d+)?)\s*t[ỷi]\s*(\d+(?:[.,]\d+)?)\s*tri[ệe]u"
     billions = rf"(?iu)(\d+(?:[.,]\d+)?)\s*t[ỷi]{end}{_UNIT}"
     millions = rf"(?iu)(\d+(?:[.,]\d+)?)\s*(?:tri[ệe]u|tr){end}{_UNIT}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opporta.functions import text as tx
+from opporta.functions import let, text as tx
 
 _EXTENSION = r"(?iu)(?:ext\.?|máy\s*lẻ)\s*[:.]?\s*(\d+)"
 _PHONE_IN_TEXT = r"(?:\+84|0)(?:[35789]\d{8}|2\d{9})"
@@ -17,16 +17,14 @@ _NAME = (
 
 def _one_number(part: Column) -> Column:
     """Domestic form of one number with its extension, or null."""
-    extension = F.regexp_extract(part, _EXTENSION, 1)
     digits = F.regexp_replace(F.regexp_replace(part, r"(?s)" + _EXTENSION + r".*$", ""), r"\D", "")
-    domestic = (
-        F.when(digits.startswith("0084"), F.concat(F.lit("0"), F.expr("''"), digits.substr(F.lit(5), F.lit(40))))
-        .when(digits.startswith("84"), F.concat(F.lit("0"), digits.substr(F.lit(3), F.lit(40))))
-        .when(digits.startswith("0"), digits)
-        .when(digits.rlike(r"^[35789]\d{8}$") | digits.rlike(r"^2\d{9}$"), F.concat(F.lit("0"), digits))
-        .otherwise(digits))
-    suffix = F.when(extension != "", F.concat(F.lit(" máy lẻ "), extension)).otherwise("")
-    return F.when(domestic.rlike(r"^(?:0[35789]\d{8}|02\d{9})$"), F.concat(domestic, suffix))
+    domestic = let(digits, lambda d: (
+        F.when(d.startswith("0084") | d.startswith("84"), F.regexp_replace(d, "^(?:00)?84", "0"))
+        .when(d.rlike(r"^(?:[35789]\d{8}|2\d{9})$"), F.concat(F.lit("0"), d))
+        .otherwise(d)))
+    suffix = let(F.regexp_extract(part, _EXTENSION, 1),
+                 lambda x: F.when(x != "", F.concat(F.lit(" máy lẻ "), x)).otherwise(""))
+    return let(domestic, lambda n: F.when(n.rlike(r"^(?:0[35789]\d{8}|02\d{9})$"), F.concat(n, suffix)))
 
 
 def normalize_phones(col: Column) -> Column:

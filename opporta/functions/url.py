@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opporta.functions import let
+
 # Query parameters that only track the visitor.
 TRACKING_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid", "gclid"]
 
@@ -30,9 +32,8 @@ def query(col: Column) -> Column:
 
 def host(col: Column) -> Column:
     """Lower-case host without user info, port or brackets."""
-    bare = F.regexp_replace(netloc(col), r"^.*@", "")
-    return F.lower(F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)).otherwise(
-        F.regexp_replace(bare, r":.*$", "")))
+    bare = F.regexp_replace(netloc(col), r"^[^@]*@", "")
+    return F.lower(F.regexp_replace(bare, r"^\[|\].*$|^([^:\[]*):[^:]*$", "$1"))
 
 
 def host_key(col: Column) -> Column:
@@ -69,47 +70,56 @@ def canonical(col: Column) -> Column:
 
     `http` and `https`, and hosts with and without `www.`, stay different.
     """
-    text = F.trim(F.regexp_replace(col, r"(?U)^\s+|\s+$", ""))
+    return F.coalesce(let(F.trim(F.regexp_replace(col, r"(?U)^\s+|\s+$", "")), _canonical_of), F.lit(""))
+
+
+def _canonical_of(text: Column) -> Column:
     raw = F.regexp_replace(text, r"""^[*"'`()\[\]<>]+|[*"'`()\[\]<>]+$""", "")
     raw = F.regexp_replace(F.regexp_replace(raw, r"\*+/?$", ""), r"[\t\r\n]", "")
-    clean_host = F.regexp_replace(F.lower(netloc(raw)), r"""[*'"`]+""", "")
-    whole_path = path(raw)
-    params = F.regexp_extract(whole_path, r"(;[^/]*)$", 1)
-    bare_path = F.regexp_replace(whole_path, r";[^/]*$", "")
-    bare_path = F.when(F.length(bare_path) > 1, F.regexp_replace(bare_path, r"/+$", "")).otherwise(bare_path)
-    bare_path = F.when((clean_host != "") & (bare_path != "") & ~bare_path.startswith("/"),
-                       F.concat(F.lit("/"), bare_path)).otherwise(bare_path)
-    params = F.when(params == ";", "").otherwise(params)
-    raw_query = query(raw)
-    kept = F.when(raw_query == "", "").otherwise(_kept_query(raw_query))
-    rebuilt = F.concat(
-        F.when(scheme(raw) != "", F.concat(scheme(raw), F.lit(":"))).otherwise(""),
-        F.when(clean_host != "", F.concat(F.lit("//"), clean_host)).otherwise(""),
-        bare_path, params,
-        F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
-    broken = netloc(raw).rlike(r"^[^\[]*\]|\[[^\]]*$")
-    return F.coalesce(F.when(broken, text).otherwise(rebuilt), F.lit(""))
+    parts = let(raw, lambda r: F.struct(
+        scheme(r).alias("scheme"), netloc(r).alias("netloc"), path(r).alias("path"), query(r).alias("query")))
+    return let(parts, lambda p: F.when(p["netloc"].rlike(r"^[^\[]*\]|\[[^\]]*$"), text).otherwise(_rebuilt(p)))
+
+
+def _rebuilt(p: Column) -> Column:
+    def tail(path_text: Column) -> Column:
+        params = F.regexp_extract(path_text, r"(;[^/]*)$", 1)
+        bare = F.regexp_replace(path_text, r";[^/]*$", "")
+        tidy = F.when(F.length(bare) > 1, F.regexp_replace(bare, r"/+$", "")).otherwise(bare)
+        return F.concat(tidy, F.when(params == ";", "").otherwise(params))
+
+    def prefixed(value: Column, before: str = "", after: str = "") -> Column:
+        return F.when(value != "", F.concat(F.lit(before), value, F.lit(after))).otherwise("")
+
+    place = F.regexp_replace(F.lower(p["netloc"]), r"""[*'"`]+""", "")
+    kept = F.when(p["query"] == "", "").otherwise(_kept_query(p["query"]))
+    return F.concat(
+        prefixed(p["scheme"], after=":"), let(place, lambda h: prefixed(h, before="//")),
+        let(p["path"], tail), let(kept, lambda q: prefixed(q, before="?")))
 
 
 def source_url(col: Column) -> Column:
     """Registry form: `https://` added, host lower-case, path `/` when empty, no fragment."""
-    text = F.trim(col)
+    text = F.trim(F.coalesce(col, F.lit("")))
     full = F.when(text.contains("://"), text).otherwise(F.concat(F.lit("https://"), text))
+    return F.when(text == "", "").otherwise(let(full, _registry_form))
+
+
+def _registry_form(full: Column) -> Column:
     port = F.regexp_extract(F.regexp_replace(netloc(full), r"^.*@", ""), r"(?:^|[^\[:]|\]):(\d+)$", 1)
     raw_path = F.regexp_replace(path(full), r";[^/]*$", "")
-    tidy_path = F.when(raw_path.isin("", "/"), "/").otherwise(F.regexp_replace(raw_path, r"/+$", ""))
+    tidy_path = let(raw_path, lambda p: F.when(p.isin("", "/"), "/").otherwise(F.regexp_replace(p, r"/+$", "")))
     rebuilt = F.concat(
         scheme(full), F.lit("://"), host(full),
-        F.when(port.rlike("[1-9]"), F.concat(F.lit(":"), port.cast("int").cast("string"))).otherwise(""),
+        let(port, lambda p: F.when(p.rlike("[1-9]"), F.concat(F.lit(":"), p.cast("int").cast("string"))).otherwise("")),
         tidy_path,
         F.when(query(full) != "", F.concat(F.lit("?"), query(full))).otherwise(""))
-    return F.when(F.coalesce(text, F.lit("")) == "", "").when(host(full) == "", full).otherwise(rebuilt)
+    return F.when(host(full) == "", full).otherwise(rebuilt)
 
 
 def root(col: Column) -> Column:
     """Home page of a canonical URL."""
-    fixed = canonical(col)
-    return F.concat(scheme(fixed), F.lit("://"), netloc(fixed), F.lit("/"))
+    return let(canonical(col), lambda u: F.concat(scheme(u), F.lit("://"), netloc(u), F.lit("/")))
 
 
 def without_query(col: Column) -> Column:

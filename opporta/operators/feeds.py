@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opporta.functions import addresses, dates, text as tx, url
+from opporta.functions import addresses, dates, let, text as tx, url
 from opporta.operators.pages import with_cards
 from opporta.rules.link_rules import JOB_URL
 
@@ -99,14 +99,15 @@ _URL_KEYS = ("url", "link", "href", "source_url", "source", "uri")
 
 def _result_url(item: Column) -> Column:
     """First URL found under the known keys; an object under a key is looked into one level deep."""
-    def in_text(value: Column) -> Column:
-        return F.get(url.urls_in_text(value), 0)
-    tries = []
-    for key in _URL_KEYS:
-        value = F.get_json_object(item, f"$.{key}")
-        deeper = F.coalesce(*[in_text(F.when(value.startswith("{"), F.get_json_object(value, f"$.{k}"))) for k in _URL_KEYS])
-        tries.append(F.when(value.startswith("{"), deeper).otherwise(in_text(value)))
-    return F.when(item.startswith("{"), F.coalesce(*tries)).otherwise(in_text(item))
+    def values(doc: Column) -> Column:
+        return F.array(*[F.get_json_object(doc, f"$.{k}") for k in _URL_KEYS])
+
+    def texts(doc: Column) -> Column:
+        return F.flatten(F.transform(values(doc), lambda v: F.when(v.startswith("{"), values(v)).otherwise(F.array(v))))
+
+    urls = F.transform(F.when(item.startswith("{"), texts(item)).otherwise(F.array(item)),
+                       lambda v: F.get(url.urls_in_text(v), 0))
+    return F.get(F.filter(urls, lambda u: u.isNotNull()), 0)
 
 
 def _text_of(item: Column, *keys: str) -> Column:
@@ -118,12 +119,12 @@ def _open_lists(items: DataFrame, depth: int) -> DataFrame:
     """Replace containers by their members: lists by items, URL-less objects by their known list key."""
     def step(item: Column) -> Column:
         nested = F.coalesce(*[F.get_json_object(item, f"$.{k}") for k in ("results", "items", "links", "data")])
-        holder = item.startswith("{") & _result_url(item).isNull()
+        holder = item.startswith("{") & F.col("found").isNull()
         return (F.when(item.startswith("["), F.from_json(item, "ARRAY<STRING>"))
                 .when(holder, F.when(nested.isNotNull(), F.array(nested)).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)")))
                 .otherwise(F.array(item)))
     for level in range(depth):
-        items = items.select("query", "answer", F.posexplode(step(F.col("item"))).alias(f"p{level}", "item"),
+        items = items.withColumn("found", _result_url(F.col("item"))).select("query", "answer", F.posexplode(step(F.col("item"))).alias(f"p{level}", "item"),
                              *[c for c in items.columns if c.startswith("p")])
     return items
 

@@ -77,41 +77,43 @@ def parse_items(raw: DataFrame, now: Column) -> DataFrame:
     mode = F.col("adapter_mode") if "adapter_mode" in raw.columns else None
     jobs = F.flatten(F.transform(F.col("json_ld"), lambda j: F.coalesce(
         F.from_json(j, _JOB_FIELDS), F.from_json(F.lit("[]"), _JOB_FIELDS))))
-    staged = (
-        pages.withColumn("rule", rule_of(F.col("source_id"), mode))
-        .withColumn("job", F.when(F.col("rule") == "topcv", F.get(
-            F.filter(jobs, lambda j: F.lower(j["@type"]) == "jobposting"), 0)))
-        .withColumn("dated", published_at(now)))
     is_job = F.col("rule") == "topcv"
     firm = F.col("job.hiringOrganization")
-    company = F.when(is_job, F.coalesce(
-        tx.blank_to_null(tx.squeeze(F.when(firm.startswith("{"), F.get_json_object(firm, "$.name")))),
-        tx.blank_to_null(F.col("company"))))
-    title = F.when(is_job, F.coalesce(tx.blank_to_null(tx.squeeze(F.col("job.title"))), _title(F.col("rule")))
-                   ).otherwise(_title(F.col("rule")))
-    published = F.when(is_job, F.coalesce(
-        dates.parse_datetime(F.col("job.datePosted"), now), F.col("dated"))).otherwise(F.col("dated"))
-    lines = F.concat(labelled_lines(F.col("visible_text")), F.array_compact(F.array(
-        F.concat(F.lit("Ngày đăng: "), F.date_format(F.col("dated"), "dd/MM/yyyy HH:mm")))))
     kinds = {r[0]: r[4] for r in rules.PARSE_RULES}
 
     def of_kind(kind: str) -> Column:
         return F.col("rule").isin(*[s for s, k in kinds.items() if k == kind])
 
+    # One value per step: later steps name it instead of repeating its expression.
+    staged = (
+        pages.withColumn("rule", rule_of(F.col("source_id"), mode))
+        .withColumn("job", F.when(is_job, F.get(F.filter(jobs, lambda j: F.lower(j["@type"]) == "jobposting"), 0)))
+        .withColumn("dated", published_at(now))
+        .withColumn("ruled_title", _title(F.col("rule")))
+        .withColumn("title", F.when(is_job, F.coalesce(
+            tx.blank_to_null(tx.squeeze(F.col("job.title"))), F.col("ruled_title"))).otherwise(F.col("ruled_title")))
+        .withColumn("firm", F.when(is_job, F.coalesce(
+            tx.blank_to_null(tx.squeeze(F.when(firm.startswith("{"), F.get_json_object(firm, "$.name")))),
+            tx.blank_to_null(F.col("company")))))
+        .withColumn("lines", F.when(of_kind("labelled"), F.concat(
+            labelled_lines(F.col("visible_text")), F.array_compact(F.array(
+                F.concat(F.lit("Ngày đăng: "), F.date_format(F.col("dated"), "dd/MM/yyyy HH:mm"))))))))
     body = (
         F.when(of_kind("description"), F.concat(F.coalesce(F.col("description"), F.lit("")), F.lit("\n"), F.col("visible_text")))
         .when(of_kind("paragraphs") & (F.size("paragraphs") > 0), F.array_join("paragraphs", "\n\n"))
-        .when(of_kind("labelled"), F.array_join(F.concat(lines, F.array("visible_text")), "\n"))
-        .when(is_job & company.isNotNull(), F.concat(F.lit("Đơn vị tuyển dụng: "), company, F.lit("\n"), F.col("visible_text")))
+        .when(of_kind("labelled"), F.array_join(F.concat("lines", F.array("visible_text")), "\n"))
+        .when(is_job & F.col("firm").isNotNull(), F.concat(F.lit("Đơn vị tuyển dụng: "), F.col("firm"), F.lit("\n"), F.col("visible_text")))
         .otherwise(F.col("visible_text")))
     error = (
         F.when(F.col("parse_error").isNotNull(), F.col("parse_error"))
         .when((F.col("visible_text") == "") & F.col("rule").isin("generic", "topcv"), "no text")
-        .when(is_job & tx.blank_to_null(title).isNull(), "no title"))
-    limited = F.when(F.col("rule").isin("generic", "topcv"), F.left(title, F.lit(500))).otherwise(title)
+        .when(is_job & tx.blank_to_null(F.col("title")).isNull(), "no title"))
     return staged.select(
-        *keep, limited.alias("title"), body.alias("raw_content"), published.alias("published_at"),
-        company.alias("author"), error.alias("error"))
+        *keep, F.when(F.col("rule").isin("generic", "topcv"), F.left("title", F.lit(500))).otherwise(F.col("title")).alias("title"),
+        body.alias("raw_content"),
+        F.when(is_job, F.coalesce(dates.parse_datetime(F.col("job.datePosted"), now), F.col("dated")))
+        .otherwise(F.col("dated")).alias("published_at"),
+        F.col("firm").alias("author"), error.alias("error"))
 
 
 def accepted(items: DataFrame) -> DataFrame:

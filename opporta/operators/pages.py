@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from opporta.runtime import spread
 from opporta.functions.html import Page, published_values, tidy
 
 PAGE_FIELDS = """h1 STRING, h1_spaced STRING, h1_title STRING, h1_heading STRING, h2 STRING, page_title STRING,
@@ -82,7 +83,7 @@ def read_cards(markup: str, base_url: str) -> list[dict]:
 
 def with_page_fields(raw: DataFrame, keep: list[str]) -> DataFrame:
     """`keep` columns plus PAGE_FIELDS. A page that cannot be read gets `parse_error`, never a failed task."""
-    kept = raw.select(*dict.fromkeys([*keep, "url", "html"]))
+    kept = spread(raw.select(*dict.fromkeys([*keep, "url", "html"])))
     passed = [c for c in kept.columns if c != "html" or "html" in keep]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in passed)
 
@@ -115,7 +116,7 @@ def with_cards(raw: DataFrame) -> DataFrame:
                 rows += [{"listing_url": url, "fetched_at": fetched, **card} for card in cards]
             yield pd.DataFrame(rows, columns=names)
 
-    return raw.select("url", "fetched_at", "html").mapInPandas(
+    return spread(raw.select("url", "fetched_at", "html")).mapInPandas(
         walk, f"listing_url STRING, fetched_at TIMESTAMP_NTZ, {CARD_FIELDS}")
 
 

@@ -28,10 +28,8 @@ def published_at(now: Column) -> Column:
                 & tx.starts_or_matches(marker, rules.PUBLISHED_META))
     metas = F.transform(F.filter(F.col("metas"), is_publication), lambda m: m["content"])
     labelled = F.regexp_extract(F.col("visible_text"), rules.PUBLISHED_LABEL, 1)
-    return F.coalesce(
-        _first_date(F.col("json_dates"), now), _first_date(metas, now),
-        F.when(labelled != "", dates.published_candidate(labelled, now))
-        .otherwise(_first_date(F.col("date_elements"), now)))
+    visible = F.when(labelled != "", F.array(labelled)).otherwise(F.col("date_elements"))
+    return _first_date(F.concat(F.col("json_dates"), metas, visible), now)
 
 
 def rule_of(source: Column, mode: Column | None = None) -> Column:

@@ -30,6 +30,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for costly per-row work on a small input; a large input already has enough splits."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def publish(df: DataFrame, root: str, version: int) -> bool:
     """Write one immutable version of a table, then commit it in the table's log.
 

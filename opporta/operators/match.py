@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opporta.functions import text as tx
@@ -27,15 +27,20 @@ def match_keywords(items: DataFrame, keywords: DataFrame, item_id: str, inline_l
         terms = [r.keyword.strip() for r in known]
         groups = [r.group_name for r in known]
         pick = with_term_hits(staged, F.col("_text"), terms, "_hits")
-        out = pick.select("*", *[
-            F.array_sort(F.array_distinct(F.transform("_hits", lambda i, v=values: F.get(F.array(*map(F.lit, v)), i)))).alias(name)
-            if values else F.expr("CAST(array() AS ARRAY<STRING>)").alias(name)
-            for name, values in (("matched_keywords", terms), ("matched_groups", groups))]).drop("_hits", "_text")
+        out = pick.withColumn("matched_keywords", _named("_hits", terms)).withColumn(
+            "matched_groups", _named("_hits", groups)).drop("_hits", "_text")
     else:
         out = _joined(staged, active, item_id)
     return out.withColumn("is_relevant", F.size("matched_keywords") > 0)
 
 
+def _named(hits: str, values: list[str]) -> Column:
+    """Sorted distinct values at the hit positions."""
+    if not values:
+        return F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.transform(hits, lambda i: F.get(F.array(*map(F.lit, values)), i))))
+
+
 def _joined(staged: DataFrame, active: DataFrame, item_id: str) -> DataFrame:
     by_length = F.array_sort(F.filter(F.split(F.lower("keyword"), tx.NOT_WORD + "+"), lambda w: w != ""),
                              lambda a, b: F.length(b) - F.length(a))

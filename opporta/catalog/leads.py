@@ -1,0 +1,450 @@
+"""Queries over leads: search, numbers, triage, upsert, exports, model answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from opporta.catalog import query, spark_sql
+from opporta.catalog.documents import at
+from opporta.functions import labels, money, text as tx
+from opporta.operators import leads as ops
+from opporta.operators import ordering, profiles, repair, requests, responses, resolve, rule_based, triage
+from opporta.plans import dashboard, search
+from opporta.sources import tables
+
+NOW = "2001-08-02 00:00:00"
+
+
+def leads(spark, sf):
+    """Leads with their list columns."""
+    flat = spark_sql(spark, sf, "SELECT * FROM {v_leads}")
+    reasons = F.array(F.concat(F.lit("score "), F.col("score").cast("string")), F.col("recommended_action"))
+    return flat.withColumn("need_categories", F.split("categories", r"\|")).withColumn("score_reasons", reasons).withColumn(
+        "evidence", F.array("title", "location")).withColumn("keywords_matched", F.array("source")).drop("categories")
+
+
+@query("dashboard_kpis", f"""
+SELECT count(*) FILTER (status <> 'ARCHIVED') AS total_leads, count(*) FILTER (status <> 'ARCHIVED' AND recommended_action = 'CALL') AS hot_leads,
+ count(*) FILTER (status <> 'ARCHIVED' AND recommended_action = 'EMAIL') AS qualified_leads, count(*) FILTER (status <> 'ARCHIVED' AND recommended_action = 'NURTURE') AS nurture_leads,
+ count(*) FILTER (status = 'ARCHIVED') AS archived_leads_count, count(*) FILTER (status <> 'ARCHIVED' AND crawled_at >= TIMESTAMP '{NOW}') AS leads_today,
+ round_even(avg(score) FILTER (status <> 'ARCHIVED'), 1) AS avg_score,
+ CAST(sum(CAST(budget_value AS DECIMAL(20,2))) FILTER (status <> 'ARCHIVED') AS DOUBLE) AS total_pipeline_budget FROM {{v_leads}}""")
+def dashboard_kpis(spark, sf):
+    return dashboard.dashboard_kpis(leads(spark, sf), at(NOW))
+
+
+@query("leads_by_source", "SELECT source, count(*) AS leads FROM {v_leads} WHERE status <> 'ARCHIVED' GROUP BY source")
+def leads_by_source(spark, sf):
+    return dashboard.leads_by_source(leads(spark, sf))
+
+
+@query("source_counts", "SELECT source, count(*) AS total_leads, count(*) FILTER (recommended_action = 'CALL') AS hot_leads FROM {v_leads} GROUP BY source")
+def source_counts(spark, sf):
+    return dashboard.source_counts(leads(spark, sf))
+
+
+@query("storage_status", "SELECT 'leads' AS table_name, count(*) AS row_count FROM {v_leads} UNION ALL SELECT 'organizations', count(*) FROM {v_mentions}")
+def storage_status(spark, sf):
+    return dashboard.storage_status(leads(spark, sf), spark_sql(spark, sf, "SELECT * FROM {v_mentions}"))
+
+
+_SEARCH = """FROM {v_leads} WHERE status <> 'ARCHIVED' AND score >= 10 AND score <= 95 AND location ILIKE '%nation_1%'
+ AND (title ILIKE '%urgent%' OR organization_name ILIKE '%urgent%' OR need_summary ILIKE '%urgent%' OR budget_text ILIKE '%urgent%')"""
+_FILTERS = {"min_score": 10, "max_score": 95, "location": "nation_1", "query": "urgent"}
+
+
+@query("search_leads_page2", f"""SELECT id, title, score, crawled_at, CASE WHEN score >= 90 THEN 'score-hot' WHEN score >= 80 THEN 'score-qualified' ELSE 'score-nurture' END AS badge {_SEARCH}
+ ORDER BY score DESC NULLS LAST, crawled_at DESC NULLS LAST, id LIMIT 20 OFFSET 20""")
+def search_leads_page2(spark, sf):
+    return search.search_leads(leads(spark, sf), page=2, **_FILTERS).select("id", "title", "score", "crawled_at", "badge")
+
+
+@query("search_leads_ascending", """SELECT id, budget_value FROM {v_leads} WHERE source = 'src_3' AND recommended_action = 'NURTURE' AND status = 'NEW'
+ ORDER BY budget_value ASC NULLS FIRST, id LIMIT 50""")
+def search_leads_ascending(spark, sf):
+    found = search.search_leads(leads(spark, sf), page_size=50, sort_by="budget_value", sort_order="asc", source="src_3", action="NURTURE", status="NEW")
+    return found.select("id", "budget_value")
+
+
+@query("search_totals", f"SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS total_pages {_SEARCH}")
+def search_totals(spark, sf):
+    return search.page_totals(leads(spark, sf), **_FILTERS)
+
+
+@query("processed_leads", "SELECT id FROM {v_leads} WHERE status <> 'PENDING_AI' AND NOT starts_with(lower(need_summary), '[hàng đợi ai]')")
+def processed_leads(spark, sf):
+    return leads(spark, sf).where(ops.is_processed(F.col("status"), F.col("need_summary"))).select("id")
+
+
+@query("lead_profiles", """SELECT l.id, c.c_name AS legal_name, CASE WHEN c.c_acctbal > 0 THEN c.c_mktsegment END AS industry FROM {v_leads} l JOIN {customer} c ON l.organization_id = CAST(c.c_custkey AS VARCHAR)""")
+def lead_profiles(spark, sf):
+    none = F.lit(None).cast("string")
+    orgs = spark_sql(spark, sf, "SELECT * FROM {customer}").select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("legal_name"), none.alias("domain"), none.alias("tax_code"), none.alias("profile_status"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("Read timed out.").alias("industry"), none.alias("size"), none.alias("employee_count"), none.alias("official_url"))
+    return search.lead_profiles(leads(spark, sf), orgs).select("id", "legal_name", "industry")
+
+
+@query("lead_contacts", """SELECT o.id AS lead_id, c.full_name, c.decision_score FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderkey AS VARCHAR) AS organization_id FROM {orders}) o
+ JOIN (SELECT CAST(l_orderkey AS VARCHAR) AS organization_id, full_name, decision_score FROM {v_contacts} JOIN {lineitem} ON position = l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AND organization_id = CAST(l_suppkey AS VARCHAR)) c USING (organization_id)""")
+def lead_contacts(spark, sf):
+    own = spark_sql(spark, sf, "SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_orderkey AS STRING) AS organization_id FROM {orders}")
+    contacts = spark_sql(spark, sf, """SELECT CAST(l_orderkey AS STRING) AS organization_id, full_name, decision_score FROM {v_contacts} JOIN {lineitem}
+ ON position = l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AND organization_id = CAST(l_suppkey AS STRING)""")
+    return search.lead_children(own, contacts).select("lead_id", "full_name", "decision_score")
+
+
+@query("primary_contact", """
+SELECT organization_id, full_name AS primary_name, email AS primary_email, phone AS primary_phone, decision_score AS primary_score FROM (
+ SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY coalesce(decision_score, -1) DESC, position) AS rn FROM {v_contacts}) WHERE rn = 1""")
+def primary_contact(spark, sf):
+    return ops.primary_contacts(spark_sql(spark, sf, "SELECT * FROM {v_contacts}"))
+
+
+@query("first_contact_details", """SELECT organization_id, arg_min(full_name, position) FILTER (full_name <> '') AS full_name, arg_min(email, position) FILTER (email <> '') AS email,
+ arg_min(phone, position) FILTER (phone <> '') AS phone FROM {v_contacts} GROUP BY organization_id""")
+def first_contact_details(spark, sf):
+    return ops.first_contacts_with(spark_sql(spark, sf, "SELECT * FROM {v_contacts}"))
+
+
+@query("filled_contacts", """WITH best AS (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY coalesce(decision_score, -1) DESC, position) AS rn FROM {v_contacts})
+SELECT l.id, coalesce(l.contact_name, b.full_name) AS contact_name, coalesce(l.contact_email, b.email) AS contact_email, coalesce(l.contact_phone, b.phone) AS contact_phone
+FROM {v_leads} l LEFT JOIN (SELECT * FROM best WHERE rn = 1) b USING (organization_id)""")
+def filled_contacts(spark, sf):
+    primary = ops.primary_contacts(spark_sql(spark, sf, "SELECT * FROM {v_contacts}"))
+    return ops.fill_contact(leads(spark, sf), primary).select("id", "contact_name", "contact_email", "contact_phone")
+
+
+@query("category_union", """SELECT id, array_to_string(list_sort(list_distinct([split_part(categories, '|', 1), split_part(categories, '|', 2), source, '5-LOW'])), '|') AS need_categories FROM {v_leads}""")
+def category_union(spark, sf):
+    merged = ops.category_union(F.col("need_categories"), F.array("source", F.lit("5-LOW")))
+    return leads(spark, sf).select("id", F.array_join(merged, "|").alias("need_categories"))
+
+
+@query("time_window", """SELECT event_id, coalesce(CASE WHEN event_type <> 'view' THEN ts - INTERVAL '5' DAY END, ts) AS effective_at FROM {events}
+ WHERE coalesce(CASE WHEN event_type <> 'view' THEN ts - INTERVAL '5' DAY END, ts) >= TIMESTAMP '2024-01-24 00:00:00'""")
+def time_window(spark, sf):
+    items = spark_sql(spark, sf, """SELECT event_id, CAST(ts AS {TS}) AS crawled_at, CASE WHEN event_type <> 'view' THEN CAST(ts AS {TS}) - INTERVAL '5' DAY END AS published_at FROM {events}""")
+    return triage.in_window(items, "1_week", at("2024-01-31 00:00:00")).select("event_id", "effective_at")
+
+
+_ITEMS = """SELECT event_id AS position, 'u' || CAST(CAST(floor(event_id / 3) AS BIGINT) AS STRING) AS fingerprint, CAST(ts AS {TS}) AS crawled_at,
+ CASE WHEN event_type = 'click' THEN CAST(ts AS {TS}) - INTERVAL '20' DAY END AS published_at, event_type <> 'signup' AS is_relevant FROM {events}"""
+_RESULTS = "SELECT 'u' || CAST(o_orderkey AS STRING) AS fingerprint, CASE WHEN o_orderkey % 17 = 0 THEN 'quota' END AS model_error, CAST(o_orderkey % 101 AS INT) AS score FROM {orders}"
+_KNOWN = "SELECT 'u' || CAST(l_orderkey AS STRING) AS fingerprint FROM {lineitem} WHERE l_returnflag = 'R' AND l_quantity > 45"
+
+
+@query("item_triage", f"""
+WITH judged AS (SELECT i.position, fingerprint, CASE WHEN coalesce(published_at, crawled_at) < TIMESTAMP '2024-01-01 00:00:00' THEN 'FILTERED_TIME'
+  WHEN fingerprint IN ({_KNOWN}) THEN 'DUPLICATE' WHEN NOT is_relevant THEN 'FILTERED_KEYWORD' WHEN model_error IS NOT NULL OR score IS NULL THEN 'ERROR'
+  WHEN score < 40 THEN 'FILTERED_SCORE' ELSE 'NEW' END AS outcome FROM ({_ITEMS}) i LEFT JOIN ({_RESULTS}) r USING (fingerprint)),
+ stored AS (SELECT fingerprint, min(position) AS stored_at FROM judged WHERE outcome = 'NEW' GROUP BY fingerprint)
+SELECT j.position, CASE WHEN stored_at < j.position AND outcome <> 'FILTERED_TIME' THEN 'DUPLICATE' ELSE outcome END AS outcome FROM judged j LEFT JOIN stored USING (fingerprint)""")
+def item_triage(spark, sf):
+    judged = triage.triage(spark_sql(spark, sf, _ITEMS), spark_sql(spark, sf, _KNOWN), spark_sql(spark, sf, _RESULTS), "1_month", at("2024-01-31 00:00:00"))
+    return judged.select("position", "outcome")
+
+
+@query("funnel_counters", """SELECT source, run_day, count(*) AS total_discovered, count(*) FILTER (outcome = 'NEW') AS new_leads, count(*) FILTER (outcome = 'DUPLICATE') AS duplicate_leads,
+ count(*) FILTER (outcome LIKE 'FILTERED%') AS filtered_out, count(*) FILTER (outcome = 'ERROR') AS error_count,
+ CASE WHEN count(*) FILTER (outcome = 'ERROR') = 0 THEN 'SUCCESS' ELSE 'PARTIAL' END AS status FROM {v_outcomes} GROUP BY source, run_day""")
+def funnel_counters(spark, sf):
+    return triage.run_counters(spark_sql(spark, sf, "SELECT * FROM {v_outcomes}"), ["source", "run_day"])
+
+
+@query("fair_interleave", """SELECT source, position, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY position) - 1) / 25) AS INT) + 1 AS round FROM {v_leads}""")
+def fair_interleave(spark, sf):
+    return ordering.fair_interleave(leads(spark, sf), "source").select("source", "position", "round")
+
+
+@query("fair_interleave_hot_source", """SELECT source, position, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY position) - 1) / 25) AS INT) + 1 AS round FROM {v_leads}""")
+def fair_interleave_hot_source(spark, sf):
+    """The plan for sources too large for one task: slices of a source are numbered apart."""
+    return ordering.fair_interleave(leads(spark, sf), "source", hot_rows=0).select("source", "position", "round")
+
+
+_CANDIDATES = """SELECT 'src_' || CAST(o_custkey % 12 AS STRING) AS source_id, o_orderpriority AS keyword, o_orderkey AS position,
+ 'https://a.example.com/' || CAST(CAST(floor(o_orderkey / 4) AS BIGINT) AS STRING) AS target_url FROM {orders}"""
+
+
+def _quota_sql(words: list[str], quota: int) -> str:
+    parts, taken = [], []
+    for i, word in enumerate(words):
+        seen = "".join(f" AND (source_id, target_url) NOT IN (SELECT source_id, target_url FROM t{j})" for j in taken)
+        parts.append(f"""t{i} AS (SELECT source_id, target_url, keyword, position FROM (SELECT source_id, target_url, '{word}' AS keyword, min(position) AS position,
+ row_number() OVER (PARTITION BY source_id ORDER BY min(position), target_url) AS rn FROM ({_CANDIDATES}) WHERE keyword = '{word}'{seen} GROUP BY source_id, target_url) WHERE rn <= {quota})""")
+        taken.append(i)
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in taken)
+
+
+_WORDS = ["1-URGENT", "3-MEDIUM", "5-LOW"]
+
+
+@query("top_per_keyword", _quota_sql(_WORDS, 10))
+def top_per_keyword(spark, sf):
+    return ordering.balanced_top(spark_sql(spark, sf, _CANDIDATES), _WORDS).select("source_id", "target_url", "keyword", "position")
+
+
+_LISTING = """SELECT 'src_' || CAST(o_custkey % 12 AS STRING) AS source_id, CAST(floor(o_orderkey / 200) AS INT) + 1 AS page,
+ 'https://t.example.com/' || CAST(o_custkey AS STRING) AS full_url, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE CAST(o_orderdate AS {TS}) END AS item_date FROM {orders}"""
+
+
+@query("listing_stop", f"""
+WITH near AS (SELECT *, coalesce(item_date >= TIMESTAMP '2001-06-01', TRUE) AS inside FROM ({_LISTING}) WHERE page <= 50),
+ firsts AS (SELECT source_id, page, count(*) AS n FROM (SELECT source_id, full_url, min(page) AS page FROM near WHERE inside GROUP BY ALL) GROUP BY ALL),
+ pages AS (SELECT source_id, page, coalesce(max(n), 0) AS new_links, bool_or(coalesce(item_date >= TIMESTAMP '2001-06-01', FALSE)) AS has_inside FROM near LEFT JOIN firsts USING (source_id, page) GROUP BY ALL),
+ flagged AS (SELECT *, (page > 1 AND new_links = 0) OR (page > 2 AND NOT has_inside) AS stops FROM pages)
+SELECT source_id, page, new_links, stops FROM flagged f WHERE NOT EXISTS (SELECT 1 FROM flagged g WHERE g.source_id = f.source_id AND g.page < f.page AND g.stops)""")
+def listing_stop(spark, sf):
+    return ordering.listing_stop(spark_sql(spark, sf, _LISTING), at("2001-06-01 00:00:00")).select("source_id", "page", "new_links", "stops")
+
+
+@query("lead_upsert", """SELECT id, title, score FROM {v_leads} WHERE id NOT IN (SELECT 'x' FROM {region}) AND position NOT IN (SELECT l_orderkey FROM {lineitem} WHERE l_returnflag = 'A')
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'Update ' || max(l_partkey), CAST(max(l_linenumber) AS INT) FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_orderkey""")
+def lead_upsert(spark, sf):
+    updates = spark_sql(spark, sf, """SELECT CAST(l_orderkey AS STRING) AS id, 'Update ' || CAST(max(l_partkey) AS STRING) AS title, CAST(max(l_linenumber) AS INT) AS score
+ FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_orderkey""")
+    return ops.upsert(leads(spark, sf).select("id", "title", "score"), updates, "id")
+
+
+@query("lead_status_changes", """
+WITH changes AS (SELECT CAST(user_id AS VARCHAR) AS id, upper(event_type) AS new_status, CASE WHEN value > 20 THEN props END AS notes, ts, event_id FROM {events}),
+ last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, new_status DESC) AS rn FROM changes) WHERE rn = 1)
+SELECT l.id, coalesce(c.new_status, l.status) AS status, c.notes AS sales_notes, c.ts AS updated_at FROM {v_leads} l LEFT JOIN last c USING (id)""")
+def lead_status_changes(spark, sf):
+    changes = spark_sql(spark, sf, "SELECT CAST(user_id AS STRING) AS id, upper(event_type) AS new_status, CASE WHEN value > 20 THEN props END AS notes, CAST(ts AS {TS}) AS changed_at FROM {events}")
+    base = leads(spark, sf).withColumn("sales_notes", F.lit(None).cast("string")).withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    return ops.apply_status_changes(base, changes).select("id", "status", "sales_notes", "updated_at")
+
+
+@query("sync_missing", """SELECT id FROM {v_leads} WHERE status NOT IN ('PENDING_AI', 'ARCHIVED') AND NOT starts_with(lower(need_summary), '[hàng đợi ai]') AND score >= 40
+ AND position NOT IN (SELECT l_orderkey FROM {lineitem} WHERE l_linestatus = 'F')""")
+def sync_missing(spark, sf):
+    target = spark_sql(spark, sf, "SELECT ' ' || CAST(l_orderkey AS STRING) AS id FROM {lineitem} WHERE l_linestatus = 'F'")
+    return ops.sync_missing(leads(spark, sf), target).select("id")
+
+
+@query("export_csv_rows", """SELECT id, CAST(score AS VARCHAR) AS score, recommended_action, organization_name, need_summary, replace(categories, '|', ', ') AS need_categories,
+ CASE WHEN budget_value IS NULL OR budget_value = 0 THEN '' ELSE CAST(budget_value AS VARCHAR) END AS budget_value, coalesce(budget_text, '') AS budget_text, location, source, source_url,
+ strftime(published_at, '%d/%m/%Y %H:%M') AS published_at, strftime(crawled_at, '%d/%m/%Y %H:%M') AS crawled_at, coalesce(contact_name, '') AS contact_name,
+ coalesce(contact_email, '') AS contact_email, coalesce(contact_phone, '') AS contact_phone, 'score ' || score || ' | ' || recommended_action AS score_reasons
+FROM (SELECT * FROM {v_leads} WHERE status <> 'ARCHIVED' ORDER BY score DESC NULLS LAST, crawled_at DESC NULLS LAST, id LIMIT 10000)""")
+def export_csv_rows(spark, sf):
+    return tables.csv_rows(tables.best_first(search.filter_leads(leads(spark, sf))), labelled=False)
+
+
+@query("export_json_rows", """SELECT id, score, array_to_string(string_split(categories, '|'), '|') AS need_categories, budget_value, strftime(published_at, '%Y-%m-%dT%H:%M:%S') AS published_at,
+ strftime(deadline, '%Y-%m-%dT%H:%M:%S') AS deadline, relevance, status FROM (SELECT * FROM {v_leads} WHERE source = 'src_4' AND status <> 'ARCHIVED' ORDER BY score DESC NULLS LAST, crawled_at DESC NULLS LAST, id LIMIT 10000)""")
+def export_json_rows(spark, sf):
+    rows = tables.json_rows(tables.best_first(search.filter_leads(leads(spark, sf), source="src_4")))
+    return rows.select("id", "score", F.array_join("need_categories", "|").alias("need_categories"), "budget_value", "published_at", "deadline", "relevance", "status")
+
+
+def sheet(spark, sf):
+    """Every lead written as sheet cells; columns the leads lack are empty."""
+    none = F.lit(None).cast("string")
+    full = leads(spark, sf).withColumns({c: none for c in ("sales_strategy", "content_fingerprint", "sales_notes", "enrichment_status", "enrichment_message")}).withColumn(
+        "updated_at", F.lit(None).cast("timestamp_ntz"))
+    return tables.lead_sheet_rows(full).withColumn("position", F.col("id").cast("bigint"))
+
+
+@query("lead_sheet_reload", """SELECT id, source_url, title, published_at, deadline, replace(categories, '|', '+') AS need_categories, budget_value, score, contact_phone, status, recommended_action
+FROM {v_leads} WHERE status <> 'PENDING_AI' AND NOT starts_with(lower(need_summary), '[hàng đợi ai]') AND score >= 40 AND position NOT IN (SELECT l_orderkey FROM {lineitem} WHERE l_returnflag = 'N')""")
+def lead_sheet_reload(spark, sf):
+    """Round trip: export as cells, reload as typed rows, without the leads already stored."""
+    stored = spark_sql(spark, sf, "SELECT v.source_url FROM {v_leads} AS v JOIN {lineitem} ON l_orderkey = position WHERE l_returnflag = 'N'")
+    rows = tables.leads_from_sheet(sheet(spark, sf), stored, at(NOW))
+    return rows.select("id", "source_url", "title", "published_at", "deadline", F.array_join("need_categories", "+").alias("need_categories"), "budget_value", "score",
+                       "contact_phone", "status", "recommended_action")
+
+
+@query("score_requests", r"""SELECT doc_url, 'score' AS kind, string_split(request, chr(10) || chr(10))[-1] AS facts FROM (SELECT id AS doc_url,
+ '- Tiêu đề: ' || title || chr(10) || '- Nhu cầu: ' || need_summary || chr(10) || '- Nhóm nhu cầu: ' || replace(categories, '|', ', ') || chr(10)
+ || '- Ngân sách: ' || CASE WHEN budget_value IS NULL THEN 'Chưa xác định' ELSE format('{:,}', CAST(round_even(budget_value, 0) AS BIGINT)) || ' VNĐ' END || chr(10) || '- Địa bàn: ' || location || chr(10)
+ || '- Email công khai: ' || coalesce(contact_email, 'Không có') || chr(10) || '- Số điện thoại công khai: ' || coalesce(contact_phone, 'Không có') || chr(10)
+ || '- Ngày đăng: ' || strftime(published_at, '%Y-%m-%d') || chr(10) || '- Hạn chót: ' || coalesce(strftime(deadline, '%Y-%m-%d'), 'Chưa rõ') || chr(10) || '- Ngày đánh giá: 2001-08-02' || chr(10)
+ || '- Mức độ phù hợp vòng 1: ' || CAST(relevance AS VARCHAR) || chr(10) || '- Keyword khớp ở vòng lọc: ' || source || chr(10) || '- Minh chứng:' || chr(10) || '- ' || title || chr(10) || '- ' || location AS request FROM {v_leads})""")
+def score_requests(spark, sf):
+    made = requests.score_requests(leads(spark, sf).withColumn("doc_url", F.col("id")), at(NOW))
+    return made.select("doc_url", "kind", F.element_at(F.split("request", "\n\n"), -1).alias("facts"))
+
+
+def extraction_answers(spark, sf):
+    """Answers per order: fenced JSON, bare JSON, text around JSON, broken JSON, no JSON."""
+    record = F.to_json(F.struct(
+        F.concat(F.lit("Org "), F.col("o_custkey").cast("string")).alias("organization_name"),
+        F.when(F.col("o_orderstatus") == "F", "Government").when(F.col("o_orderstatus") == "O", "startup").otherwise("other").alias("organization_type"),
+        F.concat(F.lit("site"), F.col("o_custkey").cast("string"), F.lit(".vn")).alias("organization_website"), F.array("o_orderpriority").alias("need_categories"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice").cast("string")).otherwise(F.lit(None)).alias("budget_value"),
+        F.concat(F.lit("+84 9"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("contact_phone"), F.lit("x").alias("not_in_schema"), F.lit(0.5).alias("relevance")))
+    p = F.col("o_orderpriority")
+    body = (F.when(p == "1-URGENT", F.concat(F.lit("```json\n"), record, F.lit("\n```"))).when(p == "2-HIGH", F.concat(F.lit("Kết quả: "), record, F.lit(" hết.")))
+            .when(p == "3-MEDIUM", F.concat(F.lit("{\"organization_name\": "), record)).when(p == "4-NOT SPECIFIED", F.lit("không có")).otherwise(record))
+    return spark_sql(spark, sf, "SELECT * FROM {orders}").select(F.col("o_orderkey").alias("doc_url"), F.lit("extraction").alias("kind"), body.alias("body"))
+
+
+@query("extraction_ingest", """SELECT o_orderkey AS doc_url, CASE o_orderpriority WHEN '3-MEDIUM' THEN 'invalid JSON' WHEN '4-NOT SPECIFIED' THEN 'no JSON object' END AS reject_reason,
+ CASE WHEN ok THEN 'Org ' || o_custkey END AS organization_name, CASE WHEN ok AND o_orderstatus <> 'O' THEN CASE o_orderstatus WHEN 'F' THEN 'government' ELSE 'other' END END AS organization_type,
+ CASE WHEN ok THEN 'https://site' || o_custkey || '.vn' END AS organization_website, CASE WHEN ok AND o_orderkey % 3 = 0 THEN o_totalprice END AS budget_value,
+ CASE WHEN ok AND lpad(CAST(o_custkey AS VARCHAR), 8, '0') IS NOT NULL THEN '09' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') END AS contact_phone, CASE WHEN ok THEN o_orderpriority ELSE '' END AS need_categories
+FROM (SELECT *, o_orderpriority NOT IN ('3-MEDIUM', '4-NOT SPECIFIED') AS ok FROM {orders})""")
+def extraction_ingest(spark, sf):
+    return responses.extractions(extraction_answers(spark, sf)).select(
+        "doc_url", "reject_reason", "organization_name", "organization_type", "organization_website", "budget_value", "contact_phone", F.array_join("need_categories", "|").alias("need_categories"))
+
+
+@query("score_ingest", """SELECT o_orderkey AS doc_url, CASE WHEN o_orderpriority = '5-LOW' THEN 'invalid recommended_action' END AS reject_reason,
+ CAST(greatest(0, least(100, o_orderkey % 200 - 40)) AS INT) AS total_score, CASE o_orderpriority WHEN '5-LOW' THEN 'VISIT' WHEN '1-URGENT' THEN 'CALL' ELSE 'EMAIL' END AS recommended_action,
+ CAST(o_custkey % 20 AS INT) AS first_points FROM {orders}""")
+def score_ingest(spark, sf):
+    p = F.col("o_orderpriority")
+    body = F.to_json(F.struct(
+        (F.col("o_orderkey") % 200 - 40).alias("total_score"), F.when(p == "5-LOW", "visit").when(p == "1-URGENT", " call ").otherwise("Email").alias("recommended_action"),
+        F.array(F.struct(F.lit("r").alias("rule_name"), (F.col("o_custkey") % 20).alias("points"), F.lit("because").alias("reason"))).alias("breakdown")))
+    answers = spark_sql(spark, sf, "SELECT * FROM {orders}").select(F.col("o_orderkey").alias("doc_url"), F.lit("score").alias("kind"), body.alias("body"))
+    return responses.scores(answers, "model").select("doc_url", "reject_reason", "total_score", "recommended_action", F.get(F.col("breakdown"), 0)["points"].alias("first_points"))
+
+
+def profile_answers(spark, sf):
+    k = F.col("c_custkey").cast("string")
+    site = F.concat(F.lit("https://f"), k, F.lit(".example.com"))
+    body = F.to_json(F.struct(
+        F.concat(F.lit(" Firm  "), k).alias("legal_name"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("industry"), F.lit("50").alias("employee_count"), F.lit("small").alias("size"),
+        F.array(F.lit("VN"), F.lit("VN"), F.lit("")).alias("locations"), F.array(F.lit("ERP")).alias("technologies"), F.concat(site, F.lit("/?utm_source=q")).alias("official_url"),
+        F.array(F.struct(F.lit("A").alias("name"), F.concat(site, F.lit("/du-an/")).alias("source_url")), F.struct(F.lit("B").alias("name"), F.lit("https://invented.example.com/").alias("source_url"))).alias("projects"),
+        F.array(F.struct(F.lit("An").alias("full_name"), F.lit("84904634288").alias("phone"), F.concat(site, F.when(F.col("c_nationkey") < 12, "/du-an").otherwise("/lien-he")).alias("source_url"),
+                         F.lit("trang liên hệ").alias("evidence_text"), (F.col("c_nationkey") * 10).alias("decision_score"))).alias("contacts"),
+        F.array(F.struct(F.lit("industry").alias("field"), F.lit("v").alias("value"), F.concat(site, F.lit("/du-an")).alias("source_url"), F.lit("t").alias("evidence_text"), F.lit(1.7).alias("confidence"))).alias("evidence"),
+        F.array(F.lit("revenue")).alias("missing_information")))
+    none = F.lit(None).cast("string")
+    return spark_sql(spark, sf, "SELECT * FROM {customer}").select(F.col("c_custkey").alias("doc_url"), F.lit("profile").alias("kind"), body.alias("body"), F.lit("N").alias("name"), none.alias("official_url"))
+
+
+def pages_used(spark, sf):
+    return spark_sql(spark, sf, """SELECT c_custkey AS doc_url, 'https://f' || CAST(c_custkey AS STRING) || '.example.com/du-an' AS url FROM {customer}
+ UNION ALL SELECT c_custkey AS doc_url, 'https://f' || CAST(c_custkey AS STRING) || '.example.com/' AS url FROM {customer} WHERE c_acctbal > 3000""")
+
+
+@query("profile_ingest", """SELECT c_custkey AS doc_url, 'Firm ' || c_custkey AS legal_name, CASE WHEN c_acctbal > 3000 THEN 'https://f' || c_custkey || '.example.com/' END AS official_url,
+ CASE WHEN c_acctbal > 3000 THEN 'f' || c_custkey || '.example.com' END AS domain, 'VN' AS locations, 'A' AS projects, CASE WHEN c_nationkey < 12 THEN '0904634288' END AS phone,
+ CAST(CASE WHEN c_nationkey < 12 THEN least(100, c_nationkey * 10) END AS INT) AS decision_score, 1.0 AS confidence,
+ 'revenue' || CASE WHEN c_acctbal > 0 THEN '' ELSE '|industry' END || CASE WHEN c_nationkey < 12 THEN '' ELSE '|contacts|decision_makers' END AS missing_information FROM {customer}""")
+def profile_ingest(spark, sf):
+    made = profiles.profiles(profile_answers(spark, sf), pages_used(spark, sf))
+    contact = F.get(F.col("contacts"), 0)
+    return made.select("doc_url", "legal_name", "official_url", "domain", F.array_join("locations", "|").alias("locations"),
+                       F.array_join(F.transform("projects", lambda p: p["name"]), "|").alias("projects"), contact["phone"].alias("phone"), contact["decision_score"].alias("decision_score"),
+                       F.get(F.col("evidence"), 0)["confidence"].alias("confidence"), F.array_join("missing_information", "|").alias("missing_information"))
+
+
+@query("missing_fields", """SELECT c_custkey, 'revenue' || CASE WHEN c_acctbal > 0 THEN '' ELSE '|industry' END || CASE WHEN c_mktsegment = 'BUILDING' THEN '|size' ELSE '' END || '|employee_count'
+ || CASE WHEN c_nationkey > 10 THEN '|contacts' ELSE '' END || '|decision_makers' AS missing FROM {customer}""")
+def missing_fields(spark, sf):
+    c = spark_sql(spark, sf, "SELECT * FROM {customer}")
+    some, none = F.array(F.lit("x")), F.array().cast("array<string>")
+    values = {"industry": F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")), "size": F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise("big"), "locations": some,
+              "employee_count": F.lit(None).cast("string"), "technologies": some, "projects": some, "contacts": F.when(F.col("c_nationkey") > 10, none).otherwise(some), "decision_makers": none}
+    missing = profiles.missing_fields(F.array(F.lit("revenue"), F.lit("revenue"), F.lit("")), values)
+    return c.select("c_custkey", F.array_join(missing, "|").alias("missing"))
+
+
+@query("lead_assembly", """
+SELECT left(sha256('https://n.example.com/' || o_orderkey), 36) AS id, 'https://n.example.com/' || o_orderkey AS source_url, o_orderpriority || '|' || source AS need_categories,
+ coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'own' END, 'C' || o_custkey) AS contact_name, o_orderdate + INTERVAL '9' HOUR AS deadline, CAST(o_orderkey % 101 AS INT) AS score, 'NEW' AS status,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'other' ELSE 'enterprise' END AS organization_type, 'e1|t — https://s' AS evidence
+FROM (SELECT *, 'src_' || (o_custkey % 12) AS source FROM {orders}) WHERE o_orderkey % 101 >= 40""")
+def lead_assembly(spark, sf):
+    from opporta.operators.dedup import with_fingerprint
+    o = spark_sql(spark, sf, "SELECT *, 'https://n.example.com/' || CAST(o_orderkey AS STRING) AS url FROM {v_orders_text}")
+    none = F.lit(None).cast("string")
+    items = with_fingerprint(o).select(F.col("o_orderkey").alias("doc_url"), "canonical_url", "fingerprint", F.lit("s").alias("source_id"), F.lit("t").alias("title"),
+                                       none.cast("timestamp_ntz").alias("published_at"), F.col("o_orderdate").alias("crawled_at"),
+                                       F.array(F.concat(F.lit("src_"), (F.col("o_custkey") % 12).cast("string"))).alias("matched_groups"), F.array(F.lit("k")).alias("matched_keywords"), none.alias("snapshot_path"))
+    extracted = o.select(F.col("o_orderkey").alias("doc_url"), none.alias("organization_name"), F.when(F.col("o_orderkey") % 3 != 0, "enterprise").alias("organization_type"), none.alias("need_summary"),
+                         F.array("o_orderpriority").alias("need_categories"), F.lit(None).cast("double").alias("budget_value"), none.alias("budget_text"), none.alias("location"),
+                         F.when(F.col("o_orderkey") % 2 == 0, "own").alias("contact_name"), none.alias("contact_email"), none.alias("contact_phone"), F.concat("day_vn", F.lit(" 09:00")).alias("deadline"),
+                         F.lit(0.5).alias("relevance"), F.array(F.lit("e1")).alias("evidence"))
+    profile = o.select(F.col("o_orderkey").alias("doc_url"), none.alias("organization_id"), none.alias("enrichment_status"), none.alias("enrichment_message"), F.array(
+        F.struct(F.lit("X").alias("full_name"), none.alias("email"), none.alias("phone"), F.lit(None).cast("int").alias("decision_score")),
+        F.struct(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("full_name"), none.alias("email"), none.alias("phone"), F.lit(5).alias("decision_score"))).alias("contacts"),
+        F.array(F.struct(F.lit("t").alias("evidence_text"), F.lit("https://s").alias("source_url"))).alias("evidence"))
+    scored = o.select(F.col("o_orderkey").alias("doc_url"), (F.col("o_orderkey") % 101).cast("int").alias("total_score"), F.lit("NURTURE").alias("recommended_action"),
+                      F.array(F.lit("r")).alias("score_reasons"), none.alias("sales_strategy"))
+    made = ops.assemble_leads(items, extracted, profile, scored, at(NOW))
+    return made.select("id", "source_url", F.array_join("need_categories", "|").alias("need_categories"), "contact_name", "deadline", "score", "status", "organization_type", F.array_join("evidence", "|").alias("evidence"))
+
+
+@query("pending_replay", """SELECT l.id, 'Org ' || o.o_custkey AS organization_name, array_to_string(list_sort(list_distinct([split_part(categories, '|', 1), split_part(categories, '|', 2), 'fresh'])), '|') AS need_categories,
+ CAST(60 AS INT) AS score, 'NEW' AS status FROM {v_leads} l JOIN {orders} o ON o.o_orderkey = l.position WHERE l.status = 'PENDING_AI' AND o.o_orderpriority <> '5-LOW'""")
+def pending_replay(spark, sf):
+    none = F.lit(None).cast("string")
+    base = leads(spark, sf).withColumns({"raw_content_ref": F.concat(F.lit("snap/"), F.col("id")), "sales_strategy": none, "enrichment_status": none})
+    o = base.where(~F.col("title").startswith("Order 5-LOW"))
+    extracted = o.select(F.col("source_url").alias("doc_url"), F.concat(F.lit("Org "), F.col("organization_id")).alias("organization_name"), none.alias("organization_type"), none.alias("need_summary"),
+                         F.array(F.lit("fresh")).alias("need_categories"), F.lit(None).cast("double").alias("budget_value"), none.alias("budget_text"), none.alias("location"), none.alias("contact_name"),
+                         none.alias("contact_email"), none.alias("contact_phone"), none.alias("deadline"), F.lit(0.5).alias("relevance"), F.array(F.lit("e")).alias("evidence"))
+    scored = o.select(F.col("source_url").alias("doc_url"), F.lit(60).alias("total_score"), F.lit("NURTURE").alias("recommended_action"), F.array(F.lit("r")).alias("score_reasons"), none.alias("sales_strategy"))
+    snapshots = base.select(F.col("raw_content_ref").alias("snapshot_path"))
+    return ops.replay_pending(base, snapshots, extracted, scored, at(NOW)).select("id", "organization_name", F.array_join("need_categories", "|").alias("need_categories"), "score", "status")
+
+
+@query("rule_score", """SELECT id, CAST(greatest(0, least(100, total)) AS INT) AS score, CASE WHEN total >= 90 THEN 'CALL' WHEN total >= 80 THEN 'EMAIL' ELSE 'NURTURE' END AS recommended_action FROM (SELECT id,
+ CASE WHEN organization_type = 'government' THEN 25 ELSE 0 END + CASE WHEN budget_value * 20000 >= 3e9 THEN 20 ELSE 0 END + CASE WHEN budget_value * 20000 >= 5e9 THEN 5 ELSE 0 END
+ + CASE WHEN location IN ('NATION_1', 'NATION_2') THEN 10 ELSE 0 END + CASE WHEN deadline >= TIMESTAMP '2001-08-07 00:00:00' THEN 10 ELSE 0 END + 15
+ + CASE WHEN contact_email IS NOT NULL OR contact_phone IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN published_at >= TIMESTAMP '2001-07-30 00:00:00' THEN 5 ELSE 0 END
+ - CASE WHEN organization_type = 'other' THEN 15 ELSE 0 END - CASE WHEN deadline < TIMESTAMP '2001-08-02 00:00:00' THEN 30 ELSE 0 END AS total FROM {v_leads})""")
+def rule_score(spark, sf):
+    base = leads(spark, sf).withColumns({
+        "budget_value": F.col("budget_value") * 20000, "is_project": F.col("organization_type") == "government", "policy_only": F.col("organization_type") == "other",
+        "location": F.when(F.col("location") == "NATION_1", "Hà Nội").when(F.col("location") == "NATION_2", "TP.HCM").otherwise(F.col("location"))})
+    return rule_based.score_by_rules(base, at(NOW)).select("id", "score", "recommended_action")
+
+
+@query("money_labels", """SELECT id, CASE WHEN b >= 1e9 THEN replace(rtrim(rtrim(format('{:.2f}', round(b / 1e9, 2)), '0'), '.'), '.', ',') || ' tỷ VNĐ'
+ WHEN b >= 1e6 THEN replace(rtrim(rtrim(format('{:.1f}', round(b / 1e6, 1)), '0'), '.'), '.', ',') || ' triệu VNĐ' END AS label FROM (SELECT id, nullif(floor(budget_value), 0) * 5000 AS b FROM {v_leads})""")
+def money_labels(spark, sf):
+    return leads(spark, sf).select("id", money.money_label(F.floor("budget_value") * 5000.0).alias("label"))
+
+
+@query("repair_report", """SELECT id, CASE WHEN position % 6 = 0 THEN 'missing snapshot' WHEN position % 6 IN (1, 2, 4) THEN 'changed' ELSE 'same' END AS outcome,
+ position % 6 IN (1, 2) AS date_changed, CASE position % 6 WHEN 1 THEN published_at + INTERVAL '2' DAY WHEN 2 THEN NULL ELSE published_at END AS published_to,
+ CASE WHEN position % 6 = 4 THEN 'Sở số ' || position ELSE organization_name END AS organization_to FROM {v_leads}""")
+def repair_report(spark, sf):
+    k = F.col("position") % 6
+    base = leads(spark, sf).withColumn("raw_content_ref", F.concat(F.lit("snap/"), F.col("id")))
+    stored = base.withColumn("published_at", F.when(k == 2, F.col("published_at") + F.expr("INTERVAL '0.25' SECOND")).otherwise(F.col("published_at")))
+    parsed = base.where(k != 0).select(
+        "raw_content_ref", "title", F.col("title").alias("parsed_title"), F.when(k == 4, F.concat(F.lit("Chủ đầu tư: Sở số "), F.col("id"))).otherwise("Tin").alias("parsed_content"),
+        F.when(k == 1, F.col("published_at") + F.expr("INTERVAL '2' DAY")).when(k == 2, None).when(k == 3, None).otherwise(F.col("published_at")).alias("parsed_published_at")).drop("title")
+    return repair.repair_report(stored, parsed).select("id", "outcome", "date_changed", "published_to", "organization_to")
+
+
+@query("snapshot_leads", "SELECT l.id, p.page_id FROM {v_leads} l JOIN {v_raw} p ON l.position = p.page_id")
+def snapshot_leads(spark, sf):
+    from opporta.operators.documents import with_snapshot_path
+    pages = with_snapshot_path(spark_sql(spark, sf, "SELECT * FROM {v_raw}"))
+    refs = pages.select(F.col("page_id").alias("position"), F.col("snapshot_path").alias("raw_content_ref"))
+    stored = leads(spark, sf).join(refs, "position", "left")
+    return repair.snapshot_leads(stored, pages.select("snapshot_path", "page_id")).select("id", "page_id")
+
+
+_LABELS = """WITH RECURSIVE m AS (SELECT *, 'd:' || domain AS d, 't:' || tax_code AS t FROM {v_mentions}),
+ e AS (SELECT DISTINCT coalesce(d, t) AS u, coalesce(t, d) AS v FROM m WHERE d IS NOT NULL OR t IS NOT NULL), both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+ reach(node, seen) AS (SELECT u, u FROM both_ways UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON r.seen = b.u),
+ parts AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+ keyed AS (SELECT m.*, component FROM m JOIN parts ON node = coalesce(d, t)),
+ named AS (SELECT lower(legal_name) AS n, min(component) AS component FROM keyed GROUP BY 1),
+ resolved AS (SELECT mention_id, legal_name, industry, tax_code, verified_at, component FROM keyed
+  UNION ALL SELECT mention_id, legal_name, industry, tax_code, verified_at, coalesce(named.component, 'n:' || lower(legal_name)) FROM m LEFT JOIN named ON n = lower(legal_name) WHERE d IS NULL AND t IS NULL)"""
+
+
+@query("org_resolution", _LABELS + " SELECT mention_id, component FROM resolved")
+def org_resolution(spark, sf):
+    return resolve.resolve(spark_sql(spark, sf, "SELECT * FROM {v_mentions}")).select("mention_id", "component")
+
+
+@query("merged_organizations", _LABELS + """ SELECT component, left(sha256(component), 36) AS id, count(*) AS mentions, arg_max(legal_name, (verified_at, mention_id)) AS legal_name,
+ arg_max(industry, (verified_at, mention_id)) FILTER (industry IS NOT NULL) AS industry, arg_max(tax_code, (verified_at, mention_id)) FILTER (tax_code IS NOT NULL) AS tax_code, max(verified_at) AS verified_at
+ FROM resolved GROUP BY component""")
+def merged_organizations(spark, sf):
+    return resolve.merge_organizations(resolve.resolve(spark_sql(spark, sf, "SELECT * FROM {v_mentions}")), ["legal_name", "industry", "tax_code"])

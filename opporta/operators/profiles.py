@@ -47,9 +47,11 @@ def profiles(responses: DataFrame, pages_used: DataFrame) -> DataFrame:
         .withColumn("r", F.from_json(json_object(F.col("body")), PROFILE + ", _bad STRING", _OPTIONS))
         .withColumn("reject_reason", F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "invalid profile")))
     good = opened.where("reject_reason IS NULL")
-    cited = F.concat(*[F.transform(
-        F.coalesce(F.col(f"r.{k}.source_url"), F.array().cast("array<string>")),
-        lambda u, i, kind=k: F.struct(F.concat(F.lit(kind + ":"), i.cast("string")).alias("slot"), u.alias("source_url"))) for k in CITED])
+    def sources(kind: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"r.{kind}.source_url"), F.array().cast("array<string>")),
+                           lambda u, i: F.struct(F.concat(F.lit(kind + ":"), i.cast("string")).alias("slot"), u.alias("source_url")))
+
+    cited = F.concat(*[sources(kind) for kind in CITED])
     proposed = F.array(F.struct(F.lit("official").alias("slot"), F.col("r.official_url").alias("source_url")))
     rows = good.select("doc_url", F.explode(F.concat(cited, proposed)).alias("c")).select("doc_url", "c.*")
     kept = grounded_records(rows.where("source_url IS NOT NULL"), pages_used, ["doc_url"]).groupBy("doc_url").agg(

@@ -42,7 +42,7 @@ def _or(value: Column, what: str) -> Column:
 
 
 def _list(values: Column, what: str) -> Column:
-    kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v != "")
+    kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")
     return _or(F.array_join(kept, ", "), what)
 
 
@@ -52,7 +52,7 @@ def _lines(*pairs: tuple[str, Column]) -> Column:
 
 def evidence_lines(evidence: Column) -> Column:
     """The first ten non-blank items, each cut to 500 characters with `...`."""
-    full = F.filter(F.transform(F.coalesce(evidence, F.array().cast("array<string>")), F.trim), lambda v: v != "")
+    full = F.filter(F.transform(F.coalesce(evidence, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")
     cut = F.transform(F.slice(full, 1, EVIDENCE_ITEMS), lambda v: F.concat(
         F.lit("- "), F.when(F.length(v) > EVIDENCE_CHARS, F.concat(F.left(v, F.lit(EVIDENCE_CHARS)), F.lit("..."))).otherwise(v)))
     return _or(F.array_join(cut, "\n"), "evidence")

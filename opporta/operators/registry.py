@@ -138,7 +138,7 @@ def custom_sources(requests: DataFrame, stored: DataFrame, name: str = "name", l
              .when(given.rlike(r"[\r\n]"), "several urls"))
     staged = requests.select(position, display.alias("name"), url.source_url(given).alias("url"), error.alias("error")).withColumn(
         "_k", F.lower("url"))
-    known = stored.select(F.lower(F.explode("seed_urls")).alias("_k")).distinct().withColumn("_known", F.lit(True))
+    known = stored.select(F.explode("seed_urls").alias("_u")).select(F.lower("_u").alias("_k")).distinct().withColumn("_known", F.lit(True))
     first = staged.where("error IS NULL").groupBy("_k").agg(F.min(position).alias("_first"))
     problem = addresses.url_problem(F.col("url"))
     return staged.join(known, "_k", "left").join(first, "_k", "left").withColumn("_problem", problem).select(

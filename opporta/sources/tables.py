@@ -206,6 +206,9 @@ def restored_collections(cells: DataFrame, organizations: DataFrame) -> DataFram
     shapes = {"projects": PROJECT, "news": NEWS, "jobs": TITLED, "tenders": TITLED}
     grouped = rows.groupBy("organization_id").agg(*[
         F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("position", "payload")))).alias(k) for k in shapes])
-    return grouped.select("organization_id", *[
-        F.transform(k, lambda s, shape=shape: F.from_json(s["payload"], shape[7:-1].replace(": ", " ")))
-        .alias(k) for k, shape in shapes.items()])
+
+    def typed(kind: str) -> Column:
+        fields = shapes[kind].removeprefix("STRUCT<").removesuffix(">").replace(":", "")
+        return F.transform(kind, lambda s: F.from_json(s["payload"], fields)).alias(kind)
+
+    return grouped.select("organization_id", *[typed(k) for k in shapes])

@@ -85,7 +85,7 @@ _CELLS = """SELECT c_custkey AS position, ' s' || CAST(CAST(floor(c_custkey / 2)
  CASE WHEN c_acctbal > 0 THEN 'yes' ELSE 'no' END AS enabled, '' AS include_in_schedule FROM {customer}"""
 
 
-@query("source_registry", f"""SELECT trim(id) AS id, trim(id) AS name, CASE position % 5 WHEN 0 THEN 'https://site' || position || '.vn/|http://e.vn:8080/a?q=1' WHEN 2 THEN 'https://plain' || position || '.vn/x' ELSE 'https://{broken/' END AS seed_urls,
+@query("source_registry", f"""SELECT trim(id) AS id, trim(id) AS name, CASE position % 5 WHEN 0 THEN 'https://site' || position || '.vn/|http://e.vn:8080/a?q=1' WHEN 2 THEN 'https://plain' || position || '.vn/x' ELSE 'https://{{broken/' END AS seed_urls,
  'generic' AS adapter_mode, CASE WHEN rate_limit_delay = '2.5' THEN 2.5 ELSE 1.0 END AS rate_limit_delay, enabled = 'yes' AS enabled, FALSE AS include_in_schedule
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY position) AS rn FROM ({_CELLS}) WHERE position % 5 IN (0, 2, 4)) WHERE rn = 1""")
 def source_registry(spark, sf):

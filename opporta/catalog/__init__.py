@@ -7,10 +7,13 @@ text runs in Spark and in the checking engine.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opporta import runtime
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 VIEWS: dict[str, str] = {}
@@ -28,8 +31,13 @@ def expand(sql: str, tables: dict[str, str]) -> str:
     return re.sub(r"\{(\w+)\}", fill, sql)
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def spark_sql(spark: SparkSession, sf_dir: str, sql: str, spread: str = "") -> DataFrame:
+    """Run a SELECT over the tables; those named in `spread` feed costly per-row work."""
     places = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
+    for table in spread.split():
+        view = f"opporta_{table}_{zlib.crc32(sf_dir.encode())}"
+        runtime.spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).createOrReplaceTempView(view)
+        places[table] = view
     return spark.sql(expand(sql, {**places, "TS": "TIMESTAMP_NTZ"}))
 
 

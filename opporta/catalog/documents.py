@@ -15,7 +15,7 @@ def at(text: str):
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return spark_sql(spark, sf, "SELECT * FROM {v_raw}")
+    return spark_sql(spark, sf, "SELECT * FROM {v_raw}", spread="pages")
 
 
 @query("load_raw_documents", """
@@ -109,7 +109,7 @@ SELECT url, CASE o_orderpriority WHEN '2-HIGH' THEN o_orderdate + INTERVAL '450'
  WHEN '5-LOW' THEN NULL ELSE o_orderdate END AS published_at
 FROM (SELECT *, 'https://news.example.com/a/' || CAST(o_orderkey AS VARCHAR) AS url FROM {v_orders_text})""")
 def published_dates(spark, sf):
-    pages = spark_sql(spark, sf, "SELECT * FROM {v_articles}")
+    pages = spark_sql(spark, sf, "SELECT * FROM {v_articles}", spread="orders")
     return parse.parse_items(pages, at("2026-08-23 00:00:00")).select("url", "published_at")
 
 
@@ -121,7 +121,7 @@ SELECT 'https://www.topcv.vn/viec-lam/x/' || CAST(c_custkey AS STRING) || '.html
   WHEN 'MACHINERY' THEN '<script type="application/ld+json">{broken</script>' ELSE '' END || '</head><body>'
  || CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE '<h1>Head <b>' || c_name || '</b></h1>' END
  || '<div class="x company-name-label">Node ' || CAST(c_custkey AS STRING) || '</div><p>Ngày đăng: 0' || CAST(1 + c_nationkey % 9 AS STRING) || '/07/2026</p></body></html>' AS html
-FROM {customer}""")
+FROM {customer}""", spread="customer")
 
 
 @query("job_posts", """
@@ -145,7 +145,7 @@ SELECT 'https://www.topcv.vn/tim-viec-lam?page=' || CAST(c_custkey AS STRING) AS
  || c_mktsegment || '</a><label>' || CASE c_nationkey % 5 WHEN 0 THEN 'Hôm nay' WHEN 1 THEN 'Hôm qua' WHEN 2 THEN CAST(c_nationkey AS STRING) || ' ngày trước'
   WHEN 3 THEN CAST(c_nationkey AS STRING) || ' tuần trước' ELSE CAST(c_nationkey AS STRING) || ' tháng trước' END
  || '</label></div><div class="job-item"><a href="/viec-lam/a/' || CAST(c_custkey AS STRING) || '.html">again</a></div><div class="job-item"><a href="/cong-ty/1">firm</a></div>' AS html
-FROM {customer}""")
+FROM {customer}""", spread="customer")
     return feeds.job_cards(listings, at("2026-08-23 12:00:00")).select("url", "title", "company", "published_at")
 
 
@@ -158,7 +158,7 @@ SELECT 'https://www.linkedin.com/posts/' || CAST(conv_id AS VARCHAR) AS url, lef
  make_timestamp(1767225600000000 + conv_id * 3600000000) AS published_at, 'U' || CAST(conv_id AS VARCHAR) AS author FROM firsts WHERE rn = 1""")
 def social_posts(spark, sf):
     """Turns as posts: all turns of a conversation share one URL, system turns sit on another site."""
-    turns = spark_sql(spark, sf, "SELECT * FROM {conversations}")
+    turns = spark_sql(spark, sf, "SELECT * FROM {conversations}", spread="conversations")
     cid = F.col("conv_id").cast("string")
     link = F.concat(F.when(F.col("role") == "system", "https://other.example.com/").otherwise("https://www.linkedin.com/posts/"), cid)
     body = F.to_json(F.struct(
@@ -176,7 +176,7 @@ SELECT c_name AS query, 2 AS position, 'Site ' || c_name AS title, 'https://c' |
 UNION ALL SELECT c_name, 4, 'n' || CAST(c_nationkey AS VARCHAR) || '.example.org', 'https://n' || CAST(c_nationkey AS VARCHAR) || '.example.org', 'see https://n' || CAST(c_nationkey AS VARCHAR) || '.example.org.' FROM {customer}""")
 def search_results(spark, sf):
     """A search-engine hit, the site (twice), a private address, and a URL named in the answer."""
-    c = spark_sql(spark, sf, "SELECT * FROM {customer}")
+    c = spark_sql(spark, sf, "SELECT * FROM {customer}", spread="customer")
     k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     site = F.concat(F.lit("https://c"), k, F.lit(".example.com/?utm_source=s"))
     body = F.to_json(F.struct(
@@ -201,7 +201,7 @@ SELECT 'https://list.example.com/' || CAST(o_custkey AS STRING) AS url, s.source
  '<ul><li><a href="' || CASE s.source_id WHEN 'vnexpress' THEN '/so-hoa/bai-' ELSE '/goi-thau/muasam-post' END || CAST(o_orderkey AS STRING) || '.html">A</a> ' || day_vn
  || '</li><li><a href="/the-thao/bai.html">no</a></li><li><a href="/thong-bao-moi-thau/">menu</a></li></ul><div><a href="'
  || CASE s.source_id WHEN 'vnexpress' THEN '/so-hoa/bai-' ELSE '/goi-thau/muasam-post' END || CAST(o_orderkey AS STRING) || '.html"> ' || day_vn || '</a></div>' AS html
-FROM (SELECT *, explode(array('vnexpress', 'baodauthau')) AS source_id FROM {v_orders_text}) AS s""")
+FROM (SELECT *, explode(array('vnexpress', 'baodauthau')) AS source_id FROM {v_orders_text}) AS s""", spread="orders")
     found = links.section_links(links.page_links(pages), at("2026-08-23 00:00:00"), at("1998-01-01 00:00:00"))
     return found.select("source_id", F.regexp_replace("full_url", r"^https://[^/]*", "").alias("path"), "page_url")
 
@@ -263,7 +263,7 @@ _IP_URL = """SELECT o_orderkey, CASE o_orderpriority
  WHEN '1-URGENT' THEN CASE WHEN a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b IN (0, 168)) OR (a = 198 AND b BETWEEN 18 AND 19)
   THEN 'Không cho phép địa chỉ mạng nội bộ hoặc dành riêng' END END AS reason FROM ({_IP_URL})""")
 def public_url_check(spark, sf):
-    return spark_sql(spark, sf, _IP_URL).select("o_orderkey", "url", addresses.url_problem(F.col("url")).alias("reason"))
+    return spark_sql(spark, sf, _IP_URL, spread="orders").select("o_orderkey", "url", addresses.url_problem(F.col("url")).alias("reason"))
 
 
 @query("doc_contacts", r"""
@@ -271,7 +271,7 @@ SELECT doc_id, nullif(regexp_extract(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-z
  CASE WHEN length(d) = 10 AND regexp_matches(d, '^0[35789]') OR length(d) = 11 AND d LIKE '02%' THEN d END AS phone
 FROM (SELECT doc_id, text, regexp_replace(regexp_extract(regexp_replace(text, '[\s.-]', '', 'g'), '(?:\+84|0)(?:[35789][0-9]{8}|2[0-9]{9})'), '^\+84', '0') AS d FROM {documents})""")
 def doc_contacts(spark, sf):
-    docs = spark_sql(spark, sf, "SELECT doc_id, text FROM {documents}")
+    docs = spark_sql(spark, sf, "SELECT doc_id, text FROM {documents}", spread="documents")
     return docs.select("doc_id", phones.first_email(F.col("text")).alias("email"), phones.first_phone(F.col("text")).alias("phone"))
 
 
@@ -293,7 +293,7 @@ _HITS = r"""SELECT doc_id, keyword, grp FROM {documents}, (VALUES """ + ", ".joi
 
 
 def matched(spark, sf, inline_limit=match.INLINE_LIMIT):
-    docs = spark_sql(spark, sf, "SELECT doc_id, '' AS title, text AS raw_content FROM {documents}")
+    docs = spark_sql(spark, sf, "SELECT doc_id, '' AS title, text AS raw_content FROM {documents}", spread="documents")
     return match.match_keywords(docs, keywords(spark), "doc_id", inline_limit)
 
 
@@ -329,7 +329,7 @@ SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'Bộ ' || CAST(o_cu
  || 'Giá trị ' || CASE o_orderstatus WHEN 'F' THEN CAST(o_orderkey AS STRING) || ' tỷ 500 triệu đồng' WHEN 'O' THEN CAST(o_orderkey AS STRING) || ' triệu đồng' ELSE 'chưa rõ' END
  || '. Địa điểm ' || CASE o_custkey % 4 WHEN 0 THEN 'Quảng Ninh và Hà Nội' WHEN 1 THEN 'thành phố Hồ Chí Minh' WHEN 2 THEN 'Đà Nẵng' ELSE 'toàn quốc' END
  || ', hạn nộp ' || day_vn || ' 09:00, email a' || CAST(o_custkey AS STRING) || '@example.vn, điện thoại 09' || lpad(CAST(o_custkey AS STRING), 8, '0') AS raw_content
-FROM {v_orders_text}""")
+FROM {v_orders_text}""", spread="orders")
 
 
 @query("rule_extraction", """
@@ -358,6 +358,6 @@ def grounded_website(spark, sf):
 @query("grounded_records", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {lineitem} a WHERE EXISTS (SELECT 1 FROM {lineitem} b WHERE b.l_returnflag = 'R' AND a.l_orderkey = b.l_orderkey AND a.l_partkey % 10 = b.l_partkey % 10)""")
 def grounded_records(spark, sf):
     from opporta.operators import profiles
-    records = spark_sql(spark, sf, "SELECT *, 'https://P.example.com/' || CAST(l_partkey % 10 AS STRING) || '/?utm_source=m' AS source_url FROM {lineitem}")
-    used = spark_sql(spark, sf, "SELECT l_orderkey, 'https://p.example.com/' || CAST(l_partkey % 10 AS STRING) AS url FROM {lineitem} WHERE l_returnflag = 'R'")
+    records = spark_sql(spark, sf, "SELECT *, 'https://P.example.com/' || CAST(l_partkey % 10 AS STRING) || '/?utm_source=m' AS source_url FROM {lineitem}", spread="lineitem")
+    used = spark_sql(spark, sf, "SELECT l_orderkey, 'https://p.example.com/' || CAST(l_partkey % 10 AS STRING) AS url FROM {lineitem} WHERE l_returnflag = 'R'", spread="lineitem")
     return profiles.grounded_records(records, used, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")

@@ -15,9 +15,9 @@ from opporta.sources import tables
 NOW = "2001-08-02 00:00:00"
 
 
-def leads(spark, sf):
+def leads(spark, sf, spread=""):
     """Leads with their list columns."""
-    flat = spark_sql(spark, sf, "SELECT * FROM {v_leads}")
+    flat = spark_sql(spark, sf, "SELECT * FROM {v_leads}", spread=spread)
     reasons = F.array(F.concat(F.lit("score "), F.col("score").cast("string")), F.col("recommended_action"))
     return flat.withColumn("need_categories", F.split("categories", r"\|")).withColumn("score_reasons", reasons).withColumn(
         "evidence", F.array("title", "location")).withColumn("keywords_matched", F.array("source")).drop("categories")
@@ -243,7 +243,7 @@ def export_json_rows(spark, sf):
 def sheet(spark, sf):
     """Every lead written as sheet cells; columns the leads lack are empty."""
     none = F.lit(None).cast("string")
-    full = leads(spark, sf).withColumns({c: none for c in ("sales_strategy", "content_fingerprint", "sales_notes", "enrichment_status", "enrichment_message")}).withColumn(
+    full = leads(spark, sf, spread="orders").withColumns({c: none for c in ("sales_strategy", "content_fingerprint", "sales_notes", "enrichment_status", "enrichment_message")}).withColumn(
         "updated_at", F.lit(None).cast("timestamp_ntz"))
     return tables.lead_sheet_rows(full).withColumn("position", F.col("id").cast("bigint"))
 
@@ -280,7 +280,7 @@ def extraction_answers(spark, sf):
     p = F.col("o_orderpriority")
     body = (F.when(p == "1-URGENT", F.concat(F.lit("```json\n"), record, F.lit("\n```"))).when(p == "2-HIGH", F.concat(F.lit("Kết quả: "), record, F.lit(" hết.")))
             .when(p == "3-MEDIUM", F.concat(F.lit("{\"organization_name\": "), record)).when(p == "4-NOT SPECIFIED", F.lit("không có")).otherwise(record))
-    return spark_sql(spark, sf, "SELECT * FROM {orders}").select(F.col("o_orderkey").alias("doc_url"), F.lit("extraction").alias("kind"), body.alias("body"))
+    return spark_sql(spark, sf, "SELECT * FROM {orders}", spread="orders").select(F.col("o_orderkey").alias("doc_url"), F.lit("extraction").alias("kind"), body.alias("body"))
 
 
 @query("extraction_ingest", """SELECT o_orderkey AS doc_url, CASE o_orderpriority WHEN '3-MEDIUM' THEN 'invalid JSON' WHEN '4-NOT SPECIFIED' THEN 'no JSON object' END AS reject_reason,
@@ -301,7 +301,7 @@ def score_ingest(spark, sf):
     body = F.to_json(F.struct(
         (F.col("o_orderkey") % 200 - 40).alias("total_score"), F.when(p == "5-LOW", "visit").when(p == "1-URGENT", " call ").otherwise("Email").alias("recommended_action"),
         F.array(F.struct(F.lit("r").alias("rule_name"), (F.col("o_custkey") % 20).alias("points"), F.lit("because").alias("reason"))).alias("breakdown")))
-    answers = spark_sql(spark, sf, "SELECT * FROM {orders}").select(F.col("o_orderkey").alias("doc_url"), F.lit("score").alias("kind"), body.alias("body"))
+    answers = spark_sql(spark, sf, "SELECT * FROM {orders}", spread="orders").select(F.col("o_orderkey").alias("doc_url"), F.lit("score").alias("kind"), body.alias("body"))
     return responses.scores(answers, "model").select("doc_url", "reject_reason", "total_score", "recommended_action", F.get(F.col("breakdown"), 0)["points"].alias("first_points"))
 
 
@@ -317,7 +317,7 @@ def profile_answers(spark, sf):
         F.array(F.struct(F.lit("industry").alias("field"), F.lit("v").alias("value"), F.concat(site, F.lit("/du-an")).alias("source_url"), F.lit("t").alias("evidence_text"), F.lit(1.7).alias("confidence"))).alias("evidence"),
         F.array(F.lit("revenue")).alias("missing_information")))
     none = F.lit(None).cast("string")
-    return spark_sql(spark, sf, "SELECT * FROM {customer}").select(F.col("c_custkey").alias("doc_url"), F.lit("profile").alias("kind"), body.alias("body"), F.lit("N").alias("name"), none.alias("official_url"))
+    return spark_sql(spark, sf, "SELECT * FROM {customer}", spread="customer").select(F.col("c_custkey").alias("doc_url"), F.lit("profile").alias("kind"), body.alias("body"), F.lit("N").alias("name"), none.alias("official_url"))
 
 
 def pages_used(spark, sf):
@@ -355,7 +355,7 @@ SELECT left(sha256('https://n.example.com/' || o_orderkey), 36) AS id, 'https://
 FROM (SELECT *, 'src_' || (o_custkey % 12) AS source FROM {orders}) WHERE o_orderkey % 101 >= 40""")
 def lead_assembly(spark, sf):
     from opporta.operators.dedup import with_fingerprint
-    o = spark_sql(spark, sf, "SELECT *, 'https://n.example.com/' || CAST(o_orderkey AS STRING) AS url FROM {v_orders_text}")
+    o = spark_sql(spark, sf, "SELECT *, 'https://n.example.com/' || CAST(o_orderkey AS STRING) AS url FROM {v_orders_text}", spread="orders")
     none = F.lit(None).cast("string")
     items = with_fingerprint(o).select(F.col("o_orderkey").alias("doc_url"), "canonical_url", "fingerprint", F.lit("s").alias("source_id"), F.lit("t").alias("title"),
                                        none.cast("timestamp_ntz").alias("published_at"), F.col("o_orderdate").alias("crawled_at"),

@@ -11,6 +11,7 @@ from opporta.operators import registry, repair, triage
 from opporta.plans import operations
 
 NOW = "2001-08-01 02:05:00"
+FINISHED_NOW = "2001-07-31 02:05:00"
 
 
 def runs(spark, sf):
@@ -74,14 +75,14 @@ def recent_jobs(spark, sf):
     return operations.recent_jobs(jobs(spark, sf)).select("id", "status", "requested_at", "result_json")
 
 
-def _activity(tiers: str) -> str:
+def _activity(tiers: str, now: str = NOW) -> str:
     return f"""
 WITH c AS (SELECT CASE WHEN status IN ('RUNNING', 'PAUSED') THEN 1 WHEN status = 'QUEUED' THEN 3 ELSE 4 END AS tier, * FROM {{v_jobs}} WHERE {tiers}),
  best AS (SELECT tier, id, source_id, status, trigger, timeframe, CASE tier WHEN 1 THEN started_at WHEN 3 THEN requested_at ELSE completed_at END AS happened FROM c),
  pick AS (SELECT *, row_number() OVER (ORDER BY tier, CASE WHEN tier = 3 THEN epoch_us(happened) ELSE -epoch_us(happened) END, id) AS rn FROM best
-   WHERE tier <> 4 OR happened > TIMESTAMP '{NOW}' - INTERVAL '600' SECOND)
+   WHERE tier <> 4 OR happened > TIMESTAMP '{now}' - INTERVAL '600' SECOND)
 SELECT tier, tier < 4 AS has_active, p.id, p.source_id, coalesce(s.name, 'Tất cả các nguồn dữ liệu') AS source_name, p.status, {_TF} AS timeframe_label, {_TR} AS trigger_label,
- CASE WHEN tier = 3 THEN 0 ELSE greatest(0, CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(happened)) / 1000000) AS BIGINT)) END AS seconds
+ CASE WHEN tier = 3 THEN 0 ELSE greatest(0, CAST(floor((epoch_us(TIMESTAMP '{now}') - epoch_us(happened)) / 1000000) AS BIGINT)) END AS seconds
 FROM pick p LEFT JOIN {{v_sources}} s ON s.id = p.source_id WHERE rn = 1"""
 
 
@@ -96,10 +97,10 @@ def current_activity_queued(spark, sf):
     return operations.current_activity(jobs(spark, sf).where("status NOT IN ('RUNNING', 'PAUSED')"), idle, sources(spark, sf), at(NOW))
 
 
-@query("current_activity_finished", _activity("status IN ('SUCCESS', 'PARTIAL', 'FAILED', 'INTERRUPTED')"))
+@query("current_activity_finished", _activity("status IN ('SUCCESS', 'PARTIAL', 'FAILED', 'INTERRUPTED')", FINISHED_NOW))
 def current_activity_finished(spark, sf):
     idle = runs(spark, sf).withColumn("status", F.lit("SUCCESS"))
-    return operations.current_activity(jobs(spark, sf).where("status IN ('SUCCESS', 'PARTIAL', 'FAILED', 'INTERRUPTED')"), idle, sources(spark, sf), at(NOW))
+    return operations.current_activity(jobs(spark, sf).where("status IN ('SUCCESS', 'PARTIAL', 'FAILED', 'INTERRUPTED')"), idle, sources(spark, sf), at(FINISHED_NOW))
 
 
 @query("job_rollup", """SELECT job_id, CASE WHEN bool_and(status = 'FAILED') THEN 'FAILED' WHEN bool_or(status IN ('FAILED', 'PARTIAL')) THEN 'PARTIAL' ELSE 'SUCCESS' END AS status, count(*) AS sources,

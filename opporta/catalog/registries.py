@@ -43,7 +43,7 @@ WITH p AS (SELECT doc_id, {_PARTS} AS parts FROM {{documents}}),
  r AS (SELECT *, CASE WHEN len(parts) = 0 THEN 'empty' WHEN long THEN 'keyword too long' WHEN len(list_distinct(keys)) > 1000 THEN 'too many keywords' END AS error FROM q)
 SELECT doc_id, error, CASE WHEN error IS NULL THEN array_to_string(list_filter(parts, lambda k, i: list_position(keys, keys[i]) = i), '|') ELSE '' END AS keywords FROM r""")
 def keyword_import(spark, sf):
-    docs = spark_sql(spark, sf, "SELECT doc_id, text AS content FROM {documents}")
+    docs = spark_sql(spark, sf, "SELECT doc_id, text AS content FROM {documents}", spread="documents")
     return registry.import_keywords(docs, "doc_id").select("doc_id", "error", F.array_join("keywords", "|").alias("keywords"))
 
 
@@ -104,7 +104,7 @@ SELECT position, CASE WHEN bad THEN 'error' WHEN url IN (SELECT 'https://www.sit
  'custom-' || left(regexp_replace(regexp_extract(url, '://([^/]*)', 1), '[^a-z0-9]+', '-', 'g'), 32) || '-' || left(sha256(url), 8) AS id, NOT closed AS enabled FROM r LEFT JOIN f USING (url)""")
 def custom_sources(spark, sf):
     stored = spark_sql(spark, sf, "SELECT array('https://WWW.site' || CAST(l_suppkey AS STRING) || '.vn/') AS seed_urls FROM {lineitem}")
-    return registry.custom_sources(spark_sql(spark, sf, _REQUESTED), stored).select("position", "action", "id", "enabled")
+    return registry.custom_sources(spark_sql(spark, sf, _REQUESTED, spread="orders"), stored).select("position", "action", "id", "enabled")
 
 
 @query("source_merge", """SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS action, coalesce(nullif(n.name, ''), o.name) AS name, coalesce(n.enabled, o.enabled) AS enabled

@@ -92,20 +92,20 @@ def stream_keyword_matches(spark, sf):
 
 
 _EVENTS = """SELECT 'src_' || CAST(user_id AS STRING) AS source_id, CASE WHEN user_id % 4 = 0 THEN 'generic' ELSE 'specialized' END AS adapter_mode,
- CASE event_type WHEN 'view' THEN 'SUCCESS' ELSE upper(event_type) END AS status, CASE WHEN event_type = 'error' THEN 'boom' ELSE '' END AS error, ts AS at FROM {events}"""
+ CASE event_type WHEN 'view' THEN 'SUCCESS' ELSE upper(event_type) END AS status, CASE WHEN event_type = 'error' THEN 'boom' ELSE '' END AS error, ts AS moment FROM {events}"""
 
 
-@query("stream_source_status", f"""SELECT source_id, CASE WHEN arg_max(error, (at, status)) <> '' AND max(adapter_mode) = 'generic' THEN 'NEEDS_ADAPTER' ELSE arg_max(status, (at, status)) END AS status,
- NOT (max(adapter_mode) = 'generic' AND bool_or(error <> '')) AS enabled, max(at) AS at, max(at) FILTER (status = 'SUCCESS' AND error = '') AS last_success_at FROM ({_EVENTS}) GROUP BY source_id""")
+@query("stream_source_status", f"""SELECT source_id, CASE WHEN arg_max(error, (moment, status)) <> '' AND max(adapter_mode) = 'generic' THEN 'NEEDS_ADAPTER' ELSE arg_max(status, (moment, status)) END AS status,
+ NOT (max(adapter_mode) = 'generic' AND bool_or(error <> '')) AS enabled, max(moment) AS last_at, max(moment) FILTER (status = 'SUCCESS' AND error = '') AS last_success_at FROM ({_EVENTS}) GROUP BY source_id""")
 def stream_source_status(spark, sf):
     """Folded state per source; the newest emitted row of a source is its state."""
     spark.conf.set(_STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder = work_folder(spark)
-    events = spark_sql(spark, sf, _EVENTS).withColumn("at", F.col("at").cast("timestamp"))
+    events = spark_sql(spark, sf, _EVENTS).withColumn("at", F.col("moment").cast("timestamp")).drop("moment")
     made = run_to_files(status.fold_status_stream(replay(spark, events, folder)), folder, "update")
     rest = [c for c in made.columns if c != "source_id"]
     newest = made.groupBy("source_id").agg(F.max_by(F.struct(*rest), "at").alias("r")).select("source_id", "r.*")
-    return newest.select("source_id", "status", "enabled", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("at", "last_success_at")])
+    return newest.select("source_id", "status", "enabled", F.col("at").cast("timestamp_ntz").alias("last_at"), F.col("last_success_at").cast("timestamp_ntz").alias("last_success_at"))
 
 
 @query("stream_stale_workers", "SELECT 'w' || CAST(user_id AS VARCHAR) AS worker_id, max(ts) AS last_seen FROM {events} GROUP BY user_id")

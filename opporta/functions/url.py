@@ -14,6 +14,10 @@ _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _PARTS = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
+# Plain lower-case host and a path without anything to strip: the common case, returned as it is.
+_ALREADY_CANONICAL = r"^https?://[a-z0-9][a-z0-9.\-]*(?::[0-9]+)?(?:/|(?:/[A-Za-z0-9_.~\-]+)+)?$"
+
+
 def scheme(col: Column) -> Column:
     return F.lower(F.regexp_extract(col, _SCHEME, 1))
 
@@ -74,6 +78,10 @@ def canonical(col: Column) -> Column:
 
 
 def _canonical_of(text: Column) -> Column:
+    return F.when(text.rlike(_ALREADY_CANONICAL), text).otherwise(_reworked(text))
+
+
+def _reworked(text: Column) -> Column:
     raw = F.regexp_replace(text, r"""^[*"'`()\[\]<>]+|[*"'`()\[\]<>]+$""", "")
     raw = F.regexp_replace(F.regexp_replace(raw, r"\*+/?$", ""), r"[\t\r\n]", "")
     parts = let(raw, lambda r: F.struct(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opporta.functions import addresses, dates, let, text as tx, url
@@ -35,14 +36,33 @@ def job_cards(listings: DataFrame, now: Column) -> DataFrame:
             .select("listing_url", "url", "c.*"))
 
 
-def _field(doc: Column, *keys: str) -> Column:
-    """First of the keys holding something: not null, not blank, not an empty list or object."""
-    values = [F.get_json_object(doc, f"$.{k}") for k in keys]
-    return F.coalesce(*[F.when(~v.isin("", "[]", "{}"), v) for v in values])
+def _opened(text: Column, *keys: str) -> Column:
+    """The keys of a JSON object as text, read in one pass; all null for other text."""
+    return F.from_json(text, ", ".join(f"`{k}` STRING" for k in dict.fromkeys(keys)))
 
 
-def _inner(value: Column, *keys: str) -> Column:
-    return F.when(value.startswith("{"), _field(value, *keys)).otherwise(value)
+def _field(doc: str, *keys: str) -> Column:
+    """First of the keys holding something: not null, not blank, not an empty list or object."""
+    values = F.array(*[F.col(f"{doc}.{k}") for k in keys])
+    return F.get(F.filter(values, lambda v: v.isNotNull() & ~v.isin("", "[]", "{}")), 0)
+
+
+# Names under which feeds give each fact, in order of preference.
+_POST = {
+    "url": ("linkedinUrl", "linkedin_url", "postUrl", "post_url", "activityUrl", "activity_url", "url", "link"),
+    "text": ("text", "content", "postText", "post_text", "commentary", "description", "summary"),
+    "author": ("author", "postedBy", "posted_by", "actor"),
+    "name": ("authorName", "author_name", "postedByName"),
+    "role": ("authorHeadline", "author_title"),
+    "company": ("authorCompany", "companyName", "company_name"),
+    "posted": ("postedAt", "posted_at", "publishedAt", "published_at", "postedDate", "posted_date", "date", "timestamp"),
+    "title": ("title", "jobTitle", "job_title"),
+}
+_TEXT = ("text", "content", "description")
+_AUTHOR = {
+    "name": ("name", "fullName", "full_name", "title"), "role": ("headline", "position", "jobTitle", "job_title"),
+    "company": ("company", "companyName", "company_name"),
+}
 
 
 def social_posts(posts: DataFrame, now: Column) -> DataFrame:
@@ -50,41 +70,35 @@ def social_posts(posts: DataFrame, now: Column) -> DataFrame:
 
     Only posts of the network's own site with a non-empty text are kept.
     """
-    doc = F.col("body")
-    link = F.trim(_field(doc, "linkedinUrl", "linkedin_url", "postUrl", "post_url", "activityUrl", "activity_url", "url", "link"))
-    content = tx.normalize(_inner(
-        _field(doc, "text", "content", "postText", "post_text", "commentary", "description", "summary"),
-        "text", "content", "description"))
-    author = _field(doc, "author", "postedBy", "posted_by", "actor")
-    in_author = F.when(author.startswith("{"), author)
-    firm = _inner(_field(in_author, "company", "companyName", "company_name"), "name", "title")
-    name = F.coalesce(tx.blank_to_null(F.trim(_inner(author, "name", "fullName", "full_name", "title"))),
-                      F.trim(_field(doc, "authorName", "author_name", "postedByName")))
-    role = F.coalesce(tx.blank_to_null(F.trim(_field(in_author, "headline", "position", "jobTitle", "job_title"))),
-                      F.trim(_field(doc, "authorHeadline", "author_title")))
-    company = F.coalesce(tx.blank_to_null(F.trim(firm)), F.trim(_field(doc, "authorCompany", "companyName", "company_name")))
-    posted = _field(doc, "postedAt", "posted_at", "publishedAt", "published_at", "postedDate", "posted_date", "date", "timestamp")
-    epoch = F.when(posted.rlike(r"^-?\d+(?:\.\d+)?(?:[eE]\d+)?$"), posted.try_cast("double"))
-    micros = (F.when(epoch > 1e10, epoch / 1000).otherwise(epoch) * 1e6).cast("bigint")
-    published = F.when(epoch.isNotNull(), F.convert_timezone(
-        F.current_timezone(), F.lit("UTC"), F.timestamp_micros(micros).cast("timestamp_ntz"))).otherwise(
-        dates.parse_datetime(posted, now))
-    flat = posts.select(
-        "position", link.alias("url"), content.alias("content"), name.alias("author"), role.alias("author_title"),
-        company.alias("author_company"), published.alias("published_at"),
-        F.trim(_field(doc, "title", "jobTitle", "job_title")).alias("given_title"))
-    first = (flat.where(F.col("url").rlike(r"^https://(?:www\.)?linkedin\.com/") & (F.col("content") != ""))
-             .groupBy("url").agg(F.min_by(F.struct(*[c for c in flat.columns if c != "url"]), "position").alias("p"))
-             .select("url", "p.*"))
+    def plain(value: str) -> Column:
+        return F.when(~F.col(value).startswith("{"), F.col(value))
+
+    staged = posts.withColumn("doc", _opened(F.col("body"), *[k for ks in _POST.values() for k in ks])).select(
+        "position", *[_field("doc", *keys).alias(f"_{name}") for name, keys in _POST.items()])
+    staged = staged.withColumns({"_inner": _opened(F.col("_text"), *_TEXT), "_by": _opened(F.col("_author"), *[k for ks in _AUTHOR.values() for k in ks])})
+    staged = staged.withColumns({f"_by_{n}": _field("_by", *keys) for n, keys in _AUTHOR.items()}).withColumn(
+        "_firm", _opened(F.col("_by_company"), "name", "title"))
+    epoch = F.when(F.col("_posted").rlike(r"^-?\d+(?:\.\d+)?(?:[eE]\d+)?$"), F.col("_posted").try_cast("double"))
+    micros = let(epoch, lambda e: (F.when(e > 1e10, e / 1000).otherwise(e) * 1e6).cast("bigint"))
+
+    def first_of(*values: Column) -> Column:
+        return F.coalesce(*[tx.blank_to_null(F.trim(v)) for v in values])
+
+    flat = staged.select(
+        "position", F.trim("_url").alias("url"), tx.normalize(F.coalesce(plain("_text"), _field("_inner", *_TEXT))).alias("content"),
+        first_of(plain("_author"), F.col("_by_name"), F.col("_name")).alias("author"),
+        first_of(F.col("_by_role"), F.col("_role")).alias("author_title"),
+        first_of(plain("_by_company"), _field("_firm", "name", "title"), F.col("_company")).alias("author_company"),
+        F.when(epoch.isNotNull(), F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros(micros).cast("timestamp_ntz")))
+        .otherwise(dates.parse_datetime(F.col("_posted"), now)).alias("published_at"), F.trim("_title").alias("given_title"))
+    kept = flat.where(F.col("url").rlike(r"^https://(?:www\.)?linkedin\.com/") & (F.col("content") != ""))
+    first = kept.groupBy("url").agg(F.min_by(F.struct(*[c for c in flat.columns if c != "url"]), "position").alias("p")).select("url", "p.*")
     lines = F.array_compact(F.array(
-        F.col("content"),
-        F.concat(F.lit("Tác giả công khai: "), tx.blank_to_null(F.col("author"))),
-        F.concat(F.lit("Chức danh công khai: "), tx.blank_to_null(F.col("author_title"))),
-        F.concat(F.lit("Đơn vị công khai: "), tx.blank_to_null(F.col("author_company")))))
+        F.col("content"), F.concat(F.lit("Tác giả công khai: "), "author"), F.concat(F.lit("Chức danh công khai: "), "author_title"),
+        F.concat(F.lit("Đơn vị công khai: "), "author_company")))
     return first.select(
         "url", F.coalesce(tx.blank_to_null(F.col("given_title")), F.left("content", F.lit(220))).alias("title"),
-        F.array_join(lines, "\n").alias("raw_content"), "published_at",
-        tx.blank_to_null(F.col("author")).alias("author"), "author_title", "author_company")
+        F.array_join(lines, "\n").alias("raw_content"), "published_at", "author", "author_title", "author_company")
 
 
 def posted_limit(since: Column, now: Column) -> Column:
@@ -94,39 +108,47 @@ def posted_limit(since: Column, now: Column) -> Column:
     return (F.when(age <= day + 300, "24h").when(age <= 8 * day, "week").when(age <= 32 * day, "month").otherwise("year"))
 
 
+# Names under which search answers give a URL, nested lists, and the texts.
 _URL_KEYS = ("url", "link", "href", "source_url", "source", "uri")
+_LIST_KEYS = ("results", "items", "links", "data")
+_TITLE_KEYS = ("title", "name", "label")
+_SNIPPET_KEYS = ("snippet", "content", "description", "summary")
+_ANSWER_KEYS = ("text", "content", "answer", "summary")
 
 
-def _result_url(item: Column) -> Column:
-    """First URL found under the known keys; an object under a key is looked into one level deep."""
-    def values(doc: Column) -> Column:
-        return F.array(*[F.get_json_object(doc, f"$.{k}") for k in _URL_KEYS])
-
-    def texts(doc: Column) -> Column:
-        return F.flatten(F.transform(values(doc), lambda v: F.when(v.startswith("{"), values(v)).otherwise(F.array(v))))
+def _first_url(item: Column, opened: Column) -> Column:
+    """First URL under the known keys; an object under a key is looked into one level deep."""
+    def inner(text: Column) -> Column:
+        return let(_opened(text, *_URL_KEYS), lambda o: F.array(*[o[k] for k in _URL_KEYS]))
 
-    urls = F.transform(F.when(item.startswith("{"), texts(item)).otherwise(F.array(item)),
-                       lambda v: F.get(url.urls_in_text(v), 0))
+    texts = F.flatten(F.transform(F.array(*[opened[k] for k in _URL_KEYS]),
+                                  lambda v: F.when(v.startswith("{"), inner(v)).otherwise(F.array(v))))
+    urls = F.transform(F.when(item.startswith("{"), texts).otherwise(F.array(item)), lambda v: F.get(url.urls_in_text(v), 0))
     return F.get(F.filter(urls, lambda u: u.isNotNull()), 0)
 
 
-def _text_of(item: Column, *keys: str) -> Column:
-    values = [F.trim(F.get_json_object(item, f"$.{k}")) for k in keys]
-    return F.coalesce(*[F.when((v != "") & ~v.rlike(r"^[\[{]"), v) for v in values])
+def _text_of(opened: Column, *keys: str) -> Column:
+    values = F.transform(F.array(*[opened[k] for k in keys]), lambda v: F.trim(v))
+    return F.get(F.filter(values, lambda v: (v != "") & ~v.rlike(r"^[\[{]")), 0)
+
+
+def _with_item_fields(items: DataFrame) -> DataFrame:
+    keys = (*_URL_KEYS, *_LIST_KEYS, *_TITLE_KEYS, *_SNIPPET_KEYS, "published_at", "date")
+    return items.withColumn("o", _opened(F.col("item"), *keys)).withColumn("found", _first_url(F.col("item"), F.col("o")))
 
 
 def _open_lists(items: DataFrame, depth: int) -> DataFrame:
     """Replace containers by their members: lists by items, URL-less objects by their known list key."""
-    def step(item: Column) -> Column:
-        nested = F.coalesce(*[F.get_json_object(item, f"$.{k}") for k in ("results", "items", "links", "data")])
-        holder = item.startswith("{") & F.col("found").isNull()
-        return (F.when(item.startswith("["), F.from_json(item, "ARRAY<STRING>"))
-                .when(holder, F.when(nested.isNotNull(), F.array(nested)).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)")))
-                .otherwise(F.array(item)))
+    nothing = F.array().cast("array<string>")
     for level in range(depth):
-        items = items.withColumn("found", _result_url(F.col("item"))).select("query", "answer", F.posexplode(step(F.col("item"))).alias(f"p{level}", "item"),
-                             *[c for c in items.columns if c.startswith("p")])
-    return items
+        item = F.col("item")
+        nested = F.coalesce(*[F.col(f"o.{k}") for k in _LIST_KEYS])
+        members = (F.when(item.startswith("["), F.from_json(item, "ARRAY<STRING>"))
+                   .when(item.startswith("{") & F.col("found").isNull(), F.when(nested.isNotNull(), F.array(nested)).otherwise(nothing))
+                   .otherwise(F.array(item)))
+        places = [f"p{i}" for i in range(level)]
+        items = _with_item_fields(items).select("query", "answer", *places, F.posexplode(members).alias(f"p{level}", "item"))
+    return _with_item_fields(items)
 
 
 def search_results(responses: DataFrame, max_results: int = 5, depth: int = 4) -> DataFrame:
@@ -137,36 +159,31 @@ def search_results(responses: DataFrame, max_results: int = 5, depth: int = 4) -
     """
     body = F.trim("body")
     wrapped = F.when(body.startswith("["), F.concat(F.lit('{"results":'), body, F.lit("}"))).otherwise(body)
-    answer = F.get_json_object(wrapped, "$.answer")
-    base = responses.select(
-        "query", wrapped.alias("doc"),
-        F.coalesce(F.when(answer.startswith("{"), F.trim(_field(answer, "text", "content", "answer", "summary")))
-                   .otherwise(F.trim(answer)), F.lit("")).alias("answer"))
-    items = _open_lists(base.select("query", "answer", F.get_json_object("doc", "$.results").alias("item")).where("item IS NOT NULL"), depth)
-    order = [F.col(f"p{i}") for i in range(depth)]
-    item = F.col("item")
+    base = responses.select("query", _opened(wrapped, "results", "answer").alias("d")).select(
+        "query", F.col("d.results").alias("item"), F.col("d.answer").alias("given"), _opened(F.col("d.answer"), *_ANSWER_KEYS).alias("a")).select(
+        "query", "item", F.coalesce(F.when(F.col("given").startswith("{"), F.trim(_field("a", *_ANSWER_KEYS))).otherwise(F.trim("given")), F.lit("")).alias("answer"))
+    items = _open_lists(base.where("item IS NOT NULL"), depth)
+    opened = F.col("o")
     listed = items.select(
-        "query", "answer", F.struct(F.lit(0).alias("stage"), F.array(*order).alias("at")).alias("rank"), _result_url(item).alias("url"),
-        _text_of(item, "title", "name", "label").alias("title"),
-        F.coalesce(_text_of(item, "snippet", "content", "description", "summary"), F.lit("")).alias("snippet"),
-        F.coalesce(F.get_json_object(item, "$.published_at"), F.get_json_object(item, "$.date")).alias("published_at"))
+        "query", "answer", F.struct(F.lit(0).alias("stage"), F.array(*[f"p{i}" for i in range(depth)]).alias("at")).alias("rank"),
+        F.col("found").alias("url"), _text_of(opened, *_TITLE_KEYS).alias("title"),
+        F.coalesce(_text_of(opened, *_SNIPPET_KEYS), F.lit("")).alias("snippet"),
+        F.coalesce(opened["published_at"], opened["date"]).alias("published_at"))
+    none = F.lit(None).cast("string")
     named = base.select("query", "answer", F.posexplode(url.urls_in_text(F.col("answer"))).alias("p", "url")).select(
         "query", "answer", F.struct(F.lit(1).alias("stage"), F.array("p").alias("at")).alias("rank"), "url",
-        F.lit(None).cast("string").alias("title"), F.col("answer").alias("snippet"),
-        F.lit(None).cast("string").alias("published_at"))
+        none.alias("title"), F.col("answer").alias("snippet"), none.alias("published_at"))
     payload = F.struct("rank", "url", F.coalesce("title", tx.blank_to_null(url.netloc(F.col("url"))), "url").alias("title"),
                        "snippet", "published_at")
     unique = (listed.unionByName(named).where("url IS NOT NULL AND url <> ''")
               .groupBy("query", "url").agg(F.min_by(payload, "rank").alias("r"), F.first("answer").alias("answer")))
-    # A response holds few results, so the per-query list is bounded by one input row.
-    ranked = (unique.groupBy("query").agg(F.slice(F.array_sort(F.collect_list("r")), 1, max_results).alias("top"),
-                                          F.first("answer").alias("answer"))
-              .select("query", "answer", F.posexplode("top").alias("pos", "r")))
-    clean = url.canonical(F.col("r.url"))
-    return ranked.select(
-        "query", (F.col("pos") + 1).alias("position"), F.col("r.title").alias("title"), clean.alias("url"),
-        F.col("r.snippet").alias("snippet"), F.col("r.published_at").alias("published_at"), "answer").where(
-        (F.col("url") != "") & addresses.url_problem(F.col("url")).isNull() & ~addresses.is_search_engine(F.col("url")))
+    # The best `max_results` per query: each task trims before the shuffle.
+    best = W.partitionBy("query").orderBy("r.rank")
+    ranked = unique.withColumn("position", F.row_number().over(best)).where(F.col("position") <= max_results)
+    clean = ranked.select(
+        "query", "position", F.col("r.title").alias("title"), url.canonical(F.col("r.url")).alias("url"),
+        F.col("r.snippet").alias("snippet"), F.col("r.published_at").alias("published_at"), "answer")
+    return clean.where((F.col("url") != "") & addresses.url_problem(F.col("url")).isNull() & ~addresses.is_search_engine(F.col("url")))
 
 
 def union_first(frames: list[DataFrame], key: str) -> DataFrame:

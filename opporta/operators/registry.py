@@ -58,7 +58,8 @@ def import_keywords(contents: DataFrame, key: str, content: str = "content") ->
         "keys", F.transform("parts", tx.casefold)).withColumn("distinct_keys", F.size(F.array_distinct("keys")))
     error = (F.when(F.size("parts") == 0, "empty").when(F.exists("parts", lambda k: F.length(k) > MAX_LENGTH), "keyword too long")
              .when(F.col("distinct_keys") > MAX_IMPORT, "too many keywords"))
-    firsts = F.filter("parts", lambda k, i: F.array_position("keys", F.get("keys", i)) == i + 1)
+    firsts = F.when(F.col("distinct_keys") == F.size("parts"), F.col("parts")).otherwise(
+        F.filter("parts", lambda k, i: F.array_position("keys", F.get("keys", i)) == i + 1))
     return staged.withColumn("error", error).select(
         key, F.when(F.col("error").isNull(), firsts).otherwise(F.array().cast("array<string>")).alias("keywords"), "error")
 

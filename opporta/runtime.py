@@ -30,12 +30,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for costly per-row work on a small input; a large input already has enough splits."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core for costly per-row work on a small table; a large one already has enough splits.
+
+    For plain scans only: asking for the splits of a scan reads no data.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def publish(df: DataFrame, root: str, version: int) -> bool:

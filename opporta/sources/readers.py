@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opporta import schemas
+from opporta.runtime import spread
 
 
 def raw_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RAW_DOCUMENTS).parquet(path)
+    """Page tables. Reading HTML is processor work, so a table in few files is spread over all cores."""
+    return spread(spark.read.schema(schemas.RAW_DOCUMENTS).parquet(path))
 
 
 def yaml_sources(spark: SparkSession, path: str) -> DataFrame:

@@ -136,7 +136,10 @@ def without_query(col: Column) -> Column:
 
 def urls_in_text(col: Column) -> Column:
     """Distinct http(s) URLs in order of appearance, without quoting marks and end punctuation."""
-    found = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"https?://[^\s<>\"']+"), F.lit(0))
-    clean = F.transform(found, lambda u: F.regexp_replace(
-        F.regexp_replace(u, r"""[*'"`]+""", ""), r"[.,;:!?)\]}>/]+$", ""))
-    return F.array_distinct(F.filter(clean, lambda u: u != ""))
+    def cleaned(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(r"https?://[^\s<>\"']+"), F.lit(0))
+        bare = F.transform(found, lambda u: F.regexp_replace(
+            F.regexp_replace(u, r"""[*'"`]+""", ""), r"[.,;:!?)\]}>/]+$", ""))
+        return F.array_distinct(F.filter(bare, lambda u: u != ""))
+
+    return F.when(col.contains("://"), cleaned(col)).otherwise(F.array().cast("array<string>"))

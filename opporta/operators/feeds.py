@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opporta.functions import addresses, dates, let, text as tx, url
+from opporta.functions import addresses, dates, let, once, text as tx, url
 from opporta.operators.pages import with_cards
 from opporta.rules.link_rules import JOB_URL
 
@@ -41,9 +41,9 @@ def _opened(text: Column, *keys: str) -> Column:
     return F.from_json(text, ", ".join(f"`{k}` STRING" for k in dict.fromkeys(keys)))
 
 
-def _field(doc: str, *keys: str) -> Column:
+def _field(opened: Column, *keys: str) -> Column:
     """First of the keys holding something: not null, not blank, not an empty list or object."""
-    values = F.array(*[F.col(f"{doc}.{k}") for k in keys])
+    values = F.array(*[opened[k] for k in keys])
     return F.get(F.filter(values, lambda v: v.isNotNull() & ~v.isin("", "[]", "{}")), 0)
 
 
@@ -70,27 +70,35 @@ def social_posts(posts: DataFrame, now: Column) -> DataFrame:
 
     Only posts of the network's own site with a non-empty text are kept.
     """
-    def plain(value: str) -> Column:
-        return F.when(~F.col(value).startswith("{"), F.col(value))
-
-    staged = posts.withColumn("doc", _opened(F.col("body"), *[k for ks in _POST.values() for k in ks])).select(
-        "position", *[_field("doc", *keys).alias(f"_{name}") for name, keys in _POST.items()])
-    staged = staged.withColumns({"_inner": _opened(F.col("_text"), *_TEXT), "_by": _opened(F.col("_author"), *[k for ks in _AUTHOR.values() for k in ks])})
-    staged = staged.withColumns({f"_by_{n}": _field("_by", *keys) for n, keys in _AUTHOR.items()}).withColumn(
-        "_firm", _opened(F.col("_by_company"), "name", "title"))
-    epoch = F.when(F.col("_posted").rlike(r"^-?\d+(?:\.\d+)?(?:[eE]\d+)?$"), F.col("_posted").try_cast("double"))
-    micros = let(epoch, lambda e: (F.when(e > 1e10, e / 1000).otherwise(e) * 1e6).cast("bigint"))
+    def facts(opened: Column) -> Column:
+        return F.struct(*[_field(opened, *keys).alias(name) for name, keys in _POST.items()])
+
+    def writer(opened: Column) -> Column:
+        return F.struct(*[_field(opened, *keys).alias(name) for name, keys in _AUTHOR.items()])
+
+    def text_or(value: Column, *keys: str) -> Column:
+        """The text itself, or the first of the keys when it is an object."""
+        return F.when(value.startswith("{"), let(_opened(value, *keys), lambda o: _field(o, *keys))).otherwise(value)
 
     def first_of(*values: Column) -> Column:
         return F.coalesce(*[tx.blank_to_null(F.trim(v)) for v in values])
 
-    flat = staged.select(
-        "position", F.trim("_url").alias("url"), tx.normalize(F.coalesce(plain("_text"), _field("_inner", *_TEXT))).alias("content"),
-        first_of(plain("_author"), F.col("_by_name"), F.col("_name")).alias("author"),
-        first_of(F.col("_by_role"), F.col("_role")).alias("author_title"),
-        first_of(plain("_by_company"), _field("_firm", "name", "title"), F.col("_company")).alias("author_company"),
-        F.when(epoch.isNotNull(), F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros(micros).cast("timestamp_ntz")))
-        .otherwise(dates.parse_datetime(F.col("_posted"), now)).alias("published_at"), F.trim("_title").alias("given_title"))
+    post = let(_opened(F.col("body"), *[k for ks in _POST.values() for k in ks]), facts)
+    read = once(posts, ["position"], p=post).select("position", "p.*")
+    named = once(read, read.columns, by=F.when(F.col("author").startswith("{"), let(
+        _opened(F.col("author"), *[k for ks in _AUTHOR.values() for k in ks]), writer)))
+    epoch = F.when(F.col("posted").rlike(r"^-?\d+(?:\.\d+)?(?:[eE]\d+)?$"), F.col("posted").try_cast("double"))
+    micros = let(epoch, lambda e: (F.when(e > 1e10, e / 1000).otherwise(e) * 1e6).cast("bigint"))
+    flat = once(
+        named, ["position"], url=F.trim("url"), content=text_or(F.col("text"), *_TEXT),
+        author=first_of(F.when(~F.col("author").startswith("{"), F.col("author")), F.col("by.name"), F.col("name")),
+        author_title=first_of(F.col("by.role"), F.col("role")),
+        author_company=first_of(text_or(F.col("by.company"), "name", "title"), F.col("company")),
+        published_at=F.when(epoch.isNotNull(), F.convert_timezone(
+            F.current_timezone(), F.lit("UTC"), F.timestamp_micros(micros).cast("timestamp_ntz")))
+        .otherwise(dates.parse_datetime(F.col("posted"), now)), given_title=F.trim("title"))
+    flat = once(flat.withColumn("content", tx.nfkc(F.col("content"))), [c for c in flat.columns if c != "content"],
+                content=F.coalesce(tx.squeeze(F.col("content")), F.lit("")))
     kept = flat.where(F.col("url").rlike(r"^https://(?:www\.)?linkedin\.com/") & (F.col("content") != ""))
     first = kept.groupBy("url").agg(F.min_by(F.struct(*[c for c in flat.columns if c != "url"]), "position").alias("p")).select("url", "p.*")
     lines = F.array_compact(F.array(
@@ -134,7 +142,8 @@ def _text_of(opened: Column, *keys: str) -> Column:
 
 def _with_item_fields(items: DataFrame) -> DataFrame:
     keys = (*_URL_KEYS, *_LIST_KEYS, *_TITLE_KEYS, *_SNIPPET_KEYS, "published_at", "date")
-    return items.withColumn("o", _opened(F.col("item"), *keys)).withColumn("found", _first_url(F.col("item"), F.col("o")))
+    opened = once(items, items.columns, o=_opened(F.col("item"), *keys))
+    return once(opened, opened.columns, found=_first_url(F.col("item"), F.col("o")))
 
 
 def _open_lists(items: DataFrame, depth: int) -> DataFrame:
@@ -161,7 +170,7 @@ def search_results(responses: DataFrame, max_results: int = 5, depth: int = 4) -
     wrapped = F.when(body.startswith("["), F.concat(F.lit('{"results":'), body, F.lit("}"))).otherwise(body)
     base = responses.select("query", _opened(wrapped, "results", "answer").alias("d")).select(
         "query", F.col("d.results").alias("item"), F.col("d.answer").alias("given"), _opened(F.col("d.answer"), *_ANSWER_KEYS).alias("a")).select(
-        "query", "item", F.coalesce(F.when(F.col("given").startswith("{"), F.trim(_field("a", *_ANSWER_KEYS))).otherwise(F.trim("given")), F.lit("")).alias("answer"))
+        "query", "item", F.coalesce(F.when(F.col("given").startswith("{"), F.trim(_field(F.col("a"), *_ANSWER_KEYS))).otherwise(F.trim("given")), F.lit("")).alias("answer"))
     items = _open_lists(base.where("item IS NOT NULL"), depth)
     opened = F.col("o")
     listed = items.select(
@@ -180,9 +189,9 @@ def search_results(responses: DataFrame, max_results: int = 5, depth: int = 4) -
     # The best `max_results` per query: each task trims before the shuffle.
     best = W.partitionBy("query").orderBy("r.rank")
     ranked = unique.withColumn("position", F.row_number().over(best)).where(F.col("position") <= max_results)
-    clean = ranked.select(
-        "query", "position", F.col("r.title").alias("title"), url.canonical(F.col("r.url")).alias("url"),
-        F.col("r.snippet").alias("snippet"), F.col("r.published_at").alias("published_at"), "answer")
+    clean = once(ranked, ["query", "position", "r", "answer"], url=url.canonical(F.col("r.url"))).select(
+        "query", "position", F.col("r.title").alias("title"), "url", F.col("r.snippet").alias("snippet"),
+        F.col("r.published_at").alias("published_at"), "answer")
     return clean.where((F.col("url") != "") & addresses.url_problem(F.col("url")).isNull() & ~addresses.is_search_engine(F.col("url")))
 
 

@@ -12,7 +12,7 @@ from opporta.rules import link_rules as rules
 
 def page_links(raw: DataFrame, keep: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """One row per anchor: resolved URL, canonical URL, text, enclosing block and its date."""
-    pages = with_page_fields(raw, ["url", *keep]).select(
+    pages = with_page_fields(raw, ["url", *keep], ("links",)).select(
         F.col("url").alias("page_url"), *keep, "blocks", F.explode("links").alias("link"))
     return pages.select(
         "page_url", *keep, "link.position", "link.href", "link.text", "link.in_chrome", "link.near_date",
@@ -27,23 +27,20 @@ def navigable(href: Column) -> Column:
 def section_links(links: DataFrame, now: Column, since: Column | None = None, rule_col: str = "source_id") -> DataFrame:
     """Item links of section pages by the rules of each source, first occurrence per source.
 
-    The rule table is part of the plan (a few rows), so every link meets its rule without a shuffle.
+    The rules are constants of the plan (a few rows), so every link meets its rule without a join.
     """
-    rule = F.lit(None).cast("struct<include:string,exclude:string,base:string,longer_than:int,dated:boolean>")
-    for source_id, include, exclude, base, longer_than, dated in rules.LINK_RULES:
-        rule = F.when(F.col(rule_col) == source_id, F.struct(
-            F.lit(include).alias("include"), F.lit(exclude).cast("string").alias("exclude"), F.lit(base).alias("base"),
-            F.lit(longer_than).alias("longer_than"), F.lit(dated).alias("dated"))).otherwise(rule)
-    staged = links.withColumn("rule", rule).where("rule IS NOT NULL").withColumn(
-        "full_url", F.when(F.col("href").startswith("http"), F.col("href")).otherwise(
-            F.concat(F.col("rule.base"), F.col("href"))))
-    kept = staged.where(
-        F.regexp_like("href", F.col("rule.include"))
-        & ~F.coalesce(F.regexp_like("href", F.col("rule.exclude")), F.lit(False))
-        & (F.length("full_url") > F.col("rule.longer_than")))
+    source, href = F.col(rule_col), F.col("href")
+    fits, base, least, dated = F.lit(False), F.lit(None).cast("string"), F.lit(0), F.lit(False)
+    for source_id, include, exclude, prefix, longer_than, is_dated in rules.LINK_RULES:
+        own = source == source_id
+        accepted = href.rlike(include) & ~href.rlike(exclude) if exclude else href.rlike(include)
+        fits, base = F.when(own, accepted).otherwise(fits), F.when(own, prefix).otherwise(base)
+        least, dated = F.when(own, longer_than).otherwise(least), F.when(own, is_dated).otherwise(dated)
+    kept = links.where(fits).withColumn("full_url", F.when(href.startswith("http"), href).otherwise(F.concat(base, href))).where(
+        F.length("full_url") > least)
     if since is not None:
-        older = dates.parse_datetime(F.col("near_date"), now) < since
-        kept = kept.where(~(F.col("rule.dated") & F.coalesce(older, F.lit(False))))
+        older = F.when(dated & F.col("near_date").isNotNull(), dates.parse_datetime(F.col("near_date"), now) < since)
+        kept = kept.where(~F.coalesce(older, F.lit(False)))
     return kept.groupBy(rule_col, "full_url").agg(F.min(F.struct("page_url", "position")).alias("seen")).select(
         rule_col, "full_url", "seen.page_url", "seen.position")
 

@@ -29,35 +29,37 @@ def _json_or_none(text: str):
         return None
 
 
-def read_page(markup: str, base_url: str) -> dict:
+def read_page(markup: str, base_url: str, wanted: frozenset[str] | None = None) -> dict:
+    """The PAGE_FIELDS of one page; with `wanted`, only those (links come with their blocks)."""
     page = Page(markup)
+    heads, metas, scripts = page.elements("h1"), [page.nodes[i].attrs for i in page.elements("meta")], []
 
     def text_of(found, sep=""):
         return tidy(page.text(found[0], sep)) if found else None
 
-    heads = page.elements("h1")
-
     def head_with(*words):
         return [i for i in heads if any(w in page.nodes[i].attrs.get("class", "").lower() for w in words)]
 
-    metas = [page.nodes[i].attrs for i in page.elements("meta")]
-    scripts = [page.text(i, "") for i in page.elements("script")
-               if "ld+json" in page.nodes[i].attrs.get("type", "").lower()]
-    links, blocks = page.anchors(base_url)
-    titles = page.elements("title")
-    return {
-        "h1": text_of(heads), "h1_spaced": text_of(heads, " "), "h1_title": text_of(head_with("title")),
-        "h1_heading": text_of(head_with("title", "heading", "name")),
-        "h2": text_of(page.elements("h2")), "page_title": text_of(titles),
-        "title_block": text_of(page.with_class(r"title|heading-detail")),
-        "og_title": next((tidy(m.get("content")) for m in metas if m.get("property") == "og:title"), None),
-        "description": next((m.get("content", "").strip() for m in metas if m.get("name") == "description"), None),
-        "company": text_of(page.with_class(r"company-name|company_name"), " "),
-        "json_ld": scripts, "json_dates": [d for s in scripts for d in published_values(_json_or_none(s))],
-        "metas": [{"marker": " ".join(m.get(k, "") for k in ("property", "name", "itemprop", "id")).lower(),
-                   "content": tidy(m.get("content") or m.get("datetime"))} for m in metas],
-        "date_elements": page.date_elements(), "links": links, "blocks": blocks,
-        "paragraphs": page.body_paragraphs(), "visible_text": page.visible_text(), "parse_error": None}
+    def json_ld():
+        scripts.extend(page.text(i, "") for i in page.elements("script") if "ld+json" in page.nodes[i].attrs.get("type", "").lower())
+        return scripts
+
+    makers = {
+        "h1": lambda: text_of(heads), "h1_spaced": lambda: text_of(heads, " "), "h1_title": lambda: text_of(head_with("title")),
+        "h1_heading": lambda: text_of(head_with("title", "heading", "name")), "h2": lambda: text_of(page.elements("h2")),
+        "page_title": lambda: text_of(page.elements("title")), "title_block": lambda: text_of(page.with_class(r"title|heading-detail")),
+        "og_title": lambda: next((tidy(m.get("content")) for m in metas if m.get("property") == "og:title"), None),
+        "description": lambda: next((m.get("content", "").strip() for m in metas if m.get("name") == "description"), None),
+        "company": lambda: text_of(page.with_class(r"company-name|company_name"), " "), "json_ld": json_ld,
+        "json_dates": lambda: [d for s in scripts for d in published_values(_json_or_none(s))],
+        "metas": lambda: [{"marker": " ".join(m.get(k, "") for k in ("property", "name", "itemprop", "id")).lower(),
+                           "content": tidy(m.get("content") or m.get("datetime"))} for m in metas],
+        "date_elements": page.date_elements, "paragraphs": page.body_paragraphs, "visible_text": page.visible_text,
+    }
+    out = {name: make() for name, make in makers.items() if wanted is None or name in wanted}
+    if wanted is None or "links" in wanted:
+        out["links"], out["blocks"] = page.anchors(base_url)
+    return out
 
 
 def read_cards(markup: str, base_url: str) -> list[dict]:
@@ -80,21 +82,24 @@ def read_cards(markup: str, base_url: str) -> list[dict]:
     return cards
 
 
-def with_page_fields(raw: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` columns plus PAGE_FIELDS. A page that cannot be read gets `parse_error`, never a failed task."""
+def with_page_fields(raw: DataFrame, keep: list[str], wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """`keep` columns plus PAGE_FIELDS (only the `wanted` ones are filled). A page that cannot be read gets `parse_error`, never a failed task."""
     kept = raw.select(*dict.fromkeys([*keep, "url", "html"]))
     passed = [c for c in kept.columns if c != "html" or "html" in keep]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in passed)
 
+    only = None if wanted is None else frozenset(wanted)
+    names = [part.split()[0] for part in _field_names(PAGE_FIELDS)]
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for url, markup in zip(batch["url"], batch["html"]):
                 try:
-                    rows.append(read_page(markup or "", url or ""))
+                    found = read_page(markup or "", url or "", only)
                 except Exception as exc:  # a bad page is data, not a reason to stop the job
-                    rows.append({"parse_error": f"{type(exc).__name__}: {exc}"})
-            names = [part.split()[0] for part in _field_names(PAGE_FIELDS)]
+                    found = {"parse_error": f"{type(exc).__name__}: {exc}"}
+                rows.append({**dict.fromkeys(names), **found})
             fields = pd.DataFrame(rows, columns=names, dtype=object)
             yield pd.concat([batch[passed].reset_index(drop=True), fields], axis=1)
 

@@ -12,6 +12,11 @@ from opporta.rules import parse_rules as rules
 _JOB_FIELDS = "ARRAY<STRUCT<`@type`: STRING, title: STRING, hiringOrganization: STRING, datePosted: STRING>>"
 
 
+# Page fields an item is made of: all but links.
+ITEM_FIELDS = ("h1", "h1_spaced", "h1_title", "h1_heading", "h2", "page_title", "title_block", "og_title", "description", "company",
+               "json_ld", "json_dates", "metas", "date_elements", "paragraphs", "visible_text")
+
+
 def _first_date(values: Column, now: Column) -> Column:
     return F.get(F.filter(F.transform(values, lambda v: dates.published_candidate(v, now)), lambda d: d.isNotNull()), 0)
 
@@ -71,7 +76,7 @@ def labelled_lines(content: Column) -> Column:
 def parse_items(raw: DataFrame, now: Column) -> DataFrame:
     """One row per raw page in the shape of PARSED_ITEMS; `error` says why a page gave no item."""
     keep = ["url", "source_id", "fetched_at"] + [c for c in ("adapter_mode", "snapshot_path") if c in raw.columns]
-    pages = with_page_fields(raw, keep)
+    pages = with_page_fields(raw, keep, ITEM_FIELDS)
     mode = F.col("adapter_mode") if "adapter_mode" in raw.columns else None
     jobs = F.flatten(F.transform(F.col("json_ld"), lambda j: F.coalesce(
         F.from_json(j, _JOB_FIELDS), F.from_json(F.lit("[]"), _JOB_FIELDS))))

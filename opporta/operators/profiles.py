@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opporta.functions import phones, text as tx, url
+from opporta.functions import once, phones, text as tx, url
 from opporta.operators.dedup import distinct_values
 from opporta.operators.responses import json_object
 from opporta.schemas import PROFILE
@@ -42,9 +42,9 @@ def profiles(responses: DataFrame, pages_used: DataFrame) -> DataFrame:
     All cited records of an answer are exploded once, matched to the pages used by one semi join, and
     the surviving positions filter the arrays; a group is never larger than one answer.
     """
+    kept_answers = responses.where("kind = 'profile'")
     opened = (
-        responses.where("kind = 'profile'")
-        .withColumn("r", F.from_json(json_object(F.col("body")), PROFILE + ", _bad STRING", _OPTIONS))
+        once(kept_answers, kept_answers.columns, r=F.from_json(json_object(F.col("body")), PROFILE + ", _bad STRING", _OPTIONS))
         .withColumn("reject_reason", F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "invalid profile")))
     good = opened.where("reject_reason IS NULL")
     def sources(kind: str) -> Column:

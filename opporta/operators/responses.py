@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opporta.functions import let, phones, text as tx, url
+from opporta.functions import once, phones, text as tx, url
 from opporta.schemas import ACTIONS, ORGANIZATION_TYPES
 
 # Answers are read with text for every scalar, so that `"85"` and `85` both count.
@@ -28,12 +28,12 @@ def json_object(body: Column) -> Column:
 def _opened(responses: DataFrame, kind: str, ddl: str) -> DataFrame:
     """Answers of one kind with their parsed record `r` and a first `reject_reason`."""
     doc = F.col("_doc")
-    return (
-        responses.where(F.col("kind") == kind).withColumn("_doc", json_object(F.col("body")))
-        .withColumn("r", F.from_json(doc, ddl, _OPTIONS))
-        .withColumn("reject_reason", F.when(doc.isNull(), "no JSON object")
-                    .when(F.try_parse_json(doc).isNull(), "invalid JSON")
-                    .when(F.col("r._bad").isNotNull(), "invalid field")))
+    kept = responses.where(F.col("kind") == kind)
+    read = once(kept, kept.columns, _doc=json_object(F.col("body")))
+    return once(
+        read, kept.columns, r=F.from_json(doc, ddl, _OPTIONS),
+        broken=F.when(doc.isNull(), "no JSON object").when(F.try_parse_json(doc).isNull(), "invalid JSON")).withColumn(
+        "reject_reason", F.coalesce("broken", F.when(F.col("r._bad").isNotNull(), "invalid field"))).drop("broken")
 
 
 def _bad_number(value: Column) -> Column:

@@ -199,7 +199,7 @@ def listing_stop(spark, sf):
     return ordering.listing_stop(spark_sql(spark, sf, _LISTING), at("2001-06-01 00:00:00")).select("source_id", "page", "new_links", "stops")
 
 
-@query("lead_upsert", """SELECT id, title, score FROM {v_leads} WHERE id NOT IN (SELECT 'x' FROM {region}) AND position NOT IN (SELECT l_orderkey FROM {lineitem} WHERE l_returnflag = 'A')
+@query("lead_upsert", """SELECT id, title, score FROM {v_leads} WHERE position NOT IN (SELECT l_orderkey FROM {lineitem} WHERE l_returnflag = 'A')
 UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'Update ' || max(l_partkey), CAST(max(l_linenumber) AS INT) FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_orderkey""")
 def lead_upsert(spark, sf):
     updates = spark_sql(spark, sf, """SELECT CAST(l_orderkey AS STRING) AS id, 'Update ' || CAST(max(l_partkey) AS STRING) AS title, CAST(max(l_linenumber) AS INT) AS score
@@ -406,16 +406,18 @@ def money_labels(spark, sf):
     return leads(spark, sf).select("id", money.money_label(F.floor("budget_value") * 5000.0).alias("label"))
 
 
-@query("repair_report", """SELECT id, CASE WHEN position % 6 = 0 THEN 'missing snapshot' WHEN position % 6 IN (1, 2, 4) THEN 'changed' ELSE 'same' END AS outcome,
- position % 6 IN (1, 2) AS date_changed, CASE position % 6 WHEN 1 THEN published_at + INTERVAL '2' DAY WHEN 2 THEN NULL ELSE published_at END AS published_to,
- CASE WHEN position % 6 = 4 THEN 'Sở số ' || position ELSE organization_name END AS organization_to FROM {v_leads}""")
+@query("repair_report", """SELECT id, CASE WHEN organization_type = 'other' THEN 'missing snapshot' WHEN k IN (1, 2, 4) THEN 'changed' ELSE 'same' END AS outcome,
+ organization_type <> 'other' AND k IN (1, 2) AS date_changed,
+ CASE WHEN organization_type <> 'other' AND k = 1 THEN published_at + INTERVAL '2' DAY WHEN k = 2 AND organization_type <> 'other' THEN NULL WHEN k = 2 THEN published_at + INTERVAL '250' MILLISECOND ELSE published_at END AS published_to,
+ CASE WHEN organization_type <> 'other' AND k = 4 THEN 'Sở số ' || position ELSE organization_name END AS organization_to FROM (SELECT *, position % 5 AS k FROM {v_leads})""")
 def repair_report(spark, sf):
-    k = F.col("position") % 6
+    """Pages of `other` organizations are lost; the rest show five cases of evidence."""
+    k = F.col("position") % 5
     base = leads(spark, sf).withColumn("raw_content_ref", F.concat(F.lit("snap/"), F.col("id")))
     stored = base.withColumn("published_at", F.when(k == 2, F.col("published_at") + F.expr("INTERVAL '0.25' SECOND")).otherwise(F.col("published_at")))
-    parsed = base.where(k != 0).select(
-        "raw_content_ref", "title", F.col("title").alias("parsed_title"), F.when(k == 4, F.concat(F.lit("Chủ đầu tư: Sở số "), F.col("id"))).otherwise("Tin").alias("parsed_content"),
-        F.when(k == 1, F.col("published_at") + F.expr("INTERVAL '2' DAY")).when(k == 2, None).when(k == 3, None).otherwise(F.col("published_at")).alias("parsed_published_at")).drop("title")
+    parsed = base.where("organization_type <> 'other'").select(
+        "raw_content_ref", F.col("title").alias("parsed_title"), F.when(k == 4, F.concat(F.lit("Chủ đầu tư: Sở số "), F.col("id"))).otherwise("Tin").alias("parsed_content"),
+        F.when(k == 1, F.col("published_at") + F.expr("INTERVAL '2' DAY")).when(k.isin(2, 3), None).otherwise(F.col("published_at")).alias("parsed_published_at"))
     return repair.repair_report(stored, parsed).select("id", "outcome", "date_changed", "published_to", "organization_to")
 
 

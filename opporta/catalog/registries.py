@@ -47,8 +47,8 @@ def keyword_import(spark, sf):
     return registry.import_keywords(docs, "doc_id").select("doc_id", "error", F.array_join("keywords", "|").alias("keywords"))
 
 
-_OLD = "SELECT p_partkey AS position, p_name || ' ' || p_type AS keyword, p_brand AS group_id, p_brand AS group_name, TRUE AS use_for_filter, p_size > 25 AS use_for_discovery FROM {part} WHERE p_brand < 'Brand#15'"
-_NEW = "SELECT l_orderkey * 10 + l_linenumber AS position, upper(p_name) || ' ' || p_type AS keyword, 'custom' AS group_id, 'c' AS group_name, TRUE AS use_for_filter, l_quantity > 49 AS use_for_discovery FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
+_OLD = "SELECT p_partkey AS position, p_name || ' ' || CASE WHEN p_size > 25 THEN p_type ELSE p_brand END AS keyword, p_brand AS group_id, p_brand AS group_name, TRUE AS use_for_filter, p_size > 25 AS use_for_discovery FROM {part}"
+_NEW = "SELECT l_orderkey * 10 + l_linenumber AS position, upper(p_name) || ' ' || CASE WHEN l_returnflag = 'R' THEN p_type ELSE p_brand END AS keyword, 'custom' AS group_id, 'c' AS group_name, TRUE AS use_for_filter, l_quantity > 49 AS use_for_discovery FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
 _UPSERT = f"""WITH o AS (SELECT lower(keyword) AS key, arg_min(use_for_discovery, position) AS d FROM ({_OLD}) GROUP BY 1),
  n AS (SELECT lower(keyword) AS key, count(*) AS rows, bool_or(use_for_discovery) AS wants FROM ({_NEW}) GROUP BY 1),
  m AS (SELECT key, CASE WHEN rows IS NULL THEN 'kept' WHEN d IS NULL THEN 'added' WHEN wants AND NOT d THEN 'promoted' ELSE 'duplicate' END AS action, coalesce(rows, 0) AS rows FROM o FULL JOIN n USING (key))"""

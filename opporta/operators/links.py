@@ -10,14 +10,21 @@ from opporta.operators.pages import with_page_fields
 from opporta.rules import link_rules as rules
 
 
-def page_links(raw: DataFrame, keep: tuple[str, ...] = ("source_id",)) -> DataFrame:
-    """One row per anchor: resolved URL, canonical URL, text, enclosing block and its date."""
-    pages = with_page_fields(raw, ["url", *keep], ("links",)).select(
-        F.col("url").alias("page_url"), *keep, "blocks", F.explode("links").alias("link"))
-    return pages.select(
-        "page_url", *keep, "link.position", "link.href", "link.text", "link.in_chrome", "link.near_date",
-        F.get(F.col("blocks"), F.col("link.block")).alias("context"),
-        url.canonical(F.col("link.resolved")).alias("target_url"))
+def page_links(raw: DataFrame, keep: tuple[str, ...] = ("source_id",), with_context: bool = False) -> DataFrame:
+    """One row per anchor: resolved URL, canonical URL, text and the date of its block.
+
+    `with_context` adds the text of the enclosing block, which keyword search needs.
+    """
+    pages = with_page_fields(raw, ["url", *keep], ("links", "blocks") if with_context else ("links",))
+    names = ["position", "href", "text", "in_chrome", "near_date", "resolved"]
+
+    def entry(link: Column) -> Column:
+        # The block text joins its link before the explode, so a row never carries the whole page.
+        block = [F.get(F.col("blocks"), link["block"]).alias("context")] if with_context else []
+        return F.struct(*[link[n].alias(n) for n in names], *block)
+
+    rows = pages.select(F.col("url").alias("page_url"), *keep, F.explode(F.transform("links", entry)).alias("link"))
+    return rows.select("page_url", *keep, "link.*").withColumn("target_url", url.canonical(F.col("resolved"))).drop("resolved")
 
 
 def navigable(href: Column) -> Column:

@@ -47,7 +47,9 @@ def _joined(staged: DataFrame, active: DataFrame, item_id: str) -> DataFrame:
     terms = active.select("keyword", "group_name", F.get(by_length, 0).alias("anchor"))
     words = staged.select(item_id, F.explode(distinct_words(F.lower("_text"))).alias("anchor"))
     # A term without a word character has no anchor; such terms are looked for in every text.
-    loose = [r for r in terms.where("anchor IS NULL").select("keyword", "group_name").collect()]
+    loose = terms.where("anchor IS NULL").select("keyword", "group_name").limit(INLINE_LIMIT + 1).collect()
+    if len(loose) > INLINE_LIMIT:
+        raise ValueError(f"more than {INLINE_LIMIT} keywords have no letter or digit")
     found = words.join(terms.where("anchor IS NOT NULL"), "anchor").groupBy(item_id).agg(
         F.collect_set(F.struct(F.trim("keyword").alias("keyword"), "group_name")).alias("_cand"))
     struct = "array<struct<keyword:string,group_name:string>>"

@@ -30,7 +30,7 @@ def _json_or_none(text: str):
 
 
 def read_page(markup: str, base_url: str, wanted: frozenset[str] | None = None) -> dict:
-    """The PAGE_FIELDS of one page; with `wanted`, only those (links come with their blocks)."""
+    """The PAGE_FIELDS of one page; with `wanted`, only those."""
     page = Page(markup)
     heads, metas, scripts = page.elements("h1"), [page.nodes[i].attrs for i in page.elements("meta")], []
 
@@ -58,13 +58,13 @@ def read_page(markup: str, base_url: str, wanted: frozenset[str] | None = None)
     }
     out = {name: make() for name, make in makers.items() if wanted is None or name in wanted}
     if wanted is None or "links" in wanted:
-        out["links"], out["blocks"] = page.anchors(base_url)
+        out["links"], out["blocks"] = page.anchors(base_url, wanted is None or "blocks" in wanted)
     return out
 
 
 def read_cards(markup: str, base_url: str) -> list[dict]:
     page = Page(markup)
-    links, _ = page.anchors(base_url)
+    links, _ = page.anchors(base_url, with_blocks=False)
     anchors = page.elements("a")
     by_node = dict(zip([i for i in anchors if page.nodes[i].attrs.get("href", "").strip()], links))
     cards = []

@@ -44,7 +44,7 @@ def profiles(responses: DataFrame, pages_used: DataFrame) -> DataFrame:
     """
     kept_answers = responses.where("kind = 'profile'")
     opened = (
-        once(kept_answers, kept_answers.columns, r=F.from_json(json_object(F.col("body")), PROFILE + ", _bad STRING", _OPTIONS))
+        once(kept_answers, kept_answers.columns, answer=F.xxhash64("doc_url", "body"), r=F.from_json(json_object(F.col("body")), PROFILE + ", _bad STRING", _OPTIONS))
         .withColumn("reject_reason", F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "invalid profile")))
     good = opened.where("reject_reason IS NULL")
     def sources(kind: str) -> Column:
@@ -53,10 +53,11 @@ def profiles(responses: DataFrame, pages_used: DataFrame) -> DataFrame:
 
     cited = F.concat(*[sources(kind) for kind in CITED])
     proposed = F.array(F.struct(F.lit("official").alias("slot"), F.col("r.official_url").alias("source_url")))
-    rows = good.select("doc_url", F.explode(F.concat(cited, proposed)).alias("c")).select("doc_url", "c.*")
-    kept = grounded_records(rows.where("source_url IS NOT NULL"), pages_used, ["doc_url"]).groupBy("doc_url").agg(
+    # Copies of an answer share its slots; different answers for one document do not mix.
+    rows = good.select("doc_url", "answer", F.explode(F.concat(cited, proposed)).alias("c")).select("doc_url", "answer", "c.*")
+    kept = grounded_records(rows.where("source_url IS NOT NULL"), pages_used, ["doc_url"]).groupBy("doc_url", "answer").agg(
         F.collect_set("slot").alias("slots"))
-    joined = good.join(kept, "doc_url", "left").withColumn("slots", F.coalesce("slots", F.array().cast("array<string>")))
+    joined = good.join(kept, ["doc_url", "answer"], "left").withColumn("slots", F.coalesce("slots", F.array().cast("array<string>")))
 
     def grounded(kind: str) -> Column:
         return F.filter(F.col(f"r.{kind}"), lambda v, i: F.array_contains("slots", F.concat(F.lit(kind + ":"), i.cast("string"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opporta.functions import dates, let, money, phones, text as tx
+from opporta.functions import dates, let, money, once, phones, text as tx
 from opporta.functions.places import with_location
 
 # Patterns of owners, acting organizations, deadlines and requirement words.
@@ -65,9 +65,9 @@ def need_sentences(text: Column) -> Column:
 def extract_by_rules(items: DataFrame, now: Column) -> DataFrame:
     """Extraction columns from `title` and `raw_content` alone. `raw_content` should be normalized."""
     text = F.col("raw_content")
-    staged = with_location(items, text, "location").withColumns({
-        "_money": money.currency(text), "_needs": need_sentences(text),
-        "_title": F.trim(F.coalesce("title", F.lit("")))})
+    placed = with_location(items, text, "location")
+    staged = once(placed, placed.columns, _money=money.currency(text), _needs=need_sentences(text),
+                  _title=F.trim(F.coalesce("title", F.lit(""))))
     own = F.when(F.col("_title").endswith("."), F.col("_title")).otherwise(F.concat("_title", F.lit(".")))
     has_needs = F.size("_needs") > 0
     return staged.withColumns({

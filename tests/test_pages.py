@@ -80,7 +80,7 @@ def test_search_links(spark):
             "<article><h3><a href='/bai-viet-123.html'>Bài</a></h3><p>về SỐ HÓA tài liệu</p></article>"
             "<article><a href='https://khac.vn/bai-1.html'>số hóa</a></article>"
             "<article><a href='/bai-khac-9.html'>không khớp</a></article>")
-    found = links.page_links(raw(spark, [("https://vietnamnet.vn/tim-kiem?q=x", "vietnamnet", html)]))
+    found = links.page_links(raw(spark, [("https://vietnamnet.vn/tim-kiem?q=x", "vietnamnet", html)]), with_context=True)
     got = [r.target_url for r in links.search_links(found.withColumn("keyword", F.lit("số hóa"))).collect()]
     assert got == ["https://vietnamnet.vn/bai-viet-123.html"]
 

@@ -70,7 +70,7 @@ def slug(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def starts_or_matches(col: Column, words: list[str]) -> Column:
+def contains_any(col: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for word in words:
         out = out | col.contains(word)

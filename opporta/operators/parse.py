@@ -29,8 +29,8 @@ def published_at(now: Column) -> Column:
     """
     def is_publication(meta: Column) -> Column:
         marker = meta["marker"]
-        return (~tx.starts_or_matches(marker, rules.CHANGED_META)
-                & tx.starts_or_matches(marker, rules.PUBLISHED_META))
+        return (~tx.contains_any(marker, rules.CHANGED_META)
+                & tx.contains_any(marker, rules.PUBLISHED_META))
     metas = F.transform(F.filter(F.col("metas"), is_publication), lambda m: m["content"])
     labelled = F.regexp_extract(F.col("visible_text"), rules.PUBLISHED_LABEL, 1)
     visible = F.when(labelled != "", F.array(labelled)).otherwise(F.col("date_elements"))

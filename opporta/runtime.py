@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,21 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they need no path to the driver's folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="package-")
+    shutil.copytree(root, f"{folder}/tree/{os.path.basename(root)}", ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(f"{folder}/{os.path.basename(root)}", "zip", f"{folder}/tree"))
+    _shipped.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; make a private one only in local mode."""
     sc = spark.sparkContext

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opporta.llm import decontaminate
+from opporta.llm import decontaminate, language
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query("op4_decontamination", decontaminate.ORACLE_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(_table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opporta.llm import decontaminate, language
+from opporta.llm import decontaminate, language, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_language")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(_table(spark, sf_dir, "documents"))

@@ -129,17 +129,21 @@ def shard_links(asking: np.ndarray, kept: np.ndarray, radius: int) -> list[tuple
     A cluster of n fingerprints gives n - 1 links rather than all its pairs.
     """
     label = np.arange(len(kept))  # of kept fingerprints that are joined, the same label
-    first: dict[int, int] = {}
+    firsts: list[tuple[np.ndarray, np.ndarray]] = []
     for q, k in _close(asking, kept, radius):
-        cuts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else []
-        for a, b in zip(cuts, [*cuts[1:], len(q)], strict=True):
-            joined = label[k[a:b]]
-            first.setdefault(int(q[a]), int(k[a]))
-            if (joined != joined[0]).any():
-                label[np.isin(label, joined)] = joined.min()
+        if not len(q):
+            continue
+        cuts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        firsts.append((q[cuts], k[cuts]))
+        mixed = np.minimum.reduceat(label[k], cuts) != np.maximum.reduceat(label[k], cuts)
+        for a, b in zip(cuts[mixed].tolist(), np.r_[cuts[1:], len(q)][mixed].tolist(), strict=True):
+            joined = np.unique(label[k[a:b]])
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
     roots = kept[label]
     links = {(int(x), int(r)) for x, r in zip(kept.view(np.int64), roots.view(np.int64), strict=True) if x != r}
-    links |= {(int(asking.view(np.int64)[q]), int(kept.view(np.int64)[k])) for q, k in first.items()}
+    for q, k in firsts:
+        links |= set(zip(asking[q].view(np.int64).tolist(), kept[k].view(np.int64).tolist(), strict=True))
     return [x for x in links if x[0] != x[1]]
 
 

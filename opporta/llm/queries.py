@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opporta.llm import decontaminate, language, lines, mixing, simhash, token_files
+from opporta.llm import decontaminate, language, lines, mixing, page_text, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_line_dedup", lines.ORACLE_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op1_page_text", page_text.ORACLE_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.report(_table(spark, sf_dir, "pages"))

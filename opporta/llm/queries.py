@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opporta.llm import decontaminate, language, lines, mixing, page_text, simhash, token_files
+from opporta.llm import decontaminate, language, lines, mixing, neighbours, page_text, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_page_text", page_text.ORACLE_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.report(_table(spark, sf_dir, "pages"))
+
+
+@_query("op10_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(_table(spark, sf_dir, "embeddings"))

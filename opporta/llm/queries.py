@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opporta.llm import decontaminate, language, lines, mixing, neighbours, page_text, simhash, token_files
+from opporta.llm import context_tree, decontaminate, language, lines, mixing, neighbours, page_text, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_neighbours")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.report(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op7_context_tree")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.report(_table(spark, sf_dir, "documents"))

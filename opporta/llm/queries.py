@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opporta.llm import context_tree, decontaminate, language, lines, mixing, neighbours, page_text, simhash, token_files
+from opporta.llm import context_tree, decontaminate, language, lines, mixing, neighbours, page_text, simhash, suffixes, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_context_tree")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(_table(spark, sf_dir, "documents"))

@@ -137,7 +137,7 @@ def plan(places: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_S
 
 def mixed(chosen: DataFrame, pieces: DataFrame) -> DataFrame:
     """The mix: for each slot of each shard the rows and words `[first, after)` of its block."""
-    return chosen.join(pieces, ["source_no", "block"])
+    return chosen.hint("merge").join(pieces, ["source_no", "block"])  # Spark takes exploded slots for few rows
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -175,6 +175,7 @@ def sample(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
     Its text is what the pass takes, the whole text where it takes all blocks, and `n_chars`, if there is such a column,
     its length. Documents without words are not taken.
     """
+    common.bound_batches(docs.sparkSession)
     row = common.free_name(docs, "row_of")
     kept = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
     places = sized(kept, text=text, row=row)

@@ -159,8 +159,8 @@ def fair_interleave(spark, sf):
 
 @query("fair_interleave_hot_source", """SELECT source, position, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY position) - 1) / 25) AS INT) + 1 AS round FROM {v_leads}""")
 def fair_interleave_hot_source(spark, sf):
-    """The plan for sources too large for one task: slices of a source are numbered apart."""
-    return ordering.fair_interleave(leads(spark, sf), "source", hot_rows=0).select("source", "position", "round")
+    """A third of all leads in one source: slices of a source are numbered apart."""
+    return ordering.fair_interleave(leads(spark, sf), "source").select("source", "position", "round")
 
 
 _CANDIDATES = """SELECT 'src_' || CAST(o_custkey % 12 AS STRING) AS source_id, o_orderpriority AS keyword, o_orderkey AS position,
@@ -177,7 +177,7 @@ def _quota_sql(words: list[str], quota: int) -> str:
     return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in taken)
 
 
-_WORDS = ["1-URGENT", "3-MEDIUM", "5-LOW"]
+_WORDS = ["1-URGENT", "3-MEDIUM", "5-LOW", "2-HIGH", "4-NOT SPECIFIED"]
 
 
 @query("top_per_keyword", _quota_sql(_WORDS, 10))
@@ -190,7 +190,7 @@ _LISTING = """SELECT 'src_' || CAST(o_custkey % 12 AS STRING) AS source_id, CAST
 
 
 @query("listing_stop", f"""
-WITH near AS (SELECT *, coalesce(item_date >= TIMESTAMP '2001-06-01', TRUE) AS inside FROM ({_LISTING}) WHERE page <= 50),
+WITH near AS (SELECT *, coalesce(item_date >= TIMESTAMP '2001-06-01', TRUE) AS inside FROM ({_LISTING})),
  firsts AS (SELECT source_id, page, count(*) AS n FROM (SELECT source_id, full_url, min(page) AS page FROM near WHERE inside GROUP BY ALL) GROUP BY ALL),
  pages AS (SELECT source_id, page, coalesce(max(n), 0) AS new_links, bool_or(coalesce(item_date >= TIMESTAMP '2001-06-01', FALSE)) AS has_inside FROM near LEFT JOIN firsts USING (source_id, page) GROUP BY ALL),
  flagged AS (SELECT *, (page > 1 AND new_links = 0) OR (page > 2 AND NOT has_inside) AS stops FROM pages)
@@ -228,13 +228,13 @@ def sync_missing(spark, sf):
  CASE WHEN budget_value IS NULL OR budget_value = 0 THEN '' ELSE CAST(budget_value AS VARCHAR) END AS budget_value, coalesce(budget_text, '') AS budget_text, location, source, source_url,
  strftime(published_at, '%d/%m/%Y %H:%M') AS published_at, strftime(crawled_at, '%d/%m/%Y %H:%M') AS crawled_at, coalesce(contact_name, '') AS contact_name,
  coalesce(contact_email, '') AS contact_email, coalesce(contact_phone, '') AS contact_phone, 'score ' || score || ' | ' || recommended_action AS score_reasons
-FROM (SELECT * FROM {v_leads} WHERE status <> 'ARCHIVED' ORDER BY score DESC NULLS LAST, crawled_at DESC NULLS LAST, id LIMIT 10000)""")
+FROM (SELECT * FROM {v_leads} WHERE status <> 'ARCHIVED' ORDER BY score DESC NULLS LAST, crawled_at DESC NULLS LAST, id)""")
 def export_csv_rows(spark, sf):
     return tables.csv_rows(tables.best_first(search.filter_leads(leads(spark, sf))), labelled=False)
 
 
 @query("export_json_rows", """SELECT id, score, array_to_string(string_split(categories, '|'), '|') AS need_categories, budget_value, strftime(published_at, '%Y-%m-%dT%H:%M:%S') AS published_at,
- strftime(deadline, '%Y-%m-%dT%H:%M:%S') AS deadline, relevance, status FROM (SELECT * FROM {v_leads} WHERE source = 'src_4' AND status <> 'ARCHIVED' ORDER BY score DESC NULLS LAST, crawled_at DESC NULLS LAST, id LIMIT 10000)""")
+ strftime(deadline, '%Y-%m-%dT%H:%M:%S') AS deadline, relevance, status FROM (SELECT * FROM {v_leads} WHERE source = 'src_4' AND status <> 'ARCHIVED' ORDER BY score DESC NULLS LAST, crawled_at DESC NULLS LAST, id)""")
 def export_json_rows(spark, sf):
     rows = tables.json_rows(tables.best_first(search.filter_leads(leads(spark, sf), source="src_4")))
     return rows.select("id", "score", F.array_join("need_categories", "|").alias("need_categories"), "budget_value", "published_at", "deadline", "relevance", "status")

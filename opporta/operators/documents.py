@@ -9,7 +9,6 @@ from opporta.functions import ids
 
 # Fixed values.
 CHALLENGE_MARKERS = ["cf-chl-", "challenges.cloudflare.com", "just a moment", "verify you are human", "checking your browser"]
-CHALLENGE_WINDOW = 30_000
 PERMANENT_ERRORS = (
     r"network is unreachable|nameresolutionerror|connection refused|getaddrinfo|http (?:400|401|403|404|405|410|422)"
 )
@@ -41,9 +40,9 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract(name, place, 0).alias("snapshot_path"))
 
 
-def reject_reason(window: int | None = CHALLENGE_WINDOW) -> Column:
-    """Why a fetched page is unusable, or null. A challenge page shows its marker in the first
-    `window` characters; None looks at the whole page."""
+def reject_reason(window: int | None = None) -> Column:
+    """Why a fetched page is unusable, or null. A challenge page shows its marker anywhere, or, with a
+    `window`, in its first characters."""
     head = F.lower(F.col("html") if window is None else F.left("html", F.lit(window)))
     challenged = F.lit(False)
     for marker in CHALLENGE_MARKERS:
@@ -56,7 +55,7 @@ def reject_reason(window: int | None = CHALLENGE_WINDOW) -> Column:
         .when((kind != "") & ~kind.rlike("html|xml|text"), "content_type"))
 
 
-def quality_gate(raw: DataFrame, window: int | None = CHALLENGE_WINDOW) -> DataFrame:
+def quality_gate(raw: DataFrame, window: int | None = None) -> DataFrame:
     return raw.withColumn("reject_reason", reject_reason(window))
 
 

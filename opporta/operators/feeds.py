@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opporta.functions import addresses, dates, let, once, text as tx, url
 from opporta.operators.pages import with_cards
 from opporta.rules.link_rules import JOB_URL
+from opporta.runtime import cut_lineage
 
 
 def job_cards(listings: DataFrame, now: Column) -> DataFrame:
@@ -36,6 +37,11 @@ def job_cards(listings: DataFrame, now: Column) -> DataFrame:
             .select("listing_url", "url", "c.*"))
 
 
+def _is_json(text: Column, first: str) -> Column:
+    """A JSON object (`{`) or list (`[`); a text that only begins like one is a text."""
+    return F.coalesce(text.startswith(first) & F.try_parse_json(text).isNotNull(), F.lit(False))
+
+
 def _opened(text: Column, *keys: str) -> Column:
     """The keys of a JSON object as text, read in one pass; all null for other text."""
     return F.from_json(text, ", ".join(f"`{k}` STRING" for k in dict.fromkeys(keys)))
@@ -78,20 +84,20 @@ def social_posts(posts: DataFrame, now: Column) -> DataFrame:
 
     def text_or(value: Column, *keys: str) -> Column:
         """The text itself, or the first of the keys when it is an object."""
-        return F.when(value.startswith("{"), let(_opened(value, *keys), lambda o: _field(o, *keys))).otherwise(value)
+        return F.when(_is_json(value, "{"), let(_opened(value, *keys), lambda o: _field(o, *keys))).otherwise(value)
 
     def first_of(*values: Column) -> Column:
         return F.coalesce(*[tx.blank_to_null(F.trim(v)) for v in values])
 
     post = let(_opened(F.col("body"), *[k for ks in _POST.values() for k in ks]), facts)
     read = once(posts, ["position"], p=post).select("position", "p.*")
-    named = once(read, read.columns, by=F.when(F.col("author").startswith("{"), let(
+    named = once(read, read.columns, by=F.when(_is_json(F.col("author"), "{"), let(
         _opened(F.col("author"), *[k for ks in _AUTHOR.values() for k in ks]), writer)))
     epoch = F.when(F.col("posted").rlike(r"^-?\d+(?:\.\d+)?(?:[eE]\d+)?$"), F.col("posted").try_cast("double"))
     micros = let(epoch, lambda e: (F.when(e > 1e10, e / 1000).otherwise(e) * 1e6).cast("bigint"))
     flat = once(
         named, ["position"], url=F.trim("url"), content=text_or(F.col("text"), *_TEXT),
-        author=first_of(F.when(~F.col("author").startswith("{"), F.col("author")), F.col("by.name"), F.col("name")),
+        author=first_of(F.when(~_is_json(F.col("author"), "{"), F.col("author")), F.col("by.name"), F.col("name")),
         author_title=first_of(F.col("by.role"), F.col("role")),
         author_company=first_of(text_or(F.col("by.company"), "name", "title"), F.col("company")),
         published_at=F.when(epoch.isNotNull(), F.convert_timezone(
@@ -130,14 +136,14 @@ def _first_url(item: Column, opened: Column) -> Column:
         return let(_opened(text, *_URL_KEYS), lambda o: F.array(*[o[k] for k in _URL_KEYS]))
 
     texts = F.flatten(F.transform(F.array(*[opened[k] for k in _URL_KEYS]),
-                                  lambda v: F.when(v.startswith("{"), inner(v)).otherwise(F.array(v))))
-    urls = F.transform(F.when(item.startswith("{"), texts).otherwise(F.array(item)), lambda v: F.get(url.urls_in_text(v), 0))
+                                  lambda v: F.when(_is_json(v, "{"), inner(v)).otherwise(F.array(v))))
+    urls = F.transform(F.when(_is_json(item, "{"), texts).otherwise(F.array(item)), lambda v: F.get(url.urls_in_text(v), 0))
     return F.get(F.filter(urls, lambda u: u.isNotNull()), 0)
 
 
 def _text_of(opened: Column, *keys: str) -> Column:
     values = F.transform(F.array(*[opened[k] for k in keys]), lambda v: F.trim(v))
-    return F.get(F.filter(values, lambda v: (v != "") & ~v.rlike(r"^[\[{]")), 0)
+    return F.get(F.filter(values, lambda v: (v != "") & ~_is_json(v, "[") & ~_is_json(v, "{")), 0)
 
 
 def _with_item_fields(items: DataFrame) -> DataFrame:
@@ -146,35 +152,41 @@ def _with_item_fields(items: DataFrame) -> DataFrame:
     return once(opened, opened.columns, found=_first_url(F.col("item"), F.col("o")))
 
 
-def _open_lists(items: DataFrame, depth: int) -> DataFrame:
-    """Replace containers by their members: lists by items, URL-less objects by their known list key."""
-    nothing = F.array().cast("array<string>")
-    for level in range(depth):
-        item = F.col("item")
+def _open_lists(items: DataFrame) -> tuple[DataFrame, int]:
+    """Replace containers by their members until none is left: lists by items, URL-less objects by their known list key.
+
+    Returns the items, with their place at each level, and the number of levels: as many as the deepest answer has.
+    """
+    nothing, level = F.array().cast("array<string>"), 0
+    items = cut_lineage(_with_item_fields(items))
+    item = F.col("item")
+    is_list, is_object = _is_json(item, "["), _is_json(item, "{") & F.col("found").isNull()
+    while not items.where(is_list | is_object).isEmpty():
         nested = F.coalesce(*[F.col(f"o.{k}") for k in _LIST_KEYS])
-        members = (F.when(item.startswith("["), F.from_json(item, "ARRAY<STRING>"))
-                   .when(item.startswith("{") & F.col("found").isNull(), F.when(nested.isNotNull(), F.array(nested)).otherwise(nothing))
+        members = (F.when(is_list, F.from_json(item, "ARRAY<STRING>"))
+                   .when(is_object, F.when(nested.isNotNull(), F.array(nested)).otherwise(nothing))
                    .otherwise(F.array(item)))
         places = [f"p{i}" for i in range(level)]
-        items = _with_item_fields(items).select("query", "answer", *places, F.posexplode(members).alias(f"p{level}", "item"))
-    return _with_item_fields(items)
+        items = cut_lineage(_with_item_fields(items.select("query", "answer", *places, F.posexplode(members).alias(f"p{level}", "item"))))
+        level += 1
+    return items, level
 
 
-def search_results(responses: DataFrame, max_results: int = 5, depth: int = 4) -> DataFrame:
+def search_results(responses: DataFrame, max_results: int | None = None) -> DataFrame:
     """Search answers (`query`, JSON `body`) to rows: position, title, url, snippet, published_at.
 
-    Structured results come first, then URLs named in the answer text; one row per URL; the first
-    `max_results` are kept; search-engine pages and non-public URLs are dropped after that.
+    Structured results come first, then URLs named in the answer text; one row per URL; with
+    `max_results` only the first of a query are kept; search-engine pages and non-public URLs are dropped after that.
     """
     body = F.trim("body")
-    wrapped = F.when(body.startswith("["), F.concat(F.lit('{"results":'), body, F.lit("}"))).otherwise(body)
+    wrapped = F.when(_is_json(body, "["), F.concat(F.lit('{"results":'), body, F.lit("}"))).otherwise(body)
     base = responses.select("query", _opened(wrapped, "results", "answer").alias("d")).select(
         "query", F.col("d.results").alias("item"), F.col("d.answer").alias("given"), _opened(F.col("d.answer"), *_ANSWER_KEYS).alias("a")).select(
-        "query", "item", F.coalesce(F.when(F.col("given").startswith("{"), F.trim(_field(F.col("a"), *_ANSWER_KEYS))).otherwise(F.trim("given")), F.lit("")).alias("answer"))
-    items = _open_lists(base.where("item IS NOT NULL"), depth)
+        "query", "item", F.coalesce(F.when(_is_json(F.col("given"), "{"), F.trim(_field(F.col("a"), *_ANSWER_KEYS))).otherwise(F.trim("given")), F.lit("")).alias("answer"))
+    items, depth = _open_lists(base.where("item IS NOT NULL"))
     opened = F.col("o")
     listed = items.select(
-        "query", "answer", F.struct(F.lit(0).alias("stage"), F.array(*[f"p{i}" for i in range(depth)]).alias("at")).alias("rank"),
+        "query", "answer", F.struct(F.lit(0).alias("stage"), F.array(*[f"p{i}" for i in range(depth)]).cast("array<int>").alias("at")).alias("rank"),
         F.col("found").alias("url"), _text_of(opened, *_TITLE_KEYS).alias("title"),
         F.coalesce(_text_of(opened, *_SNIPPET_KEYS), F.lit("")).alias("snippet"),
         F.coalesce(opened["published_at"], opened["date"]).alias("published_at"))
@@ -188,7 +200,8 @@ def search_results(responses: DataFrame, max_results: int = 5, depth: int = 4) -
               .groupBy("query", "url").agg(F.min_by(payload, "rank").alias("r"), F.first("answer").alias("answer")))
     # The best `max_results` per query: each task trims before the shuffle.
     best = W.partitionBy("query").orderBy("r.rank")
-    ranked = unique.withColumn("position", F.row_number().over(best)).where(F.col("position") <= max_results)
+    ranked = unique.withColumn("position", F.row_number().over(best))
+    ranked = ranked if max_results is None else ranked.where(F.col("position") <= max_results)
     clean = once(ranked, ["query", "position", "r", "answer"], url=url.canonical(F.col("r.url"))).select(
         "query", "position", F.col("r.title").alias("title"), "url", F.col("r.snippet").alias("snippet"),
         F.col("r.published_at").alias("published_at"), "answer")

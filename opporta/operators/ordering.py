@@ -8,46 +8,44 @@ from pyspark.sql import functions as F
 
 from opporta.runtime import cut_lineage
 
-HOT_ROWS = 2_000_000
+def with_row_number(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """1-based position (bigint) of each row inside its group; `order` must be unique inside a group.
 
-
-def with_row_number(df: DataFrame, keys: list[str], order: list[str], out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """1-based position of each row inside its group; `order` must be unique inside a group.
-
-    Groups up to `hot_rows` rows use a window. Beyond that, rows are range-partitioned on key and
-    order, so a hot group is split over many tasks; each task numbers its slice and adds the sizes of
-    the slices before it. Same numbers, no task holds a whole group.
+    Rows are range-partitioned on key and order, so a hot group is split over many tasks; each task numbers
+    its slice and adds the sizes of the slices before it. No task holds a whole group.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= hot_rows:
-        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     slices = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
     sizes = slices.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(
         W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     local = slices.withColumn("_pos", F.row_number().over(W.partitionBy("_slice", *keys).orderBy(*order)))
-    return local.join(before, [*keys, "_slice"]).withColumn(out, (F.col("_pos") + F.col("_before")).cast("int")).drop(
+    same = F.lit(True)
+    for k in (*keys, "_slice"):
+        same = same & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
+    joined = local.alias("a").join(before.alias("b"), same).select("a.*", "b._before")
+    return joined.withColumn(out, F.col("_pos") + F.col("_before")).drop(
         "_slice", "_pos", "_before")
 
 
-def fair_interleave(items: DataFrame, source_order: str = "source_order", position: str = "position", batch: int = 25,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+def fair_interleave(items: DataFrame, source_order: str = "source_order", position: str = "position", batch: int = 25) -> DataFrame:
     """Round-robin: `batch` items per source and round. Sort by (round, source order, number) to run."""
-    numbered = with_row_number(items, [source_order], [position], "number", hot_rows)
+    numbered = with_row_number(items, [source_order], [position], "number")
     return numbered.withColumn("round", F.floor((F.col("number") - 1) / batch).cast("int") + 1)
 
 
-def balanced_top(candidates: DataFrame, keywords: list[str], max_items: int | None = None, max_queries: int = 6) -> DataFrame:
+def balanced_top(candidates: DataFrame, keywords: list[str], max_items: int | None = None, max_queries: int | None = None,
+                 per_keyword: int = 10) -> DataFrame:
     """Candidate URLs per source, balanced over its search keywords.
 
-    Each keyword in turn takes its first `ceil(max / keywords)` URLs (10 without a maximum) not taken
-    before; then the list is cut to the maximum. candidates: source_id, keyword, position, target_url.
-    The loop runs once per keyword, at most `max_queries` times; no step holds a whole source.
+    Each keyword in turn takes its first `ceil(max / keywords)` URLs (`per_keyword` without a maximum) not
+    taken before; then the list is cut to the maximum. candidates: source_id, keyword, position, target_url.
+    The loop runs once per keyword (at most `max_queries`, if given). What a keyword took is checkpointed, so
+    the plan of a round does not hold the rounds before it; no step holds a whole source.
     """
-    used = keywords[: min(max_queries, max_items) if max_items else max_queries]
+    used = keywords[: min((n for n in (max_queries, max_items) if n), default=len(keywords))]
     if not used:
         return candidates.limit(0).withColumn("keyword_order", F.lit(0))
-    quota = max(1, -(-(max_items or len(used) * 10) // len(used)))
+    quota = max(1, -(-(max_items or len(used) * per_keyword) // len(used)))
     taken: DataFrame | None = None
     for order, keyword in enumerate(used):
         own = candidates.where(F.col("keyword") == keyword).groupBy("source_id", "target_url").agg(F.min("position").alias("position"))
@@ -56,6 +54,7 @@ def balanced_top(candidates: DataFrame, keywords: list[str], max_items: int | No
         first = W.partitionBy("source_id").orderBy("position", "target_url")
         picked = own.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= quota).select(
             "source_id", "target_url", F.lit(keyword).alias("keyword"), F.lit(order).alias("keyword_order"), "position")
+        picked = cut_lineage(picked)
         taken = picked if taken is None else taken.unionByName(picked)
     if max_items:
         final = W.partitionBy("source_id").orderBy("keyword_order", "position", "target_url")
@@ -63,16 +62,16 @@ def balanced_top(candidates: DataFrame, keywords: list[str], max_items: int | No
     return taken
 
 
-def listing_stop(links: DataFrame, since: Column | None = None, max_pages: int = 50) -> DataFrame:
+def listing_stop(links: DataFrame, since: Column | None = None, max_pages: int | None = None) -> DataFrame:
     """Listing pages read before the stop rule fires. links: source_id, page, full_url, item_date.
 
     Reading stops at the first page after page 1 without a new link, and, with a time window, at the
     first page after page 2 without an item dated inside it (undated items do not count as inside).
-    The stopping page itself was read. At most `max_pages` pages per source reach the window.
+    The stopping page itself was read. With `max_pages`, later pages are not looked at.
     """
     inside = F.lit(True) if since is None else F.coalesce(F.col("item_date") >= since, F.lit(True))
     dated_inside = F.lit(True) if since is None else F.coalesce(F.col("item_date") >= since, F.lit(False))
-    near = links.where(F.col("page") <= max_pages)
+    near = links if max_pages is None else links.where(F.col("page") <= max_pages)
     # A link out of the window is not taken, so it is not new either.
     firsts = near.where(inside).groupBy("source_id", "full_url").agg(F.min("page").alias("page")).groupBy(
         "source_id", "page").agg(F.count("*").alias("new_links"))

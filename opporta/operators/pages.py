@@ -16,7 +16,7 @@ PAGE_FIELDS = """h1 STRING, h1_spaced STRING, h1_title STRING, h1_heading STRING
  metas ARRAY<STRUCT<marker: STRING, content: STRING>>, date_elements ARRAY<STRING>,
  links ARRAY<STRUCT<position: INT, href: STRING, resolved: STRING, text: STRING, in_chrome: BOOLEAN,
   block: INT, near_date: STRING>>, blocks ARRAY<STRING>, paragraphs ARRAY<STRING>,
- visible_text STRING, parse_error STRING"""
+ visible_text STRING, body_text STRING, parse_error STRING"""
 
 CARD_FIELDS = """links ARRAY<STRUCT<resolved: STRING, text: STRING>>, title STRING, company STRING,
  card_text STRING, position INT, parse_error STRING"""
@@ -55,6 +55,7 @@ def read_page(markup: str, base_url: str, wanted: frozenset[str] | None = None)
         "metas": lambda: [{"marker": " ".join(m.get(k, "") for k in ("property", "name", "itemprop", "id")).lower(),
                            "content": tidy(m.get("content") or m.get("datetime"))} for m in metas],
         "date_elements": page.date_elements, "paragraphs": page.body_paragraphs, "visible_text": page.visible_text,
+        "body_text": page.body_text,
     }
     out = {name: make() for name, make in makers.items() if wanted is None or name in wanted}
     if wanted is None or "links" in wanted:

@@ -14,7 +14,7 @@ _JOB_FIELDS = "ARRAY<STRUCT<`@type`: STRING, title: STRING, hiringOrganization:
 
 # Page fields an item is made of: all but links.
 ITEM_FIELDS = ("h1", "h1_spaced", "h1_title", "h1_heading", "h2", "page_title", "title_block", "og_title", "description", "company",
-               "json_ld", "json_dates", "metas", "date_elements", "paragraphs", "visible_text")
+               "json_ld", "json_dates", "metas", "date_elements", "paragraphs", "visible_text", "body_text")
 
 
 def _first_date(values: Column, now: Column) -> Column:
@@ -106,10 +106,11 @@ def parse_items(raw: DataFrame, now: Column) -> DataFrame:
         .when(of_kind("paragraphs") & (F.size("paragraphs") > 0), F.array_join("paragraphs", "\n\n"))
         .when(of_kind("labelled"), F.array_join(F.concat("lines", F.array("visible_text")), "\n"))
         .when(is_job & F.col("firm").isNotNull(), F.concat(F.lit("Đơn vị tuyển dụng: "), F.col("firm"), F.lit("\n"), F.col("visible_text")))
+        .when(F.col("rule") == "generic", F.col("body_text"))
         .otherwise(F.col("visible_text")))
     error = (
         F.when(F.col("parse_error").isNotNull(), F.col("parse_error"))
-        .when((F.col("visible_text") == "") & F.col("rule").isin("generic", "topcv"), "no text")
+        .when((F.col("rule") == "generic") & (F.col("body_text") == "") | (F.col("rule") == "topcv") & (F.col("visible_text") == ""), "no text")
         .when(is_job & tx.blank_to_null(F.col("title")).isNull(), "no title"))
     return staged.select(
         *keep, F.when(F.col("rule").isin("generic", "topcv"), F.left("title", F.lit(500))).otherwise(F.col("title")).alias("title"),

@@ -92,6 +92,12 @@ def profiles(responses: DataFrame, pages_used: DataFrame) -> DataFrame:
         "missing_information", missing_fields(F.col("declared"), values)).drop("declared")
 
 
+def rejected_profiles(responses: DataFrame) -> DataFrame:
+    """Profile answers that gave no profile, with the reason."""
+    read = responses.where("kind = 'profile'").withColumn("_r", F.from_json(json_object(F.col("body")), PROFILE + ", _bad STRING", _OPTIONS))
+    return read.where(F.col("_r").isNull() | F.col("_r._bad").isNotNull()).select("doc_url", "body", F.lit("invalid profile").alias("reject_reason"))
+
+
 def profile_status(missing: Column, crawl_error: Column, extraction_error: Column, supplemental_error: Column) -> Column:
     return (F.when(F.size(missing) == 0, "COMPLETE")
             .when(crawl_error.isNotNull() & supplemental_error.isNotNull(), "SECOND_CRAWL_BLOCKED")

@@ -51,7 +51,8 @@ def resolve(mentions: DataFrame) -> DataFrame:
     """Add `component`. Mentions with the same domain or tax code are one organization (transitively).
 
     A mention with neither joins an organization of its name: the smallest component that has a mention
-    so named, else a component of its own name. Repeated key pairs collapse before the graph is built.
+    so named, else a component of its own name. Repeated key pairs collapse before the graph is built. A
+    mention without domain, tax code and name tells of no organization and is left out (see `nameless`).
     """
     domain, tax, name = _keys()
     keyed = mentions.withColumns({"_d": domain, "_t": tax, "_n": name}).withColumn("_k", F.coalesce("_d", "_t"))
@@ -60,10 +61,15 @@ def resolve(mentions: DataFrame) -> DataFrame:
     parts = cut_lineage(connected_components(pairs))
     by_key = keyed.where("_k IS NOT NULL").join(parts, keyed._k == parts.node).drop("node")
     names = by_key.where("_n IS NOT NULL").groupBy("_n").agg(F.min("component").alias("_named"))
-    by_name = keyed.where("_k IS NULL").join(names, "_n", "left").withColumn("component", F.coalesce("_named", "_n")).drop("_named")
+    by_name = keyed.where("_k IS NULL AND _n IS NOT NULL").join(names, "_n", "left").withColumn("component", F.coalesce("_named", "_n")).drop("_named")
     return by_key.unionByName(by_name).drop("_d", "_t", "_n", "_k")
 
 
+def nameless(mentions: DataFrame) -> DataFrame:
+    """Mentions that name no organization: no domain, tax code or name."""
+    return mentions.where(F.coalesce(*_keys()).isNull())
+
+
 def merge_organizations(resolved: DataFrame, fields: list[str], existing_id: str | None = None, compat: bool = False) -> DataFrame:
     """One row per component: latest non-null value per field by `verified_at` (ties: `mention_id`).
 

@@ -26,13 +26,12 @@ def source_overview(sources: DataFrame, leads: DataFrame, runs: DataFrame, jobs:
     """
     active = jobs.where(F.col("status").isin("QUEUED", "RUNNING")).select("source_id", F.struct("requested_at", "id", "status").alias("j"))
     own = active.where("source_id IS NOT NULL").groupBy("source_id").agg(F.min("j").alias("own_job"))
+    # One row: the earliest job over all sources, beside each source.
     shared = active.where("source_id IS NULL").agg(F.min("j").alias("shared_job"))
     last = latest_runs(runs).select(F.col("source").alias("id"), F.col("status").alias("run_status"), F.col("start_time").alias("last_crawl_at"))
     joined = (
         sources.join(source_counts(leads).withColumnRenamed("source", "id"), "id", "left").join(last, "id", "left")
-        .join(own.withColumnRenamed("source_id", "id"), "id", "left")
-        # One aggregate row beside each source.
-        .withColumn("_one", F.lit(1)).join(shared.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+        .join(own.withColumnRenamed("source_id", "id"), "id", "left").withColumn("shared_job", shared.scalar()))
     job = F.least("own_job", "shared_job")
     return joined.select(
         "id", "name", "enabled", F.coalesce("total_leads", F.lit(0)).alias("total_leads"), F.coalesce("hot_leads", F.lit(0)).alias("hot_leads"),

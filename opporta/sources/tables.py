@@ -23,12 +23,11 @@ JSON_COLUMNS = [
     "budget_text", "location", "source", "source_url", "published_at", "crawled_at", "contact_name", "contact_email", "contact_phone",
     "deadline", "relevance", "score_reasons", "evidence", "status",
 ]
-EXPORT_ROWS = 10_000
 COLLECTION_KINDS = ("projects", "news", "jobs", "tenders")
 BOM = "﻿"
 
 
-def best_first(leads: DataFrame, limit: int | None = EXPORT_ROWS) -> DataFrame:
+def best_first(leads: DataFrame, limit: int | None = None) -> DataFrame:
     ordered = leads.orderBy(F.col("score").desc_nulls_last(), F.col("crawled_at").desc_nulls_last(), "id")
     return ordered if limit is None else ordered.limit(limit)
 
@@ -54,9 +53,9 @@ def csv_rows(leads: DataFrame, labelled: bool = True) -> DataFrame:
     return leads.select(*[_shown(c).alias(label if labelled else c) for label, c in CSV_COLUMNS])
 
 
-def write_csv(leads: DataFrame, path: str, limit: int | None = EXPORT_ROWS) -> None:
-    """CSV for spreadsheets: one byte-order mark, before the first label. An export of the best
-    10,000 rows is one file; without a limit the table is written in parts."""
+def write_csv(leads: DataFrame, path: str, limit: int | None = None) -> None:
+    """CSV for spreadsheets: one byte-order mark, before the first label. The best `limit`
+    rows are one file; without a limit the whole table is written in parts."""
     rows = csv_rows(best_first(leads, limit) if limit else leads)
     first, *rest = rows.columns
     marked = rows.select(F.col(f"`{first}`").alias(BOM + first), *[F.col(f"`{c}`") for c in rest])
@@ -75,7 +74,7 @@ def json_rows(leads: DataFrame) -> DataFrame:
     return leads.select(*[iso(F.col(c)).alias(c) if c in LEAD_SHEET_DATES else F.col(c) for c in JSON_COLUMNS])
 
 
-def write_json(leads: DataFrame, path: str, limit: int | None = EXPORT_ROWS) -> None:
+def write_json(leads: DataFrame, path: str, limit: int | None = None) -> None:
     json_rows(best_first(leads, limit) if limit else leads).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 

@@ -23,7 +23,7 @@ def _utc(value) -> pd.Timestamp | None:
 
 
 class StatusFold(StatefulProcessor):
-    """Newest event by event time wins; an error on a generic source disables it for good."""
+    """Newest event by event time wins, events without a time or status aside; an error on a generic source disables it for good."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("status", "status STRING, failed BOOLEAN, ever_failed BOOLEAN, generic BOOLEAN, at TIMESTAMP, ok TIMESTAMP")
@@ -37,14 +37,17 @@ class StatusFold(StatefulProcessor):
             good = batch.loc[~bad & (batch["status"] == "SUCCESS"), "at"]
             if len(good):
                 ok = good.max() if ok is None else max(ok, good.max())
-            last = batch.sort_values(["at", "status"]).iloc[-1]
+            timed = batch[batch["at"].notna() & batch["status"].notna()]
+            if not len(timed):
+                continue
+            last = timed.sort_values(["at", "status"]).iloc[-1]
             # A late event never replaces a newer one.
             if at is None or (last["at"], last["status"]) > (at, status or ""):
                 status, failed, at = last["status"], bool(last["error"]), last["at"]
-        self.state.update((status, failed, ever, generic, at.to_pydatetime(), None if ok is None else ok.to_pydatetime()))
+        self.state.update((status, failed, ever, generic, None if at is None else at.to_pydatetime(), None if ok is None else ok.to_pydatetime()))
         yield pd.DataFrame({
-            "source_id": [key[0]], "status": ["NEEDS_ADAPTER" if failed and generic else status], "last_error": [NOTICE if failed else ""],
-            "enabled": [not (generic and ever)], "at": [at], "last_success_at": pd.Series([ok], dtype="datetime64[ns]")})
+            "source_id": [key[0]], "status": pd.Series(["NEEDS_ADAPTER" if failed and generic else status], dtype=object), "last_error": [NOTICE if failed else ""],
+            "enabled": [not (generic and ever)], "at": pd.Series([at], dtype="datetime64[ns]"), "last_success_at": pd.Series([ok], dtype="datetime64[ns]")})
 
     def close(self) -> None:
         pass

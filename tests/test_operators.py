@@ -123,7 +123,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_interleave_is_a_permutation(spark):
     df = spark.range(500).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 5).alias("source_order"), F.col("id").alias("position"))
-    small, hot = (sorted((r.source_order, r.position, r.round) for r in ordering.fair_interleave(df, hot_rows=n).collect()) for n in (1000, 0))
+    small, hot = (sorted((r.source_order, r.position, r.round) for r in ordering.fair_interleave(df.repartition(n)).collect()) for n in (1, 7))
     assert small == hot and len(small) == 500
     assert max(c["count"] for c in ordering.fair_interleave(df).groupBy("source_order", "round").count().collect()) == 25
 

@@ -54,7 +54,7 @@ def test_query_equals_oracle(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", ["keyword_matches", "keyword_matches_large_registry", "grounded_records", "item_triage", "dedup_url_feed",
-                                  "sync_missing", "lead_upsert", "profile_ingest", "search_results", "section_links"])
+                                  "sync_missing", "lead_upsert", "profile_ingest", "search_results", "section_links", "source_overview", "org_resolution", "top_per_keyword"])
 def test_plan_has_no_pairwise_join(spark, name):
     out = io.StringIO()
     with contextlib.redirect_stdout(out):

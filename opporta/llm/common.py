@@ -10,6 +10,31 @@ from pyspark.sql import functions as F
 from opporta import runtime
 
 
+BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Keep what a Python worker gets at once small: documents are long, and a batch of the usual 10,000 is not.
+
+    Lowers the session's Arrow batch limits; lower ones that the caller has set stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
+_kept: dict = {}
+
+
+def worker_state(owner: str, key, make):
+    """What a Python worker keeps from task to task for one operator. Another operator's, or another key's, goes."""
+    if (owner, key) not in _kept:
+        _kept.clear()
+        _kept[(owner, key)] = make()
+    return _kept[(owner, key)]
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder under the checkpoint folder, which the driver and all executors reach."""
     runtime.ensure_checkpoint_dir(spark)

@@ -10,17 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opporta.llm.common import free_name
+from opporta.llm.common import bound_batches, free_name, worker_state
 
 WINDOW = 10
 SHARD_BYTES = 8_000_000  # of benchmark text in one automaton
-RUNS = "struct<n_words: bigint, item_ids: array<string>, runs: array<struct<first: bigint, after: bigint>>>"
 SPANS = "array<struct<start: bigint, end: bigint, first: bigint, after: bigint>>"
-_RUNS_TYPE = pa.struct([("n_words", pa.int64()), ("item_ids", pa.list_(pa.string())), ("runs", pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))])
+FOUND = f"struct<n_words: bigint, item_ids: array<string>, spans: {SPANS}>"
 _SPANS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64()), ("after", pa.int64())]))
+_FOUND_TYPE = pa.struct([("n_words", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", _SPANS_TYPE)])
 # A word is a run of bytes other than these ASCII ones, after A-Z became a-z.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_ready: dict[str, tuple] = {}
 
 
 def words(text: str) -> list[bytes]:
@@ -34,22 +33,20 @@ def _windows(text: str, window: int) -> set[tuple[bytes, ...]]:
     return {tuple(found[i:i + window]) for i in range(len(found) - window + 1)}
 
 
-def _automaton(key: str, items: list[tuple[str, str]], window: int) -> tuple:
-    """Automaton over word numbers, the numbers, and the items of each pattern; built once in a Python worker."""
-    if key not in _ready:
-        _ready.clear()
-        owners: dict[tuple, list[str]] = {}
-        for item, text in items:
-            for w in _windows(text, window):
-                owners.setdefault(w, []).append(item)
-        number: dict[bytes, int] = {}
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for pattern, names in owners.items():
-            machine.add_word(tuple(number.setdefault(w, len(number) + 1) for w in pattern), (len(pattern), names))
-        if owners:
-            machine.make_automaton()
-        _ready[key] = machine if owners else None, number
-    return _ready[key]
+def _automaton(items: list[tuple[str, str]], window: int) -> tuple:
+    """Automaton over word numbers, with the length and the items of each pattern, and the numbers of the words."""
+    owners: dict[tuple, list[str]] = {}
+    for item, text in items:
+        for w in _windows(text, window):
+            owners.setdefault(w, []).append(item)
+    number: dict[bytes, int] = {}
+    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for pattern, names in owners.items():
+        machine.add_word(tuple(number.setdefault(w, len(number) + 1) for w in pattern), (len(pattern), names))
+    if not owners:
+        return None, number
+    machine.make_automaton()
+    return machine, number
 
 
 def _covered(machine, number: dict[bytes, int], found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -74,35 +71,40 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
+    """Runs of words with their character offsets in the original text."""
+    raw, at, ends = text.encode(), 0, []
+    normal = raw.translate(_NORMAL)
+    for w in normal.split():
+        at = normal.index(w, at)
+        ends.append((at, at + len(w)))
+        at += len(w)
+    return [{"start": len(raw[:ends[a][0]].decode()), "end": len(raw[:ends[b - 1][1]].decode()), "first": a, "after": b} for a, b in runs]
+
+
 def _scanner(sent, window: int):
-    @F.arrow_udf(RUNS)
+    @F.arrow_udf(FOUND)
     def scan_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine, number = _automaton(*sent.value, window)
+        key, items = sent.value
+        machine, number = worker_state("automaton", key, lambda: _automaton(items, window))
         for batch in batches:
             rows = []
-            for text in batch:
-                found = words(text.as_py() or "")
+            for value in batch:
+                text = value.as_py() or ""
+                found = words(text)
                 runs, names = _covered(machine, number, found) if machine and found else ([], set())
-                rows.append({"n_words": len(found), "item_ids": sorted(names), "runs": [{"first": a, "after": b} for a, b in runs]})
-            yield pa.array(rows, type=_RUNS_TYPE)
+                rows.append({"n_words": len(found), "item_ids": sorted(names), "spans": _spans(text, runs) if runs else []})
+            yield pa.array(rows, type=_FOUND_TYPE)
     return scan_texts.asNondeterministic()  # evaluated once, also where a filter follows
 
 
-def _located(text: pa.Array, runs: pa.Array) -> pa.Array:
-    """Runs of several scans merged, with character offsets in the original text."""
+def _joined(parts: pa.Array) -> pa.Array:
+    """Spans found by several scans of one text, merged."""
     rows = []
-    for t, found in zip(text.to_pylist(), runs.to_pylist(), strict=True):
-        if t is None:
-            rows.append([])
-            continue
-        raw, at, ends = t.encode(), 0, []
-        normal = raw.translate(_NORMAL)
-        for w in normal.split():
-            at = normal.index(w, at)
-            ends.append((at, at + len(w)))
-            at += len(w)
-        spans = merged([(r["first"], r["after"]) for one in found for r in one])
-        rows.append([{"start": len(raw[:ends[a][0]].decode()), "end": len(raw[:ends[b - 1][1]].decode()), "first": a, "after": b} for a, b in spans])
+    for found in parts.to_pylist():
+        starts = {s["first"]: s["start"] for one in found for s in one}
+        ends = {s["after"]: s["end"] for one in found for s in one}
+        rows.append([{"start": starts[a], "end": ends[b], "first": a, "after": b} for a, b in merged([(s["first"], s["after"]) for one in found for s in one])])
     return pa.array(rows, type=_SPANS_TYPE)
 
 
@@ -119,6 +121,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     each shard, so a worker's memory does not grow with the benchmark. No row of `docs` is shuffled.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = 1 if total <= shard_bytes else -(-total // (shard_bytes // 2))
@@ -129,8 +132,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         parts.append(free_name(out, f"decontamination_{k}"))
         out = out.withColumn(parts[-1], _scanner(sent, window)(F.col(text)))
     name, spans = free_name(out, "decontamination"), free_name(out, "hit_spans")
-    hit = F.greatest(*[F.size(f"{p}.runs") for p in parts], F.lit(0)) > 0
-    out = out.withColumn(spans, F.arrow_udf(_located, SPANS)(F.when(hit, F.col(text)), F.array(*[f"{p}.runs" for p in parts])))
+    out = out.withColumn(spans, F.col(f"{parts[0]}.spans") if shards == 1 else F.arrow_udf(_joined, SPANS)(F.array(*[f"{p}.spans" for p in parts])))
     return out.withColumn(name, F.struct(
         F.col(f"{parts[0]}.n_words").alias("n_words"),
         F.aggregate(spans, F.lit(0).cast("bigint"), lambda s, r: s + r["after"] - r["first"]).alias("n_hit"),

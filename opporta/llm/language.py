@@ -16,17 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opporta.llm.common import free_name
+from opporta.llm.common import bound_batches, free_name, worker_state
 
 DIMENSIONS = 1024
 SEED = 20_240
 UNKNOWN = "und"
-CHARS_AT_ONCE = 1_000_000  # characters whose trigrams a worker holds at a time (more only for one longer text)
-KEPT_VECTORS = 24_000  # trigram vectors a worker keeps between batches; others are made anew
+CHARS_AT_ONCE = 400_000  # characters whose trigrams a worker holds at a time (more only for one longer text)
+KEPT_VECTORS = 12_000  # trigram vectors a worker keeps between batches; others are made anew
 PROFILE = "lang string, dim int, value double"
 _RESULT_TYPE = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 _letters = np.zeros(0x110000, dtype=bool)
-_vectors: dict = {}
 
 
 def _letter_table() -> np.ndarray:
@@ -60,7 +59,7 @@ def gram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
     """Vectors of packed trigrams, one row each."""
     def letters(codes: np.ndarray, turn: int) -> np.ndarray:
         which, row = np.unique(codes, return_inverse=True)
-        made = _vectors.setdefault((dimensions, "letters"), {})
+        made = worker_state("letters", dimensions, dict).setdefault("letters", {})
         for c in which.tolist():
             if c not in made:
                 made[c] = letter_vector(c, dimensions)
@@ -75,7 +74,7 @@ def _kept_vectors(grams: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.nd
     """A table of vectors and the row of each of the (distinct) grams in it."""
     if len(grams) > KEPT_VECTORS:
         return gram_vectors(grams, dimensions), np.arange(len(grams))
-    index, table, used = _vectors.get((dimensions, "table")) or ({}, np.zeros((KEPT_VECTORS, dimensions), dtype=np.float32), 0)
+    index, table, used = worker_state("letters", dimensions, dict).get("table") or ({}, np.zeros((KEPT_VECTORS, dimensions), dtype=np.float32), 0)
     listed = grams.tolist()
     new = [g for g in listed if g not in index]
     if used + len(new) > KEPT_VECTORS:
@@ -84,7 +83,7 @@ def _kept_vectors(grams: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.nd
         table[used:used + len(new)] = gram_vectors(np.array(new, dtype=np.int64), dimensions)
         index.update(zip(new, range(used, used + len(new)), strict=True))
         used += len(new)
-    _vectors[(dimensions, "table")] = index, table, used
+    worker_state("letters", dimensions, dict)["table"] = index, table, used
     return table, np.array([index[g] for g in listed], dtype=np.int64)
 
 
@@ -125,6 +124,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
         for name, vector in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(range(dimensions), pa.int32()), pa.array(np.asarray(vector, dtype=np.float64))],
                                              names=["lang", "dim", "value"])
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
     return rows.mapInArrow(sums, PROFILE).groupBy("lang", "dim").agg(F.sum("value").alias("value"))
 
@@ -145,6 +145,7 @@ def predict(docs: DataFrame, prototypes: DataFrame, text: str = "text", dimensio
     x dimensions numbers, are broadcast; they do not grow with the documents.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     learned: dict[str, np.ndarray] = {}
     for r in prototypes.toLocalIterator():
         learned.setdefault(r.lang, np.zeros(dimensions))[r.dim] = r.value

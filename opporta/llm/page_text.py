@@ -239,6 +239,7 @@ def main_text(html: str, tree: tuple) -> str:
 def extracted(pages: DataFrame, html: str = "html") -> tuple[DataFrame, str]:
     """Add the main text to every row; frame and column name. Null and textless pages give the empty text."""
     tree = trained()
+    common.bound_batches(pages.sparkSession)
 
     def text_of(batch: pa.Array) -> pa.Array:
         return pa.array([main_text(h.as_py() or "", tree) for h in batch], pa.string())

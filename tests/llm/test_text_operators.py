@@ -68,7 +68,7 @@ def test_lines_match_plain_units(odd):
     seen, want = set(), {}
     for i, t, *_ in sorted(set(ODD), key=lambda r: (r[0] is None, r[0] or 0)):
         kept, at, n = [], 0, 0
-        for m in re.finditer(r"[^\n.!?]+[.!?]*", t or ""):
+        for m in re.finditer(r"[^\n.?]+[.?!]*", t or ""):
             key = " ".join(m.group().lower().split())
             if key.count(" ") >= 7:
                 if key in seen:

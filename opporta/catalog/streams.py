@@ -14,7 +14,6 @@ from opporta.catalog.documents import _CANONICAL, _MATCHED, _matched_text, keywo
 from opporta.runtime import CHECKPOINT_CONF
 from opporta.streaming import counters, ingest, status
 
-_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -78,7 +77,8 @@ def stream_ingest(spark, sf):
     """The URL feed as a stream: every page is stored once."""
     folder = work_folder(spark)
     feed = spark_sql(spark, sf, "SELECT f.page_id, f.variant, f.url, r.fetched_at FROM {v_url_feed} AS f JOIN {v_raw} AS r ON f.page_id = r.page_id")
-    ingest.start_ingest(replay(spark, feed, folder), f"{folder}/pages", f"{folder}/checkpoint", ["page_id", "variant"]).awaitTermination()
+    ingest.keep_state_on_disk(spark)
+    ingest.start_ingest(replay(spark, feed, folder), f"{folder}/pages", f"{folder}/checkpoint").awaitTermination()
     return ingest.stored_pages(spark, f"{folder}/pages").select("canonical_url", "fingerprint")
 
 
@@ -99,7 +99,7 @@ _EVENTS = """SELECT 'src_' || CAST(user_id AS STRING) AS source_id, CASE WHEN us
  NOT (max(adapter_mode) = 'generic' AND bool_or(error <> '')) AS enabled, max(moment) AS last_at, max(moment) FILTER (status = 'SUCCESS' AND error = '') AS last_success_at FROM ({_EVENTS}) GROUP BY source_id""")
 def stream_source_status(spark, sf):
     """Folded state per source; the newest emitted row of a source is its state."""
-    spark.conf.set(_STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ingest.keep_state_on_disk(spark)
     folder = work_folder(spark)
     events = spark_sql(spark, sf, _EVENTS).withColumn("at", F.col("moment").cast("timestamp")).drop("moment")
     made = run_to_files(status.fold_status_stream(replay(spark, events, folder)), folder, "update")
@@ -111,7 +111,7 @@ def stream_source_status(spark, sf):
 @query("stream_stale_workers", "SELECT 'w' || CAST(user_id AS VARCHAR) AS worker_id, max(ts) AS last_seen FROM {events} GROUP BY user_id")
 def stream_stale_workers(spark, sf):
     """Workers that went silent; the events arrive in one batch, so each has one last silence."""
-    spark.conf.set(_STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ingest.keep_state_on_disk(spark)
     folder = work_folder(spark)
     beats = spark_sql(spark, sf, "SELECT 'w' || CAST(user_id AS STRING) AS worker_id, ts AS at FROM {events} UNION ALL SELECT 'closing', max(ts) + INTERVAL '1' DAY FROM {events}")
     made = run_to_files(status.stale_workers(replay(spark, beats.withColumn("at", F.col("at").cast("timestamp")), folder)), folder)

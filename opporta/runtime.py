@@ -1,4 +1,4 @@
-"""Session settings, lineage cuts and versioned tables shared by every job."""
+"""Session settings and lineage cuts shared by every job."""
 
 from __future__ import annotations
 
@@ -54,37 +54,3 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
-def publish(df: DataFrame, root: str, version: int) -> bool:
-    """Write one immutable version of a table, then commit it in the table's log.
-
-    Readers only see versions listed in the log, so a failed or repeated write never
-    shows. Returns False when the version was committed before (a replayed batch).
-    """
-    spark = df.sparkSession
-    if version in committed_versions(spark, root):
-        return False
-    df.write.mode("overwrite").parquet(f"{root}/data/version={version}")
-    spark.range(1).select(F.lit(version).cast("bigint").alias("version")).coalesce(1).write.mode(
-        "append").parquet(f"{root}/commits")
-    return True
-
-
-def committed_versions(spark: SparkSession, root: str) -> set[int]:
-    """Versions in the log; one number per published batch, so the list stays small."""
-    try:
-        log = spark.read.schema("version BIGINT").parquet(f"{root}/commits")
-        return {r.version for r in log.distinct().collect()}
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc):
-            return set()
-        raise
-
-
-def latest(spark: SparkSession, root: str) -> DataFrame | None:
-    """Newest committed version of a published table, or None before the first commit."""
-    versions = committed_versions(spark, root)
-    if not versions:
-        return None
-    return spark.read.parquet(f"{root}/data/version={max(versions)}")

@@ -1,55 +1,46 @@
-"""Continuous ingest: new documents to a versioned table, each page once."""
+"""Continuous ingest: new documents to a table, each page once.
+
+What was seen is one fingerprint per page in the query's state, which RocksDB keeps on disk and saves as changes; what was
+written is in the file sink's log. A batch therefore reads its own documents only, however many pages are stored.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from opporta import runtime
-from opporta.operators.dedup import first_wins, with_fingerprint
+from opporta.operators.dedup import with_fingerprint
 from opporta.operators.match import match_keywords
 
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-def document_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Use RocksDB for the state of streams started after this."""
+    spark.conf.set(*STATE_STORE)
 
-def dedup_stream(documents: DataFrame, time: str = "fetched_at", delay: str = "1 day") -> DataFrame:
-    """One document per page within the watermark; state older than `delay` is dropped."""
-    stamped = with_fingerprint(documents).withColumn(time, F.col(time).cast("timestamp"))
-    return stamped.withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
+def document_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
-def store_batches(root: str, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: pages not stored yet are added as one new version per batch.
 
-    The anti join catches copies older than the watermark. A repeated batch finds its version
-    committed and does nothing. Each version holds only its own new rows.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id in runtime.committed_versions(spark, root):
-            return
-        fresh = first_wins(batch, ["fingerprint"], order)
-        stored = stored_pages(spark, root)
-        if stored is not None:
-            fresh = fresh.join(stored.select("fingerprint"), "fingerprint", "left_anti")
-        runtime.publish(fresh, root, batch_id)
-    return write
+def dedup_stream(documents: DataFrame, time: str = "fetched_at", delay: str | None = None) -> DataFrame:
+    """The first document of each page that arrives. With `delay`, pages older than that behind the newest
+    are forgotten, so that the state stays small and a later copy is taken for new."""
+    keyed = with_fingerprint(documents)
+    if delay is None:
+        return keyed.dropDuplicates(["fingerprint"])
+    return keyed.withColumn(time, keyed[time].cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def stored_pages(spark: SparkSession, root: str) -> DataFrame | None:
-    """All committed pages. Uncommitted folders of a failed batch are not listed."""
-    versions = sorted(runtime.committed_versions(spark, root))
-    if not versions:
-        return None
-    return spark.read.option("mergeSchema", "false").parquet(*[f"{root}/data/version={v}" for v in versions])
+def stored_pages(spark: SparkSession, path: str) -> DataFrame:
+    """All pages of finished batches; the sink's log leaves out what a failed batch wrote."""
+    return spark.read.parquet(path)
 
 
-def start_ingest(documents: DataFrame, root: str, checkpoint: str, order: list[str], available_now: bool = True):
-    writer = dedup_stream(documents).writeStream.foreachBatch(store_batches(root, order)).option("checkpointLocation", checkpoint)
+def start_ingest(documents: DataFrame, path: str, checkpoint: str, available_now: bool = True, delay: str | None = None):
+    writer = dedup_stream(documents, delay=delay).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
 
 

@@ -6,7 +6,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from opporta import runtime
 from opporta.operators import dedup, documents, leads, match, ordering, profiles, registry, resolve, responses, triage, walk
 from opporta.sources import readers, tables
 
@@ -133,11 +132,17 @@ def test_first_wins(spark):
     assert sorted((r.k, r.v) for r in dedup.first_wins(df, ["k"], ["pos"]).collect()) == [("a", "y"), ("b", "z")]
 
 
-def test_publish_is_idempotent(spark, tmp_path):
-    root = str(tmp_path / "t")
-    assert runtime.latest(spark, root) is None
-    assert runtime.publish(spark.range(3), root, 1) and not runtime.publish(spark.range(9), root, 1)
-    assert runtime.publish(spark.range(5), root, 2) and runtime.latest(spark, root).count() == 5
+def test_each_page_is_stored_once_over_many_batches(spark, tmp_path):
+    from opporta.streaming import ingest
+    ingest.keep_state_on_disk(spark)
+    for i in range(12):
+        spark.createDataFrame([(f"https://a.example.com/{k}?utm_source=s{i}", i) for k in range(i, i + 3)], "url STRING, batch INT").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    pages = ingest.document_stream(spark, f"{tmp_path}/in", "url STRING, batch INT", files_per_batch=1)
+    for _ in range(2):  # a restart takes up where the first run ended
+        ingest.start_ingest(pages, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    stored = ingest.stored_pages(spark, f"{tmp_path}/out")
+    assert stored.count() == stored.select("fingerprint").distinct().count() == 14
+
 
 
 def test_csv_export_has_one_mark_and_reloads(spark, tmp_path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TIMEFRAMES = {"1_day": "24 giờ qua", "1_week": "7 ngày qua", "1_month": "30 ngày qua"}
 TRIGGERS = {"FE": "Thủ công từ giao diện", "SCHEDULE": "Tự động theo lịch", "CLI": "Dòng lệnh"}
 ALL_SOURCES = "Tất cả các nguồn dữ liệu"
-TECHNICAL_MARKERS = ["discovery_failed", "crawl vòng 2", "xah không trả", "httpsconnectionpool", "read timed out"]
+TECHNICAL_MARKERS = ["discovery_failed", "crawl vòng 2", "httpsconnectionpool", "read timed out"]
 
 
 def mapped(col: Column, labels: dict[str, str]) -> Column:
@@ -24,10 +24,11 @@ def score_badge(score: Column) -> Column:
     return F.when(score >= 90, "score-hot").when(score >= 80, "score-qualified").otherwise("score-nurture")
 
 
-def hide_technical(col: Column) -> Column:
-    """Null for profile values that are blank or really error messages."""
+def hide_technical(col: Column, own_markers: tuple[str, ...] = ()) -> Column:
+    """Null for profile values that are blank or really error messages; `own_markers` are lower-case parts of the
+    messages of your own services."""
     low = F.lower(col)
     bad = F.trim(col) == ""
-    for marker in TECHNICAL_MARKERS:
+    for marker in (*TECHNICAL_MARKERS, *own_markers):
         bad = bad | low.contains(marker)
     return F.when(~bad, col)

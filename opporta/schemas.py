@@ -41,7 +41,7 @@ ORGANIZATIONS = f"""id STRING, legal_name STRING, aliases ARRAY<STRING>, officia
  locations ARRAY<STRING>, revenue STRING, employee_count STRING, technologies ARRAY<STRING>,
  projects ARRAY<{PROJECT}>, news ARRAY<{NEWS}>, jobs ARRAY<{TITLED}>, tenders ARRAY<{TITLED}>,
  profile_status STRING, missing_information ARRAY<STRING>, verification_confidence DOUBLE,
- xah_used BOOLEAN, source_urls ARRAY<STRING>, error_message STRING, verified_at TIMESTAMP_NTZ,
+ search_used BOOLEAN, source_urls ARRAY<STRING>, error_message STRING, verified_at TIMESTAMP_NTZ,
  updated_at TIMESTAMP_NTZ"""
 
 CONTACTS = """id STRING, organization_id STRING, full_name STRING, raw_title STRING,

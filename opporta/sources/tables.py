@@ -154,8 +154,9 @@ def collection_rows(organizations: DataFrame) -> DataFrame:
     return keyed.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("organization_id", "pos")).alias("r")).select("id", "r.*").drop("pos")
 
 
-def restore_organizations(cells: DataFrame) -> DataFrame:
-    """Organizations from text cells; rows without id or name are dropped."""
+def restore_organizations(cells: DataFrame, search_used: str = "search_used") -> DataFrame:
+    """Organizations from text cells; rows without id or name are dropped. `search_used` is the sheet's header
+    of the column that tells whether a search service was asked."""
     empty = F.array().cast("array<string>")
     lists = ("aliases", "locations", "technologies", "missing_information", "source_urls")
     plain = ("official_url", "domain", "tax_code", "organization_type", "industry", "size", "employee_count", "profile_status", "error_message")
@@ -165,8 +166,8 @@ def restore_organizations(cells: DataFrame) -> DataFrame:
     out += [F.coalesce(F.from_json(F.when(F.try_parse_json(c).isNotNull(), F.col(c)), "ARRAY<STRING>"), empty).alias(c) for c in lists if c in has]
     if "verification_confidence" in has:
         out.append(F.coalesce(F.col("verification_confidence").try_cast("double"), F.lit(0.0)).alias("verification_confidence"))
-    if "xah_used" in has:
-        out.append(F.lower(F.coalesce("xah_used", F.lit(""))).isin("1", "true", "yes").alias("xah_used"))
+    if search_used in has:
+        out.append(F.lower(F.coalesce(search_used, F.lit(""))).isin("1", "true", "yes").alias("search_used"))
     out += [dates.iso_or_null(F.col(c)).alias(c) for c in ("verified_at", "updated_at") if c in has]
     return cells.select(*out).where("id <> '' AND legal_name <> ''")
 

@@ -7,13 +7,14 @@ gives the id and its length, for all checkpoints at once.
 
 from __future__ import annotations
 
-import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,50 +22,134 @@ from pyspark.sql import types as T
 from opporta.llm import common
 
 END = 0  # id appended to each document
-MAX_BITS = 20
+MAX_BITS = 18
 BLOCK_IDS = 16_384  # a block ends with the document that reaches this
 CHECKPOINT = 512
 GROUP_BYTES = 4_000_000  # of coded blocks decoded at a time (more only for one longer block)
-CACHED_WORDS = 400_000  # of which a worker remembers the ids; then it starts anew
+TEXT_BYTES = 8_000_000  # of texts encoded at a time
+CACHED_WORDS = 1_000_000  # of which a worker remembers the ids, about 20 bytes each
 _TYPE = np.uint32
-_coders: dict = {}
 
 
 class WordCache:
-    """Encodes whole texts with a tokenizer whose words never reach across `non-space, space`, remembering words.
+    """Encodes whole texts with a byte-level tokenizer, each distinct word of some texts once.
 
-    Byte-level pre-tokenization starts a new piece at a space unless white space surrounds it; texts that have such
-    white space are given to the tokenizer as they are.
+    Byte-level pre-tokenization starts a new piece at a space unless white space surrounds it, so the ids of a text are
+    those of its words, each with the space before it. Texts with a space inside other white space, or with a zero byte,
+    are given to the tokenizer as they are. Unknown words are encoded together with a zero byte after each, which the vocabulary has in
+    no longer piece, so it parts the words and changes none.
     """
 
-    inside = re.compile(r"\s (?:\s|\Z)")
+    SPACES = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    ZERO = "\u0100"  # how byte-level vocabularies write the zero byte
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=_TYPE).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.inside.search(text):
-            return np.frombuffer(self.whole([text])[0], dtype=_TYPE)
-        first, *rest = text.split(" ")
-        found = [*map(self.words.get, rest)]
-        if None in found:
-            if len(self.words) > CACHED_WORDS:
-                self.words.clear()
-            new = [*dict.fromkeys(w for w, ids in zip(rest, found, strict=True) if ids is None)]
-            ids = dict(zip(new, self.whole([" " + w for w in new]), strict=True))
-            found = [ids[w] if have is None else have for w, have in zip(rest, found, strict=True)]
-            self.words.update(ids)
-        return np.frombuffer(b"".join([*self.whole([first] if first else []), *found]), dtype=_TYPE)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.separator = self.tokenizer.token_to_id(self.ZERO) if sum(self.ZERO in piece for piece in self.tokenizer.get_vocab()) == 1 else None  # else each word goes alone
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.words, self.flat = pa.array([], pa.string()), np.zeros(0, dtype=self.kind)
+        self.start, self.size, self.used = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def each(self, words: list[str]) -> list[bytes]:
+        """Ids of each word on its own."""
+        if self.separator is None or any(w[-2:].isspace() for w in words):
+            return [self.whole(w) for w in words]
+        out: list[bytes] = []
+        for a in range(0, len(words), 5_000):
+            text = "\0".join([*words[a:a + 5_000], ""])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+            cuts = np.flatnonzero(ids == self.separator).tolist()
+            raw, step = ids.tobytes(), ids.itemsize
+            out += [raw[step * b:step * e] for b, e in zip([0, *(c + 1 for c in cuts)], cuts, strict=False)]
+        return out
+
+    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words with a space in front: all ids, and the place and number of each word's.
+
+        A word of letters with ASCII punctuation after it has two pieces, so its letters are looked up on their own.
+        """
+        core = pc.utf8_rtrim(words, characters=string.punctuation)
+        core = pc.if_else(pc.utf8_is_alpha(core), core, words)
+        coded = core.dictionary_encode()
+        if len(self.words) > CACHED_WORDS:
+            self._forget()
+        entry = pc.index_in(coded.dictionary, value_set=self.words)
+        new = np.flatnonzero(entry.is_null().to_numpy(zero_copy_only=False))
+        entry = pc.fill_null(entry, 0).to_numpy().copy()
+        if len(new):
+            entry[new] = len(self.words) + np.arange(len(new))
+            self._remember(coded.dictionary.take(pa.array(new)))
+        piece = entry[coded.indices.to_numpy()]
+        self.used[piece] = True
+        longer = np.flatnonzero(pc.binary_length(words).to_numpy() - pc.binary_length(core).to_numpy())
+        size = (pc.utf8_length(words).to_numpy() - pc.utf8_length(core).to_numpy())[longer]
+        tails = [w[-n:] for w, n in zip(words.take(pa.array(longer)).to_pylist(), size.tolist(), strict=True)]
+        distinct = {t: k for k, t in enumerate(dict.fromkeys(tails))}
+        tail_ids = self.each([*distinct])
+        tail_size = np.array([len(x) // self.flat.itemsize for x in tail_ids], dtype=np.int64)
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(tail_ids), dtype=self.kind)])
+        start, many = np.zeros(2 * len(words), dtype=np.int64), np.zeros(2 * len(words), dtype=np.int64)
+        start[::2], many[::2] = self.start[piece], self.size[piece]
+        which = np.array([distinct[t] for t in tails], dtype=np.int64)
+        start[2 * longer + 1] = (len(self.flat) + np.cumsum(tail_size) - tail_size)[which]
+        many[2 * longer + 1] = tail_size[which]
+        whole = many[::2] + many[1::2]
+        return _taken(flat, start, many), np.cumsum(whole) - whole, whole
+
+    def _forget(self) -> None:
+        """Drop the words that were not met since the last time."""
+        keep = np.flatnonzero(self.used)
+        self.flat, self.size = _taken(self.flat, self.start[keep], self.size[keep]), self.size[keep]
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.words, self.used = self.words.take(pa.array(keep)), np.zeros(len(keep), dtype=bool)
+
+    def _remember(self, new: pa.Array) -> None:
+        ids = self.each([" " + w for w in new.to_pylist()])
+        self.words = pa.concat_arrays([self.words, new])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), dtype=self.kind)])
+        self.size = np.concatenate([self.size, np.array([len(x) // self.flat.itemsize for x in ids], dtype=np.int32)])
+        self.used = np.concatenate([self.used, np.zeros(len(new), dtype=bool)])
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, one after another, and the number of ids of each text."""
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, f"{self.SPACES} (?:{self.SPACES}|$)|\\x00").to_numpy(zero_copy_only=False))
+        alone = [self.whole(texts[i].as_py()) for i in odd.tolist()]
+        if len(odd):
+            mask = np.zeros(len(texts), dtype=bool)
+            mask[odd] = True
+            texts = pc.if_else(pa.array(mask), "", texts)
+        split = pc.split_pattern(texts, " ")
+        at = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        word = coded.indices.to_numpy().astype(np.int64)
+        firsts = pc.take(split.flatten(), pa.array(at[:-1])).dictionary_encode()
+        flat, start, size = self.known(coded.dictionary)
+        more = [*self.each(firsts.dictionary.to_pylist()), *alone, np.array([END], dtype=self.kind).tobytes()]
+        more_size = np.array([len(x) // flat.itemsize for x in more], dtype=np.int64)
+        start, size = np.concatenate([start, len(flat) + np.cumsum(more_size) - more_size]), np.concatenate([size, more_size])
+        flat = np.concatenate([flat, np.frombuffer(b"".join(more), dtype=self.kind)])
+        word[at[:-1]] = firsts.indices.to_numpy() + len(coded.dictionary)
+        word[at[odd]] = np.arange(len(odd)) + len(coded.dictionary) + len(firsts.dictionary)
+        word = np.insert(word, at[1:], len(size) - 1)
+        many = size[word]
+        ends = np.cumsum(many)[at[1:] + np.arange(len(texts))]
+        return _taken(flat, start[word], many), np.diff(np.r_[0, ends])
+
+
+def _taken(flat: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Runs of `flat`, one after another."""
+    total = np.cumsum(many, dtype=np.int64)
+    return flat[np.repeat(start - (total - many), many) + np.arange(total[-1] if len(total) else 0)]
 
 
 def _coder(path: str) -> WordCache:
-    if path not in _coders:
-        _coders[path] = WordCache(path)
-    return _coders[path]
+    return common.worker_state("word cache", path, lambda: WordCache(path))
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -116,26 +201,24 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
     at = ends - size
-    value = codes[ids] << (32 - size - (at & 7)).astype(np.uint64)
+    value = codes[ids] << (64 - size - (at & 31)).astype(np.uint64)
     total = int(ends[-1]) + 7 >> 3
-    out = np.zeros(total + 4)
-    for k in range(4):
-        out += np.bincount((at >> 3) + k, weights=(value >> np.uint64(24 - 8 * k) & np.uint64(255)).astype(np.float64), minlength=total + 4)
-    return out[:total].astype(np.uint8).tobytes(), at[::CHECKPOINT]
+    words = np.bincount(at >> 5, weights=(value >> np.uint64(32)).astype(np.float64), minlength=(total >> 2) + 2)
+    words += np.bincount((at >> 5) + 1, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=(total >> 2) + 2)
+    return words.astype(">u4").tobytes()[:total], at[::CHECKPOINT]
 
 
-def decoding_table(lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Id and length for every value of the next `MAX_BITS` bits."""
+def decoding_table(lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For every value of the next `MAX_BITS` bits the id, times 32, plus its length."""
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     spread = np.int64(1) << (MAX_BITS - lengths[order].astype(np.int64))
-    ids, size = np.zeros(1 << MAX_BITS, dtype=_TYPE), np.ones(1 << MAX_BITS, dtype=np.int64)
-    filled = int(spread.sum())
-    ids[:filled], size[:filled] = np.repeat(order, spread), np.repeat(lengths[order], spread)
-    return ids, size
+    table = np.ones(1 << MAX_BITS, dtype=_TYPE)
+    table[:int(spread.sum())] = np.repeat(order << 5 | lengths[order], spread)
+    return table
 
 
-def unpack(blocks: list[bytes], offsets: list[np.ndarray], counts: list[int], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def unpack(blocks: list[bytes], offsets: list[np.ndarray], counts: list[int], table: np.ndarray) -> np.ndarray:
     """Ids of some blocks, one after another; all checkpoints advance together."""
     raw = np.frombuffer(b"".join(blocks) + bytes(CHECKPOINT * MAX_BITS // 8 + 8), dtype=np.uint8).astype(np.uint32)
     ahead = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
@@ -145,57 +228,74 @@ def unpack(blocks: list[bytes], offsets: list[np.ndarray], counts: list[int], ta
     out = np.empty((CHECKPOINT, len(at)), dtype=_TYPE)
     shift = np.uint32(32 - MAX_BITS)
     for k in range(int(lanes.max())):
-        key = ahead[at >> 3] << (at & 7).astype(np.uint32) >> shift
-        out[k] = table[0][key]
-        at += table[1][key]
-        np.minimum(at, (len(ahead) - 1) * 8, out=at)
-    return out.T[np.arange(CHECKPOINT)[None, :] < lanes[:, None]]
+        out[k] = found = table[ahead[at >> 3] << (at & 7).astype(np.uint32) >> shift]
+        at += found & 31
+    return (out >> 5).T[np.arange(CHECKPOINT)[None, :] < lanes[:, None]]
 
 
-_BLOCKS = "part int, first bigint, doc_ids array<bigint>, sizes array<bigint>, ids binary"
+_BLOCKS = "part int, first bigint, doc_ids array<bigint>, sizes array<bigint>, wide boolean, ids binary"
 _FILES = "start bigint, doc_ids array<bigint>, sizes array<bigint>, checkpoints array<bigint>, bits binary"
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most `TEXT_BYTES` of text (more only for one longer text)."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(size.tolist()):
+        if i > start and held + n > TEXT_BYTES:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(size):
+        yield start, len(size)
+
+
 def _blocks(ordered: DataFrame, tokenizer: str) -> DataFrame:
     """Ids of the ordered rows `doc_id, text` as blocks; `first`: ids before the block in its partition."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, coder, end = TaskContext.get().partitionId(), _coder(tokenizer), np.array([END], dtype=_TYPE)
-        names, sizes, ids, held, first = [], [], [], 0, 0
+        part, coder, first = TaskContext.get().partitionId(), _coder(tokenizer), 0
+        names, sizes, ids, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
-                 pa.array([np.concatenate(ids).tobytes()], pa.binary())], names=["part", "first", "doc_ids", "sizes", "ids"])
+                 pa.array([coder.kind is np.uint32]), pa.array([np.concatenate(ids).tobytes()], pa.binary())], names=["part", "first", "doc_ids", "sizes", "wide", "ids"])
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.concatenate([coder.encode(text.as_py() or ""), end])
-                names.append(name)
-                sizes.append(len(got))
-                ids.append(got)
-                held += len(got)
-                if held >= BLOCK_IDS:
-                    yield block()
-                    first += held
-                    names, sizes, ids, held = [], [], [], 0
+            for a, b in _parts(batch.column(1)):
+                got, many = coder.encode(batch.column(1).slice(a, b - a))
+                begin = 0
+                for name, n in zip(batch.column(0).slice(a, b - a).to_pylist(), many.tolist(), strict=True):
+                    names.append(name)
+                    sizes.append(n)
+                    ids.append(got[begin:begin + n])
+                    begin, held = begin + n, held + n
+                    if held >= BLOCK_IDS:
+                        yield block()
+                        first += held
+                        names, sizes, ids, held = [], [], [], 0
         if names:
             yield block()
     return ordered.mapInArrow(encode, _BLOCKS)
 
 
+def _ids(blocks: pa.RecordBatch, k: int) -> np.ndarray:
+    return np.frombuffer(blocks["ids"][k].as_buffer(), dtype=np.uint32 if blocks["wide"][k].as_py() else np.uint16)
+
+
 def _id_counts(blocks: DataFrame) -> np.ndarray:
     """Occurrences of each id; summed in each task, then by id. The result has a number for each id of the vocabulary."""
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                seen = np.bincount(np.frombuffer(ids.as_py(), dtype=_TYPE))
+            for k in range(batch.num_rows):
+                seen = np.bincount(_ids(batch, k))
                 if len(seen) > len(total):
                     total, seen = seen, total
                 total[:len(seen)] += seen
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
-    rows = blocks.select("ids").mapInArrow(tally, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.select("wide", "ids").mapInArrow(tally, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=0) + 1, dtype=np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -209,6 +309,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
     texts are empty; null ids come first; rows with the same id are ordered by a hash of their text.
     """
     spark = docs.sparkSession
+    common.bound_batches(spark, 2_000)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ordered = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     blocks = common.stored(_blocks(ordered, tokenizer), "token-blocks")
@@ -224,7 +325,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                bits, marks = pack(np.frombuffer(one["ids"][0].as_py(), dtype=_TYPE), size, codes)
+                bits, marks = pack(_ids(one, 0), size, codes)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([offset[one["part"][0].as_py()] + one["first"][0].as_py()]), one["doc_ids"], one["sizes"], pa.array([marks.tolist()], pa.list_(pa.int64())),
                      pa.array([bits], pa.binary())], names=["start", "doc_ids", "sizes", "checkpoints", "bits"])
@@ -234,8 +335,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
     blocks.mapInArrow(code, _FILES).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of the files: `doc_id, start, n_tokens, ids` (little-endian unsigned 32-bit)."""
+def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """Documents of the files: `doc_id, start, n_tokens, ids` (little-endian unsigned 32-bit), or `ids_crc32` of these."""
     known = spark.read.parquet(f"{path}/codes").collect()  # a row for each id of the vocabulary
     lengths = np.zeros(max((r.id for r in known), default=0) + 1, dtype=np.uint8)
     for r in known:
@@ -244,27 +345,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, size = sent.value
-        if _coders.get("decoding", (None,))[0] != key:
-            _coders["decoding"] = key, decoding_table(size, canonical(size))
-        table = _coders["decoding"][1]
+        table = common.worker_state("decoding table", key, lambda: decoding_table(size, canonical(size)))
         for batch in batches:
             start = held = 0
             for k in range(batch.num_rows):
                 held += len(batch["bits"][k].as_buffer())
                 if held >= GROUP_BYTES or k == batch.num_rows - 1:
-                    yield _documents(batch.slice(start, k + 1 - start), table)
+                    yield _documents(batch.slice(start, k + 1 - start), table, digest)
                     start, held = k + 1, 0
-    return spark.read.schema(_FILES).parquet(f"{path}/blocks").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return spark.read.schema(_FILES).parquet(f"{path}/blocks").mapInArrow(
+        decode, f"doc_id bigint, start bigint, n_tokens bigint, {'ids_crc32 bigint' if digest else 'ids binary'}")
 
 
-def _documents(group: pa.RecordBatch, table: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+def _documents(group: pa.RecordBatch, table: np.ndarray, digest: bool) -> pa.RecordBatch:
     sizes = [np.array(x) for x in group["sizes"].to_pylist()]
     ids = unpack(group["bits"].to_pylist(), [np.array(x) for x in group["checkpoints"].to_pylist()], [int(x.sum()) for x in sizes], table)
     starts = np.concatenate([s + np.cumsum(x) - x for s, x in zip(group["start"].to_pylist(), sizes, strict=True)])
     flat = np.concatenate(sizes)
     ends = np.cumsum(flat)
-    return pa.RecordBatch.from_arrays([pa.array([i for x in group["doc_ids"].to_pylist() for i in x], pa.int64()), pa.array(starts), pa.array(flat),
-                                       pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(ends - flat, ends, strict=True)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+    own = [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends - flat, ends, strict=True)]
+    last = pa.array([zlib.crc32(x) for x in own], pa.int64()) if digest else pa.array(own, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([i for x in group["doc_ids"].to_pylist() for i in x], pa.int64()), pa.array(starts), pa.array(flat), last],
+                                      names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
 
 def report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -274,7 +376,7 @@ def report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     path = common.shared_folder(docs.sparkSession, "token-files")
     write(docs, path, tokenizer)
-    return read(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(docs.sparkSession, path, digest=True)
 
 
 def brute(rows: list[tuple], tokenizer: str) -> list[tuple]:

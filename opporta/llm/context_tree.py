@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,12 +51,19 @@ def strings(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndar
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each distinct token of some texts, number of each token in order, and the number of tokens in each text."""
-    split = [[*t.split(b" "), b""] if t else [b""] for t in texts]
-    size = np.array([len(s) for s in split], dtype=np.int64)
-    number: dict[bytes, int] = {}
-    code = np.fromiter((number.setdefault(w, len(number)) for s in split for w in s), dtype=np.int64, count=int(size.sum()))
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in number], dtype=np.uint64).view(np.int64), code, size
+    """Hash of each distinct token of some texts, number of each token in order, and the number of tokens in each text.
+
+    The end is the empty token.
+    """
+    split = pc.split_pattern(pa.array(texts, pa.binary()), pattern=b" ")
+    ends = split.offsets.to_numpy()[1:]
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    full = np.array([len(t) > 0 for t in texts], dtype=bool)  # an empty text is split into one empty token
+    end = distinct.index(b"") if not full.all() else len(distinct)
+    code = np.insert(coded.indices.to_numpy().astype(np.int64), ends[full], end)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in (distinct if end < len(distinct) else [*distinct, b""])], dtype=np.uint64)
+    return hashes.view(np.int64), code, np.diff(np.r_[0, ends]) + full
 
 
 def _groups(texts: list, *more: list) -> Iterator[tuple[list, ...]]:
@@ -211,7 +219,8 @@ def model(table: DataFrame, depth: int = DEPTH, top: int = TOP) -> DataFrame:
 
 def _sorted(table: DataFrame, value: str, kind) -> tuple[np.ndarray, np.ndarray]:
     got = table.select("key", value).toArrow()
-    key, what = got["key"].to_numpy(), got[value].to_numpy().astype(kind)
+    key, what = got["key"].to_numpy(), got[value].to_numpy()
+    what = what.astype(np.int32 if kind is np.int64 and what.max(initial=0) < 1 << 31 else kind)
     order = np.argsort(key)
     return key[order], what[order]
 

@@ -8,7 +8,6 @@ each into the mixed log probability of its byte, and a text's score is a sum of
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,14 +251,15 @@ def scores(docs: DataFrame, teaches, text: str = "text", depth: int = DEPTH) ->
     parts = max(1, -(-max(logp.count(), distinct) // TABLE_ROWS))
     scale = np.log10(all_tokens + ALPHA * (distinct + 1))
     name, th = common.free_name(docs, "ctw"), common.free_name(docs, "ctw_th")
-    frames = []
+    done = []
     for k in range(parts):
         share = F.pmod(F.xxhash64("key"), F.lit(parts)) == k
-        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, _sorted(logp.where(share), "logp", np.float64), _sorted(tokens.where(share), "n", np.int64)))
-        frames.append(F.arrow_udf(_scorer(sent, scale, depth, k == 0), RESULT).asNondeterministic()(F.col(text)))
-    if parts == 1:
-        return docs.withColumn(name, frames[0]), name, all_tokens
-    done = [common.stored(docs.select(F.xxhash64(text).alias(th), f.alias("r")).dropDuplicates([th]), "ctw-part") for f in frames]
+        sent = spark.sparkContext.broadcast((_sorted(logp.where(share), "logp", np.float64), _sorted(tokens.where(share), "n", np.int64)))
+        scored = F.arrow_udf(_scorer(sent, scale, depth, k == 0), RESULT).asNondeterministic()(F.col(text))
+        if parts == 1:
+            return docs.withColumn(name, scored), name, all_tokens
+        done.append(common.stored(docs.select(F.xxhash64(text).alias(th), scored.alias("r")).dropDuplicates([th]), "ctw-part"))
+        sent.unpersist()
     whole = done[0]
     for more in done[1:]:
         whole = whole.union(more)
@@ -271,7 +271,7 @@ def scores(docs: DataFrame, teaches, text: str = "text", depth: int = DEPTH) ->
 def _scorer(sent, scale: float, depth: int, first: bool):
     """Sums over what is in this part of the tables; tokens that are in no part are counted with the first one."""
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        _, logp, tokens = sent.value
+        logp, tokens = sent.value
         for batch in batches:
             texts, rows = [normal(t or "") for t in batch.to_pylist()], []
             for (some,) in _groups(texts):

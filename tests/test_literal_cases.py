@@ -144,3 +144,14 @@ def test_package_reaches_the_workers(tmp_path):
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
+def test_links_of_unclosed_lists_take_linear_time():
+    import time
+
+    from opporta.functions.html import Page
+    start = time.perf_counter()
+    links, _ = Page("".join(f'<li><a href="/{i}">x</a> 0{i % 9 + 1}/02/2024 ' for i in range(20_000))).anchors("http://a.vn/", with_blocks=False)
+    Page("<div>" * 20_000 + "</p>" * 20_000 + "</div>" * 20_000)
+    assert time.perf_counter() - start < 4
+    assert len(links) == 20_000 and links[3]["near_date"] == "04/02/2024"

@@ -226,7 +226,7 @@ def _compared_widely(places: DataFrame) -> DataFrame:
                 start = part["high"].to_numpy()[row] - (np.arange(len(row)) - np.searchsorted(row, row))
                 yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(row)), part["th"].take(pa.array(row)), pa.array(start), pa.array(hashes.view(np.int64))], names=["doc_id", "th", "low", "hash"])
     strings = common.stored(places.mapInArrow(spread, "doc_id bigint, th bigint, low bigint, hash bigint"), "suffix-strings")
-    twice = strings.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    twice = common.stored(strings.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "suffix-twice")
     return strings.join(twice, "hash").select("doc_id", "th", "low", F.col("low").alias("high"))
 
 

@@ -233,7 +233,7 @@ def unpack(blocks: list[bytes], offsets: list[np.ndarray], counts: list[int], ta
     return (out >> 5).T[np.arange(CHECKPOINT)[None, :] < lanes[:, None]]
 
 
-_BLOCKS = "part int, first bigint, doc_ids array<bigint>, sizes array<bigint>, wide boolean, ids binary"
+_BLOCKS = "part int, first bigint, doc_ids array<bigint>, sizes array<bigint>, wide boolean, ids binary, counts binary"
 _FILES = "start bigint, doc_ids array<bigint>, sizes array<bigint>, checkpoints array<bigint>, bits binary"
 
 
@@ -251,19 +251,24 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def _blocks(ordered: DataFrame, tokenizer: str) -> DataFrame:
-    """Ids of the ordered rows `doc_id, text` as blocks; `first`: ids before the block in its partition."""
+    """Ids of the ordered rows `doc_id, text` as blocks; `first`: ids before the block in its partition.
+
+    Each partition ends with a row that has only `counts`: how often each id occurs in it.
+    """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, coder, first = TaskContext.get().partitionId(), _coder(tokenizer), 0
-        names, sizes, ids, held = [], [], [], 0
+        names, sizes, ids, held, seen = [], [], [], 0, np.zeros(0, dtype=np.int64)
 
-        def block() -> pa.RecordBatch:
+        def block(counts: bytes | None = None) -> pa.RecordBatch:
+            flat = np.concatenate(ids).tobytes() if ids else b""
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
-                 pa.array([coder.kind is np.uint32]), pa.array([np.concatenate(ids).tobytes()], pa.binary())], names=["part", "first", "doc_ids", "sizes", "wide", "ids"])
+                 pa.array([coder.kind is np.uint32]), pa.array([flat], pa.binary()), pa.array([counts], pa.binary())], names=["part", "first", "doc_ids", "sizes", "wide", "ids", "counts"])
         for batch in batches:
             for a, b in _parts(batch.column(1)):
                 got, many = coder.encode(batch.column(1).slice(a, b - a))
+                seen = _added(seen, np.bincount(got))
                 begin = 0
                 for name, n in zip(batch.column(0).slice(a, b - a).to_pylist(), many.tolist(), strict=True):
                     names.append(name)
@@ -276,6 +281,10 @@ def _blocks(ordered: DataFrame, tokenizer: str) -> DataFrame:
                         names, sizes, ids, held = [], [], [], 0
         if names:
             yield block()
+            first += held
+            names, sizes, ids = [], [], []
+        if first:
+            yield block(seen.tobytes())
     return ordered.mapInArrow(encode, _BLOCKS)
 
 
@@ -283,19 +292,24 @@ def _ids(blocks: pa.RecordBatch, k: int) -> np.ndarray:
     return np.frombuffer(blocks["ids"][k].as_buffer(), dtype=np.uint32 if blocks["wide"][k].as_py() else np.uint16)
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of two arrays, the shorter one filled up with zeros."""
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    out = long.astype(np.int64)
+    out[:len(short)] += short
+    return out
+
+
 def _id_counts(blocks: DataFrame) -> np.ndarray:
-    """Occurrences of each id; summed in each task, then by id. The result has a number for each id of the vocabulary."""
+    """Occurrences of each id, from the counts of all partitions. The result has a number for each id of the vocabulary."""
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for k in range(batch.num_rows):
-                seen = np.bincount(_ids(batch, k))
-                if len(seen) > len(total):
-                    total, seen = seen, total
-                total[:len(seen)] += seen
+            for counts in batch["counts"]:
+                total = _added(total, np.frombuffer(counts.as_buffer(), dtype=np.int64))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
-    rows = blocks.select("wide", "ids").mapInArrow(tally, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.where("counts IS NOT NULL").select("counts").mapInArrow(tally, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=0) + 1, dtype=np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -312,8 +326,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
     common.bound_batches(spark, 2_000)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ordered = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = common.stored(_blocks(ordered, tokenizer), "token-blocks")
-    lengths = code_lengths(_id_counts(blocks))
+    stored = common.stored(_blocks(ordered, tokenizer), "token-blocks")
+    lengths = code_lengths(_id_counts(stored))
+    blocks = stored.where("counts IS NULL").drop("counts")
     totals = blocks.select("part", (F.col("first") + F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("n")).groupBy("part").agg(F.max("n").alias("n"))
     before, base = 0, {}
     for r in sorted(totals.collect()):  # a number for each partition

@@ -10,6 +10,7 @@ from opporta.llm import context_tree, decontaminate, language, lines, mixing, ne
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}  # more than the SQL of an operator's own query takes in
 
 
 def _query(name: str, check: str | None = None):
@@ -73,3 +74,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_suffix_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(_table(spark, sf_dir, "documents"))
+
+
+def op5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"), whole=True)
+
+
+WHOLE["op5_whole_lines"] = op5_whole

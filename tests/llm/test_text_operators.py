@@ -80,6 +80,44 @@ def test_lines_match_plain_units(odd):
     assert rows_of(got, "doc_id", "n_removed", "kept_sha256") == sorted(((i, *want[(i, t)]) for i, t, *_ in ODD), key=repr)
 
 
+def test_whole_lines_leave_no_short_repeat(spark):
+    short = "He went. She stayed. Rain fell. Who knew? Nobody did. Dr. No paid 3.50 there."
+    texts = ["Read more\n" + short, "  read   MORE\nOther words come first here. " + short + " And others follow it then.", "Read more", "An only line, with a tail of blanks and eight words.  ",
+             "One. Two. Three. Four. Five. Six. Seven. Eight. Nine. Ten.", "Zero. Five. Six. Seven. Eight. Nine. Ten. Last."]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(2, "Read more"), (9, None), (10, "")], "doc_id bigint, text string")
+    out, spans, left = lines.deduplicated(docs, whole=True)
+    got = {r.doc_id: r[left] for r in out.collect()}
+    assert got == {0: texts[0], 1: "\nOther words come first here. And others follow it then.", 2: "", 3: texts[3], 4: texts[4], 5: texts[5], 9: None, 10: ""}
+    assert {r.doc_id: r.n_removed for r in lines.report(docs, whole=True).collect()} == {0: 0, 1: 2, 2: 1, 3: 0, 4: 0, 5: 0, 9: 0, 10: 0}
+
+
+def test_every_repeated_run_of_sentences_is_covered():
+    draw = np.random.default_rng(4)
+    for _ in range(300):
+        piece = lambda n: " ".join(" ".join(f"w{draw.integers(10**9)}" for _ in range(draw.integers(1, 7))) + "." for _ in range(n))
+        passage = piece(draw.integers(1, 9))
+        if len(passage.split()) < 8:
+            continue
+        a, b = (f"{piece(draw.integers(1, 4))} {passage} {piece(draw.integers(1, 4))}" for _ in range(2))
+        seen = {u for _, _, u in lines.runs(a)}
+        gone = np.zeros(len(b), dtype=bool)
+        for start, end, u in lines.runs(b):
+            if u in seen:
+                gone[start:end] = True
+        at = b.index(passage)
+        assert gone[at:at + len(passage)].all() and gone.sum() == len(passage) + 1
+
+
+def test_every_fifty_words_hold_a_passage():
+    draw = np.random.default_rng(6)
+    words = lambda n: " ".join(f"w{draw.integers(10**9)}" for _ in range(n))
+    for _ in range(300):
+        shared = words(50)
+        a, b = ({u for *_, u in lines.passages(f"{words(draw.integers(30))} {shared}\n{words(draw.integers(30))}")} for _ in range(2))
+        assert any(u.strip() in shared for u in a & b)
+    assert len({u for *_, u in lines.passages("to " * 5000)}) == 1 and len(list(lines.passages("to " * 5000))) < 300
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffixes_match_plain_strings(odd, hot):
     count = collections.Counter(t.encode()[p:p + 400] for _, t, *_ in ODD if t for p in range(len(t.encode()) - 399))

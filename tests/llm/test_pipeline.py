@@ -3,10 +3,11 @@
 import collections
 import re
 
+import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from opporta.llm import common, mixing, token_files
+from opporta.llm import common, mixing, near_copies, token_files
 from tests.llm.conftest import prose
 from tests.llm.test_text_operators import low, plain_print
 
@@ -63,3 +64,35 @@ def test_stages_match_plain_versions(spark, odd, tmp_path):
     want = token_files.brute([(r[0], r[1]) for r in rows["mix"]], public_tokenizers.path("byte_bpe_50k.json"))
     assert sorted(((r[0], r[2], r[3]) for r in rows["token_output"]), key=repr) == sorted(((r[0], r[2], r[3]) for r in want), key=repr)
     assert sum(r[2] for r in rows["token_output"]) == max(r[1] + r[2] for r in rows["token_output"])
+
+
+def test_near_copies_of_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets, group, holds = [set(near_copies.shingles(t or "").tolist()) for _, t in rows], list(range(len(rows))), collections.defaultdict(list)
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+    for k, own in enumerate(sets):  # every pair with a common shingle, by brute force
+        both = collections.Counter(j for s in own for j in holds[s])
+        for j, n in both.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n):
+                a, b = root(j), root(k)
+                group[max(a, b)] = min(a, b)
+        for s in own:
+            holds[s].append(k)
+    wordless = [k for k, own in enumerate(sets) if not own]
+    want = sorted(rows[k][0] for k in range(len(rows)) if root(k) == k and k not in wordless[1:])
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.WHOLE_STAGES)["near_dedup"](spark, docs, "").collect()) == want
+
+
+def test_an_edited_copy_goes_whatever_its_bits(spark):
+    words = [f"w{k}" for k in range(400)]
+    edited = [f"x{k}" if k % 60 == 30 else w for k, w in enumerate(words)]
+    far = [f"x{k}" if k % 30 == 15 else w for k, w in enumerate(words)]
+    a, b, c = (set(near_copies.shingles(" ".join(w)).tolist()) for w in (words, edited, far))
+    assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c) and np.bitwise_count(np.uint64(plain_print(" ".join(words)) ^ plain_print(" ".join(edited)))) > 4
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((words, edited, far))], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.WHOLE_STAGES)["near_dedup"](spark, docs, "").collect()) == [0, 2]

@@ -37,4 +37,11 @@ _FRAMED = [
     f"<main><div class='related'>{_MENU}</div><p>{_LONG}</p><p><a href='/a'>+ linked line</a></p><p>{_MID}</p><footer><a href='/t'>terms of use</a></footer></main>",
     f"<article><p><a href='/a'>+ all of this line is a link</a></p><form><a href='/f'>send</a></form><div class='ad'><a href='/b'>buy it now</a></div></article>",
 ]
-LABELLED = [(page, None) for page in (*_BARE, *_FRAMED)]
+_OPEN = [  # end tags left out, a form round the page
+    f"<!doctype html><head><title>t</title><article><h1>+ title</h1><p>{_LONG}</p><p>{_SHORT}</p></article><footer>{_SIDE}</footer>",
+    f"<html><head><meta charset=utf-8><title>t</title><p>{_LONG}<p>{_MID}<p>{_LONG}",
+    f"<html><head><title>t</title></head><body><form action='page.aspx'><nav>{_MENU}</nav><article><h1>+ title</h1><p>{_LONG}</p><p>{_SHORT}</p></article><footer>{_SIDE}</footer></form></body>",
+    f"<header>{_SIDE}</header><form><main><h1>+ title</h1><p>{_LONG}</p><form>{_SIDE}</form></main></form><footer>{_SIDE}</footer>",
+    f"<form><div>{_MENU}</div><h1>+ harbour plans agreed</h1><p>{_LONG}</p><p>{_LONG} {_MID}</p><p>{_MID}</p><p>{_LONG}</p><div>{_LINKS}</div><p>all rights reserved</p></form>",
+]
+LABELLED = [(page, None) for page in (*_BARE, *_FRAMED, *_OPEN)]

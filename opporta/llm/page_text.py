@@ -22,6 +22,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 CLOSES_SAME = frozenset("p li dd dt tr td th h1 h2 h3 h4 h5 h6".split())  # an open one ends where the next begins
 FRAME_TAGS = frozenset("nav menu aside form dialog search fieldset".split())
 ARTICLE_TAGS = frozenset("article main".split())
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())  # any other start tag ends a head
 HINTS = frozenset(
     "ad ads advert advertisement adverts adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice alert popup modal overlay "
     "sidebar side widget widgets related recommended recommendations share sharing social follow comment comments disqus reply replies respond breadcrumb "
@@ -31,6 +32,7 @@ WITH = ("has-", "with-", "no-", "is-")  # a class that tells of another element
 ARTICLE_WORDS = frozenset("article content entry main post section story".split())  # their header is the article's
 FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "framed", "hinted", "in_article", "outside_article")
 DEPTH, LEAST_LEAF = 6, 1
+PAGE_FORM = 0.9  # share of a page's words from which a form is the page and frames nothing
 
 
 RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())  # hold text only, up to their end tag
@@ -95,11 +97,16 @@ def markup(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 
 
 class _Blocks:
-    """Blocks `[text, words, linked words, framed, hinted, in_article]` in page order, in one pass."""
+    """Blocks `[text, words, linked words, framed, hinted, in_article, form, outer form]` in page order, in one pass.
+
+    `framed` is without forms; `form` is the number of the form around a block, within its article or main if it is in one,
+    and `outer form` that of the outermost form.
+    """
 
     def __init__(self):
         self.blocks: list[list] = []
-        self.stack: list[tuple] = [("", False, False, False, False)]  # tag, framed, hinted, in article, dropped
+        self.stack: list[tuple] = [("", False, False, False, False, 0, 0)]  # tag, framed, hinted, in article, dropped, form, outer form
+        self.forms = 0
         self.open: dict[str, int] = {}
         self.parts: list[tuple[str, bool]] = []
         self.link = 0  # depth of the stack at which a link is open
@@ -110,7 +117,7 @@ class _Blocks:
         text = " ".join("".join(t for t, _ in self.parts).split())
         if text:
             linked = sum(len(t.split()) for t, in_link in self.parts if in_link)
-            self.blocks.append([text, text.count(" ") + 1, linked, *self.stack[-1][1:4]])
+            self.blocks.append([text, text.count(" ") + 1, linked, *self.stack[-1][1:4], *self.stack[-1][5:]])
         self.parts = []
 
     def pop_to(self, tag: str) -> None:
@@ -125,6 +132,8 @@ class _Blocks:
 
     def start(self, tag: str, own: dict[str, str]) -> None:
         block, dropped = tag in BLOCK_TAGS, tag in DROPPED_TAGS
+        if self.stack[-1][0] == "head" and tag not in HEAD_TAGS and tag not in ("head", "html"):
+            self.pop_to("head")
         if tag == "br":
             self.parts.append(("\n", False))
         elif tag == "a":
@@ -142,14 +151,20 @@ class _Blocks:
                 self.pop_to("p")
             if tag in CLOSES_SAME and self.stack[-1][0] == tag:
                 self.pop_to(tag)
-        _, framed, hinted, article, gone = self.stack[-1]
+        _, framed, hinted, article, gone, form, outer = self.stack[-1]
         names = f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".split()
         named = {x for n in names if not n.lower().startswith(WITH) for x in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", n).lower())}
         if "header" in named and not article and not named & ARTICLE_WORDS:
             named.add("masthead")
         hidden = "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", ""))
-        framed = framed or tag in FRAME_TAGS or tag == "footer" or (tag == "header" and not article)
-        self.stack.append((tag, framed, bool(hinted or (named & HINTS and tag not in ("body", "html")) or hidden), article or tag in ARTICLE_TAGS, gone or dropped))
+        if tag == "form":
+            self.forms += not form  # a form in a form is no form
+            form = form or self.forms
+            outer = outer or form
+        elif tag in ARTICLE_TAGS:
+            form = 0
+        framed = framed or (tag in FRAME_TAGS and tag != "form") or tag == "footer" or (tag == "header" and not article)
+        self.stack.append((tag, framed, bool(hinted or (named & HINTS and tag not in ("body", "html")) or hidden), article or tag in ARTICLE_TAGS, gone or dropped, form, outer))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def end(self, tag: str) -> None:
@@ -161,11 +176,14 @@ class _Blocks:
             self.pop_to(tag)
 
     def data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and data.strip():
+            self.pop_to("head")
         if not self.stack[-1][4]:
             self.parts.append((data, bool(self.link)))
 
 
 def blocks(html: str) -> list[list]:
+    """Blocks `[text, words, linked words, framed, hinted, in_article]` in page order; a form round the page frames none."""
     reader = _Blocks()
     for kind, what, own in markup(html):
         if kind == "text":
@@ -175,7 +193,12 @@ def blocks(html: str) -> list[list]:
         else:
             reader.end(what)
     reader.flush()
-    return reader.blocks
+    held = [0] * (reader.forms + 1)
+    for b in reader.blocks:
+        for form in {b[6], b[7]}:
+            held[form] += b[1]
+    most = PAGE_FORM * sum(b[1] for b in reader.blocks)
+    return [[*b[:3], bool(b[3] or (b[6] and held[b[6]] < most)), *b[4:6]] for b in reader.blocks]
 
 
 def features(found: list[list]) -> np.ndarray:

@@ -37,6 +37,16 @@ def test_page_text_of_odd_pages(spark):
     assert page_text.extracted(clash)[0].columns == ["page_id", "main_text", "html", "main_text_"]
 
 
+def test_open_heads_and_page_forms_keep_the_article():
+    tree = page_text.trained()
+    text = "The council voted on Monday to repair the old sea wall, and the work is to start in the first week of spring if the weather allows it."
+    assert page_text.main_text(f"<!doctype html><head><title>t</title><style>p{{}}</style><article><p>{text}</p></article>", tree) == text
+    assert page_text.main_text(f"<head><title>t</title>{text}", tree) == text
+    menu = "<nav><ul><li><a href='/'>Home</a></ul></nav>"
+    assert page_text.main_text(f"<body><form id='aspnetForm'>{menu}<article><p>{text}</p><form><p>Sign up</p></form></article></form>", tree) == text
+    assert page_text.main_text(f"<body><form id='aspnetForm'>{menu}<div><p>{text}</p><p>{text}</p></div></form>", tree) == f"{text}\n{text}"
+
+
 @pytest.mark.parametrize("page", ["<li>" * 30_000, "<a <a " * 20_000, '<div class="' * 20_000, "<!--" * 20_000, "<div>" * 30_000, "</p>" * 30_000])
 def test_broken_pages_take_linear_time(page):
     import time

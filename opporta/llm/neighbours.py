@@ -89,9 +89,9 @@ class Forest:
         return found
 
 
-def _nearest(query: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def _nearest(query: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray, no_id: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of every query: smallest score, then smallest id (null last), then row."""
-    order = np.lexsort((row, ids, score, query))
+    order = np.lexsort((row, ids, no_id, score, query))
     grouped = query[order]
     begins = np.flatnonzero(np.r_[True, grouped[1:] != grouped[:-1]])
     place = np.arange(len(order)) - np.repeat(begins, np.diff(np.r_[begins, len(order)]))
@@ -131,9 +131,10 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "v": batch["v"], "leaves": [forest.value.visited(np.asarray(v, dtype=np.float32), visits) for v in batch["v"]]})
-    index = common.stored(fine.withColumn("row", F.monotonically_increasing_id()).mapInPandas(indexed, "id bigint, v array<double>, asks boolean, row bigint, leaves array<int>"), "forest")
-    queries = common.stored(index.where("asks").select("row", "id", "v").mapInPandas(asked, "row bigint, id bigint, v array<double>, leaves array<int>"), "forest-queries")
+            yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "no_id": batch["no_id"], "v": batch["v"], "leaves": [forest.value.visited(np.asarray(v, dtype=np.float32), visits) for v in batch["v"]]})
+    masked = fine.select(F.coalesce("id", F.lit(0).cast("bigint")).alias("id"), F.col("id").isNull().alias("no_id"), "v", "asks")  # pandas makes numbers with nulls floats
+    index = common.stored(masked.withColumn("row", F.monotonically_increasing_id()).mapInPandas(indexed, "id bigint, no_id boolean, v array<double>, asks boolean, row bigint, leaves array<int>"), "forest")
+    queries = common.stored(index.where("asks").select("row", "id", "no_id", "v").mapInPandas(asked, "row bigint, id bigint, no_id boolean, v array<double>, leaves array<int>"), "forest-queries")
     blocks = max(1, -(-queries.count() // query_block))
     found = None
     for b in range(blocks):
@@ -151,16 +152,16 @@ def _candidates(index: DataFrame, block: pd.DataFrame, k: int) -> DataFrame:
     leaf = np.concatenate([np.asarray(x, dtype=np.int64) for x in block["leaves"]])
     asks = np.repeat(np.arange(len(block)), block["leaves"].map(len))
     order = np.argsort(leaf, kind="stable")
-    sent = index.sparkSession.sparkContext.broadcast((np.stack(block["v"].to_numpy()), block["row"].to_numpy(), block["id"].to_numpy(dtype=np.int64), leaf[order], asks[order]))
+    sent = index.sparkSession.sparkContext.broadcast((np.stack(block["v"].to_numpy()), block["row"].to_numpy(), block["id"].to_numpy(dtype=np.int64), block["no_id"].to_numpy(dtype=bool), leaf[order], asks[order]))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors, rows, names, by_leaf, who = sent.value
-        best = {"query": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "score": np.zeros(0), "id": np.zeros(0)}
+        vectors, rows, names, no_name, by_leaf, who = sent.value
+        best = {"query": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "score": np.zeros(0), "id": np.zeros(0, np.int64), "no_id": np.zeros(0, bool)}
         for batch in batches:
             if not len(batch):
                 continue
             v, row, own = np.stack(batch["v"].to_numpy()), batch["row"].to_numpy(), np.stack(batch["leaves"].to_numpy())
-            ids = batch["id"].to_numpy(dtype=float, na_value=np.inf)
+            ids, no_id = batch["id"].to_numpy(dtype=np.int64), batch["no_id"].to_numpy(dtype=bool)
             begin, end = np.searchsorted(by_leaf, own, "left"), np.searchsorted(by_leaf, own, "right")
             many = (end - begin).sum(axis=1)
             for a, z in _runs(many, PAIRS_AT_ONCE):
@@ -171,13 +172,13 @@ def _candidates(index: DataFrame, block: pd.DataFrame, k: int) -> DataFrame:
                 keep = rows[q] != row[r]
                 q, r = q[keep], r[keep]
                 score = np.sqrt(((vectors[q] - v[r]) ** 2).sum(axis=1))
-                best = {n_: np.concatenate([best[n_], x]) for n_, x in (("query", q), ("row", row[r]), ("score", score), ("id", ids[r]))}
-                top = _nearest(best["query"], best["row"], best["score"], best["id"], k)
+                best = {n_: np.concatenate([best[n_], x]) for n_, x in (("query", q), ("row", row[r]), ("score", score), ("id", ids[r]), ("no_id", no_id[r]))}
+                top = _nearest(best["query"], best["row"], best["score"], best["id"], best["no_id"], k)
                 best = {n_: x[top] for n_, x in best.items()}
         q = best["query"]
-        yield pd.DataFrame({"query_row": rows[q], "query_id": names[q], "row": best["row"], "score": best["score"],
-                            "vec_id": pd.array([None if np.isinf(x) else int(x) for x in best["id"]], dtype="Int64")})
-    return index.select("id", "v", "row", "leaves").mapInPandas(compared, "query_row bigint, query_id bigint, row bigint, score double, vec_id bigint")
+        yield pd.DataFrame({"query_row": rows[q], "query_id": names[q], "no_query": no_name[q], "row": best["row"], "score": best["score"], "vec_id": best["id"], "no_id": best["no_id"]})
+    found = index.select("id", "no_id", "v", "row", "leaves").mapInPandas(compared, "query_row bigint, query_id bigint, no_query boolean, row bigint, score double, vec_id bigint, no_id boolean")
+    return found.select("query_row", F.when(~F.col("no_query"), F.col("query_id")).alias("query_id"), "row", "score", F.when(~F.col("no_id"), F.col("vec_id")).alias("vec_id"))
 
 
 def _runs(many: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -102,6 +102,14 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.report(table.limit(0)).collect() == []
 
 
+def test_large_ids_come_back_exactly(spark):
+    big = 2**60
+    rows = [(big + 1, [1.0, 0.0]), (big + 3, [2.0, 0.0]), (big + 2, [2.0, 0.0]), (None, [2.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1)
+    got = sorted((r["rank"], r.vec_id) for r in neighbours.search(table, table["vec_id"] == big + 1).collect() if r.query_id == big + 1)
+    assert got == [(1, big + 2), (2, big + 3), (3, None)]
+
+
 def test_recall_on_the_given_vectors(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     every = table.toPandas().sort_values("vec_id")

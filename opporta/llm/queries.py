@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opporta.llm import context_tree, decontaminate, language, lines, mixing, neighbours, page_text, simhash, suffixes, token_files
+from opporta.llm import context_tree, decontaminate, language, lines, merkle, mixing, neighbours, page_text, simhash, suffixes, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(_table(spark, sf_dir, "documents"))
 
 
+@_query("op11_merkle", merkle.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_table(spark, sf_dir, "documents"), whole=True)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opporta.llm import context_tree, decontaminate, language, lines, merkle, mixing, neighbours, page_text, simhash, suffixes, token_files
+from opporta.llm import context_tree, decontaminate, language, lines, merkle, mixing, neighbours, page_text, pieces, simhash, suffixes, token_files, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +81,16 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(_table(spark, sf_dir, "documents"))
 
 
+@_query("op12_pieces")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_table(spark, sf_dir, "documents"), whole=True)
 

@@ -13,12 +13,12 @@ from opporta import runtime
 BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Keep what a Python worker gets at once small: documents are long, and a batch of the usual 10,000 is not.
 
     Lowers the session's Arrow batch limits; lower ones that the caller has set stay.
     """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = spark.conf.get(key)
         if not now.isdigit() or int(now) <= 0 or int(now) > most:
             spark.conf.set(key, str(most))

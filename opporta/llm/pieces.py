@@ -3,8 +3,8 @@
 A text is normalised through the compiled character map of the model, a double-array trie over UTF-8 bytes: at every byte all
 keys that begin there are followed at once in numpy and the longest one counts; from left to right each match or single
 character becomes one unit, whose replacement is copied and whose place in the original is noted for every byte. Spaces
-are escaped, and trimmed where the model says so. Byte-pair merging then works on stretches that no vocabulary entry
-crosses, each merged once per worker, and every piece is projected through the alignment to its bytes in the original.
+are escaped, and trimmed where the model says so. The library merges the normalised text, with a model whose own
+normalisation is switched off, and every piece is projected through the alignment to its bytes in the original.
 
 For models of byte-pair type with normal, unknown and control pieces and one piece for each byte; others are refused.
 
@@ -15,8 +15,6 @@ Repeated rows are encoded each; an empty table has no rows; added columns get na
 
 from __future__ import annotations
 
-import heapq
-import re
 import struct
 from collections.abc import Iterator
 
@@ -31,10 +29,10 @@ from opporta.llm import common
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHED, LONGEST = 500_000, 64  # stretches a worker remembers, characters of one of them
+BATCH_BYTES = 1_000_000  # of text in one batch: its ids and spans take twelve times as much
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _BPE = 2
-_LETTER = re.compile(r"[^\W\d_]")
+_AS_IT_IS = bytes([0x1A, 8, 0x12, 0, 0x18, 0, 0x20, 0, 0x28, 0])  # appended to a model: no character map, no prefix, no trimming, no escaping
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -169,141 +167,39 @@ class Normaliser:
 
 
 class Coder:
-    """A model: normaliser, vocabulary, byte-pair merging with spans."""
+    """A model: its normaliser, and the library's byte-pair merging on text that is normalised already."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             model = f.read()
         rows = list(fields(model))
         pieces = [dict(fields(v)) for k, v in rows if k == 1]
-        kinds = [p.get(3, _NORMAL) for p in pieces]
+        kinds = np.array([p.get(3, _NORMAL) for p in pieces])
         trainer = dict(fields(next((v for k, v in rows if k == 2), b"")))
-        if trainer.get(3) != _BPE or set(kinds) - {_NORMAL, _UNKNOWN, _CONTROL, _BYTE} or kinds.count(_BYTE) != 256 or trainer.get(24, 0):
+        if trainer.get(3) != _BPE or set(kinds.tolist()) - {_NORMAL, _UNKNOWN, _CONTROL, _BYTE} or (kinds == _BYTE).sum() != 256 or trainer.get(24, 0):
             raise ValueError("not a byte-pair model of normal, unknown, control and byte pieces")
         self.normaliser = Normaliser(next((v for k, v in rows if k == 3), b""))
-        self.score, self.id_of, self.byte_ids = {}, {}, [0] * 256
-        for k, (p, kind) in enumerate(zip(pieces, kinds, strict=True)):
-            text = p[1].decode()
-            if kind == _NORMAL:
-                self.score[text], self.id_of[text] = struct.unpack("<f", p.get(2, b"\0\0\0\0"))[0], k
-            elif kind == _BYTE:
-                self.byte_ids[int(text[1:-1], 16)] = k
-        self.pairs = {w[k:k + 2] for w in self.score for k in range(len(w) - 1)}
-        across = [p for p in self.pairs if p[0] != SPACE and (p[1] == SPACE or bool(_LETTER.match(p[0])) != bool(_LETTER.match(p[1])))]
-        if not across:  # no piece goes from a letter to another character or back, or from a word into the next space
-            self.stretches = re.compile(rf"{SPACE}*{_LETTER.pattern}+|{SPACE}*(?:(?!{SPACE})[\W\d_])+|{SPACE}+")
-        else:
-            self.stretches = re.compile(r"(?s).+")
+        self.sizes = np.array([len(p[1]) for p in pieces])
+        self.byte = np.full(len(pieces), -1)
+        self.byte[kinds == _BYTE] = [int(p[1][1:-1], 16) for p, kind in zip(pieces, kinds, strict=True) if kind == _BYTE]
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.merger = sentencepiece.SentencePieceProcessor(model_proto=model + _AS_IT_IS)
         self.end = self.processor.eos_id()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.first = np.zeros(1 << 12, dtype=np.int64)  # where the ids of each known stretch begin in the two tables below
-        self.ids, self.sizes = np.zeros(1 << 14, dtype=np.int32), np.zeros(1 << 14, dtype=np.int32)
-
-    def merged(self, text: str) -> list[str]:
-        """Pieces of one stretch: the best-scored adjacent pair is joined first, of equal ones the leftmost."""
-        piece: list[str | None] = list(text)
-        left, right = list(range(-1, len(piece) - 1)), [*range(1, len(piece)), -1]
-        heap: list[tuple[float, int, int, int]] = []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0:
-                both = piece[a] + piece[b]
-                if both in self.score:
-                    heapq.heappush(heap, (-self.score[both], a, b, len(both)))
-        for a in range(len(piece) - 1):
-            offer(a, a + 1)
-        while heap:
-            _, a, b, size = heapq.heappop(heap)
-            if piece[a] is None or piece[b] is None or len(piece[a]) + len(piece[b]) != size:
-                continue
-            piece[a], piece[b] = piece[a] + piece[b], None
-            right[a] = right[b]
-            if right[b] >= 0:
-                left[right[b]] = a
-            offer(left[a], a)
-            offer(a, right[a])
-        return [p for p in piece if p is not None]
-
-    def _coded(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of a stretch and the bytes each takes; of a character given byte by byte only the last id takes any."""
-        ids, sizes = [], []
-        for p in self.merged(text):
-            raw = p.encode()
-            if p in self.id_of:
-                ids.append(self.id_of[p])
-                sizes.append(len(raw))
-            else:
-                ids += [self.byte_ids[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-        return ids, sizes
-
-    def _number(self, stretch: str) -> int:
-        """Number of a stretch in the worker's tables."""
-        ids, sizes = self._coded(stretch)
-        self.known[stretch] = number = len(self.known)
-        at, upto = int(self.first[number]), int(self.first[number]) + len(ids)
-        if number + 2 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        while upto > len(self.ids):
-            self.ids, self.sizes = (np.concatenate([t, np.zeros_like(t)]) for t in (self.ids, self.sizes))
-        self.first[number + 1] = upto
-        self.ids[at:upto], self.sizes[at:upto] = ids, sizes
-        return number
-
-    def _cut(self, stretch: str) -> Iterator[str]:
-        """Long stretches are cut further, between characters that stand together in no piece."""
-        if len(stretch) <= LONGEST:
-            yield stretch
-            return
-        at = 0
-        for k in range(1, len(stretch)):
-            if stretch[k - 1:k + 1] not in self.pairs:
-                yield stretch[at:k]
-                at = k
-        yield stretch[at:]
 
     def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first and last byte (exclusive) of each in the original text; the end id stands behind the text."""
         raw = text.encode()
         normal, align = self.normaliser.normalised(raw)
-        if len(self.known) > CACHED:
-            self._clear()
-        ids, sizes, numbers = [], [], []
-
-        def flush() -> None:
-            if not numbers:
-                return
-            no = np.array(numbers, dtype=np.int64)
-            first = self.first[no]
-            own = self.first[no + 1] - first
-            at = np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            ids.append(self.ids[at])
-            sizes.append(self.sizes[at])
-            numbers.clear()
-        known = self.known
-        for stretch in self.stretches.findall(normal.decode()):
-            number = known.get(stretch)
-            if number is not None:
-                numbers.append(number)
-                continue
-            for part in self._cut(stretch):
-                if len(part) <= LONGEST:
-                    number = known.get(part)
-                    numbers.append(self._number(part) if number is None else number)
-                else:
-                    flush()
-                    own = self._coded(part)
-                    ids.append(np.array(own[0], dtype=np.int32))
-                    sizes.append(np.array(own[1], dtype=np.int32))
-        flush()
-        size = np.concatenate([*sizes, np.zeros(0, dtype=np.int32)]).astype(np.int64)
+        ids = np.array(self.merger.encode(normal.decode()), dtype=np.int32)
+        size, byte = self.sizes[ids], self.byte[ids]
+        spelt = np.flatnonzero(byte >= 0)
+        if len(spelt):  # of a character given byte by byte the last id takes all
+            no = np.cumsum((byte[spelt] & 0xC0) != 0x80) - 1
+            size[spelt] = 0
+            size[spelt[np.flatnonzero(np.append(np.diff(no), 1))]] = np.bincount(no)
         upto = np.cumsum(size)
         begin, end = align[upto - size], align[upto]
-        return (np.concatenate([*ids, np.array([self.end], dtype=np.int32)]), np.append(begin, len(raw)), np.append(end, len(raw)))
+        return np.append(ids, np.int32(self.end)), np.append(begin, len(raw)), np.append(end, len(raw))
 
 
 def _coder(path: str) -> Coder:
@@ -318,17 +214,18 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame,
     kind = pa.struct([(k, pa.list_(pa.int32())) for k in ("ids", "begins", "ends")])
 
     def made(texts: pa.Array) -> pa.Array:
-        coder, rows = _coder(path), [[np.zeros(0, dtype=np.int32)] for _ in range(3)]
-        sizes = []
+        coder, rows, sizes = _coder(path), [[np.zeros(0, dtype=np.int32)] for _ in range(3)], [0]
         for t in texts:
-            if t.is_valid:
-                own = coder.encoded(t.as_py())
-                for all_, values in zip(rows, own, strict=True):
-                    all_.append(values.astype(np.int32))
-            sizes.append(len(own[0]) if t.is_valid else 0)
-        cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(r))) for r in rows], fields=list(kind), mask=texts.is_null())
-    common.bound_batches(docs.sparkSession)
+            own = coder.encoded(t.as_py()) if t.is_valid else [rows[0][0]] * 3
+            for all_, values in zip(rows, own, strict=True):
+                all_.append(values.astype(np.int32))
+            sizes.append(sizes[-1] + len(own[0]))
+        cuts = pa.array(sizes, pa.int32())
+        lists = []
+        while rows:
+            lists.append(pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(rows.pop(0)))))
+        return pa.StructArray.from_arrays(lists, fields=list(kind), mask=texts.is_null())
+    common.bound_batches(docs.sparkSession, size=BATCH_BYTES)
     name = common.free_name(docs, "pieces")
     return docs.withColumn(name, F.arrow_udf(made, _PIECES).asNondeterministic()(F.col(f"`{text}`"))), name
 
@@ -337,8 +234,8 @@ def decoded(docs: DataFrame, path: str, ids: str) -> tuple[DataFrame, str]:
     """Add the text that the library decodes from a column of id lists. Frame and column name."""
     def made(lists: pa.Array) -> pa.Array:
         processor = _coder(path).processor
-        return pa.array([None if x is None else processor.decode(x) for x in lists.to_pylist()], pa.string())
-    common.bound_batches(docs.sparkSession)
+        return pa.array([processor.decode(x.as_py()) if x.is_valid else None for x in lists], pa.string())
+    common.bound_batches(docs.sparkSession, size=BATCH_BYTES)
     name = common.free_name(docs, "decoded_text")
     return docs.withColumn(name, F.arrow_udf(made, "string").asNondeterministic()(F.col(ids))), name
 

@@ -3,7 +3,7 @@ rows costs one row per task, unlike a window over that key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opporta.functions import ids, url
@@ -35,6 +35,25 @@ def not_known(items: DataFrame, known: DataFrame, key: str = "fingerprint") -> D
     return items.join(known.select(key), key, "left_anti")
 
 
+def store_fingerprints(known: DataFrame, table: str, path: str, buckets: int = 256, key: str = "fingerprint") -> None:
+    """Write the stored keys as a bucketed table, once per full rebuild. Each bucket is one sorted file."""
+    known.select(key).where(F.col(key).isNotNull()).distinct().repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(
+        buckets, key).sortBy(key).saveAsTable(table)
+
+
+def not_stored(items: DataFrame, table: str, order: list[str], key: str = "fingerprint") -> DataFrame:
+    """The first item of each key that a bucketed table of `store_fingerprints` lacks.
+
+    The items move once, to the buckets of the table; the stored keys are read where they are, without an exchange.
+    """
+    return first_wins(items.join(stored_keys(items.sparkSession, table, key), key, "left_anti"), [key], order)
+
+
+def stored_keys(spark: SparkSession, table: str, key: str = "fingerprint") -> DataFrame:
+    """Keys of a bucketed table; never broadcast, for their number grows with all pages ever seen."""
+    return spark.table(table).select(key).hint("merge")
+
+
 def distinct_values(values: Column) -> Column:
     """Stable de-duplication of an array, without nulls and blanks."""
     return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v.cast("string") != "")))

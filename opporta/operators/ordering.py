@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,27 +40,34 @@ def balanced_top(candidates: DataFrame, keywords: list[str], max_items: int | No
 
     Each keyword in turn takes its first `ceil(max / keywords)` URLs (`per_keyword` without a maximum) not
     taken before; then the list is cut to the maximum. candidates: source_id, keyword, position, target_url.
-    The loop runs once per keyword (at most `max_queries`, if given). What a keyword took is checkpointed, so
-    the plan of a round does not hold the rounds before it; no step holds a whole source.
+    Keywords before the k-th have taken at most k times the quota, so the first (k + 1) quotas of a keyword hold
+    all it can take. Spark keeps only those, per task before the shuffle; what is left of a source is bounded by
+    keywords and quota, and one pass over it takes the URLs. One plan, whatever the number of keywords.
     """
-    used = keywords[: min((n for n in (max_queries, max_items) if n), default=len(keywords))]
+    used = list(dict.fromkeys(keywords[: min((n for n in (max_queries, max_items) if n), default=len(keywords))]))
     if not used:
         return candidates.limit(0).withColumn("keyword_order", F.lit(0))
     quota = max(1, -(-(max_items or len(used) * per_keyword) // len(used)))
-    taken: DataFrame | None = None
-    for order, keyword in enumerate(used):
-        own = candidates.where(F.col("keyword") == keyword).groupBy("source_id", "target_url").agg(F.min("position").alias("position"))
-        if taken is not None:
-            own = own.join(taken.select("source_id", "target_url"), ["source_id", "target_url"], "left_anti")
-        first = W.partitionBy("source_id").orderBy("position", "target_url")
-        picked = own.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= quota).select(
-            "source_id", "target_url", F.lit(keyword).alias("keyword"), F.lit(order).alias("keyword_order"), "position")
-        picked = cut_lineage(picked)
-        taken = picked if taken is None else taken.unionByName(picked)
-    if max_items:
-        final = W.partitionBy("source_id").orderBy("keyword_order", "position", "target_url")
-        taken = taken.withColumn("_rn", F.row_number().over(final)).where(F.col("_rn") <= max_items).drop("_rn")
-    return taken
+    kinds = dict(candidates.dtypes)
+
+    def taken(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("keyword_order", "ascending"), ("position", "ascending"), ("target_url", "ascending")])
+        seen: set[str] = set()
+        count, keep = [0] * len(used), []
+        for row, (order, target) in enumerate(zip(rows["keyword_order"].to_pylist(), rows["target_url"].to_pylist(), strict=True)):
+            if max_items and len(keep) == max_items:
+                break
+            if count[order] < quota and target not in seen:
+                seen.add(target)
+                count[order] += 1
+                keep.append(row)
+        return rows.take(pa.array(keep, pa.int64()))
+    order = F.element_at(F.create_map(*[x for k, word in enumerate(used) for x in (F.lit(word), F.lit(k))]), F.col("keyword"))
+    own = candidates.where(F.col("keyword").isin(used)).groupBy("source_id", "keyword", "target_url").agg(F.min("position").alias("position"))
+    ranked = own.withColumn("keyword_order", order).withColumn("_rn", F.row_number().over(W.partitionBy("source_id", "keyword").orderBy("position", "target_url")))
+    near = ranked.where(F.col("_rn") <= quota * len(used)).where(F.col("_rn") <= quota * (F.col("keyword_order") + 1))
+    return near.select("source_id", "target_url", "keyword", "keyword_order", "position").groupBy("source_id").applyInArrow(
+        taken, f"source_id {kinds['source_id']}, target_url string, keyword string, keyword_order int, position {kinds['position']}")
 
 
 def listing_stop(links: DataFrame, since: Column | None = None, max_pages: int | None = None) -> DataFrame:

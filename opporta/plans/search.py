@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from opporta.functions import labels
+from opporta.operators.ordering import with_row_number
 
 SEARCHED = ["title", "organization_name", "need_summary", "budget_text"]
 
@@ -56,6 +57,49 @@ def lead_page(leads: DataFrame, page: int = 1, page_size: int = 20, sort_by: str
     return leads.orderBy(*order).offset((page - 1) * page_size).limit(page_size).withColumn("badge", labels.score_badge(F.col("score")))
 
 
+def _best_first() -> list[Column]:
+    return [F.col("score").desc_nulls_last(), F.col("crawled_at").desc_nulls_last(), F.col("id").asc()]
+
+
+def page_after(leads: DataFrame, last: Row | None, page_size: int = 20) -> DataFrame:
+    """The page behind the row `last` (score, crawled_at, id) in the default order; the first page without one.
+
+    The filter reaches the scan, and what passes it runs as a top-k: no task ever sorts or holds more than a page, however
+    deep the page is.
+    """
+    rest = leads
+    if last is not None:
+        score, at = F.col("score"), F.col("crawled_at")
+        same_score = score.isNull() if last.score is None else score == last.score
+        same_at = at.isNull() if last.crawled_at is None else at == F.lit(last.crawled_at)
+        after = same_score & same_at & (F.col("id") > last.id)
+        if last.crawled_at is not None:
+            after = after | same_score & (at.isNull() | (at < F.lit(last.crawled_at)))
+        if last.score is not None:
+            after = after | score.isNull() | (score < last.score)
+        rest = leads.where(after)
+    return rest.orderBy(*_best_first()).limit(page_size).withColumn("badge", labels.score_badge(F.col("score")))
+
+
+def page_ends(leads: DataFrame, page_size: int = 20) -> DataFrame:
+    """`page, score, crawled_at, id` of the last row of every full page, numbered in range slices. Only the keys move.
+
+    Store it to jump to any page with `page_after`.
+    """
+    keys = leads.select(F.coalesce(-F.col("score"), F.lit(2**31 - 1)).alias("_s"), F.coalesce(-F.unix_micros(F.col("crawled_at").cast("timestamp")), F.lit(2**63 - 1)).alias("_t"),
+                        "id", "score", "crawled_at")
+    numbered = with_row_number(keys, [], ["_s", "_t", "id"], "_row")
+    return numbered.where(F.col("_row") % page_size == 0).select((F.col("_row") / page_size).cast("bigint").alias("page"), "score", "crawled_at", "id")
+
+
+def seek_page(leads: DataFrame, page: int, page_size: int = 20) -> DataFrame:
+    """One page of the default order, as `lead_page` gives it, by seeking the row before it."""
+    if page <= 1:
+        return page_after(leads, None, page_size)
+    before = page_ends(leads, page_size).where(F.col("page") == page - 1).first()
+    return leads.limit(0).withColumn("badge", F.lit("")) if before is None else page_after(leads, before, page_size)
+
+
 def search_leads(leads: DataFrame, page: int = 1, page_size: int = 20, sort_by: str = "score", sort_order: str = "desc", **filters) -> DataFrame:
     return lead_page(filter_leads(leads, **filters), page, page_size, sort_by, sort_order)
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opporta.operators.dedup import with_fingerprint
 from opporta.operators.match import match_keywords
+from opporta.sources import lead_table
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -49,3 +50,28 @@ def match_batches(read_keywords: Callable[[], DataFrame], item_id: str, sink: Ca
     def write(batch: DataFrame, batch_id: int) -> None:
         sink(match_keywords(batch, read_keywords(), item_id), batch_id)
     return write
+
+
+def lead_batches(path: str, steps: str, key: str, order: list[str], buckets: int = lead_table.BUCKETS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer that adds leads whose key the stored table lacks.
+
+    A batch that runs again, in part or whole, leaves the same table: its step folder is named by its number. The folder of
+    the batch before goes, for a batch only starts when the one before is committed.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        lead_table.publish_new(batch, path, key, f"{steps}/{batch_id}", order, buckets)
+        lead_table.forget(batch.sparkSession, f"{steps}/{batch_id - 1}")
+    return write
+
+
+def start_lead_ingest(leads: DataFrame, path: str, checkpoint: str, order: list[str], key: str = "content_fingerprint", time: str = "crawled_at",
+                      delay: str | None = None, buckets: int = lead_table.BUCKETS, available_now: bool = True):
+    """Leads from a stream into the stored table at `path`: copies inside the stream, then known leads, are left out.
+
+    With `delay`, copies within that time of each other are dropped before the batch is formed; others meet the stored table.
+    """
+    if delay is not None:
+        at = "_event_time"
+        leads = leads.withColumn(at, leads[time].cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key]).drop(at)
+    writer = leads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lead_batches(path, f"{checkpoint}/steps", key, order, buckets))
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()

@@ -26,12 +26,12 @@ def test_stages_match_plain_versions(spark, odd, tmp_path):
     # language: texts with a letter
     lettered = [r for r in rows[""] if r[1] and any(c.isalpha() for c in r[1])]
     assert sorted(map(repr, rows["language_id"])) == sorted(map(repr, lettered))
-    # near copies: groups by links of at most 4 bits, one row with the smallest id of each
-    prints, group = [plain_print(r[1]) for r in lettered], list(range(len(lettered)))
+    # near copies: groups by links of at least 0.8 of five-word shingles, one row with the smallest id of each
+    sets, group = [set(near_copies.shingles(r[1]).tolist()) for r in lettered], list(range(len(lettered)))
     for _ in lettered:
-        for a, x in enumerate(prints):
-            for b, y in enumerate(prints):
-                if (x ^ y).bit_count() <= 4:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if x == y or len(x & y) >= 0.8 * len(x | y):
                     group[a] = group[b] = min(group[a], group[b])
     members = collections.defaultdict(list)
     for g, r in zip(group, lettered, strict=True):
@@ -66,6 +66,36 @@ def test_stages_match_plain_versions(spark, odd, tmp_path):
     assert sum(r[2] for r in rows["token_output"]) == max(r[1] + r[2] for r in rows["token_output"])
 
 
+def test_near_copies_of_odd_rows(spark, odd, no_rows):
+    """Null, wordless, repeated and very long texts, null ids, columns named like those used inside."""
+    kept = near_copies.one_of_each(odd.withColumnRenamed("fp", "shingle_set").withColumnRenamed("language", "node"))
+    assert kept.columns == [c.replace("language", "node") if c == "language" else "shingle_set" if c == "fp" else c for c in odd.columns]
+    rows = kept.collect()
+    want = {}
+    for r in odd.collect():
+        own = tuple(near_copies.shingles(r.text or "").tolist())
+        near = next((k for k in want if own == k or own and k and len(set(own) & set(k)) >= 0.8 * len(set(own) | set(k))), own)
+        want[near] = min(want.get(near, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted(want.values())
+    assert near_copies.one_of_each(no_rows).count() == 0
+
+
+def test_a_bucket_in_pieces_gives_the_same_links(spark, monkeypatch):
+    """Many texts on one template, below 0.8, with some near copies among them."""
+    base = [f"t{k}" for k in range(150)]
+    rows = [(k, " ".join(base[:100] + [f"own{k}x{j}" for j in range(50)])) for k in range(120)]
+    rows += [(1000 + k, rows[k][1].replace(f"own{k}x25 ", "")) for k in range(0, 120, 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = list(range(120))
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == want
+    monkeypatch.setattr(near_copies, "PIECE", 7)
+    monkeypatch.setattr(near_copies, "STAR_ROUNDS", 0)
+    made, name = near_copies.with_shingles(docs)
+    sets = common.stored(made.select(f"{name}.*"), "test-sets")
+    root = common.components(near_copies.links(sets, rounds=0))
+    assert root.select("root").distinct().count() == 12 and root.count() == 24
+
+
 def test_near_copies_of_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
@@ -85,7 +115,7 @@ def test_near_copies_of_given_documents(spark):
             holds[s].append(k)
     wordless = [k for k, own in enumerate(sets) if not own]
     want = sorted(rows[k][0] for k in range(len(rows)) if root(k) == k and k not in wordless[1:])
-    assert sorted(r.doc_id for r in dict(corpus_pipeline.WHOLE_STAGES)["near_dedup"](spark, docs, "").collect()) == want
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()) == want
 
 
 def test_an_edited_copy_goes_whatever_its_bits(spark):
@@ -95,4 +125,4 @@ def test_an_edited_copy_goes_whatever_its_bits(spark):
     a, b, c = (set(near_copies.shingles(" ".join(w)).tolist()) for w in (words, edited, far))
     assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c) and np.bitwise_count(np.uint64(plain_print(" ".join(words)) ^ plain_print(" ".join(edited)))) > 4
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((words, edited, far))], "doc_id bigint, text string")
-    assert sorted(r.doc_id for r in dict(corpus_pipeline.WHOLE_STAGES)["near_dedup"](spark, docs, "").collect()) == [0, 2]
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()) == [0, 2]

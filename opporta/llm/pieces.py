@@ -126,13 +126,20 @@ class Normaliser:
         if not text:
             return b"", np.zeros(1, dtype=np.int64)
         raw = np.frombuffer(text, dtype=np.uint8)
-        start, _, source, many = self.units(raw)
-        both = np.concatenate([raw, self.strings]) if len(self.trie) else raw
-        first = np.cumsum(many) - many
-        out = both[np.repeat(source - first, many) + np.arange(many.sum())]
-        align = np.repeat(start, many)
+        out = raw
+        if not len(self.trie):  # every character stays as it is
+            at = np.arange(len(raw), dtype=np.int32)
+            align = at if text.isascii() else np.maximum.accumulate(np.where((raw & 0xC0) != 0x80, at, 0))
+        if len(self.trie) or self.trim:
+            start, _, source, many = self.units(raw)
+            first = np.cumsum(many) - many
+        if len(self.trie):
+            both = np.concatenate([raw, self.strings])
+            out = both[np.repeat(source - first, many) + np.arange(many.sum())]
+            align = np.repeat(start, many)
         begin, end = 0, len(raw)
         if self.trim:
+            both = np.concatenate([raw, self.strings]) if len(self.trie) else raw
             blank = (many == 1) & (both[np.minimum(source, len(both) - 1)] == 32)
             if blank.all():
                 return b"", np.zeros(1, dtype=np.int64)
@@ -148,22 +155,17 @@ class Normaliser:
             np.add.at(gone, upto, -1)
             left = np.cumsum(gone[:-1]) == 0
             out, align = out[left], align[left]
+        done = out.tobytes()
         if self.escape:
-            space = out == 32
-            wide = np.where(space, 3, 1)
-            first = np.cumsum(wide) - wide
-            align, out = np.repeat(align, wide), np.repeat(out, wide)
-            for k, byte in enumerate(SPACE.encode()):
-                out[first[space] + k] = byte
-        mark = np.frombuffer(SPACE.encode() if self.escape else b" ", dtype=np.uint8)
+            align, done = np.repeat(align, np.where(out == 32, 3, 1)), done.replace(b" ", SPACE.encode())
+        mark = SPACE.encode() if self.escape else b" "
         if self.dummy_prefix:
-            out, align = np.concatenate([mark, out]), np.concatenate([np.full(len(mark), begin), align])
-        done = out.tobytes()
+            done, align = mark + done, np.concatenate([np.full(len(mark), begin, dtype=align.dtype), align])
         if self.trim:
-            while done.endswith(mark.tobytes()):
+            while done.endswith(mark):
                 done = done[:-len(mark)]
                 end = int(align[len(done)])
-        return done, np.append(align[:len(done)], end)
+        return done, np.append(align[:len(done)], align.dtype.type(end))
 
 
 class Coder:
@@ -241,7 +243,7 @@ def decoded(docs: DataFrame, path: str, ids: str) -> tuple[DataFrame, str]:
 
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per row: number and digest of the ids, digest of what they decode to, bytes of the text and of those that spans cover."""
+    """Per row: number and digest of the ids, digest of what they decode to, bytes of the text, bytes from the first piece's span to the last one's."""
     path = path or public_tokenizers.path(MODEL)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     coded, pieces = encoded(texts, path)
@@ -250,4 +252,4 @@ def report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return out.select(
         "doc_id", F.size(own["ids"]).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(own["ids"].cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(back, 256).alias("decoded_sha256"), F.octet_length("text").cast("bigint").alias("n_bytes"),
-        F.aggregate(F.arrays_zip(own["begins"], own["ends"]), F.lit(0).cast("bigint"), lambda n, s: n + s["ends"] - s["begins"]).alias("n_covered"))
+        F.coalesce(F.get(own["ends"], F.size(own["ids"]) - 2) - F.get(own["begins"], F.lit(0)), F.lit(0)).cast("bigint").alias("n_covered"))

@@ -89,10 +89,10 @@ def test_a_bucket_in_pieces_gives_the_same_links(spark, monkeypatch):
     want = list(range(120))
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == want
     monkeypatch.setattr(near_copies, "PIECE", 7)
-    monkeypatch.setattr(near_copies, "STAR_ROUNDS", 0)
-    made, name = near_copies.with_shingles(docs)
-    sets = common.stored(made.select(f"{name}.*"), "test-sets")
-    root = common.components(near_copies.links(sets, rounds=0))
+    made, name = near_copies.with_node(docs)
+    rows_ = common.stored(made.select("text", f"{name}.*"), "test-nodes")
+    heads = rows_.drop("text")
+    root = common.components(near_copies.links(heads, near_copies.shared_buckets(heads), near_copies._sets(rows_), rounds=0))
     assert root.select("root").distinct().count() == 12 and root.count() == 24
 
 

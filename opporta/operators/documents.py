@@ -28,16 +28,31 @@ def write_raw_documents(raw: DataFrame, path: str) -> None:
         "day", "source_id").option("maxRecordsPerFile", 500_000).parquet(path)
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Whole snapshot files under `path/source/day/hash.html`, identified by their own path."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(path, wholetext=True)
-    place = r"([^/]+)/(\d{8})/([0-9a-f]{16})\.html$"
-    name = F.col("_metadata.file_path")
-    return files.select(
-        F.col("value").alias("html"), F.regexp_extract(name, place, 1).alias("source_id"),
-        F.to_date(F.regexp_extract(name, place, 2), "yyyyMMdd").alias("day"),
-        F.regexp_extract(name, place, 3).alias("snapshot_hash"),
-        F.regexp_extract(name, place, 0).alias("snapshot_path"))
+def write_snapshots(raw: DataFrame, path: str) -> None:
+    """One text file for each page, in folders by source, day and hash of its URL."""
+    with_snapshot_path(raw).select("source_id", "snapshot_day", "snapshot_hash", F.coalesce("html", F.lit("")).alias("value")).write.mode("append").partitionBy(
+        "source_id", "snapshot_day", "snapshot_hash").text(path)
+
+
+def read_snapshots(spark: SparkSession, path: str, source: str = "*", day: str = "*") -> DataFrame:
+    """Whole snapshot files, identified by their own path: `path/source/day/hash.html`, or folders of `write_snapshots`.
+
+    A day (yyyymmdd) or source names folders, so other folders are not even listed. A file of `write_snapshots` ends with a
+    line end that is not part of the page.
+    """
+    plain, folders = f"{path}/{source}/{day}/*.html", f"{path}/source_id={source}/snapshot_day={day}/*/part-*"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [p for p in (plain, folders) if files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(p.rsplit("/", 1)[0]))]
+    name = F.url_decode(F.col("_metadata.file_path"))
+    pattern = r"([^/]+?)/(?:snapshot_day=)?(\d{8})/(?:snapshot_hash=)?([0-9a-f]{16})(\.html$|/part-)"
+    if not there:
+        return spark.createDataFrame([], "html string, source_id string, day date, snapshot_hash string, snapshot_path string")
+    found = spark.read.text(there, wholetext=True).select("value", F.regexp_replace(F.regexp_extract(name, pattern, 1), "^source_id=", "").alias("source_id"),
+                                                          *[F.regexp_extract(name, pattern, k).alias(c) for k, c in ((2, "day"), (3, "hash"), (4, "end"))])
+    return found.select(
+        F.when(F.col("end") == ".html", F.col("value")).otherwise(F.regexp_replace("value", r"\n\z", "")).alias("html"), "source_id",
+        F.to_date("day", "yyyyMMdd").alias("day"), F.col("hash").alias("snapshot_hash"), F.concat_ws("/", "source_id", "day", F.concat("hash", F.lit(".html"))).alias("snapshot_path"))
 
 
 def reject_reason(window: int | None = None) -> Column:

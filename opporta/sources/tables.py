@@ -94,9 +94,35 @@ def lead_sheet_rows(leads: DataFrame) -> DataFrame:
     return leads.select(*[cell(c) for c in LEAD_SHEET])
 
 
+def cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Any table as text cells in the given order: lists and objects as JSON, ISO times, empty text for null."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+
+    def cell(name: str) -> Column:
+        col = F.col(name)
+        if kinds[name] in ("array", "struct", "map"):
+            col = F.to_json(col)
+        elif kinds[name].startswith("timestamp"):
+            col = iso(col)
+        return F.coalesce(col.cast("string"), F.lit("")).alias(name)
+    return df.select(*[cell(c) for c in columns])
+
+
+def names_of(ddl: str) -> list[str]:
+    """Column names of one of the DDL schemas whose columns are plain."""
+    return [c.split()[0] for c in ddl.replace("\n", " ").split(",")]
+
+
+def write_sheet(rows: DataFrame, path: str) -> None:
+    """Text cells as CSV files that `read_sheet` takes back unchanged: every cell quoted, a byte-order mark before the first header."""
+    first, *rest = rows.columns
+    rows.select(F.col(f"`{first}`").alias(BOM + first), *[F.col(f"`{c}`") for c in rest]).write.mode("overwrite").options(
+        header=True, escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 def read_sheet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Text cells of a CSV sheet. The header must be exactly the expected one."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    """Text cells of a CSV sheet, which may hold line ends and quotes. The header must be exactly the expected one. An empty cell is null."""
+    rows = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8").csv(path)
     found = [c.removeprefix(BOM) for c in rows.columns]
     if found != columns:
         raise ValueError(f"sheet header does not match: {found}")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +34,21 @@ _kept: dict = {}
 def worker_state(owner: str, key, make):
     """What a Python worker keeps from task to task for one operator. Another operator's, or another key's, goes."""
     if (owner, key) not in _kept:
-        _kept.clear()
+        _emptied()
         _kept[(owner, key)] = make()
     return _kept[(owner, key)]
 
 
+def _emptied() -> None:
+    """Drop what the worker keeps and give the memory back: Spark uses a worker again, and others wait beside it."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder under the checkpoint folder, which the driver and all executors reach."""
     runtime.ensure_checkpoint_dir(spark)

@@ -4,10 +4,14 @@ A text is cut at line ends, and a line after its sentence ends, so that a passag
 are normalised (lower case, white space as one space), their digests are grouped over all documents, the earliest by
 document id and offset is kept, and the rest is removed by its offsets in the original text.
 
-`whole=True` digests every word: whole lines of any length, and around every sentence the shortest run of sentences of its
+`kind="all"` digests every word: whole lines of any length, and around every sentence the shortest run of sentences of its
 line, forwards and backwards, that has the least number of words. A run of repeated sentences with that many words then
 goes entirely, whatever stands around it. Passages cut inside sentences or over line ends are found by runs of words
-between content-chosen places: any 50 words of a text hold at least one such run (periodic texts apart). `report` alone keeps to its SQL, which leaves units of fewer than 8 words.
+between content-chosen places: any 50 words of a text hold at least one such run (periodic texts apart). `kind="lines"` digests whole
+lines of any length and nothing else, `kind="sentences"` only sentences of the least number of words; SQL can express these two.
+
+Defined results: null texts stay null and have no units; empty and blank lines are no units; null ids rank last; rows with the
+same id and text are one document and keep the same units; an empty table gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -93,19 +97,27 @@ def passages(text: str) -> Iterator[tuple[int, int, str]]:
         yield at[a][0], at[z + GRAM - 1][1], "\n" + " ".join(words[a:z + GRAM])  # no line's digest: both stand at one place
 
 
-def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, whole: bool = False) -> DataFrame:
-    """`doc_id, th, digest, start, end` of every unit of at least `least` words, or of all `runs` and `passages`; `th` is a hash of the text."""
+def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, kind: str = "all") -> DataFrame:
+    """`doc_id, th, digest, start, end` of every unit of a kind; `th` is a hash of the text."""
     def sentences(text_: str) -> Iterator[tuple[int, int, str]]:
         for m in UNIT.finditer(text_):
             words = m.group().lower().split()
             if len(words) >= least:
                 yield m.start(), m.end(), " ".join(words)
 
+    def lines(text_: str) -> Iterator[tuple[int, int, str]]:
+        at = 0
+        for line in text_.split("\n"):
+            if line.split():
+                yield at, at + len(line), " ".join(line.lower().split())
+            at += len(line) + 1
+    cut_into = {"sentences": sentences, "lines": lines, "all": lambda text_: itertools.chain(runs(text_, least), passages(text_))}[kind]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, digest, start, end = [], [], [], []
             for i, text_ in enumerate(batch["text"]):
-                for a, z, unit in itertools.chain(runs(text_.as_py(), least), passages(text_.as_py())) if whole else sentences(text_.as_py()):
+                for a, z, unit in cut_into(text_.as_py()):
                     row.append(i)
                     digest.append(xxhash.xxh3_128_digest(unit))
                     start.append(a)
@@ -165,16 +177,16 @@ def _merged(spans: pa.Array) -> pa.Array:
     return pa.array(out, spans.type)
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, whole: bool = False) -> tuple[DataFrame, str, str]:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, kind: str = "all") -> tuple[DataFrame, str, str]:
     """All rows and columns of `docs` with the removed spans (array, null if none) and the text that is left.
 
     Returns the frame and the two names. Offsets count characters of the original text. A null text stays null.
     """
-    found = repeats(common.stored(units(docs, doc_id, text, least, whole), "units"), keep=whole)
+    found = repeats(common.stored(units(docs, doc_id, text, least, kind), "units"), keep=kind == "all")
     id_, th, spans = (common.free_name(docs, x) for x in ("removed_id", "removed_th", "removed_spans"))
     by_doc = found.groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans))  # no longer than the document has units
-    if whole:
+    if kind == "all":  # the others never overlap
         by_doc = by_doc.withColumn(spans, F.arrow_udf(_merged, dict(by_doc.dtypes)[spans])(F.col(spans)))
     out = docs.join(by_doc, F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(th)), "left").drop(id_, th)
     left = common.free_name(out, "kept_text")
@@ -182,9 +194,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     return out.withColumn(left, F.coalesce(kept, F.col(text))), spans, left
 
 
-def report(docs: DataFrame, whole: bool = False) -> DataFrame:
+def report(docs: DataFrame, kind: str = "all") -> DataFrame:
     """Per row: what was removed, where, and a digest of what is left."""
-    out, spans, left = deduplicated(docs.select("doc_id", "text"), whole=whole)
+    out, spans, left = deduplicated(docs.select("doc_id", "text"), kind=kind)
     gone = F.coalesce(F.col(spans), F.array().cast(dict(out.dtypes)[spans]))
     return out.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), F.size(gone).cast("bigint").alias("n_removed"),
                       F.aggregate(gone, F.lit(0).cast("bigint"), lambda s, r: s + r["end"] - r["start"]).alias("n_removed_chars"),
@@ -192,7 +204,7 @@ def report(docs: DataFrame, whole: bool = False) -> DataFrame:
                       F.sha2(F.coalesce(left, F.lit("")), 256).alias("kept_sha256"))
 
 
-ORACLE_SQL = r"""
+SENTENCES_SQL = r"""
 WITH piece AS (SELECT doc_id, p.i, p.x FROM (SELECT doc_id, regexp_extract_all(text, '[^\n.?]+[.?!]*|[\n.?]') AS xs FROM documents WHERE text IS NOT NULL), unnest(xs) WITH ORDINALITY AS p(x, i)),
 placed AS (SELECT doc_id, i, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM piece),
 unit AS (SELECT doc_id, i, e - length(x) AS s, e, x, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS norm FROM placed WHERE x <> chr(10)),
@@ -203,3 +215,15 @@ SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS BIGINT) AS n_chars, CAST(co
        coalesce(spans, '') AS spans, sha256(coalesce(t, '')) AS kept_sha256
 FROM documents d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+LINES_SQL = r"""
+WITH piece AS (SELECT doc_id, p.i, p.x FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]+|\n') AS xs FROM documents WHERE text IS NOT NULL), unnest(xs) WITH ORDINALITY AS p(x, i)),
+placed AS (SELECT doc_id, i, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM piece),
+unit AS (SELECT doc_id, i, e - length(x) AS s, e, x, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS norm FROM placed WHERE x <> chr(10)),
+big AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, s) AS rn FROM unit WHERE norm <> ''),
+kept AS (SELECT p.doc_id, string_agg(p.x, '' ORDER BY p.i) AS t FROM placed p LEFT JOIN big b ON p.doc_id = b.doc_id AND p.i = b.i WHERE coalesce(b.rn, 1) = 1 GROUP BY p.doc_id),
+gone AS (SELECT doc_id, count(*) AS n, sum(e - s) AS c, string_agg(CAST(s AS VARCHAR) || '-' || CAST(e AS VARCHAR), ',' ORDER BY s) AS spans FROM big WHERE rn > 1 GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS BIGINT) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_removed_chars,
+       coalesce(spans, '') AS spans, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

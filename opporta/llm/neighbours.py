@@ -3,6 +3,10 @@
 A tree splits a sample by random hyperplanes at the median until few are left; every vector of the table goes to one
 leaf of each tree. A query visits the leaves of all trees in the order of a shared queue, nearest hyperplanes first, and
 all vectors in the visited leaves are compared with it exactly.
+
+How many leaves a query visits is measured, not set: 64 queries are searched exactly, and the forest tells at which leaf of the
+queue each of their neighbours is found. The number that finds 95 % of them, 64 at least, holds for all queries. So the share of the table
+that is compared is what the vectors need: little where near vectors stand apart from the rest, and falling as the table grows.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ TREES = 16
 LEAF_ROWS = 100  # vectors a leaf holds on average where the sample allows it
 LEAF_SAMPLE = 20  # sampled vectors a leaf has at least: the share of the table that a leaf holds stays at large sizes
 SAMPLE = 20_000  # vectors, lowest hash of the id first, that the trees are grown on; every vector is indexed
-VISITS = 400  # leaves a query visits, over all trees
+LEAST_VISITS = 4 * TREES  # leaves that every query visits
+RECALL, CALIBRATED = 0.95, 64  # share of true neighbours that the visited leaves hold, queries that it is measured on
 QUERY_BLOCK = 2_000  # queries sent to the tasks at a time
 PAIRS_AT_ONCE = 200_000
+ALL = -1  # stands for every leaf
 SEED = 5
 
 
@@ -73,13 +79,13 @@ class Forest:
             out[:, t] = at
         return out
 
-    def visited(self, query: np.ndarray, visits: int = VISITS) -> list[int]:
-        """The leaves of a query: always the most promising open node of any tree next."""
+    def visited(self, query: np.ndarray, visits: int | None = None) -> list[int]:
+        """The leaves of a query, all or the first ones: always the most promising open node of any tree next."""
         margin = self.normal @ query - self.offset
         queue = [(-np.inf, root) for root in self.start]
         heapq.heapify(queue)
         found: list[int] = []
-        while queue and len(found) < visits:
+        while queue and (visits is None or len(found) < visits):
             bound, at = heapq.heappop(queue)
             if self.low[at] == at:
                 found.append(at)
@@ -107,12 +113,12 @@ def usable(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = TREES, sample: int = SAMPLE,
-           leaf_rows: int = LEAF_ROWS, visits: int = VISITS, query_block: int = QUERY_BLOCK) -> DataFrame:
+           leaf_rows: int = LEAF_ROWS, visits: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """`query_id, rank, vec_id, score`: the k nearest found (Euclidean) for every row that meets `is_query`.
 
     A row is no candidate of itself; other rows with its id are. Unusable vectors (see `usable`) take no part. Ids that
     are null are candidates, last among ties. Queries are compared in blocks of `query_block`, each a scan of the index;
-    a task keeps k candidates of each query, so no vector is shuffled.
+    a task keeps k candidates of each query, so no vector is shuffled. `visits` sets the leaves visited; measured if None.
     """
     spark = vectors.sparkSession
     fine = usable(vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("asks")), "v")
@@ -134,6 +140,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
             yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "no_id": batch["no_id"], "v": batch["v"], "leaves": [forest.value.visited(np.asarray(v, dtype=np.float32), visits) for v in batch["v"]]})
     masked = fine.select(F.coalesce("id", F.lit(0).cast("bigint")).alias("id"), F.col("id").isNull().alias("no_id"), "v", "asks")  # pandas makes numbers with nulls floats
     index = common.stored(masked.withColumn("row", F.monotonically_increasing_id()).mapInPandas(indexed, "id bigint, no_id boolean, v array<double>, asks boolean, row bigint, leaves array<int>"), "forest")
+    if visits is None:
+        visits = max(LEAST_VISITS, _visits(index, grown, k))
     queries = common.stored(index.where("asks").select("row", "id", "no_id", "v").mapInPandas(asked, "row bigint, id bigint, no_id boolean, v array<double>, leaves array<int>"), "forest-queries")
     blocks = max(1, -(-queries.count() // query_block))
     found = None
@@ -147,11 +155,25 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _visits(index: DataFrame, forest: Forest, k: int) -> int:
+    """Leaves that hold the wanted share of the true neighbours of some queries, found by comparing these with all rows."""
+    some = index.where("asks").orderBy(F.xxhash64("row")).limit(CALIBRATED).select("row", "id", "no_id", "v").toPandas()
+    if not len(some):
+        return 1
+    best = _candidates(index, some.assign(leaves=[[ALL]] * len(some)), k)
+    near = Window.partitionBy("query_row").orderBy("score", F.col("vec_id").asc_nulls_last(), "row")
+    true = best.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_row", "row")
+    found = true.join(index.select("row", "leaves"), "row").collect()  # k rows for each of the calibrated queries
+    order = {r.row: {leaf: p for p, leaf in enumerate(forest.visited(np.asarray(r.v, dtype=np.float32)))} for r in some.itertuples()}
+    at = sorted(min(order[r.query_row][leaf] for leaf in r.leaves) for r in found)
+    return at[min(len(at) - 1, int(np.ceil(RECALL * len(at))) - 1)] + 1 if at else 1
+
+
 def _candidates(index: DataFrame, block: pd.DataFrame, k: int) -> DataFrame:
-    """The k best of every query of one block in every task, by exact distances to all vectors in the visited leaves."""
+    """The k best of every query of one block in every task, by exact distances to all vectors in the visited leaves (`ALL`: in any)."""
     leaf = np.concatenate([np.asarray(x, dtype=np.int64) for x in block["leaves"]])
     asks = np.repeat(np.arange(len(block)), block["leaves"].map(len))
-    order = np.argsort(leaf, kind="stable")
+    order, everything = np.argsort(leaf, kind="stable"), bool((leaf == ALL).all())
     sent = index.sparkSession.sparkContext.broadcast((np.stack(block["v"].to_numpy()), block["row"].to_numpy(), block["id"].to_numpy(dtype=np.int64), block["no_id"].to_numpy(dtype=bool), leaf[order], asks[order]))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,6 +184,7 @@ def _candidates(index: DataFrame, block: pd.DataFrame, k: int) -> DataFrame:
                 continue
             v, row, own = np.stack(batch["v"].to_numpy()), batch["row"].to_numpy(), np.stack(batch["leaves"].to_numpy())
             ids, no_id = batch["id"].to_numpy(dtype=np.int64), batch["no_id"].to_numpy(dtype=bool)
+            own = np.full((len(own), 1), ALL) if everything else own
             begin, end = np.searchsorted(by_leaf, own, "left"), np.searchsorted(by_leaf, own, "right")
             many = (end - begin).sum(axis=1)
             for a, z in _runs(many, PAIRS_AT_ONCE):

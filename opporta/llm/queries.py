@@ -10,7 +10,6 @@ from opporta.llm import context_tree, decontaminate, language, lines, merkle, mi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}  # more than the SQL of an operator's own query takes in
 
 
 def _query(name: str, check: str | None = None):
@@ -51,11 +50,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
-@_query("op5_line_dedup", lines.ORACLE_SQL)
+@_query("op5_line_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_table(spark, sf_dir, "documents"))
 
 
+@_query("line_dedup_whole_lines", lines.LINES_SQL)
+def whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"), "lines")
+
+
+@_query("line_dedup_sentences", lines.SENTENCES_SQL)
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"), "sentences")
+
+
 @_query("op1_page_text", page_text.ORACLE_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.report(_table(spark, sf_dir, "pages"))
@@ -89,10 +98,3 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(_table(spark, sf_dir, "embeddings"))
-
-
-def op5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(_table(spark, sf_dir, "documents"), whole=True)
-
-
-WHOLE["op5_whole_lines"] = op5_whole

@@ -328,7 +328,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
     ordered = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     stored = common.stored(_blocks(ordered, tokenizer), "token-blocks")
     lengths = code_lengths(_id_counts(stored))
-    blocks = stored.where("counts IS NULL").drop("counts")
+    # Files in the order of their names, and rows inside a file, go on in the order of the ids, whatever splits the scan makes.
+    blocks = stored.where("counts IS NULL").drop("counts").repartitionByRange("part", "first").sortWithinPartitions("part", "first")
     totals = blocks.select("part", (F.col("first") + F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("n")).groupBy("part").agg(F.max("n").alias("n"))
     before, base = 0, {}
     for r in sorted(totals.collect()):  # a number for each partition

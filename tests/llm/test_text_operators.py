@@ -76,19 +76,92 @@ def test_lines_match_plain_units(odd):
                     at, n = m.end(), n + 1
                 seen.add(key)
         want[(i, t)] = n, hashlib.sha256(("".join(kept) + (t or "")[at:]).encode()).hexdigest()
-    got = lines.report(odd)
+    got = lines.report(odd, "sentences")
     assert rows_of(got, "doc_id", "n_removed", "kept_sha256") == sorted(((i, *want[(i, t)]) for i, t, *_ in ODD), key=repr)
 
 
+def plain_units(text):
+    """Every unit of a text by its definition, quadratically: lines, shortest runs of sentences, runs between chosen words."""
+    found, at = set(), 0
+    for line in text.split("\n"):
+        if line.split():
+            found.add((at, at + len(line), " ".join(line.lower().split())))
+        parts = [m for m in re.finditer(r"[^\n.?]+[.?!]*", line) if m.group().split()]
+        size = [len(m.group().split()) for m in parts]
+        whole = len(line.split()) > lines.LEAST_WORDS
+        for i in range(len(parts)):
+            for j in range(i + 1, len(parts) + 1):
+                long = sum(size[i:j]) >= lines.LEAST_WORDS
+                if whole and long and (sum(size[i:j - 1]) < lines.LEAST_WORDS or sum(size[i + 1:j]) < lines.LEAST_WORDS):
+                    norm = " ".join(" ".join(m.group().lower().split()) for m in parts[i:j])
+                    if norm != " ".join(line.lower().split()):
+                        found.add((at + parts[i].start(), at + parts[j - 1].end(), norm))
+        at += len(line) + 1
+    spans, words = [m.span() for m in re.finditer(r"\S+", text)], text.lower().split()
+    if len(words) < lines.GRAM + lines.REACH:
+        return found
+
+    def place_hash(p):
+        h = sum(xxhash.xxh3_64_intdigest(words[p + k]) * pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(lines.GRAM)) % 2**64
+        return (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+    grams = [place_hash(p) for p in range(len(words) - lines.GRAM + 1)]
+    least = sorted({min(range(p, p + lines.REACH), key=lambda q: (grams[q], q)) for p in range(len(grams) - lines.REACH + 1)})
+    chosen = []
+    for p in least:
+        if not chosen or p - chosen[-1] >= lines.REACH or grams[p] != grams[chosen[-1]]:
+            chosen.append(p)
+    for a, z in zip(chosen, chosen[1:]):  # noqa: B905
+        found.add((spans[a][0], spans[z + lines.GRAM - 1][1], "\n" + " ".join(words[a:z + lines.GRAM])))
+    return found
+
+
+def test_all_units_of_given_documents_match_a_plain_version(spark, odd):
+    """Units by definition, the earliest kept, the rest removed: whole texts of both tables."""
+    for docs in (odd, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        keyed = {(i, t): F_xxhash(spark, t) for i, t in rows if t is not None}
+        first, own = {}, {}
+        for (i, t), th in keyed.items():
+            own[i, t] = plain_units(t)
+            for a, _, u in own[i, t]:
+                place = (i is None, i or 0, th, a)
+                first[u] = min(first.get(u, place), place)
+        want = []
+        for i, t in rows:
+            gone = np.zeros(len(t or ""), dtype=bool)
+            for a, z, u in own.get((i, t), ()):
+                if first[u] != (i is None, i or 0, keyed[i, t], a):
+                    gone[a:z] = True
+            want.append((i, int(gone.sum()), hashlib.sha256("".join(c for c, g in zip(t or "", gone, strict=True) if not g).encode()).hexdigest()))
+        assert rows_of(lines.report(docs), "doc_id", "n_removed_chars", "kept_sha256") == sorted(want, key=repr)
+
+
+def F_xxhash(spark, text):
+    """Spark's hash of a text, which orders texts of one id."""
+    return spark.sql("SELECT xxhash64(:t)", {"t": text}).first()[0]
+
+
+def test_whole_lines_alone(odd):
+    seen, want = set(), {}
+    for i, t, *_ in sorted(set(ODD), key=lambda r: (r[0] is None, r[0] or 0)):
+        gone = 0
+        for line in (t or "").split("\n"):
+            key = " ".join(line.lower().split())
+            gone += bool(key) and key in seen
+            seen.add(key)
+        want[(i, t)] = gone
+    assert rows_of(lines.report(odd, "lines"), "doc_id", "n_removed") == sorted(((i, want[(i, t)]) for i, t, *_ in ODD), key=repr)
+
+
 def test_whole_lines_leave_no_short_repeat(spark):
     short = "He went. She stayed. Rain fell. Who knew? Nobody did. Dr. No paid 3.50 there."
     texts = ["Read more\n" + short, "  read   MORE\nOther words come first here. " + short + " And others follow it then.", "Read more", "An only line, with a tail of blanks and eight words.  ",
              "One. Two. Three. Four. Five. Six. Seven. Eight. Nine. Ten.", "Zero. Five. Six. Seven. Eight. Nine. Ten. Last."]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(2, "Read more"), (9, None), (10, "")], "doc_id bigint, text string")
-    out, spans, left = lines.deduplicated(docs, whole=True)
+    out, spans, left = lines.deduplicated(docs)
     got = {r.doc_id: r[left] for r in out.collect()}
     assert got == {0: texts[0], 1: "\nOther words come first here. And others follow it then.", 2: "", 3: texts[3], 4: texts[4], 5: texts[5], 9: None, 10: ""}
-    assert {r.doc_id: r.n_removed for r in lines.report(docs, whole=True).collect()} == {0: 0, 1: 2, 2: 1, 3: 0, 4: 0, 5: 0, 9: 0, 10: 0}
+    assert {r.doc_id: r.n_removed for r in lines.report(docs).collect()} == {0: 0, 1: 2, 2: 1, 3: 0, 4: 0, 5: 0, 9: 0, 10: 0}
 
 
 def test_every_repeated_run_of_sentences_is_covered():

@@ -1,10 +1,12 @@
 """Huffman codes and token files: optimal, canonical, and an exact round trip."""
 
+import glob
 import heapq
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,6 +29,23 @@ def test_files_give_back_every_id(odd):
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
 
 
+def test_files_are_in_ascending_order(spark, odd, tmp_path, monkeypatch):
+    """Read file by file in name order, every block starts where the one before ended."""
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 300)
+    docs = odd.select("doc_id", "text").union(spark.range(100, 160).selectExpr("id", "repeat(concat('w', id, ' '), 200)")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write(docs, f"{tmp_path}/t", PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(glob.glob(f"{tmp_path}/t/blocks/part-*.parquet"))
+    blocks = [r for f in files for r in pq.read_table(f, columns=["start", "doc_ids", "sizes"]).to_pylist()]
+    ends = [b["start"] + sum(b["sizes"]) for b in blocks]
+    assert len(files) > 1 and len(blocks) > 30 and [b["start"] for b in blocks] == [0, *ends[:-1]]
+    ids = [i for b in blocks for i in b["doc_ids"]]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
 @pytest.fixture(scope="module")
 def cache():
     return token_files.WordCache(PATH)

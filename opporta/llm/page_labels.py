@@ -1,47 +1,120 @@
-"""Small labelled table: pages written for this purpose, and which of their blocks are main text.
+"""Small labelled table: pages drawn from layouts by a fixed seed, and which of their blocks are main text.
 
-A block is main text if it begins with "+". Words do not matter to the classifier, only their number and their place.
+Words do not matter to the classifier, only their number, their links and their place. The first word of a main block carries
+`MARK`, which adds no word and no block; it is taken off before anything is counted.
 """
 
-_LONG = "+ the committee met on Tuesday to look at the plans for the old harbour, and after two hours of talk it agreed to ask for a new survey of the quay walls"
-_MID = "+ nobody expected the vote to be so close, said one member"
-_SHORT = "+ it passed."
-_SIDE = "the weather turns colder tonight with rain in the west and a little snow on the hills, so drive with care and leave a little early"
-_MENU = "<ul>" + "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("home", "news", "sport", "weather", "contact us")) + "</ul>"
-_LINKS = "".join(f'<p><a href="/story/{i}">read more about story number {i} here</a></p>' for i in range(4))
-
-_BARE = [  # no article element: the tree has to go by words and links
-    f"<div>{_MENU}</div><h1>+ harbour plans agreed</h1><p>{_LONG}</p><p>{_LONG} {_MID}</p><p>{_MID}</p><p>{_LONG}</p><div>{_LINKS}</div><p>all rights reserved</p>",
-    f"<div><a href='/'>home</a> <a href='/news'>news</a> <a href='/sport'>sport</a></div><div><p>{_LONG}</p><p>{_SHORT}</p><p>{_LONG}</p></div><div>{_MENU}</div>",
-    f"<table><tr><td>{_MENU}</td><td><p>{_LONG}</p><p>{_LONG}</p><p>{_MID}</p></td></tr></table>",
-    f"<p>{_LONG} <a href='/x'>with a link</a> in it</p><p>{_LONG}</p>{_LINKS}",
-    f"<h2>+ a title</h2><p>{_MID}</p><p>{_LONG}</p>",
-    f"<p>{_LONG}</p>",
-    f"<p>{_MID}</p>",
-]
-_FRAMED = [
-    f"<header><p>{_SIDE}</p></header><nav>{_MENU}</nav><main><h1>+ harbour plans</h1><p>{_LONG}</p><p>{_SHORT}</p></main><footer><p>{_SIDE}</p><p>contact</p></footer>",
-    f"<nav>{_MENU}</nav><div class='ad'>{_SIDE}</div><article><h1>+ one</h1><p>{_SHORT}</p><p>{_LONG}</p></article><footer>{_SIDE}</footer>",
-    f"<nav>{_MENU}</nav><div class='ad'>buy now</div><article><h1>+ one</h1><p>{_SHORT}</p></article><footer>short end</footer>",
-    f"<div class='cookie notice'><p>{_SIDE}</p></div><article><p>{_LONG}</p><div class='advert'>{_SIDE}</div><p>{_SHORT}</p><p>{_MID}</p></article><aside><p>{_SIDE}</p>{_LINKS}</aside>",
-    f"<article><header><h1>+ a title</h1></header><p>{_LONG}</p><ul><li>+ first point</li><li>+ second point with a few words more</li></ul><p>{_MID}</p><form>{_SIDE}</form></article>",
-    f"<article><h1>+ title</h1><p>{_LONG}</p></article><section id='comments'><h3>comments</h3><p>{_SIDE}</p><p>{_SIDE} {_SIDE}</p><p>yes</p></section><div class='sidebar'>{_SIDE}{_LINKS}</div>",
-    f"<article><h1>+ title</h1><p>{_SHORT}</p><div class='comments'><p>{_SIDE}</p><p>agreed</p></div></article><p>{_SIDE}</p><p>late news</p>",
-    f"<div class='content'><h1>+ title</h1><p>{_LONG}</p><p>{_MID}</p></div><div id='sidebar'><p>{_SIDE}</p></div><div class='related'>{_LINKS}</div><footer>{_SIDE}</footer>",
-    f"<div role='banner'>{_SIDE}</div><div><p>{_LONG}</p><p>{_LONG}</p></div><div role='complementary'><p>{_SIDE}</p></div>",
-    f"<main><p>{_LONG}</p><p><a href='/a'>+ a linked line in the text</a></p><p>{_LONG}</p><blockquote>{_MID}</blockquote></main><div>{_LINKS}</div><p>{_SIDE}</p>",
-    f"<article><p>{_SHORT}</p></article>",
-    f"<article><h1>+ title</h1></article><div class='promo'>{_SIDE} {_SIDE}</div>",
-    f"<main><article><h1>+ title</h1><p>{_MID}</p><p>{_LONG}</p><aside><p>{_SIDE}</p></aside><footer><p>{_SIDE}</p></footer></article></main><nav>{_MENU}</nav>",
-    f"<article><h1>+ title</h1><nav>{_MENU}</nav><p>{_LONG}</p><div class='share'>{_LINKS}</div><p>{_SHORT}</p><aside>{_LINKS}</aside></article>",
-    f"<main><div class='related'>{_MENU}</div><p>{_LONG}</p><p><a href='/a'>+ linked line</a></p><p>{_MID}</p><footer><a href='/t'>terms of use</a></footer></main>",
-    f"<article><p><a href='/a'>+ all of this line is a link</a></p><form><a href='/f'>send</a></form><div class='ad'><a href='/b'>buy it now</a></div></article>",
-]
-_OPEN = [  # end tags left out, a form round the page
-    f"<!doctype html><head><title>t</title><article><h1>+ title</h1><p>{_LONG}</p><p>{_SHORT}</p></article><footer>{_SIDE}</footer>",
-    f"<html><head><meta charset=utf-8><title>t</title><p>{_LONG}<p>{_MID}<p>{_LONG}",
-    f"<html><head><title>t</title></head><body><form action='page.aspx'><nav>{_MENU}</nav><article><h1>+ title</h1><p>{_LONG}</p><p>{_SHORT}</p></article><footer>{_SIDE}</footer></form></body>",
-    f"<header>{_SIDE}</header><form><main><h1>+ title</h1><p>{_LONG}</p><form>{_SIDE}</form></main></form><footer>{_SIDE}</footer>",
-    f"<form><div>{_MENU}</div><h1>+ harbour plans agreed</h1><p>{_LONG}</p><p>{_LONG} {_MID}</p><p>{_MID}</p><p>{_LONG}</p><div>{_LINKS}</div><p>all rights reserved</p></form>",
-]
-LABELLED = [(page, None) for page in (*_BARE, *_FRAMED, *_OPEN)]
+from __future__ import annotations
+
+import random
+
+MARK = "\ue000"
+_WORDS = "the old harbour plan was agreed on by a small board after two long hours of talk and people asked for new walls near quay".split()
+_MENU = "Home News World Sport Weather Business Culture Travel Contact About Video Science".split()
+
+
+class Layout:
+    """Pieces of one page. Every number of words, link and element is drawn, so that no count is typical of a class."""
+
+    def __init__(self, seed: int):
+        self.draw = random.Random(seed)
+
+    def text(self, low: int, high: int) -> str:
+        return " ".join(self.draw.choices(_WORDS, k=self.draw.randint(low, high)))
+
+    def either(self, *options: str) -> str:
+        return self.draw.choice(options)
+
+    def paragraph(self) -> str:
+        """Main text of any length: plain, with a link in it, or all of it a link."""
+        kind, own = self.draw.random(), self.either(self.text(1, 5), self.text(6, 25), self.text(20, 60), self.text(30, 120))
+        words = (MARK + own).split()
+        if kind < 0.12:
+            a, z = sorted(self.draw.sample(range(len(words) + 1), 2)) if len(words) > 1 else (0, 1)
+            words.insert(z, "</a>")
+            words.insert(a, "<a href='/x'>")
+        elif kind < 0.2:
+            words = ["<a href='/x'>", *(MARK + self.either(self.text(2, 6), self.text(5, 14))).split(), "</a>"]
+        return f"<p>{' '.join(words)}</p>"
+
+    def body(self, title: bool = True) -> str:
+        """Paragraphs with a heading, now and then a list, a quotation or a second heading."""
+        out = [f"<h1>{MARK}{self.text(2, 12)}</h1>"] if title else []
+        for _ in range(self.draw.randint(2, 9)):
+            out.append(self.paragraph())
+            if self.draw.random() < 0.12:
+                out.append(self.either(f"<h2>{MARK}{self.text(1, 7)}</h2>", f"<blockquote>{MARK}{self.text(5, 40)}</blockquote>",
+                                       "<ul>" + "".join(f"<li>{MARK}{self.text(1, 15)}</li>" for _ in range(3)) + "</ul>"))
+        return "".join(out)
+
+    def menu(self) -> str:
+        """A list, one line of links with or without marks between them, or links with longer names."""
+        names = self.draw.sample(_MENU, self.draw.randint(3, 9))
+        if self.draw.random() < 0.3:
+            names = [f"{n} {self.text(1, 3)}" for n in names]
+        links = [f'<a href="/{n}">{n}</a>' for n in names]
+        return self.either("<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>", " | ".join(links), " ".join(links), "".join(f"<div>{x}</div>" for x in links))
+
+    def related(self) -> str:
+        """Linked titles of other stories, short or long, some with a heading or a line on each."""
+        titles = [f'<a href="/story/{i}">{self.either(self.text(3, 8), self.text(7, 18))}</a>' for i in range(self.draw.randint(3, 6))]
+        head = self.either("", f"<h3>{self.text(1, 4)}</h3>")
+        return head + self.either("<ul>" + "".join(f"<li>{x}</li>" for x in titles) + "</ul>", "".join(f"<p>{x}</p>" for x in titles), "".join(f"<div>{x}</div>" for x in titles))
+
+    def legal(self) -> str:
+        links = " ".join(f'<a href="/{n}">{n}</a>' for n in self.draw.sample(_MENU, 3))
+        return self.either(f"<p>Copyright {self.text(3, 14)}</p>", f"<p>{self.text(2, 10)}</p><p>{links}</p>", links, f"{self.text(2, 6)} {links}", f"<p>{self.text(10, 30)}</p>")
+
+    def advert(self) -> str:
+        return self.either(self.text(1, 6), f"<p>{self.text(5, 40)}</p>", f'<a href="/buy">{self.text(2, 12)}</a>', f'<p>{self.text(2, 8)}</p><p><a href="/buy">{self.text(2, 5)}</a></p>')
+
+    def comments(self) -> str:
+        return f"<h3>{self.text(1, 3)}</h3>" + "".join(f"<div><p>{self.text(1, 4)}</p><p>{self.either(self.text(1, 8), self.text(10, 60))}</p></div>" for _ in range(self.draw.randint(1, 4)))
+
+    def side(self) -> str:
+        return self.either(f"<p>{self.text(5, 50)}</p>", f"<p>{self.text(1, 6)}</p>") + self.either("", self.related())
+
+    def notice(self) -> str:
+        return self.either(f"<p>{self.text(8, 40)}</p>", self.text(3, 20)) + self.either("", f'<a href="/ok">{self.text(1, 3)}</a>')
+
+    def framed(self, what: str) -> str:
+        """A piece of the frame in an element, or with a class, that tells what it is."""
+        tag, names = {
+            "menu": ("nav", "menu navbar main-navigation"), "related": ("aside", "related sidebar related-stories"), "legal": ("footer", "footer site-footer copyright"),
+            "advert": ("aside", "advert ad-box sponsored"), "comments": ("aside", "comments comment-list replies"), "side": ("aside", "sidebar widget side-column"),
+            "notice": ("dialog", "cookie-notice newsletter popup")}[what]
+        own = getattr(self, what)()
+        if self.draw.random() < 0.45:
+            return f"<{tag}>{own}</{tag}>"
+        name = self.draw.choice(names.split())
+        return self.either(f"<div class='{name}'>{own}</div>", f"<section id='{name}'>{own}</section>", f"<div class='x {name}'><div>{own}</div></div>")
+
+    def some(self, *kinds: str, most: int = 2) -> str:
+        return "".join(self.framed(self.draw.choice(kinds)) for _ in range(self.draw.randint(0, most)))
+
+    def page(self) -> str:
+        kind, before, after = self.draw.random(), self.some("menu", "notice", "advert", most=3), self.some("related", "legal", "side", "comments", "advert", "menu", most=4)
+        if kind < 0.55:  # an article element; the frame stands round it and inside it, with and without names
+            tag = self.either("article", "main", "article")
+            inside = self.body().split("</p>")
+            at = self.draw.randint(1, len(inside))
+            inside.insert(at, self.some("advert", "related", "side", "notice") if at < len(inside) else self.some("related", "comments", "legal"))
+            own = "".join(p + "</p>" if p.count("<p>") > p.count("</p>") and p.rsplit("<p>", 1)[1].count("</p>") == 0 and k != at else p for k, p in enumerate(inside))
+            loose = self.either("", "", f"<div>{self.legal()}</div>", f"<div>{self.comments()}</div>", f"<div>{self.related()}</div>", f"<div>{self.side()}</div>")
+            opening = self.either("", "", f"<div>{self.menu()}</div>", f"<div>{self.notice()}</div>")
+            foot = self.either("", "", f"<ul>{''.join(f'<li><a href=/s{i}>{self.text(3, 10)}</a></li>' for i in range(4))}</ul>")  # other stories in a list of links
+            return f"{opening}{before}<{tag}>{own}{foot}</{tag}>{loose}{after}"
+        if kind < 0.7:  # containers with names only
+            return f"{before}<div class='{self.either('content', 'post-body', 'entry', 'story-text')}'>{self.body()}</div>{after}"
+        if kind < 0.8:  # end tags left out, a form round the page
+            return self.either(f"<!doctype html><head><title>t</title>{before}<article>{self.body()}</article>{after}", f"<html><head><meta charset=utf-8><title>t</title>{self.body().replace('</p>', '')}",
+                               f"<form action='page.aspx'>{before}<article>{self.body()}</article>{after}</form>", f"<form><div>{self.menu()}</div>{self.body()}<div>{self.related()}</div></form>")
+        # no element or name tells: words and links of a block and its neighbours have to
+        return f"{self.either('', f'<div>{self.menu()}</div>')}<div>{self.body(self.draw.random() < 0.6)}</div>{self.either('', f'<div>{self.related()}</div>', f'<div>{self.menu()}</div>')}{self.either('', after)}"
+
+
+def drawn(pages: int, seed: int) -> list[str]:
+    return [Layout(seed * 100_003 + k).page() for k in range(pages)]
+
+
+LABELLED = drawn(400, 1)

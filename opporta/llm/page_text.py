@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opporta.llm import common
-from opporta.llm.page_labels import LABELLED
+from opporta.llm.page_labels import LABELLED, MARK
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
@@ -31,7 +31,7 @@ HINTS = frozenset(
 WITH = ("has-", "with-", "no-", "is-")  # a class that tells of another element
 ARTICLE_WORDS = frozenset("article content entry main post section story".split())  # their header is the article's
 FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "framed", "hinted", "in_article", "outside_article")
-DEPTH, LEAST_LEAF = 6, 1
+DEPTH, LEAST_LEAF = 10, 5
 PAGE_FORM = 0.9  # share of a page's words from which a form is the page and frames nothing
 
 
@@ -221,6 +221,7 @@ def grown(x: np.ndarray, y: np.ndarray, depth: int = DEPTH) -> tuple:
         order = np.argsort(x[:, k], kind="stable")
         v, ones, n = x[order, k], np.cumsum(y[order]), np.arange(1, len(y) + 1)
         at = np.flatnonzero(v[1:] > v[:-1])
+        at = at[(at + 1 >= LEAST_LEAF) & (len(y) - at - 1 >= LEAST_LEAF)]
         if len(at):
             left, right = ones[at] / n[at], (ones[-1] - ones[at]) / (len(y) - n[at])
             cost = n[at] * left * (1 - left) + (len(y) - n[at]) * right * (1 - right)
@@ -242,14 +243,18 @@ def judged(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels (1: main text) of the blocks of marked pages."""
+    x, y = [], []
+    for html in pages:
+        x.append(features(blocks(html.replace(MARK, ""))))
+        y += [float(MARK in b[0]) for b in blocks(html)]
+    return np.vstack(x), np.array(y)
+
+
 def trained() -> tuple:
     """The tree of the labelled pages of `page_labels`."""
-    x, y = [], []
-    for html, main in LABELLED:
-        found = blocks(html)
-        x.append(features(found))
-        y += [float(b[0].startswith("+")) for b in found] if main is None else [float(b[0] in main) for b in found]
-    return grown(np.vstack(x), np.array(y))
+    return grown(*labelled(LABELLED))
 
 
 def main_text(html: str, tree: tuple) -> str:

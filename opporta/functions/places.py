@@ -23,9 +23,13 @@ PROVINCES = [
 ]
 
 
+def listed_place(place: Column, names: list[str] = PROVINCES) -> Column:
+    """Name at a position of the list; the long forms of TP.HCM are merged."""
+    name = F.get(F.array(*map(F.lit, names)), place)
+    return F.when(name.isin("Hồ Chí Minh", "TP. Hồ Chí Minh"), "TP.HCM").otherwise(name)
+
+
 def with_location(df: DataFrame, text: Column, out: str, names: list[str] = PROVINCES) -> DataFrame:
-    """Add the first listed place of the text; the long forms of TP.HCM are merged."""
+    """Add the first listed place of the text."""
     hits = f"_{out}_hits"
-    name = F.get(F.array(*map(F.lit, names)), F.array_min(F.col(hits)))
-    return with_term_hits(df, text, names, hits).withColumn(
-        out, F.when(name.isin("Hồ Chí Minh", "TP. Hồ Chí Minh"), "TP.HCM").otherwise(name)).drop(hits)
+    return with_term_hits(df, text, names, hits).withColumn(out, listed_place(F.array_min(F.col(hits)), names)).drop(hits)

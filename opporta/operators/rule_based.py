@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opporta.functions import dates, money, once, phones, text as tx
-from opporta.functions.places import with_location
+from opporta.functions import dates, money, once, phones, scan, text as tx
+from opporta.functions.places import PROVINCES, listed_place
 
 # Labels before an owner, words that no owner begins with, labels that end it, kinds of bodies, what bodies
 # do, labels before a deadline, words of list pages, requirement words.
@@ -99,21 +102,118 @@ def need_sentences(text: Column) -> Column:
     return F.slice(F.filter(parts, lambda s: F.length(s).between(21, 249) & F.lower(s).rlike(_NEED_WORDS)), 1, 3)
 
 
+_PARTS = "organization string, due string, due_day string, needs array<string>, place int"
+_LIST_WORDS = {"owner": OWNER_LABELS, "next": NEXT_LABELS, "body": BODIES, "act": ACTS, "noise": NOISE_WORDS, "due": DEADLINE_LABELS, "due word": DEADLINE_WORDS,
+               "need": _NEED_WORDS.split("|"), "place": PROVINCES}
+
+
+class TenderText:
+    """What `organization_name`, `deadline`, `need_sentences` and `with_location` find, in one pass over title and text."""
+
+    def __init__(self, most_owner: int = 220, most_actor: int = 200):
+        self.words, self.most_owner, self.most_actor = scan.Words(_LIST_WORDS), most_owner, most_actor
+        flat = lambda words: "(?i)\\b(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + ")\\b"
+        self.no_owner, self.opening = re.compile(flat(NO_OWNER)), re.compile(flat(BODIES))
+        self.due, self.due_word = re.compile(flat(DEADLINE_LABELS) + r"\s*:\s*"), re.compile(flat(DEADLINE_WORDS) + r"\s*(?:(?:vào|ngày|trước)\s*)?(?=\d)")
+        self.day, self.heading = re.compile(r"\d{1,2}[/-]\d{1,2}[/-]\d{4}(?:\s+\d{1,2}:\d{1,2})?", re.ASCII), re.compile(r"([^:–-]+)[:–-]")
+
+    @staticmethod
+    def bare(text: str) -> str:
+        return scan.squeezed(text).strip(" :-,.;")
+
+    def is_noise(self, text: str) -> bool:
+        low = scan.lowered(text)
+        return any(w.lower() in low for w in NOISE_WORDS)
+
+    def first_name(self, values: list[str], most: int) -> str | None:
+        for value in map(self.bare, values):
+            if 4 <= len(value) <= most and not self.is_noise(value):
+                return value
+        return None
+
+    def owners(self, whole: str, found: dict) -> list[str]:
+        nexts, out = scan.whole_words(found["next"], whole), []
+        for _, end, own in scan.holding(scan.spans(whole, "\n"), found["owner"]):
+            labels = scan.apart(scan.whole_words(own, whole))
+            for k, (_, z, _) in enumerate(labels):
+                upto = labels[k + 1][0] if k + 1 < len(labels) else end
+                start = z + re.match(r"\s*:?\s*", whole[z:upto]).end()
+                value = whole[start:scan.cut_before(whole, start, upto, nexts)]
+                if not self.no_owner.match(value):
+                    out.append(value)
+        return out
+
+    def actors(self, whole: str, found: dict) -> list[str]:
+        acts, out = scan.whole_words(found["act"], whole), []
+        for _, end, own in scan.holding(scan.spans(whole, ".;\n"), found["body"]):
+            start = next((a for a, z, _ in scan.whole_words(own, whole) if z < end and whole[z].isspace()), None)
+            if start is not None:
+                stop = re.compile("[\r\x85\u2028\u2029]").search(whole, start, end)
+                end = stop.start() if stop else end
+                out.append(whole[start:scan.cut_before(whole, start, end, acts)])
+        return out
+
+    def read(self, title: str | None, text: str | None) -> tuple:
+        body, at = text or "", len(title or "") + 1
+        whole = f"{title or ''}\n{body}"
+        found = self.words.found(scan.lowered(whole))
+        inside = {k: [(a - at, z - at, p) for a, z, p in found[k] if a >= at] for k in ("due", "due word", "need", "place")}
+        name = self.first_name(self.owners(whole, found), self.most_owner) if found["owner"] else None
+        if name is None and found["body"]:
+            name = self.first_name(self.actors(whole, found), self.most_actor)
+        if name is None and title is not None and (m := self.heading.match(title)):
+            head = self.bare(m.group(1))
+            if self.opening.match(head) and not self.is_noise(head):
+                name = head[:self.most_actor].strip(" ")
+        due = day = None
+        if inside["due"] or inside["due word"]:
+            pieces = scan.spans(body, "\n,;")
+            for a, z, _ in scan.holding(pieces, inside["due"]):
+                if ":" in body[a:z]:
+                    m = self.due.search(body[a:z])
+                    due = body[a + m.end():z] if m else None
+                    break
+            for a, z, _ in scan.holding(pieces, inside["due word"])[:1]:
+                m = self.due_word.search(body[a:z])
+                d = self.day.match(body[a + m.end():z]) if m else None
+                day = d.group() if d else None
+        needs = []
+        for a, z, _ in scan.holding(scan.spans(body, ".\n"), inside["need"]):
+            sentence = scan.squeezed(body[a:z])
+            if 21 <= len(sentence) <= 249:
+                needs.append(sentence)
+                if len(needs) == 3:
+                    break
+        places = scan.whole_words(inside["place"], body)
+        return name, due, day, needs, min((p for *_, p in places), default=None)
+
+
+_reader: list[TenderText] = []
+
+
+def _read(titles: pa.Array, texts: pa.Array) -> pa.Array:
+    if not _reader:
+        _reader.append(TenderText())
+    rows = [_reader[0].read(a, b) for a, b in zip(titles.to_pylist(), texts.to_pylist(), strict=True)]
+    kinds = pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32()
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["organization", "due", "due_day", "needs", "place"])
+
+
 def extract_by_rules(items: DataFrame, now: Column) -> DataFrame:
     """Extraction columns from `title` and `raw_content` alone. `raw_content` should be normalized."""
     text = F.col("raw_content")
-    placed = with_location(items, text, "location")
-    staged = once(placed, placed.columns, _money=money.currency(text), _needs=need_sentences(text),
-                  _title=F.trim(F.coalesce("title", F.lit(""))))
+    read = F.arrow_udf(_read, _PARTS)(F.col("title"), text)
+    staged = once(items.withColumn("_read", read), [*items.columns, "_read"], _money=money.currency(text), _title=F.trim(F.coalesce("title", F.lit(""))))
     own = F.when(F.col("_title").endswith("."), F.col("_title")).otherwise(F.concat("_title", F.lit(".")))
-    has_needs = F.size("_needs") > 0
+    needs = F.col("_read.needs")
     return staged.withColumns({
-        "organization_name": organization_name(F.col("title"), text),
-        "need_summary": F.when(has_needs, F.concat(F.array_join(F.slice("_needs", 1, 2), ". "), F.lit("."))).otherwise(own),
-        "evidence": F.when(has_needs, F.col("_needs")).otherwise(F.array("_title")),
+        "organization_name": F.col("_read.organization"), "location": listed_place(F.col("_read.place")),
+        "need_summary": F.when(F.size(needs) > 0, F.concat(F.array_join(F.slice(needs, 1, 2), ". "), F.lit("."))).otherwise(own),
+        "evidence": F.when(F.size(needs) > 0, needs).otherwise(F.array("_title")),
         "budget_value": F.col("_money.value"), "budget_text": F.col("_money.matched"),
         "contact_name": phones.contact_name(text), "contact_email": phones.first_email(text), "contact_phone": phones.first_phone(text),
-        "deadline": deadline(text, now)}).drop("_money", "_needs", "_title")
+        "deadline": F.coalesce(dates.parse_datetime(tx.squeeze(F.col("_read.due")), now), dates.parse_datetime(tx.squeeze(F.col("_read.due_day")), now))}).drop("_money", "_read", "_title")
 
 
 def score_by_rules(leads: DataFrame, now: Column) -> DataFrame:

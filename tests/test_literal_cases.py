@@ -136,6 +136,33 @@ def test_rule_names_and_deadlines(spark, now):
         assert (None if got[i].deadline is None else str(got[i].deadline)) == due, texts[i]
 
 
+def test_one_pass_reads_what_the_expressions_read(spark, now):
+    """Owner, deadline, requirements and place of one pass equal the column expressions, over texts drawn from their words."""
+    import random
+
+    from opporta.functions import dates, text as tx
+    from opporta.functions.places import PROVINCES, listed_place, with_location
+    rnd = random.Random(4)
+    lists = [rule_based.OWNER_LABELS, rule_based.NO_OWNER, rule_based.NEXT_LABELS, rule_based.BODIES, rule_based.ACTS, rule_based.DEADLINE_LABELS, rule_based.DEADLINE_WORDS,
+             rule_based.NOISE_WORDS, PROVINCES, rule_based._NEED_WORDS.split("|"), [": ", ":", ".", "\n", ";", ",", " ", "  ", "-", " – ", "vào ", "ngày "], ["24/08/2026 09:30", "1-2-2026", "Tỉnh A", "dự án", "x_", "số 12", "xã"]]
+
+    def piece():
+        word = rnd.choice(rnd.choice(lists))
+        return rnd.choice([word, word.upper(), word.lower()]) + rnd.choice(["", " ", " ", ": "])
+    rows = [(k, rnd.choice([None, "", "".join(piece() for _ in range(rnd.randint(1, 5)))]), rnd.choice([None, "", *["".join(piece() for _ in range(rnd.randint(1, 40)))] * 8])) for k in range(1500)]
+    frame = spark.createDataFrame(rows, "i int, title string, raw_content string").repartition(8)
+    text = F.col("raw_content")
+    plain = with_location(frame, text, "location").select("i", rule_based.organization_name(F.col("title"), text).alias("o"), rule_based.deadline(text, now).alias("d"),
+                                                         F.coalesce(rule_based.need_sentences(text), F.array().cast("array<string>")).alias("n"), "location")
+    read = F.arrow_udf(rule_based._read, rule_based._PARTS)("title", text)
+    one = frame.select("i", read.alias("r")).select("i", F.col("r.organization").alias("o"), F.coalesce(
+        dates.parse_datetime(tx.squeeze(F.col("r.due")), now), dates.parse_datetime(tx.squeeze(F.col("r.due_day")), now)).alias("d"), F.col("r.needs").alias("n"), listed_place(F.col("r.place")).alias("location"))
+    a, b = ({r.i: (r.o, r.d, r.n, r.location) for r in df.collect()} for df in (plain, one))
+    wrong = [(rows[i], a[i], b[i]) for i in a if a[i] != b[i]]
+    assert not wrong, (len(wrong), wrong[0])
+    assert sum(x[0] is not None for x in a.values()) > 300 and sum(x[1] is not None for x in a.values()) > 30
+
+
 def test_package_reaches_the_workers(tmp_path):
     code = ("import sys; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; from pyspark.sql import SparkSession; "
             "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); "

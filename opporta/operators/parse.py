@@ -21,6 +21,13 @@ def _first_date(values: Column, now: Column) -> Column:
     return F.get(F.filter(F.transform(values, lambda v: dates.published_candidate(v, now)), lambda d: d.isNotNull()), 0)
 
 
+def _labelled_date(text: Column) -> Column:
+    """The first day, with a time before or after it, that follows a publication word and at most a colon or dash."""
+    time, day = r"\d{1,2}:\d{2}", r"\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"
+    words = "|".join(r"\s*".join(w.split()) if not w.isascii() else r"\s+".join(w.split()) for w in sorted(rules.PUBLISHED_WORDS, key=len, reverse=True))
+    return F.regexp_extract(text, rf"(?iu)(?:{words})\s*[:\-]?\s*((?:{time}\s+)?{day}(?:\s+{time})?)", 1)
+
+
 def published_at(now: Column) -> Column:
     """Publication date by rank of evidence: JSON-LD, publication meta, labelled text, date elements.
 
@@ -32,7 +39,7 @@ def published_at(now: Column) -> Column:
         return (~tx.contains_any(marker, rules.CHANGED_META)
                 & tx.contains_any(marker, rules.PUBLISHED_META))
     metas = F.transform(F.filter(F.col("metas"), is_publication), lambda m: m["content"])
-    labelled = F.regexp_extract(F.col("visible_text"), rules.PUBLISHED_LABEL, 1)
+    labelled = _labelled_date(F.col("visible_text"))
     visible = F.when(labelled != "", F.array(labelled)).otherwise(F.col("date_elements"))
     return _first_date(F.concat(F.col("json_dates"), metas, visible), now)
 
@@ -64,12 +71,17 @@ def _title(rule: Column) -> Column:
 
 
 def labelled_lines(content: Column) -> Column:
-    """`label: value` lines of the procurement fields found in a flat text, in label order."""
-    def line(label: str, pattern: str) -> Column:
-        values = F.transform(F.regexp_extract_all(content, F.lit("(?iu)" + pattern), F.lit(1)),
-                             lambda v: F.regexp_replace(tx.squeeze(v), r"^[ :\-]+|[ :\-]+$", ""))
-        good = F.filter(values, lambda v: (v != "") & ~v.rlike(rules.LABELLED_NOISE))
-        return F.concat(F.lit(f"{label}: "), F.get(good, 0))
+    """`label: value` lines of the procurement fields found in a flat text, in label order.
+
+    A text is cut at each place of a label. What follows, up to the first label that may come next, is a value if it has a fitting
+    length and is no heading of a list page; the first one counts.
+    """
+    def line(shown: str, label: str, following: list[str], most: int) -> Column:
+        after = F.split(content, rf"(?iu){label}(?=\s)")
+        pieces = F.transform(F.slice(after, 2, F.size(after)), lambda p: F.split(p, rf"(?iu)\s+(?:{'|'.join(following)})\b", 2))
+        values = F.transform(F.filter(pieces, lambda p: F.size(p) == 2), lambda p: F.regexp_replace(tx.squeeze(p[0]), r"^[ :\-]+|[ :\-]+$", ""))
+        good = F.filter(values, lambda v: F.length(v).between(rules.LEAST_VALUE, most) & ~tx.contains_any(F.lower(v), [w.lower() for w in rules.LABELLED_NOISE]))
+        return F.concat(F.lit(f"{shown}: "), F.get(good, 0))
     return F.array_compact(F.array(*[line(*f) for f in rules.LABELLED_FIELDS]))
 
 

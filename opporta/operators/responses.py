@@ -70,13 +70,14 @@ def grounded_website(extracted: DataFrame, documents: DataFrame) -> DataFrame:
     Only rows with a website ask for their text, in an inner join of its own, which lets Spark drop the texts that nobody
     asks for at their scan (runtime Bloom filter) before any text moves. What comes back is one short row for each website found.
     """
-    host = F.nullif(F.regexp_replace(url.host(F.col("organization_website")), r"^www\.", ""), F.lit(""))
-    keyed = extracted.withColumn("_host", host)
-    asked = keyed.where("_host <> ''").select(F.col("doc_url").alias("_u"), "_host")
+    site = F.col("organization_website")
+    # Its own test stays a plain one: the runtime filter takes no pattern.
+    asked = extracted.where("organization_website <> ''").select(F.col("doc_url").alias("_u"), site.alias("_site"), F.regexp_replace(url.host(site), r"^www\.", "").alias("_host"))
     texts = documents.select(F.col("doc_url").alias("_u"), F.col("raw_content").alias("_text"))
-    found = asked.join(texts, "_u").where(F.contains(F.lower("_text"), F.col("_host"))).select("_u", "_host", F.lit(True).alias("_found")).distinct()
-    joined = keyed.join(found, (keyed["doc_url"] == found["_u"]) & (keyed["_host"] == found["_host"]), "left").drop(found["_host"])
-    return joined.withColumn("organization_website", F.when(F.col("_found"), F.col("organization_website"))).drop("_host", "_u", "_found")
+    stands = F.coalesce((F.col("_host") != "") & F.contains(F.lower("_text"), F.col("_host")), F.lit(False))
+    found = asked.join(texts, "_u").where(stands).select("_u", "_site", F.lit(True).alias("_found")).distinct()
+    joined = extracted.join(found, (extracted["doc_url"] == found["_u"]) & (extracted["organization_website"] == found["_site"]), "left")
+    return joined.withColumn("organization_website", F.when(F.col("_found"), site)).drop("_u", "_site", "_found")
 
 
 def scores(responses: DataFrame, evaluated_by: str) -> DataFrame:

@@ -137,3 +137,37 @@ def test_model_answers_are_grounded_by_text(spark):
     docs = spark.createDataFrame([("d", "xem ABC.vn/lien-he"), ("e", "xem abc.vn")], "doc_url STRING, raw_content STRING")
     got = {r.doc_url: r.organization_website for r in responses.grounded_website(made, docs).collect()}
     assert got == {"d": "https://www.abc.vn", "e": None}
+
+
+def test_everything_else_imports_without_the_corpus_part(tmp_path):
+    """A copy without the two folders: all queries but those of that part, and none of them."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "*.json"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and set(e.oracle_sql()) <= set(q) and not [n for n in q if n.startswith('op') and n[2:3].isdigit() or n == 'pipeline']; print('FINE')"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=200)
+    assert "FINE" in done.stdout, done.stderr[-2000:]
+
+
+def test_texts_nobody_asks_for_are_dropped_at_their_scan(spark, tmp_path):
+    from opporta.operators import responses
+    texts = spark.range(2000).selectExpr("'u' || id AS doc_url", "repeat('text of page a' || id || '.vn ', 50) AS raw_content")
+    texts.write.parquet(f"{tmp_path}/texts")
+    spark.range(2000).selectExpr("'u' || id AS doc_url", "CASE WHEN id % 500 = 7 THEN 'https://a' || id || '.vn/' WHEN id % 500 = 9 THEN 'https://other.vn' END AS organization_website").write.parquet(f"{tmp_path}/extracted")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        made = responses.grounded_website(spark.read.parquet(f"{tmp_path}/extracted"), spark.read.parquet(f"{tmp_path}/texts"))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "might_contain" in plan
+        assert sorted(r.organization_website for r in made.where("organization_website IS NOT NULL").collect()) == [f"https://a{k}.vn/" for k in (1007, 1507, 507, 7)]
+        assert made.count() == 2000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -45,14 +45,18 @@ def _first_amount(text: Column, end: str) -> Column:
     )
 
 
-def money_label(value: Column) -> Column:
-    """Display form: `1,5 tỷ VNĐ`, `300 triệu VNĐ`, `950.000 VNĐ`; null when not positive."""
+def money_label(value: Column, thousands: str = ".") -> Column:
+    """Display form: `1,5 tỷ VNĐ`, `300 triệu VNĐ`, `950.000 VNĐ`; null when not positive.
+
+    Rounded half up as doubles, like SQL's `round`: 1.025 is a little less than it shows, so it gives 1,02.
+    """
 
     def localized(number: Column, decimals: int) -> Column:
-        shown = F.format_number(F.round(number, decimals), decimals)
+        scale = float(10 ** decimals)
+        shown = F.format_number(F.round(number * scale) / scale, decimals)
         if decimals:
             shown = F.regexp_replace(F.regexp_replace(shown, "0+$", ""), r"\.$", "")
-        return F.translate(shown, ".,", ",.")
+        return F.replace(F.translate(shown, ".,", ",."), F.lit("."), F.lit(thousands))
 
     return (F.when(value >= 1e9, F.concat(localized(value / 1e9, 2), F.lit(" tỷ VNĐ")))
             .when(value >= 1e6, F.concat(localized(value / 1e6, 1), F.lit(" triệu VNĐ")))

@@ -84,6 +84,8 @@ def test_currency(spark):
 def test_money_label(spark):
     check(spark, lambda c: money.money_label(c.cast("double")), [
         ("1500000000", "1,5 tỷ VNĐ"), ("300000000", "300 triệu VNĐ"), ("950000", "950.000 VNĐ"), ("0", None), ("1234567890000", "1.234,57 tỷ VNĐ")])
+    check(spark, lambda c: money.money_label(c.cast("double"), thousands=""), [
+        ("1025000000", "1,02 tỷ VNĐ"), ("2405000000", "2,4 tỷ VNĐ"), ("999985000", "1000 triệu VNĐ"), ("1234567890000", "1234,57 tỷ VNĐ")])
 
 
 def test_dates(spark):

@@ -13,10 +13,19 @@ PLACEHOLDERS = ["", "đang cập nhật", "đang chờ ai bóc tách", "không r
 HEARTBEAT_SECONDS = 20
 
 
-def snapshot_leads(leads: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Leads with their stored page, matched on the snapshot reference."""
-    pages = snapshots.select(F.col("snapshot_path").alias("raw_content_ref"), *[c for c in snapshots.columns if c not in ("snapshot_path", "source_id", "day")])
-    return leads.join(pages, "raw_content_ref")
+def snapshot_leads(leads: DataFrame, snapshots: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Leads with their stored page, matched on the snapshot reference.
+
+    A page fetched twice on one day has two snapshots with one reference. `also` names columns of both sides that tell them apart
+    (a null matches a null); without it such a lead meets every snapshot of its reference.
+    """
+    own = [f"_{c}" for c in also]
+    pages = snapshots.select(F.col("snapshot_path").alias("raw_content_ref"), *[F.col(c).alias(o) for c, o in zip(also, own, strict=True)],
+                             *[c for c in snapshots.columns if c not in ("snapshot_path", "source_id", "day", *also)])
+    same = leads["raw_content_ref"] == pages["raw_content_ref"]
+    for c, o in zip(also, own, strict=True):
+        same = same & leads[c].eqNullSafe(pages[o])
+    return leads.join(pages, same).drop(pages["raw_content_ref"], *own)
 
 
 def repair_report(leads: DataFrame, parsed: DataFrame) -> DataFrame:

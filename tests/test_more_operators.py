@@ -171,3 +171,12 @@ def test_texts_nobody_asks_for_are_dropped_at_their_scan(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_leads_of_a_page_fetched_twice_a_day(spark):
+    df = spark.createDataFrame([("l1", "s/20260801/a.html", 1), ("l2", "s/20260801/a.html", 2), ("l3", "s/20260801/a.html", None), ("l4", "s/20260801/b.html", 1)], "id STRING, raw_content_ref STRING, fetch INT")
+    stored = spark.createDataFrame([("s/20260801/a.html", 1, "one"), ("s/20260801/a.html", 2, "two"), ("s/20260801/a.html", None, "none")], "snapshot_path STRING, fetch INT, html STRING")
+    got = sorted((r.id, r.html) for r in repair.snapshot_leads(df, stored, also=("fetch",)).collect())
+    assert got == [("l1", "one"), ("l2", "two"), ("l3", "none")]
+    plain = repair.snapshot_leads(df.drop("fetch"), stored.where("fetch = 1").drop("fetch"))
+    assert sorted(plain.columns) == ["html", "id", "raw_content_ref"] and plain.count() == 3

@@ -61,9 +61,8 @@ def search_links(links: DataFrame) -> DataFrame:
     for source_id, pattern, hosts in rules.SEARCH_RULES:
         fits = F.when(F.col("source_id") == source_id, url.host(F.col("target_url")).isin(*hosts)
                       & F.col("target_url").rlike("(?i)" + pattern)).otherwise(fits)
-    return links.where(
-        ~F.col("in_chrome") & navigable(F.col("href")) & fits
-        & F.contains(F.lower("context"), F.lower("keyword")))
+    return links.where(  # cheap ones first: a canonical URL is only made for what they leave
+        ~F.col("in_chrome") & navigable(F.col("href")) & F.contains(F.lower("context"), F.lower("keyword")) & fits)
 
 
 def site_edges(links: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from opporta.functions.html import Page, published_values, tidy
 
@@ -18,6 +20,8 @@ PAGE_FIELDS = """h1 STRING, h1_spaced STRING, h1_title STRING, h1_heading STRING
   block: INT, near_date: STRING>>, blocks ARRAY<STRING>, paragraphs ARRAY<STRING>,
  visible_text STRING, body_text STRING, parse_error STRING"""
 
+BATCH_PAGES = 200  # pages whose fields a task holds at once
+
 CARD_FIELDS = """links ARRAY<STRUCT<resolved: STRING, text: STRING>>, title STRING, company STRING,
  card_text STRING, position INT, parse_error STRING"""
 
@@ -84,27 +88,41 @@ def read_cards(markup: str, base_url: str) -> list[dict]:
 
 
 def with_page_fields(raw: DataFrame, keep: list[str], wanted: tuple[str, ...] | None = None) -> DataFrame:
-    """`keep` columns plus PAGE_FIELDS (only the `wanted` ones are filled). A page that cannot be read gets `parse_error`, never a failed task."""
+    """`keep` columns plus PAGE_FIELDS, or the `wanted` ones of them, and `parse_error`.
+
+    A page that cannot be read gets `parse_error`, never a failed task. Rows leave in small batches, so that memory follows the
+    pages of one, not those of an input batch.
+    """
     kept = raw.select(*dict.fromkeys([*keep, "url", "html"]))
     passed = [c for c in kept.columns if c != "html" or "html" in keep]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in passed)
-
     only = None if wanted is None else frozenset(wanted)
-    names = [part.split()[0] for part in _field_names(PAGE_FIELDS)]
+    fields = [f for f in StructType.fromDDL(PAGE_FIELDS).fields if only is None or f.name in only or f.name == "parse_error"]
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*(f for f in kept.schema if f.name in passed), *fields])
+    kinds = {f.name: _arrow_type(f.dataType) for f in fields}
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for url, markup in zip(batch["url"], batch["html"]):
-                try:
-                    found = read_page(markup or "", url or "", only)
-                except Exception as exc:  # a bad page is data, not a reason to stop the job
-                    found = {"parse_error": f"{type(exc).__name__}: {exc}"}
-                rows.append({**dict.fromkeys(names), **found})
-            fields = pd.DataFrame(rows, columns=names, dtype=object)
-            yield pd.concat([batch[passed].reset_index(drop=True), fields], axis=1)
-
-    return kept.mapInPandas(walk, f"{head}, {PAGE_FIELDS}")
+            for start in range(0, batch.num_rows, BATCH_PAGES):
+                part = batch.slice(start, BATCH_PAGES)
+                rows = []
+                for url, markup in zip(part["url"].to_pylist(), part["html"].to_pylist(), strict=True):
+                    try:
+                        rows.append(read_page(markup or "", url or "", only))
+                    except Exception as exc:  # a bad page is data, not a reason to stop the job
+                        rows.append({"parse_error": f"{type(exc).__name__}: {exc}"})
+                made = [pa.array([r.get(name) for r in rows], kind) for name, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in passed), *made], [*passed, *kinds])
+
+    return kept.mapInArrow(walk, head)
+
+
+def _arrow_type(kind: DataType) -> pa.DataType:
+    """Arrow form of the types in PAGE_FIELDS."""
+    if isinstance(kind, ArrayType):
+        return pa.list_(_arrow_type(kind.elementType))
+    if isinstance(kind, StructType):
+        return pa.struct([(f.name, _arrow_type(f.dataType)) for f in kind.fields])
+    return {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[kind.simpleString()]
 
 
 def with_cards(raw: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -129,3 +130,30 @@ def test_search_results(spark):
     df = spark.createDataFrame([(q, json.dumps(b)) for q, b in bodies], "query STRING, body STRING")
     got = sorted((r.query, r.position, r.url, r.title) for r in feeds.search_results(df).collect())
     assert got == [("q1", 2, "https://abc.vn/", "ABC"), ("q1", 3, "https://xyz.vn", "xyz.vn"), ("q2", 2, "https://d.vn/a", "d.vn")]
+
+
+def test_plain_markup_is_read_as_the_standard_parser_reads_it(monkeypatch):
+    drawn = random.Random(5)
+    pieces = ['<a href="/x">', '<a href="https://b.vn/c-1">', '<a href="HTTP://B.vn/c?d=1&amp;e">', "<a href='q'>", "</a>", '<div class="t" id="u">', "</div>", "<li>", "</li>", "<br>", "<br/>", "<P>", "<script>",
+              "</script>", "<title>", "</title>", "<!-- c -->", "<!DOCTYPE html>", "text ", "a < b", "&amp;", "&am", "&lt", "<", ">", "12/3", "/2026", " \n", '<a b="c"d="e">', "<textarea>", "é ﬁ", "</", '<a b=""', "<nav>"]
+    pages = ["".join(drawn.choice(pieces) for _ in range(drawn.randint(1, 14))) for _ in range(3000)]
+
+    def read():
+        return [([(n.tag, n.attrs, n.text, n.parent, n.end) for n in page.nodes], page.anchors("https://a.vn/x/y")) for page in map(Page, pages)]
+    fast = read()
+    monkeypatch.setattr(Page, "_read_plain", lambda self, markup: 0)
+    assert fast == read()
+    monkeypatch.undo()
+    calls = []
+    monkeypatch.setattr(Page, "feed", lambda self, markup: calls.append(markup))
+    Page('<ul><li class="a">Tin <a href="/b">B</a></li></ul>')
+    assert not calls  # plain markup never meets the standard parser
+
+
+def test_pages_leave_in_small_batches(spark):
+    from opporta.operators import pages as op
+    raw = spark.createDataFrame([(f"https://a.vn/{k}", f'<a href="/{k}">é</a>', dt.datetime(2026, 1, 1)) for k in range(950)], "url string, html string, fetched_at timestamp_ntz").coalesce(1)
+    got = op.with_page_fields(raw, ["url", "fetched_at"], ("links",))
+    assert got.columns == ["url", "fetched_at", "links", "parse_error"]  # nothing that was not asked for
+    rows = got.collect()
+    assert [r.links[0].resolved for r in rows] == [r.url for r in rows] and len(rows) == 950

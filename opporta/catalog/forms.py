@@ -19,7 +19,7 @@ _DAY = "20260105"
 @query("snapshot_files", f"""SELECT source_id, left(sha256(url), 16) AS snapshot_hash, CAST(fetched_at AS DATE) AS day, sha256(html) AS html_sha256, length(html) AS n_chars
 FROM {{v_raw}} WHERE strftime(fetched_at, '%Y%m%d') = '{_DAY}'""")
 def snapshot_files(spark, sf):
-    """Pages written as one file each; one day is read back."""
+    """Pages written by day and source; one day is read back."""
     folder = f"{work_folder(spark)}/snapshots"
     documents.write_snapshots(raw(spark, sf), folder)
     return documents.read_snapshots(spark, folder, day=_DAY).select(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from opporta.functions import ids
 
+SOURCE_FOLDERS = 4  # folders of a day, by source: their number does not grow with sources or pages
+
 # Fixed values.
 CHALLENGE_MARKERS = ["cf-chl-", "challenges.cloudflare.com", "just a moment", "verify you are human", "checking your browser"]
 PERMANENT_ERRORS = (
@@ -29,30 +31,38 @@ def write_raw_documents(raw: DataFrame, path: str) -> None:
 
 
 def write_snapshots(raw: DataFrame, path: str) -> None:
-    """One text file for each page, in folders by source, day and hash of its URL."""
-    with_snapshot_path(raw).select("source_id", "snapshot_day", "snapshot_hash", F.coalesce("html", F.lit("")).alias("value")).write.mode("append").partitionBy(
-        "source_id", "snapshot_day", "snapshot_hash").text(path)
+    """Pages as rows of Parquet files in folders by day and source: files follow the bytes, not the number of pages.
+
+    Copies of a page on one day stay rows of their own.
+    """
+    rows = with_snapshot_path(raw).select("source_id", "snapshot_day", "snapshot_hash", F.coalesce("html", F.lit("")).alias("html"))
+    rows.withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(SOURCE_FOLDERS)).cast("int")).hint("rebalance", "snapshot_day", "part").write.mode("append").partitionBy(
+        "snapshot_day", "part").option("maxRecordsPerFile", 500_000).parquet(path)
 
 
 def read_snapshots(spark: SparkSession, path: str, source: str = "*", day: str = "*") -> DataFrame:
-    """Whole snapshot files, identified by their own path: `path/source/day/hash.html`, or folders of `write_snapshots`.
+    """Whole snapshots: files `path/source/day/hash.html`, identified by their own path, and folders of `write_snapshots`.
 
-    A day (yyyymmdd) or source names folders, so other folders are not even listed. A file of `write_snapshots` ends with a
-    line end that is not part of the page.
+    A day (yyyymmdd) or source names folders or rows, so other days are not even listed.
     """
-    plain, folders = f"{path}/{source}/{day}/*.html", f"{path}/source_id={source}/snapshot_day={day}/*/part-*"
+    plain, packed = f"{path}/{source}/{day}/*.html", f"{path}/snapshot_day={day}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    there = [p for p in (plain, folders) if files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(p.rsplit("/", 1)[0]))]
-    name = F.url_decode(F.col("_metadata.file_path"))
-    pattern = r"([^/]+?)/(?:snapshot_day=)?(\d{8})/(?:snapshot_hash=)?([0-9a-f]{16})(\.html$|/part-)"
-    if not there:
-        return spark.createDataFrame([], "html string, source_id string, day date, snapshot_hash string, snapshot_path string")
-    found = spark.read.text(there, wholetext=True).select("value", F.regexp_replace(F.regexp_extract(name, pattern, 1), "^source_id=", "").alias("source_id"),
-                                                          *[F.regexp_extract(name, pattern, k).alias(c) for k, c in ((2, "day"), (3, "hash"), (4, "end"))])
-    return found.select(
-        F.when(F.col("end") == ".html", F.col("value")).otherwise(F.regexp_replace("value", r"\n\z", "")).alias("html"), "source_id",
-        F.to_date("day", "yyyyMMdd").alias("day"), F.col("hash").alias("snapshot_hash"), F.concat_ws("/", "source_id", "day", F.concat("hash", F.lit(".html"))).alias("snapshot_path"))
+
+    def there(pattern: str) -> bool:
+        return bool(files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(pattern)))
+    found = spark.createDataFrame([], "html string, source_id string, day string, snapshot_hash string")
+    if there(plain):
+        name = F.url_decode(F.col("_metadata.file_path"))
+        parts = [F.regexp_extract(name, r"([^/]+)/(\d{8})/([0-9a-f]{16})\.html$", k).alias(c) for k, c in ((1, "source_id"), (2, "day"), (3, "snapshot_hash"))]
+        found = found.unionByName(spark.read.text(plain, wholetext=True).select(F.col("value").alias("html"), *parts))
+    if there(packed):
+        rows = spark.read.option("basePath", path).schema("html string, source_id string, snapshot_hash string, snapshot_day string, part int").parquet(packed)
+        if source != "*":
+            rows = rows.where((F.col("source_id") == source) & (F.col("part") == F.pmod(F.xxhash64(F.lit(source)), F.lit(SOURCE_FOLDERS))))
+        found = found.unionByName(rows.select("html", "source_id", F.col("snapshot_day").alias("day"), "snapshot_hash"))
+    return found.select("html", "source_id", F.to_date("day", "yyyyMMdd").alias("day"), "snapshot_hash",
+                        F.concat_ws("/", "source_id", "day", F.concat("snapshot_hash", F.lit(".html"))).alias("snapshot_path"))
 
 
 def reject_reason(window: int | None = None) -> Column:

@@ -180,3 +180,21 @@ def test_leads_of_a_page_fetched_twice_a_day(spark):
     assert got == [("l1", "one"), ("l2", "two"), ("l3", "none")]
     plain = repair.snapshot_leads(df.drop("fetch"), stored.where("fetch = 1").drop("fetch"))
     assert sorted(plain.columns) == ["html", "id", "raw_content_ref"] and plain.count() == 3
+
+
+def test_snapshots_are_rows_of_few_files(spark, tmp_path):
+    """A page fetched twice on one day, null and line-ending pages, two sources; files as others wrote them beside."""
+    rows = [("https://a.vn/1", "s", dt.datetime(2026, 8, 1), "<p>x</p>\n"), ("https://a.vn/1", "s", dt.datetime(2026, 8, 1, 5), "<p>y</p>"), ("https://a.vn/2", "t", dt.datetime(2026, 8, 1), None)]
+    rows += [(f"https://a.vn/b{k}", "s", dt.datetime(2026, 8, 2), "<p>") for k in range(200)]
+    raw = spark.createDataFrame(rows, "url STRING, source_id STRING, fetched_at TIMESTAMP_NTZ, html STRING")
+    documents.write_snapshots(raw, str(tmp_path))
+    (tmp_path / "u" / "20260801").mkdir(parents=True)
+    (tmp_path / "u" / "20260801" / f"{'0' * 16}.html").write_text("<p>z</p>", "utf-8")
+    assert len(list(tmp_path.rglob("*.parquet"))) <= 12
+    got = sorted((r.source_id, r.html, str(r.day)) for r in documents.read_snapshots(spark, str(tmp_path), day="20260801").collect())
+    assert got == [("s", "<p>x</p>\n", "2026-08-01"), ("s", "<p>y</p>", "2026-08-01"), ("t", "", "2026-08-01"), ("u", "<p>z</p>", "2026-08-01")]
+    paths = {r.snapshot_path for r in documents.with_snapshot_path(raw).collect()}
+    assert {r.snapshot_path for r in documents.read_snapshots(spark, str(tmp_path), source="s").collect()} == {p for p in paths if p.startswith("s/")}
+    assert documents.read_snapshots(spark, str(tmp_path)).count() == 204 and documents.read_snapshots(spark, str(tmp_path), day="20250101").count() == 0
+    documents.write_snapshots(raw, str(tmp_path / "alone"))
+    assert documents.read_snapshots(spark, str(tmp_path / "alone")).count() == 203

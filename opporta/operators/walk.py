@@ -76,8 +76,9 @@ def candidate_blocks(results: DataFrame, pages: DataFrame) -> DataFrame:
 
     pages: source_url (requested), url (final), text, position; a later page replaces an earlier one.
     """
-    keyed = pages.select(F.explode(F.array_compact(F.array("source_url", "url"))).alias("k"), "text", "position").select(
-        url.canonical(F.col("k")).alias("key"), "text", "position").groupBy("key").agg(F.max_by("text", "position").alias("page_text"))
+    named = pages.select(F.explode(F.array_compact(F.array("source_url", "url"))).alias("k"), "text", "position")
+    latest = named.groupBy("k").agg(F.max_by("text", "position").alias("text"), F.max("position").alias("position"))  # one canonical form a spelling, not a load
+    keyed = latest.select(url.canonical(F.col("k")).alias("key"), "text", "position").groupBy("key").agg(F.max_by("text", "position").alias("page_text"))
     joined = results.withColumn("key", url.canonical(F.col("url"))).join(keyed, "key", "left")
     block = F.concat(
         F.lit("[URL "), F.col("position").cast("string"), F.lit("]\nURL: "), F.col("url"), F.lit("\nTiêu đề: "), F.coalesce("title", F.lit("")),

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from opporta.operators import documents, feeds, links, match, profiles, repair, requests, resolve, responses
+from opporta.operators import documents, feeds, links, match, profiles, repair, requests, resolve, responses, walk
 from opporta.plans import search
 from opporta.sources import readers, tables
 
@@ -198,3 +198,15 @@ def test_snapshots_are_rows_of_few_files(spark, tmp_path):
     assert documents.read_snapshots(spark, str(tmp_path)).count() == 204 and documents.read_snapshots(spark, str(tmp_path), day="20250101").count() == 0
     documents.write_snapshots(raw, str(tmp_path / "alone"))
     assert documents.read_snapshots(spark, str(tmp_path / "alone")).count() == 203
+
+
+def test_latest_load_of_any_spelling(spark):
+    """Spellings of one page, repeated loads, loads without a place; each spelling is made canonical once, after its loads are one."""
+    results = spark.createDataFrame([("q", 1, "https://a.vn/x"), ("q", 2, "https://b.vn/y"), ("q", 3, "https://c.vn/")], "query string, position int, url string").withColumns({"title": F.lit("T"), "snippet": F.lit("S")})
+    loads = [("https://a.vn/x/", "https://a.vn/x?utm_source=1", "old", 1), ("https://a.vn/x?ref=z", None, "new", 5), ("https://a.vn/x/", None, "mid", 3), ("https://c.vn/", None, "lost", None)]
+    pages = spark.createDataFrame(loads, "source_url string, url string, text string, position int")
+    made = walk.candidate_blocks(results, pages)
+    got = {r.position: (r.loaded, r.block.rsplit(": ", 1)[1]) for r in made.collect()}
+    assert got == {1: (True, "new"), 2: (False, "(không tải được)"), 3: (False, "(không tải được)")}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [k#") == 1

@@ -3,10 +3,12 @@
 Two texts at 0.8 differ by 9 or 10 of 64 SimHash bits and often by more, too many to search for, so candidates come from
 min-hashes: 24 bands of 4. A pair at 0.8 shares a band with probability 1 - (1 - 0.8^4)^24 = 0.999997. Every link is then
 confirmed on the whole shingle sets (32-bit hashes). Texts with one shingle set are one node, so exact copies cost nothing.
-In a bucket whose nodes are not yet all joined, only pairs whose signatures (8 bits of each of the 96 min-hashes) agree in at
-least 56 places are confirmed: at 0.8 fewer agree with probability 1e-6, at 0.5 as many with 0.06. A bucket is cut by the sizes
+In a bucket whose nodes are not yet all joined, pairs are compared by odd sketches first: bit h mod m of a set's sketch is the parity
+of its hashes h there, so two sketches differ in no more bits than the sets have unshared hashes, and a pair that differs in more
+than the similarity allows is surely below it. Of the rest only pairs whose signatures (8 bits of each of the 96 min-hashes) agree
+in at least 56 places are confirmed: at 0.8 fewer agree with probability 1e-6, at 0.5 as many with 0.06. A bucket is cut by the sizes
 of the sets, for sets that are alike to 0.8 differ in size by a quarter at most, and what is still large is compared in pieces,
-two at a time, so no task holds a bucket.
+two at a time, so no task holds a bucket. Comparing is quadratic in a bucket of texts that are not alike; what leaves it is not.
 
 Defined results: null and wordless texts have the empty set and are one group; a text of fewer than five words is one shingle;
 equal texts, repeated rows and equal ids are in one group if their sets are alike, of which one row stays (the smallest id, null
@@ -29,9 +31,10 @@ from opporta.llm.simhash import _LOWER
 
 SHINGLE, LIKE = 5, 0.8
 BANDS, ROWS = 24, 4
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 AGREE = 56  # of the min-hashes of a pair that is confirmed
 PIECE = 4_000  # nodes of a bucket in one task
+SKETCH = 2**9, 2**15  # least and most bits of an odd sketch, else four to eight for each hash of the set
 _DRAWN = np.random.Generator(np.random.Philox(key=11)).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 
 
@@ -112,35 +115,77 @@ def confirmed(pairs: DataFrame, sets: DataFrame, like: float = LIKE) -> DataFram
     return both.select("a", "b", "sa", "sb").mapInArrow(alike, "a bigint, b bigint")
 
 
-def _agreeing(table: pa.Table) -> pa.Table:
-    """Pairs of nodes with different roots, of two pieces of a bucket (or within one), whose signatures agree well enough."""
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of a set's hashes by their last bits."""
+    bits = min(max(SKETCH[0], 1 << (4 * len(own) - 1).bit_length()), SKETCH[1])
+    return np.packbits(np.bincount(own.view(np.uint32) % bits, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """`node, sketch` of `sets(node, shingles)`."""
+    def made(column: pa.Array) -> pa.Array:
+        return pa.array([sketch(np.asarray(own.values)) for own in column], pa.binary())
+    return sets.select("node", F.arrow_udf(made, "binary")("shingles").alias("sketch"))
+
+
+def _narrowed(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one width, as words: halves of wider ones are laid on each other, which is the narrower sketch."""
+    width, out = min(map(len, sketches)), []
+    for one in sketches:
+        bits = np.frombuffer(one, dtype=np.uint64)
+        while bits.nbytes > width:
+            bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+        out.append(bits)
+    return np.stack(out)
+
+
+def _agreeing(table: pa.Table, best: bool) -> pa.Table:
+    """Pairs of nodes with different roots, of two pieces of a bucket (or within one), whose sketches and signatures allow the similarity.
+
+    All of them, or for two roots only the pair whose signatures agree best.
+    """
     node, root, n, piece, home = (np.asarray(table[c]) for c in ("node", "root", "n", "piece", "home"))
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+    odd = _narrowed(table["sketch"].to_pylist())
     left = np.flatnonzero(piece == piece.min())
     right = np.flatnonzero(piece == piece.max())
-    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    none = np.zeros(0, dtype=np.int64)
+    a, b, agree = [none], [none], [none]
     for x in left:
         fit = (root[right] != root[x]) & (home[right] | home[x]) & (np.minimum(n[right], n[x]) >= LIKE * np.maximum(n[right], n[x]))
         if left is right or piece[x] == piece.max():
             fit &= right > x
         other = right[fit]
-        other = other[(sig[other] == sig[x]).sum(axis=1) >= AGREE]
-        a.append(np.full(len(other), node[x]))
-        b.append(node[other])
-    return pa.table({"x": np.concatenate(a), "y": np.concatenate(b)})
-
-
-def _likely(placed: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs `x, y` of `placed(band, hash, node, root)` in a common bucket, with different roots, that may be alike."""
+        apart = np.bitwise_count(odd[other] ^ odd[x]).sum(axis=1, dtype=np.int64)
+        other = other[apart <= (n[other] + n[x]) * ((1 - LIKE) / (1 + LIKE)) + 1e-6]
+        same = (sig[other] == sig[x]).sum(axis=1)
+        other, same = other[same >= AGREE], same[same >= AGREE]
+        a.append(np.full(len(other), x))
+        b.append(other)
+        agree.append(same)
+    x, y = np.concatenate(a), np.concatenate(b)
+    if best and len(x):
+        low, high, same = np.minimum(root[x], root[y]), np.maximum(root[x], root[y]), np.concatenate(agree)
+        order = np.lexsort((-same, high, low))
+        low, high = low[order], high[order]
+        chosen = order[np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]]
+        x, y = x[chosen], y[chosen]
+    return pa.table({"x": node[x], "y": node[y]})
+
+
+def _likely(placed: DataFrame, heads: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+    """Pairs `x, y` of `placed(band, hash, node, root)` in a common bucket, with different roots, that may be alike; or the `best` of each two roots there."""
     step = F.floor(F.log("n") / float(np.log(1 / LIKE))).cast("int")
     sized = placed.join(heads.select("node", "n"), "node").withColumn("class", F.explode(F.array(step, step + 1))).withColumn("home", F.col("class") == step)
     keys = ["band", "hash", "class"]
     mixed = sized.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select(*keys, "many")
-    rows = sized.join(common.stored(mixed, "near-mixed"), keys).join(heads.select("node", "sig"), "node")
+    rows = common.stored(sized.join(mixed, keys), "near-mixed")
+    rows = rows.join(heads.select("node", "sig"), "node").join(_sketches(sets.join(rows.select("node").distinct(), "node", "left_semi")), "node")
     rows = rows.withColumn("pieces", F.ceil(F.col("many") / PIECE).cast("int")).withColumn("piece", F.pmod(F.xxhash64("node", F.lit(7)), F.col("pieces")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     rows = rows.withColumn("first", F.least("piece", "other")).withColumn("second", F.greatest("piece", "other"))
-    return rows.select(*keys, "first", "second", "node", "root", "n", "piece", "home", "sig").groupBy(*keys, "first", "second").applyInArrow(_agreeing, "x bigint, y bigint")
+    pairs = rows.select(*keys, "first", "second", "node", "root", "n", "piece", "home", "sig", "sketch").groupBy(*keys, "first", "second")
+    return pairs.applyInArrow(lambda table: _agreeing(table, best), "x bigint, y bigint")
 
 
 def shared_buckets(heads: DataFrame) -> DataFrame:
@@ -155,11 +200,11 @@ def links(heads: DataFrame, bucket: DataFrame, sets: DataFrame, rounds: int = ST
 
     For distinct nodes `heads(node, n, bands, sig)`, their shared buckets and the `sets(node, shingles)` of nodes in them. In a
     round each node is compared with one node of its buckets, the one that looks most alike among those drawn as centres, so
-    that a large group of near copies costs its size. At last the pairs of a bucket that are not yet in one group are compared
-    by their signatures, and likely ones confirmed.
+    that a large group of near copies costs its size. Then the pairs of a bucket that are not yet in one group are compared
+    by their sketches and signatures: first the likeliest of each two groups is confirmed, then all that are still likely.
     """
     found = None
-    for r in range(rounds + 1):
+    for r in range(rounds + 2):
         placed = bucket.withColumn("root", F.col("node"))
         if found is not None:
             root = common.components(found)
@@ -169,7 +214,7 @@ def links(heads: DataFrame, bucket: DataFrame, sets: DataFrame, rounds: int = ST
             drawn = placed.join(centre, ["band", "hash"]).where("root <> c.root").select(F.col("node").alias("x"), F.col("c.node").alias("y")).distinct()
             pairs = _estimated(drawn, heads).groupBy("x").agg(F.max(F.struct("agree", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
         else:
-            pairs = _likely(common.stored(placed, "near-placed"), heads)
+            pairs = _likely(common.stored(placed, "near-placed"), heads, sets, best=r == rounds)
         fresh = confirmed(common.stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-pairs"), sets)
         found = common.stored(fresh if found is None else found.union(fresh), "near-links")
     return found

@@ -126,3 +126,47 @@ def test_an_edited_copy_goes_whatever_its_bits(spark):
     assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c) and np.bitwise_count(np.uint64(plain_print(" ".join(words)) ^ plain_print(" ".join(edited)))) > 4
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((words, edited, far))], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()) == [0, 2]
+
+
+def test_texts_just_below_the_similarity_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """A cloud of texts at some 0.74 of each other, a few of them edited: sets move for the edited ones, not for all pairs."""
+    rng = np.random.Generator(np.random.Philox(key=5))
+    base, rows = [f"t{k}" for k in range(300)], []
+    for k in range(150):
+        own = list(base)
+        for at in rng.choice(60, 5, replace=False):
+            own[at * 5] = f"own{k}x{at}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, rows[k][1] + " and one more") for k in range(0, 150, 15)]
+    sets = {k: set(near_copies.shingles(t).tolist()) for k, t in rows}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    made, name = near_copies.with_node(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    nodes = common.stored(made.select("doc_id", "text", f"{name}.*"), "test-nodes")
+    number, moved, confirmed = {r.node: r.doc_id for r in nodes.select("node", "doc_id").collect()}, [], near_copies.confirmed
+
+    def counted(pairs, *rest):
+        moved.append(pairs.count())
+        return confirmed(pairs, *rest)
+    monkeypatch.setattr(near_copies, "confirmed", counted)
+    heads = nodes.drop("doc_id", "text")
+    found = near_copies.links(heads, near_copies.shared_buckets(heads), near_copies._sets(nodes), rounds=0)
+    group = {k: k for k in sets}
+    for _ in sets:
+        for a, b in alike:
+            group[a] = group[b] = min(group[a], group[b])
+    got = {number[r.node]: r.root for r in common.components(found).collect()}
+    want = {k for pair in alike for k in pair}
+    assert set(got) == want and len(set(got.values())) == len({group[k] for k in want})
+    assert sum(moved) < 3 * len(rows) + 2 * len(alike)
+
+
+def test_odd_sketches_never_differ_more_than_the_sets():
+    rng = np.random.Generator(np.random.Philox(key=9))
+    for size in (1, 60, 127, 128, 700, 9_000):
+        whole = np.unique(rng.integers(0, 2**32, 2 * size, dtype=np.uint64).astype(np.uint32)).view(np.int32)
+        for share in (0.1, 0.5, 0.9):
+            x, y = whole[:max(1, int(len(whole) * share))], whole[len(whole) // 4:]
+            if len(y):
+                a, b = near_copies._narrowed([near_copies.sketch(x), near_copies.sketch(y)])
+                assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+                assert (near_copies._narrowed([near_copies.sketch(x)] * 2)[0] == near_copies._narrowed([near_copies.sketch(x)])[0]).all()

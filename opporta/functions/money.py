@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,18 +32,16 @@ def _first_amount(text: Column, end: str) -> Column:
     millions = rf"(?iu)(\d+(?:[.,]\d+)?)\s*(?:tri[ệe]u|tr){end}{_UNIT}"
     grouped = rf"(?iu)(\d{{1,3}}(?:[.,]\d{{3}}){{2,}}){_UNIT}"
 
-    def hit(pattern: str, value: Column) -> Column:
-        return F.when(text.rlike(pattern), F.struct(
-            value.alias("value"), F.regexp_extract(text, pattern, 0).alias("matched")))
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
+    def hit(pattern: str, value: Callable[[Callable[[int], Column]], Column]) -> Column:
+        """The text is searched once; groups are read from what matched, which is short."""
+        return let(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", F.struct(
+            value(lambda group: F.regexp_extract(m, pattern, group)).alias("value"), m.alias("matched"))))
 
     return F.coalesce(
-        hit(both, _number(part(both, 1)) * 1e9 + _number(part(both, 2)) * 1e6),
-        hit(billions, _number(part(billions, 1)) * 1e9),
-        hit(millions, _number(part(millions, 1)) * 1e6),
-        hit(grouped, F.regexp_replace(part(grouped, 1), "[.,]", "").try_cast("double")),
+        hit(both, lambda part: _number(part(1)) * 1e9 + _number(part(2)) * 1e6),
+        hit(billions, lambda part: _number(part(1)) * 1e9),
+        hit(millions, lambda part: _number(part(1)) * 1e6),
+        hit(grouped, lambda part: F.regexp_replace(part(1), "[.,]", "").try_cast("double")),
     )
 
 

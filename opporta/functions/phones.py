@@ -29,7 +29,10 @@ def _one_number(part: Column) -> Column:
 
 def normalize_phones(col: Column) -> Column:
     """`+84 28 3773 1666 (ext. 2245)` -> `02837731666 máy lẻ 2245`; several joined by `; `."""
-    text = F.trim(col)
+    return let(F.trim(col), _numbers)
+
+
+def _numbers(text: Column) -> Column:
     parts = F.split(text, r"(?iu)[,;/\n]+|\s+hoặc\s+")
     numbers = F.array_distinct(F.filter(F.transform(parts, _one_number), lambda n: n.isNotNull()))
     # Cell errors and placeholders.
@@ -48,5 +51,4 @@ def first_phone(text: Column) -> Column:
 
 
 def contact_name(text: Column) -> Column:
-    name = tx.squeeze(F.regexp_extract(text, _NAME, 1))
-    return F.when(F.length(name).between(3, 40), name)
+    return let(tx.squeeze(F.regexp_extract(text, _NAME, 1)), lambda name: F.when(F.length(name).between(3, 40), name))

@@ -147,3 +147,20 @@ def test_terms_use_word_boundaries(spark):
 def test_labels(spark):
     check(spark, lambda c: labels.mapped(c, labels.TIMEFRAMES), [("1_day", "24 giờ qua"), ("x", "x")])
     check(spark, labels.hide_technical, [("Read timed out", None), ("Phần mềm", "Phần mềm"), (" ", None)])
+
+
+def test_a_phone_is_looked_for_once(spark):
+    """The text is searched once, not again for each use of what was found."""
+    df = spark.createDataFrame([("Gọi 0912 345 678",)], "t string")
+    plan = df.select(phones.first_phone(df.t).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)[\s.-]") == 1
+    plan = df.select(money.currency(df.t).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 0
+
+
+def test_amount_ends_where_the_text_goes_on(spark):
+    texts = ["1,5 tỷ 200 triệu đồng", "10 tin", "3 tr. đồng", "12 trang", "gần 7,25 triệu", "1.000.000đồng", "5 tỷ đ", "2 tỷđa", "không có", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.m for r in df.select("k", money.currency(df.t).alias("m")).orderBy("k").collect()]
+    assert [m and (m.value, m.matched) for m in got] == [
+        (1.7e9, "1,5 tỷ 200 triệu"), None, (3e6, "3 tr"), None, (7.25e6, "7,25 triệu"), (1e6, "1.000.000đồng"), (5e9, "5 tỷ đ"), None, None, None]

@@ -25,6 +25,7 @@ JSON_COLUMNS = [
 ]
 COLLECTION_KINDS = ("projects", "news", "jobs", "tenders")
 BOM = "﻿"
+FILE_ROWS = 100_000
 
 
 def best_first(leads: DataFrame, limit: int | None = None) -> DataFrame:
@@ -114,10 +115,13 @@ def names_of(ddl: str) -> list[str]:
 
 
 def write_sheet(rows: DataFrame, path: str) -> None:
-    """Text cells as CSV files that `read_sheet` takes back unchanged: every cell quoted, a byte-order mark before the first header."""
+    """Text cells as CSV files that `read_sheet` takes back unchanged: every cell quoted, a byte-order mark before the first header.
+
+    A file with line ends in its cells is read by one task, so a file holds `FILE_ROWS` rows at most.
+    """
     first, *rest = rows.columns
     rows.select(F.col(f"`{first}`").alias(BOM + first), *[F.col(f"`{c}`") for c in rest]).write.mode("overwrite").options(
-        header=True, escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+        header=True, maxRecordsPerFile=FILE_ROWS, escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_sheet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -171,3 +171,13 @@ def test_sought_pages_are_those_of_an_offset(spark):
     leads = spark.createDataFrame(rows, "id string, score int, crawled_at timestamp")
     for page in (1, 2, 5, 9, 10, 11):
         assert [r.id for r in search.seek_page(leads, page, 10).collect()] == [r.id for r in search.lead_page(leads, page, 10).collect()]
+
+
+def test_sheet_files_are_bounded(spark, tmp_path, monkeypatch):
+    """A CSV file with line ends is read by one task, so that a large sheet is several files."""
+    from opporta.sources import tables
+    monkeypatch.setattr(tables, "FILE_ROWS", 4, raising=False)
+    rows = spark.createDataFrame([(str(k), f'a "{k}"\nb') for k in range(10)], "id string, title string").coalesce(1)
+    tables.write_sheet(rows, str(tmp_path / "sheet"))
+    assert len(glob.glob(f"{tmp_path}/sheet/part-*.csv")) == 3
+    assert sorted(map(tuple, tables.read_sheet(spark, str(tmp_path / "sheet"), ["id", "title"]).collect())) == sorted(map(tuple, rows.collect()))

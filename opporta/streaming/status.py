@@ -58,6 +58,10 @@ def fold_status_stream(events: DataFrame, mode: str = "update") -> DataFrame:
     return events.groupBy("source_id").transformWithStateInPandas(StatusFold(), outputStructType=STATUS_OUT, outputMode=mode, timeMode="none")
 
 
+def _stale_at(beat: pd.Timestamp) -> int:
+    return int(beat.timestamp() * 1000) + STALE_MS
+
+
 class Heartbeat(StatefulProcessor):
     """Emits a row when no beat came for 20 seconds of event time."""
 
@@ -69,10 +73,10 @@ class Heartbeat(StatefulProcessor):
         before = _utc(self.state.get()[0]) if self.state.exists() else None
         newest = max([batch["at"].max() for batch in rows] + ([before] if before is not None else []))
         if before is None or newest > before:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            if before is not None:  # a key's only timer is that of its newest beat
+                self.handle.deleteTimer(_stale_at(before))
             self.state.update((newest.to_pydatetime(),))
-            self.handle.registerTimer(int(newest.timestamp() * 1000) + STALE_MS)
+            self.handle.registerTimer(_stale_at(newest))
         yield pd.DataFrame({"worker_id": pd.Series([], dtype=str), "last_seen": pd.Series([], dtype="datetime64[ns]"), "state": pd.Series([], dtype=str)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

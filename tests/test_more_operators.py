@@ -210,3 +210,31 @@ def test_latest_load_of_any_spelling(spark):
     assert got == {1: (True, "new"), 2: (False, "(không tải được)"), 3: (False, "(không tải được)")}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [k#") == 1
+
+
+def test_a_beat_lists_no_timers():
+    """A worker's only timer is that of its newest beat, so it is removed by its time."""
+    import pandas as pd
+
+    from opporta.streaming import status
+
+    class Handle:
+        def __init__(self):
+            self.seen, self.timers = None, []
+        def getValueState(self, *_):  # noqa: E301
+            return self
+        def exists(self):  # noqa: E301
+            return self.seen is not None
+        def get(self):  # noqa: E301
+            return self.seen
+        def update(self, value):  # noqa: E301
+            self.seen = value
+        def registerTimer(self, at):  # noqa: E301
+            self.timers.append(at)
+        def deleteTimer(self, at):  # noqa: E301
+            self.timers.remove(at)
+    handle, beats = Handle(), status.Heartbeat()
+    beats.init(handle)
+    for second in (5, 9, 7):
+        list(beats.handleInputRows(("w",), iter([pd.DataFrame({"at": [pd.Timestamp(2026, 1, 1, 0, 0, second, 123457)]})]), None))
+    assert handle.timers == [int(pd.Timestamp(2026, 1, 1, 0, 0, 9, 123457).timestamp() * 1000) + status.STALE_MS]

@@ -62,7 +62,8 @@ def publish(updates: DataFrame, path: str, key: str, step: str, buckets: int = B
     """
     spark = updates.sparkSession
     if not is_complete(spark, step):
-        rows = updates.withColumn(BUCKET, bucket_of(F.col(key), buckets))
+        # Kept while the step is written: a stream's batch would pass its state once more for each use.
+        rows = updates.withColumn(BUCKET, bucket_of(F.col(key), buckets)).persist()
         touched = sorted(r[0] for r in rows.select(BUCKET).distinct().collect())  # at most `buckets`
         stored = read(spark, path, touched)
         if keep_known:
@@ -72,6 +73,7 @@ def publish(updates: DataFrame, path: str, key: str, step: str, buckets: int = B
         else:
             merged = stored.join(rows.select(BUCKET, key), [BUCKET, key], "left_anti").unionByName(rows, allowMissingColumns=True)
         merged.select(*stored.columns).write.mode("overwrite").parquet(step)
+        rows.unpersist()
     done = spark.read.schema(spark.read.parquet(path).schema).parquet(step)
     many = done.agg(F.count_distinct(BUCKET)).first()[0]
     if many:

@@ -181,3 +181,17 @@ def test_sheet_files_are_bounded(spark, tmp_path, monkeypatch):
     tables.write_sheet(rows, str(tmp_path / "sheet"))
     assert len(glob.glob(f"{tmp_path}/sheet/part-*.csv")) == 3
     assert sorted(map(tuple, tables.read_sheet(spark, str(tmp_path / "sheet"), ["id", "title"]).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_a_change_is_computed_once(spark, tmp_path):
+    """A stream's batch that is used again passes the state again, so its rows are kept while a step is written."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(value):
+        seen.add(1)
+        return value
+    lead_table.create(some(spark, range(4)), str(tmp_path / "leads"), "id", 4)
+    change = some(spark, range(2, 8), "CONTACTED").withColumn("id", F.udf(count, "string").asNondeterministic()("id"))
+    lead_table.publish(change, str(tmp_path / "leads"), "id", str(tmp_path / "step"), 4)
+    assert seen.value == 6
+    assert rows_of(lead_table.read(spark, str(tmp_path / "leads"))) == [(f"l{k}", "NEW" if k < 2 else "CONTACTED") for k in range(8)]

@@ -57,15 +57,15 @@ def permuted(index: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarra
     return value.astype(np.int64)
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
+def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: list[str] | None = None) -> DataFrame:
     """`row, doc_id, source, size, part, at`: words of every row, ranged by source and a hash, and its place in its part.
 
-    `row` numbers the rows of `docs` (or is its column `row`), `at` counts the words of the same source before it in the same part.
+    `row` numbers the rows of `docs` (or is a struct of its columns `row`), `at` counts the words of the same source before it in the same part.
     """
     mix = F.xxhash64(doc_id, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), mix.alias("mix"),
                        F.coalesce(F.regexp_count(text, F.lit(SPACE)), F.lit(0)).cast("bigint").alias("size"),
-                       (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+                       (F.struct(*row) if row else F.monotonically_increasing_id()).alias("row"))
     rows = common.stored(rows, "mix-sizes")
     order = ["source", "mix", "doc_id"]
 
@@ -82,8 +82,10 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
             yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["source"], batch["size"], pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64())],
                                              names=["row", "doc_id", "source", "size", "part", "at"])
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    kind = dict(rows.dtypes)["doc_id"]
-    return common.stored(ranged.mapInArrow(placed, f"row bigint, doc_id {kind}, source string, size bigint, part int, at bigint"), "mix-places")
+    kind = dict(rows.dtypes)
+    places = common.stored(ranged.mapInArrow(placed, f"row {kind['row']}, doc_id {kind['doc_id']}, source string, size bigint, part int, at bigint"), "mix-places")
+    common.forget(rows)
+    return places
 
 
 def plan(places: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, pd.DataFrame]:
@@ -176,13 +178,13 @@ def sample(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
     its length. Documents without words are not taken.
     """
     common.bound_batches(docs.sparkSession)
-    row = common.free_name(docs, "row_of")
-    kept = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    kept, row = common.numbered(docs)
     places = sized(kept, text=text, row=row)
     chosen, pieces, _ = plan(places)
     taken = mixed(chosen, pieces).groupBy("row", "pass").agg(F.collect_list(F.struct("first", "after")).alias("runs"))
-    taken = taken.join(places.select("row", "size"), "row").select(F.col("row").alias(row), F.struct("size", "runs").alias(common.free_name(kept, "taken")))
-    name = taken.columns[1]
+    taken = taken.join(places.select("row", "size"), "row").select(
+        *[F.col(f"row.{x}").alias(x) for x in row], F.struct("size", "runs").alias(common.free_name(kept, "taken")))
+    name = taken.columns[-1]
     out = kept.join(taken, row).withColumn(text, F.arrow_udf(_cut_text, "string")(F.col(text), F.col(f"{name}.size"), F.col(f"{name}.runs")))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text).cast(dict(docs.dtypes)[n_chars]))

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,18 +74,23 @@ def with_node(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
         for t in texts:
             own = shingles(t.as_py() or "")
             hashes, sig = bands(own) if len(own) else ([], b"")
-            out.append({"node": xxhash.xxh64_intdigest(own.tobytes()) - 2**63, "n": len(_low(own)), "bands": hashes, "sig": sig})
+            out.append({"node": _node(own), "n": len(_low(own)), "bands": hashes, "sig": sig})
         return pa.array(out, kind)
     common.bound_batches(docs.sparkSession)
     name = common.free_name(docs, "shingle_set")
     return docs.withColumn(name, F.arrow_udf(made, "node bigint, n int, bands array<bigint>, sig binary").asNondeterministic()(F.col(text))), name
 
 
+def _node(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes()) - 2**63
+
+
 def _sets(texts: DataFrame) -> DataFrame:
-    """`node, shingles` of `texts(node, text)`."""
+    """`node, shingles` of `texts(text)`, which have different sets."""
     def made(column: pa.Array) -> pa.Array:
-        return pa.array([_low(shingles(t.as_py() or "")) for t in column], pa.list_(pa.int32()))
-    return texts.select("node", F.arrow_udf(made, "array<int>").asNondeterministic()("text").alias("shingles"))
+        every = [shingles(t.as_py() or "") for t in column]
+        return pa.array([{"node": _node(own), "shingles": _low(own)} for own in every], pa.struct([("node", pa.int64()), ("shingles", pa.list_(pa.int32()))]))
+    return texts.select(F.arrow_udf(made, "node bigint, shingles array<int>").asNondeterministic()("text").alias("s")).select("s.*")
 
 
 def _estimated(pairs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -173,19 +177,22 @@ def _agreeing(table: pa.Table, best: bool) -> pa.Table:
     return pa.table({"x": node[x], "y": node[y]})
 
 
-def _likely(placed: DataFrame, heads: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
-    """Pairs `x, y` of `placed(band, hash, node, root)` in a common bucket, with different roots, that may be alike; or the `best` of each two roots there."""
+def _likely(placed: DataFrame, heads: DataFrame, sketches: DataFrame, best: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs `x, y` of `placed(band, hash, node, root)` in a common bucket, with different roots, that may be alike; or the `best` of each two roots there.
+
+    Second is the stored step that they are computed from.
+    """
     step = F.floor(F.log("n") / float(np.log(1 / LIKE))).cast("int")
     sized = placed.join(heads.select("node", "n"), "node").withColumn("class", F.explode(F.array(step, step + 1))).withColumn("home", F.col("class") == step)
     keys = ["band", "hash", "class"]
     mixed = sized.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select(*keys, "many")
-    rows = common.stored(sized.join(mixed, keys), "near-mixed")
-    rows = rows.join(heads.select("node", "sig"), "node").join(_sketches(sets.join(rows.select("node").distinct(), "node", "left_semi")), "node")
+    rows = step = common.stored(sized.join(mixed, keys), "near-mixed")
+    rows = rows.join(heads.select("node", "sig"), "node").join(sketches, "node")
     rows = rows.withColumn("pieces", F.ceil(F.col("many") / PIECE).cast("int")).withColumn("piece", F.pmod(F.xxhash64("node", F.lit(7)), F.col("pieces")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     rows = rows.withColumn("first", F.least("piece", "other")).withColumn("second", F.greatest("piece", "other"))
     pairs = rows.select(*keys, "first", "second", "node", "root", "n", "piece", "home", "sig", "sketch").groupBy(*keys, "first", "second")
-    return pairs.applyInArrow(lambda table: _agreeing(table, best), "x bigint, y bigint")
+    return pairs.applyInArrow(lambda table: _agreeing(table, best), "x bigint, y bigint"), step
 
 
 def shared_buckets(heads: DataFrame) -> DataFrame:
@@ -203,8 +210,9 @@ def links(heads: DataFrame, bucket: DataFrame, sets: DataFrame, rounds: int = ST
     that a large group of near copies costs its size. Then the pairs of a bucket that are not yet in one group are compared
     by their sketches and signatures: first the likeliest of each two groups is confirmed, then all that are still likely.
     """
-    found = None
+    found = sketches = None
     for r in range(rounds + 2):
+        steps = [] if found is None else [found]  # all that this round's links make needless
         placed = bucket.withColumn("root", F.col("node"))
         if found is not None:
             root = common.components(found)
@@ -214,33 +222,34 @@ def links(heads: DataFrame, bucket: DataFrame, sets: DataFrame, rounds: int = ST
             drawn = placed.join(centre, ["band", "hash"]).where("root <> c.root").select(F.col("node").alias("x"), F.col("c.node").alias("y")).distinct()
             pairs = _estimated(drawn, heads).groupBy("x").agg(F.max(F.struct("agree", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
         else:
-            pairs = _likely(common.stored(placed, "near-placed"), heads, sets, best=r == rounds)
-        fresh = confirmed(common.stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-pairs"), sets)
+            placed = common.stored(placed, "near-placed")
+            sketches = common.stored(_sketches(sets), "near-sketches") if sketches is None else sketches
+            pairs, mixed = _likely(placed, heads, sketches, best=r == rounds)
+            steps += [placed, mixed]
+        pairs = common.stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-pairs")
+        fresh = confirmed(pairs, sets)
         found = common.stored(fresh if found is None else found.union(fresh), "near-links")
+        common.forget(pairs, *steps)
+    common.forget(sketches)
     return found
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows with names that stay the same: place in the file for a scan of files, else a number that is written with the row."""
-    file, at = common.free_name(docs, "row_file"), common.free_name(docs, "row_at")
-    try:
-        return docs.withColumns({file: F.xxhash64("_metadata.file_path"), at: F.col("_metadata.row_index")}), [file, at]
-    except AnalysisException:
-        return common.stored(docs.withColumns({file: F.lit(0).cast("bigint"), at: F.monotonically_increasing_id()}), "near-copies"), [file, at]
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies stays, its columns unchanged: a row with the group's smallest id."""
-    numbered, row = _numbered(docs)
+    numbered, row = common.numbered(docs)
     texts = numbered.select("doc_id", "text", F.col(row[0]).alias("file"), F.col(row[1]).alias("at"))
     made, name = with_node(texts)
     small = common.stored(made.select("doc_id", "file", "at", f"{name}.*"), "near-nodes")
     one = small.groupBy("node").agg(F.min(F.struct("file", "at", "n", "bands", "sig")).alias("r")).select("node", "r.*")
     heads = common.stored(one, "near-heads")
     bucket = shared_buckets(heads)
-    wanted = heads.join(bucket.select("node").distinct(), "node", "left_semi").select("node", "file", "at")
-    sets = common.stored(_sets(texts.select("text", "file", "at").join(wanted, ["file", "at"])), "near-sets")
-    root = common.components(links(heads, bucket, sets))
+    wanted = common.stored(common.masks(heads.join(bucket.select("node").distinct(), "node", "left_semi"), ["file", "at"]), "near-wanted")
+    sets = common.stored(_sets(common.masked(numbered, row, wanted)), "near-sets")
+    found = links(heads, bucket, sets)
+    root = common.components(found)
+    common.forget(found, sets, wanted, bucket, heads)
     member = small.select("doc_id", "file", "at", "node").join(root, "node", "left").select("doc_id", "file", "at", F.coalesce("root", "node").alias("root"))
-    first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "at")).alias("m")).select(F.col("m.file").alias(row[0]), F.col("m.at").alias(row[1]))
-    return numbered.join(common.stored(first, "near-kept"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "at")).alias("m")).select("m.file", "m.at")
+    kept = common.stored(common.masks(first, ["file", "at"]), "near-kept")
+    common.forget(small)
+    return common.masked(numbered, row, kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -349,6 +349,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
     table = spark.createDataFrame(list(zip(some.tolist(), lengths[some].tolist(), strict=True)), T.StructType([T.StructField("id", T.LongType()), T.StructField("bits", T.LongType())]))
     table.coalesce(1).write.parquet(f"{path}/codes")
     blocks.mapInArrow(code, _FILES).write.option("compression", "none").parquet(f"{path}/blocks")
+    common.forget(stored)
 
 
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:

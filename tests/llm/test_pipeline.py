@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a plain version of it, over odd rows."""
 
 import collections
+import os
 import re
 
 import numpy as np
@@ -170,3 +171,16 @@ def test_odd_sketches_never_differ_more_than_the_sets():
                 a, b = near_copies._narrowed([near_copies.sketch(x), near_copies.sketch(y)])
                 assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
                 assert (near_copies._narrowed([near_copies.sketch(x)] * 2)[0] == near_copies._narrowed([near_copies.sketch(x)])[0]).all()
+
+
+def test_stages_leave_only_the_steps_that_their_rows_are_read_from(spark, tmp_path):
+    """A pipeline's disk is that of its largest stage, not of all stages; documents that lie in files are not written again."""
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    top, left = common.shared_folder(spark, "x").removeprefix("file:").rsplit("/", 1)[0], {}
+    for name in ("near_dedup", "mix", "token_output"):
+        before = set(os.listdir(top))
+        rows = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+        left[name] = sorted(re.sub("-[0-9a-f]{32}$", "", x) for x in set(os.listdir(top)) - before if not re.fullmatch(r"rdd-\d+", x))
+        assert rows.count() > 0
+    assert left == {"near_dedup": ["near-kept"], "mix": ["mix-places"], "token_output": ["token-files"]}

@@ -130,14 +130,14 @@ _SNIPPET_KEYS = ("snippet", "content", "description", "summary")
 _ANSWER_KEYS = ("text", "content", "answer", "summary")
 
 
-def _first_url(item: Column, opened: Column) -> Column:
+def _first_url(item: Column, kind: Column, opened: Column) -> Column:
     """First URL under the known keys; an object under a key is looked into one level deep."""
     def inner(text: Column) -> Column:
         return let(_opened(text, *_URL_KEYS), lambda o: F.array(*[o[k] for k in _URL_KEYS]))
 
     texts = F.flatten(F.transform(F.array(*[opened[k] for k in _URL_KEYS]),
                                   lambda v: F.when(_is_json(v, "{"), inner(v)).otherwise(F.array(v))))
-    urls = F.transform(F.when(_is_json(item, "{"), texts).otherwise(F.array(item)), lambda v: F.get(url.urls_in_text(v), 0))
+    urls = F.transform(F.when(kind == "object", texts).otherwise(F.array(item)), lambda v: F.get(url.urls_in_text(v), 0))
     return F.get(F.filter(urls, lambda u: u.isNotNull()), 0)
 
 
@@ -146,30 +146,50 @@ def _text_of(opened: Column, *keys: str) -> Column:
     return F.get(F.filter(values, lambda v: (v != "") & ~_is_json(v, "[") & ~_is_json(v, "{")), 0)
 
 
+_READ_AHEAD = 3  # levels that are opened in one pass over the answers
+_ITEM_KEYS = tuple(dict.fromkeys((*_URL_KEYS, *_LIST_KEYS, *_TITLE_KEYS, *_SNIPPET_KEYS, "published_at", "date")))
+
+
 def _with_item_fields(items: DataFrame) -> DataFrame:
-    keys = (*_URL_KEYS, *_LIST_KEYS, *_TITLE_KEYS, *_SNIPPET_KEYS, "published_at", "date")
-    opened = once(items, items.columns, o=_opened(F.col("item"), *keys))
-    return once(opened, opened.columns, found=_first_url(F.col("item"), F.col("o")))
+    """Add `kind` (list, object or text), the known keys `o` and the `found` URL of each item, and whether it `holds` others.
+
+    An item that was read before has them in `old` and is not read again.
+    """
+    item, new = F.col("item"), F.col("old").isNull()
+    keep = [c for c in items.columns if c != "old"]
+    known = once(items, [*keep, "old"], kind=F.when(new, F.when(_is_json(item, "["), "list").when(_is_json(item, "{"), "object").otherwise("text")).otherwise(F.col("old.kind")),
+                 o=F.when(new, _opened(item, *_ITEM_KEYS)).otherwise(F.col("old.o")))
+    full = once(known, [*keep, "kind", "o"], found=F.when(new, _first_url(item, F.col("kind"), F.col("o"))).otherwise(F.col("old.found")))
+    return full.withColumn("holds", (F.col("kind") == "list") | ((F.col("kind") == "object") & F.col("found").isNull()))
+
+
+def _level_opened(items: DataFrame) -> DataFrame:
+    """Items that hold others replaced by these: lists by their items, URL-less objects by their known list key. Others stay."""
+    nested = F.coalesce(*[F.col(f"o.{k}") for k in _LIST_KEYS])
+    members = (F.when(~F.col("holds"), F.array("item")).when(F.col("kind") == "list", F.from_json("item", "ARRAY<STRING>"))
+               .when(nested.isNotNull(), F.array(nested)))
+    old = F.when(~F.col("holds"), F.struct("kind", "o", "found")).alias("old")
+    opened = items.select("query", "answer", "places", old, F.posexplode(members).alias("place", "item"))
+    places = F.when(F.col("old").isNull(), F.concat("places", F.array("place"))).otherwise(F.col("places")).alias("places")
+    return _with_item_fields(opened.select("query", "answer", "item", places, "old"))
 
 
-def _open_lists(items: DataFrame) -> tuple[DataFrame, int]:
-    """Replace containers by their members until none is left: lists by items, URL-less objects by their known list key.
+def _open_lists(items: DataFrame) -> DataFrame:
+    """Open what holds others until nothing does. Items get `places`: theirs in what held them, from outside in.
 
-    Returns the items, with their place at each level, and the number of levels: as many as the deepest answer has.
+    The first levels are opened in the pass that reads the answers; each further pass sees only what is still closed.
     """
-    nothing, level = F.array().cast("array<string>"), 0
-    items = cut_lineage(_with_item_fields(items))
-    item = F.col("item")
-    is_list, is_object = _is_json(item, "["), _is_json(item, "{") & F.col("found").isNull()
-    while not items.where(is_list | is_object).isEmpty():
-        nested = F.coalesce(*[F.col(f"o.{k}") for k in _LIST_KEYS])
-        members = (F.when(is_list, F.from_json(item, "ARRAY<STRING>"))
-                   .when(is_object, F.when(nested.isNotNull(), F.array(nested)).otherwise(nothing))
-                   .otherwise(F.array(item)))
-        places = [f"p{i}" for i in range(level)]
-        items = cut_lineage(_with_item_fields(items.select("query", "answer", *places, F.posexplode(members).alias(f"p{level}", "item"))))
-        level += 1
-    return items, level
+    never = F.lit(None).cast(f"struct<kind: string, o: struct<{', '.join(f'`{k}`: string' for k in _ITEM_KEYS)}>, found: string>")
+    done, now = None, _with_item_fields(items.withColumns({"places": F.array().cast("array<int>"), "old": never}))
+    while True:
+        for _ in range(_READ_AHEAD):
+            now = _level_opened(now)
+        now = cut_lineage(now)
+        open_ = now.where("NOT holds")
+        done = open_ if done is None else done.unionByName(open_)
+        now = now.where("holds")
+        if now.isEmpty():
+            return done
 
 
 def search_results(responses: DataFrame, max_results: int | None = None) -> DataFrame:
@@ -183,10 +203,10 @@ def search_results(responses: DataFrame, max_results: int | None = None) -> Data
     base = responses.select("query", _opened(wrapped, "results", "answer").alias("d")).select(
         "query", F.col("d.results").alias("item"), F.col("d.answer").alias("given"), _opened(F.col("d.answer"), *_ANSWER_KEYS).alias("a")).select(
         "query", "item", F.coalesce(F.when(_is_json(F.col("given"), "{"), F.trim(_field(F.col("a"), *_ANSWER_KEYS))).otherwise(F.trim("given")), F.lit("")).alias("answer"))
-    items, depth = _open_lists(base.where("item IS NOT NULL"))
+    items = _open_lists(base.where("item IS NOT NULL"))
     opened = F.col("o")
     listed = items.select(
-        "query", "answer", F.struct(F.lit(0).alias("stage"), F.array(*[f"p{i}" for i in range(depth)]).cast("array<int>").alias("at")).alias("rank"),
+        "query", "answer", F.struct(F.lit(0).alias("stage"), F.col("places").alias("at")).alias("rank"),
         F.col("found").alias("url"), _text_of(opened, *_TITLE_KEYS).alias("title"),
         F.coalesce(_text_of(opened, *_SNIPPET_KEYS), F.lit("")).alias("snippet"),
         F.coalesce(opened["published_at"], opened["date"]).alias("published_at"))
@@ -196,9 +216,9 @@ def search_results(responses: DataFrame, max_results: int | None = None) -> Data
         none.alias("title"), F.col("answer").alias("snippet"), none.alias("published_at"))
     payload = F.struct("rank", "url", F.coalesce("title", tx.blank_to_null(url.netloc(F.col("url"))), "url").alias("title"),
                        "snippet", "published_at")
-    unique = (listed.unionByName(named).where("url IS NOT NULL AND url <> ''")
-              .groupBy("query", "url").agg(F.min_by(payload, "rank").alias("r"), F.first("answer").alias("answer")))
-    # The best `max_results` per query: each task trims before the shuffle.
+    # One shuffle, by query, serves both numberings.
+    every = listed.unionByName(named).where("url IS NOT NULL AND url <> ''").repartition("query")
+    unique = every.withColumn("copy", F.row_number().over(W.partitionBy("query", "url").orderBy("rank"))).where("copy = 1").select("query", "answer", payload.alias("r"))
     best = W.partitionBy("query").orderBy("r.rank")
     ranked = unique.withColumn("position", F.row_number().over(best))
     ranked = ranked if max_results is None else ranked.where(F.col("position") <= max_results)

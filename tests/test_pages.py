@@ -132,6 +132,17 @@ def test_search_results(spark):
     assert got == [("q1", 2, "https://abc.vn/", "ABC"), ("q1", 3, "https://xyz.vn", "xyz.vn"), ("q2", 2, "https://d.vn/a", "d.vn")]
 
 
+def test_search_answers_are_opened_in_few_passes(spark, monkeypatch):
+    """Items of one answer at different depths keep their order; three levels take one pass, and each item is read once."""
+    passes, real = [], feeds.cut_lineage
+    monkeypatch.setattr(feeds, "cut_lineage", lambda df: passes.append(1) or real(df))
+    deep = {"items": ["https://a.vn/1", ["https://b.vn/2", {"url": "https://c.vn/3", "title": "C"}], {"data": {"note": "nothing"}}, "https://d.vn/4"]}
+    df = spark.createDataFrame([("q", json.dumps({"results": deep}))], "query STRING, body STRING")
+    got = sorted((r.position, r.url, r.title) for r in feeds.search_results(df).collect())
+    assert got == [(1, "https://a.vn/1", "a.vn"), (2, "https://b.vn/2", "b.vn"), (3, "https://c.vn/3", "C"), (4, "https://d.vn/4", "d.vn")]
+    assert len(passes) <= 2
+
+
 def test_plain_markup_is_read_as_the_standard_parser_reads_it(monkeypatch):
     drawn = random.Random(5)
     pieces = ['<a href="/x">', '<a href="https://b.vn/c-1">', '<a href="HTTP://B.vn/c?d=1&amp;e">', "<a href='q'>", "</a>", '<div class="t" id="u">', "</div>", "<li>", "</li>", "<br>", "<br/>", "<P>", "<script>",

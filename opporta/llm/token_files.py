@@ -27,6 +27,7 @@ BLOCK_IDS = 16_384  # a block ends with the document that reaches this
 CHECKPOINT = 512
 GROUP_BYTES = 4_000_000  # of coded blocks decoded at a time (more only for one longer block)
 TEXT_BYTES = 8_000_000  # of texts encoded at a time
+RUNS = 100_000  # words whose ids are copied at a time
 CACHED_WORDS = 1_000_000  # of which a worker remembers the ids, about 20 bytes each
 _TYPE = np.uint32
 
@@ -127,7 +128,7 @@ class WordCache:
         split = pc.split_pattern(texts, " ")
         at = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        word = coded.indices.to_numpy().astype(np.int64)
+        word = coded.indices.to_numpy().copy()
         firsts = pc.take(split.flatten(), pa.array(at[:-1])).dictionary_encode()
         flat, start, size = self.known(coded.dictionary)
         more = [*self.each(firsts.dictionary.to_pylist()), *alone, np.array([END], dtype=self.kind).tobytes()]
@@ -137,15 +138,21 @@ class WordCache:
         word[at[:-1]] = firsts.indices.to_numpy() + len(coded.dictionary)
         word[at[odd]] = np.arange(len(odd)) + len(coded.dictionary) + len(firsts.dictionary)
         word = np.insert(word, at[1:], len(size) - 1)
-        many = size[word]
-        ends = np.cumsum(many)[at[1:] + np.arange(len(texts))]
-        return _taken(flat, start[word], many), np.diff(np.r_[0, ends])
+        ends = np.cumsum(size[word])[at[1:] + np.arange(len(texts))]
+        return _taken(flat, start, size, word), np.diff(np.r_[0, ends])
 
 
-def _taken(flat: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Runs of `flat`, one after another."""
-    total = np.cumsum(many, dtype=np.int64)
-    return flat[np.repeat(start - (total - many), many) + np.arange(total[-1] if len(total) else 0)]
+def _taken(flat: np.ndarray, start: np.ndarray, many: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    """Runs of `flat`, one after another: all of them, or those that `which` names. The places of a few runs at a time are held."""
+    parts = [flat[:0]]
+    for a in range(0, len(many if which is None else which), RUNS):
+        some = slice(a, a + RUNS) if which is None else which[a:a + RUNS]
+        own = many[some]
+        total = np.cumsum(own, dtype=np.int64)
+        at = np.repeat(start[some] - (total - own), own)
+        at += np.arange(total[-1])
+        parts.append(flat[at])
+    return np.concatenate(parts)
 
 
 def _coder(path: str) -> WordCache:
@@ -220,15 +227,15 @@ def decoding_table(lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 def unpack(blocks: list[bytes], offsets: list[np.ndarray], counts: list[int], table: np.ndarray) -> np.ndarray:
     """Ids of some blocks, one after another; all checkpoints advance together."""
-    raw = np.frombuffer(b"".join(blocks) + bytes(CHECKPOINT * MAX_BITS // 8 + 8), dtype=np.uint8).astype(np.uint32)
-    ahead = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+    raw = b"".join([*blocks, bytes(CHECKPOINT * MAX_BITS // 8 + 8)])
+    ahead = np.ndarray((len(raw) - 3,), ">u4", raw, strides=(1,))  # 32 bits from each byte on
     base = np.cumsum([0, *map(len, blocks)])[:-1] * 8
     at = np.concatenate([o + b for o, b in zip(offsets, base, strict=True)]).astype(np.int64)
     lanes = np.concatenate([np.minimum(CHECKPOINT, n - np.arange(0, n, CHECKPOINT)) for n in counts])
     out = np.empty((CHECKPOINT, len(at)), dtype=_TYPE)
     shift = np.uint32(32 - MAX_BITS)
     for k in range(int(lanes.max())):
-        out[k] = found = table[ahead[at >> 3] << (at & 7).astype(np.uint32) >> shift]
+        out[k] = found = table[ahead[at >> 3].astype(np.uint32) << (at & 7).astype(np.uint32) >> shift]
         at += found & 31
     return (out >> 5).T[np.arange(CHECKPOINT)[None, :] < lanes[:, None]]
 
@@ -268,7 +275,8 @@ def _blocks(ordered: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for a, b in _parts(batch.column(1)):
                 got, many = coder.encode(batch.column(1).slice(a, b - a))
-                seen = _added(seen, np.bincount(got))
+                for k in range(0, len(got), RUNS):
+                    seen = _added(seen, np.bincount(got[k:k + RUNS]))
                 begin = 0
                 for name, n in zip(batch.column(0).slice(a, b - a).to_pylist(), many.tolist(), strict=True):
                     names.append(name)
@@ -279,6 +287,8 @@ def _blocks(ordered: DataFrame, tokenizer: str) -> DataFrame:
                         yield block()
                         first += held
                         names, sizes, ids, held = [], [], [], 0
+                del got, many
+                common.give_back()
         if names:
             yield block()
             first += held
@@ -370,6 +380,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 if held >= GROUP_BYTES or k == batch.num_rows - 1:
                     yield _documents(batch.slice(start, k + 1 - start), table, digest)
                     start, held = k + 1, 0
+            common.give_back()
     return spark.read.schema(_FILES).parquet(f"{path}/blocks").mapInArrow(
         decode, f"doc_id bigint, start bigint, n_tokens bigint, {'ids_crc32 bigint' if digest else 'ids binary'}")
 
@@ -380,8 +391,8 @@ def _documents(group: pa.RecordBatch, table: np.ndarray, digest: bool) -> pa.Rec
     starts = np.concatenate([s + np.cumsum(x) - x for s, x in zip(group["start"].to_pylist(), sizes, strict=True)])
     flat = np.concatenate(sizes)
     ends = np.cumsum(flat)
-    own = [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends - flat, ends, strict=True)]
-    last = pa.array([zlib.crc32(x) for x in own], pa.int64()) if digest else pa.array(own, pa.binary())
+    own = (ids[a:b].astype("<u4").tobytes() for a, b in zip(ends - flat, ends, strict=True))
+    last = pa.array([zlib.crc32(x) for x in own], pa.int64()) if digest else pa.array([*own], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([i for x in group["doc_ids"].to_pylist() for i in x], pa.int64()), pa.array(starts), pa.array(flat), last],
                                       names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 

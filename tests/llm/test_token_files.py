@@ -2,6 +2,7 @@
 
 import glob
 import heapq
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from opporta.llm import token_files
-from tests.llm.conftest import ODD
+from tests.llm.conftest import ODD, prose
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -60,6 +61,26 @@ def test_word_cache_equals_whole_encoding(cache, texts):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_many_words_take_little_memory_beside_their_ids(cache):
+    """Places of words are held for some words at a time, not for all of a part; so are windows of coded bits."""
+    texts = pa.array([prose(1_000, k) for k in range(1_500)])
+    cache.encode(texts)
+    tracemalloc.start()
+    ids, _ = cache.encode(texts)
+    encoding = tracemalloc.get_traced_memory()[1]
+    lengths = token_files.code_lengths(np.bincount(ids))
+    codes = token_files.canonical(lengths)
+    packed = [token_files.pack(ids[a:a + 16_384], lengths, codes) for a in range(0, len(ids), 16_384)]
+    blocks, marks = zip(*packed, strict=True)
+    counts, table = [len(ids[a:a + 16_384]) for a in range(0, len(ids), 16_384)], token_files.decoding_table(lengths, codes)
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    back = token_files.unpack([*blocks], [*marks], counts, table)
+    decoding = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert (back == ids).all() and encoding < 30 * len(ids) and decoding < 17 * len(ids)
+
+
 def huffman_cost(counts):
     heap = [c for c in counts if c]
     heapq.heapify(heap)

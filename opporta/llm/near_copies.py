@@ -1,8 +1,10 @@
 """Near copies by word shingles: groups of texts whose sets of five-word shingles are alike to 0.8 or more (Jaccard).
 
-Two texts at 0.8 differ by 9 or 10 of 64 SimHash bits and often by more, too many to search for, so candidates come from
-min-hashes: 24 bands of 4. A pair at 0.8 shares a band with probability 1 - (1 - 0.8^4)^24 = 0.999997. Every link is then
-confirmed on the whole shingle sets (32-bit hashes). Texts with one shingle set are one node, so exact copies cost nothing.
+Texts with one shingle set are one node, so exact copies cost nothing. Candidates come first from the 64-bit SimHash of a set's
+shingles: all fingerprints at most 4 bits apart, through the vantage-point trees of `simhash`. Two texts at 0.8 differ by 9 or 10
+bits and often by more, beyond what such trees can prune, so for the rest candidates come from min-hashes: 24 bands of 4. A pair at
+0.8 shares a band with probability 1 - (1 - 0.8^4)^24 = 0.999997. Every link of either kind is confirmed on the whole shingle sets
+(32-bit hashes); what fingerprints have joined is not compared again in the buckets of the bands.
 In a bucket whose nodes are not yet all joined, pairs are compared by odd sketches first: bit h mod m of a set's sketch is the parity
 of its hashes h there, so two sketches differ in no more bits than the sets have unshared hashes, and a pair that differs in more
 than the similarity allows is surely below it. Of the rest only pairs whose signatures (8 bits of each of the 96 min-hashes) agree
@@ -25,8 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opporta.llm import common
-from opporta.llm.simhash import _LOWER
+from opporta.llm import common, simhash
 
 SHINGLE, LIKE = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -39,7 +40,7 @@ _DRAWN = np.random.Generator(np.random.Philox(key=11)).integers(0, 2**64, (2, BA
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle, a wordless one has none."""
-    words = [w for w in text.encode().translate(_LOWER).split(b" ") if w]
+    words = [w for w in text.encode().translate(simhash._LOWER).split(b" ") if w]
     joined, starts = b" ".join(words), [0]
     for w in words:
         starts.append(starts[-1] + len(w) + 1)
@@ -65,8 +66,8 @@ def _low(own: np.ndarray) -> np.ndarray:
 
 
 def with_node(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """Add `node, n, bands, sig` as a struct to every row; texts with equal shingle sets have one node, `n` is the size of the set."""
-    kind = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """Add `node, n, fp, bands, sig` as a struct to every row; texts with equal shingle sets have one node, `n` is the size of the set, `fp` its SimHash."""
+    kind = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def made(texts: pa.Array) -> pa.Array:
         common.worker_state("near copies", 0, bool)  # what other operators left in the worker goes
@@ -74,11 +75,11 @@ def with_node(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
         for t in texts:
             own = shingles(t.as_py() or "")
             hashes, sig = bands(own) if len(own) else ([], b"")
-            out.append({"node": _node(own), "n": len(_low(own)), "bands": hashes, "sig": sig})
+            out.append({"node": _node(own), "n": len(_low(own)), "fp": simhash.folded(own), "bands": hashes, "sig": sig})
         return pa.array(out, kind)
     common.bound_batches(docs.sparkSession)
     name = common.free_name(docs, "shingle_set")
-    return docs.withColumn(name, F.arrow_udf(made, "node bigint, n int, bands array<bigint>, sig binary").asNondeterministic()(F.col(text))), name
+    return docs.withColumn(name, F.arrow_udf(made, "node bigint, n int, fp bigint, bands array<bigint>, sig binary").asNondeterministic()(F.col(text))), name
 
 
 def _node(own: np.ndarray) -> int:
@@ -93,6 +94,22 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select(F.arrow_udf(made, "node bigint, shingles array<int>").asNondeterministic()("text").alias("s")).select("s.*")
 
 
+def printed(heads: DataFrame) -> DataFrame:
+    """Pairs `a, b` of the nodes `heads(node, n, fp)` that join what all fingerprints at most `simhash.RADIUS` bits apart join.
+
+    Nodes of one fingerprint meet one of them, and that one the others over the links of the trees, so a large group costs its
+    size. Pairs whose sizes do not allow the similarity are left out.
+    """
+    chosen = common.stored(heads.where("n > 0").groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("r")).select("fp", "r.*"), "near-prints")
+    x, y = chosen.toDF("fp", "x", "nx"), chosen.toDF("fy", "y", "ny")
+    linked = x.join(simhash.links(chosen.select("fp")), F.col("fp") == F.col("a")).join(y, F.col("b") == F.col("fy")).select("x", "nx", "y", "ny")
+    same = heads.where("n > 0").select("fp", F.col("node").alias("y"), F.col("n").alias("ny")).join(x, "fp").where("x <> y").select("x", "nx", "y", "ny")
+    near = linked.union(same).where(F.least("nx", "ny") >= LIKE * F.greatest("nx", "ny"))
+    out = common.stored(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-printed")
+    common.forget(chosen)
+    return out
+
+
 def _estimated(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     """Pairs `x, y` whose sizes allow and whose signatures suggest the similarity; `agree` is the number of equal min-hashes."""
     def agree(xs: pa.Array, ys: pa.Array) -> pa.Array:
@@ -202,15 +219,15 @@ def shared_buckets(heads: DataFrame) -> DataFrame:
     return common.stored(bucket.join(shared, ["band", "hash"]), "near-buckets")
 
 
-def links(heads: DataFrame, bucket: DataFrame, sets: DataFrame, rounds: int = STAR_ROUNDS) -> DataFrame:
+def links(heads: DataFrame, bucket: DataFrame, sets: DataFrame, rounds: int = STAR_ROUNDS, near: DataFrame | None = None) -> DataFrame:
     """Links `a, b` that join what all candidate pairs of at least 0.8 join.
 
-    For distinct nodes `heads(node, n, bands, sig)`, their shared buckets and the `sets(node, shingles)` of nodes in them. In a
-    round each node is compared with one node of its buckets, the one that looks most alike among those drawn as centres, so
+    For distinct nodes `heads(node, n, bands, sig)`, their shared buckets, the pairs `near(a, b)` of their fingerprints and the
+    `sets(node, shingles)` of nodes in any of them. The pairs of fingerprints are confirmed first. In a round each node is compared with one node of its buckets, the one that looks most alike among those drawn as centres, so
     that a large group of near copies costs its size. Then the pairs of a bucket that are not yet in one group are compared
     by their sketches and signatures: first the likeliest of each two groups is confirmed, then all that are still likely.
     """
-    found = sketches = None
+    found, sketches = None if near is None else common.stored(confirmed(near, sets), "near-links"), None
     for r in range(rounds + 2):
         steps = [] if found is None else [found]  # all that this round's links make needless
         placed = bucket.withColumn("root", F.col("node"))
@@ -240,14 +257,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     texts = numbered.select("doc_id", "text", F.col(row[0]).alias("file"), F.col(row[1]).alias("at"))
     made, name = with_node(texts)
     small = common.stored(made.select("doc_id", "file", "at", f"{name}.*"), "near-nodes")
-    one = small.groupBy("node").agg(F.min(F.struct("file", "at", "n", "bands", "sig")).alias("r")).select("node", "r.*")
+    one = small.groupBy("node").agg(F.min(F.struct("file", "at", "n", "fp", "bands", "sig")).alias("r")).select("node", "r.*")
     heads = common.stored(one, "near-heads")
-    bucket = shared_buckets(heads)
-    wanted = common.stored(common.masks(heads.join(bucket.select("node").distinct(), "node", "left_semi"), ["file", "at"]), "near-wanted")
+    near, bucket = printed(heads), shared_buckets(heads)
+    paired = near.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = common.stored(common.masks(heads.join(bucket.select("node").union(paired).distinct(), "node", "left_semi"), ["file", "at"]), "near-wanted")
     sets = common.stored(_sets(common.masked(numbered, row, wanted)), "near-sets")
-    found = links(heads, bucket, sets)
+    found = links(heads, bucket, sets, near=near)
     root = common.components(found)
-    common.forget(found, sets, wanted, bucket, heads)
+    common.forget(found, sets, wanted, bucket, near, heads)
     member = small.select("doc_id", "file", "at", "node").join(root, "node", "left").select("doc_id", "file", "at", F.coalesce("root", "node").alias("root"))
     first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "at")).alias("m")).select("m.file", "m.at")
     kept = common.stored(common.masks(first, ["file", "at"]), "near-kept")

@@ -44,6 +44,11 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
         for w in words:
             starts.append(starts[-1] + len(w) + 1)
         hashes = np.array([digest(joined[a:b - 1], 42) for a, b in zip(starts, starts[size:])], dtype=np.uint64)  # noqa: B905
+    return folded(hashes)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of some hashes: a bit is 1 if it is set in over half of them."""
     ones = np.zeros(64, dtype=np.int64)
     for a in range(0, len(hashes), 100_000):
         ones += np.unpackbits(hashes[a:a + 100_000, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from opporta.llm import common, mixing, near_copies, token_files
+from opporta.llm import common, mixing, near_copies, simhash, token_files
 from tests.llm.conftest import prose
 from tests.llm.test_text_operators import low, plain_print
 
@@ -129,6 +129,21 @@ def test_an_edited_copy_goes_whatever_its_bits(spark):
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()) == [0, 2]
 
 
+def test_fingerprints_alone_find_what_is_within_their_radius(spark, monkeypatch):
+    """Without any bucket of min-hashes, copies at most four bits apart are found by their SimHash, and those further apart are not."""
+    rng = np.random.Generator(np.random.Philox(key=3))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5_000, 400)) for _ in range(40)]
+    rows = [*enumerate(texts), *((100 + k, t + " end") for k, t in enumerate(texts)), (200, " ".join(f"x{k}" if k % 60 == 30 else w for k, w in enumerate(texts[0].split())))]
+    prints = {k: simhash.folded(near_copies.shingles(t)) & (1 << 64) - 1 for k, t in rows}
+    near = {k: [j for j in range(40) if (prints[k] ^ prints[j]).bit_count() <= simhash.RADIUS] for k, _ in rows if k >= 100}
+    assert all(near[100 + k] in ([k], []) for k in range(40)) and sum(map(len, near.values())) > 30 and near[200] == []
+    real = near_copies.shared_buckets
+    monkeypatch.setattr(near_copies, "shared_buckets", lambda heads: common.stored(real(heads).where("node is null"), "no-buckets"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted(r.doc_id for r in near_copies.one_of_each(docs).collect())
+    assert got == [*range(40), *(k for k in sorted(near) if not near[k])]
+
+
 def test_texts_just_below_the_similarity_are_not_compared_pair_by_pair(spark, monkeypatch):
     """A cloud of texts at some 0.74 of each other, a few of them edited: sets move for the edited ones, not for all pairs."""
     rng = np.random.Generator(np.random.Philox(key=5))

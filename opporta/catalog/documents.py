@@ -212,7 +212,7 @@ SELECT 'https://list.example.com/' || CAST(o_custkey AS STRING) AS url, s.source
  || '</li><li><a href="/the-thao/bai.html">no</a></li><li><a href="/thong-bao-moi-thau/">menu</a></li></ul><div><a href="'
  || CASE s.source_id WHEN 'vnexpress' THEN '/so-hoa/bai-' ELSE '/goi-thau/muasam-post' END || CAST(o_orderkey AS STRING) || '.html"> ' || day_vn || '</a></div>' AS html
 FROM (SELECT *, explode(array('vnexpress', 'baodauthau')) AS source_id FROM {v_orders_text}) AS s""", spread="orders")
-    found = links.section_links(links.page_links(pages), at("2026-08-23 00:00:00"), at("1998-01-01 00:00:00"))
+    found = links.section_links(links.page_links(pages, fields=links.SECTION_FIELDS), at("2026-08-23 00:00:00"), at("1998-01-01 00:00:00"))
     return found.select("source_id", F.regexp_replace("full_url", r"^https://[^/]*", "").alias("path"), "page_url")
 
 

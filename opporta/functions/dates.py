@@ -24,6 +24,7 @@ _TIME_FIRST = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2}))? (\d{1,2})/(\d{1,2})/(\d{4})$
 _DAY_FIRST = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})(?: (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?$"
 _YEAR_DASH = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?: (\d{1,2}):(\d{1,2}):(\d{1,2}))?$"
 _YEAR_SLASH = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
+_PLAIN_DAY = r"^\d{1,2}/\d{1,2}/\d{4}\z"
 _LOOSE = r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?:\s+(\d{1,2}):(\d{1,2}))?"
 
 
@@ -44,10 +45,17 @@ def parse_datetime(text: Column, now: Column) -> Column:
 
     ISO text keeps its own wall clock: the zone is dropped. `text` should be normalized.
     """
-    return let(F.when(text != "", F.lower(text)), lambda low: F.coalesce(
+    return let(F.when(text != "", F.lower(text)), lambda low: F.when(low.rlike(_PLAIN_DAY), _plain_day(low)).otherwise(F.coalesce(
         F.when(low.contains("t"), _groups(F.trim(low), _ISO, 1, 2, 3, 4, 5, 6)),
         _relative(low, now),
-        let(F.trim(F.regexp_replace(low, LABELS, "")), _absolute)))
+        let(F.trim(F.regexp_replace(low, LABELS, "")), _absolute))))
+
+
+def _plain_day(text: Column) -> Column:
+    """The most frequent form, a day alone (d/m/yyyy), without the search for any other."""
+    day, month, year = (F.split_part(text, F.lit("/"), F.lit(n)).try_cast("int") for n in (1, 2, 3))
+    zero = F.lit(0)
+    return F.try_make_timestamp_ntz(year, month, day, zero, zero, zero.cast("decimal(16,6)"))
 
 
 def _relative(low: Column, now: Column) -> Column:

@@ -6,25 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opporta.functions import addresses, dates, url
-from opporta.operators.pages import with_page_fields
+from opporta.operators.pages import with_links, with_page_fields
 from opporta.rules import link_rules as rules
 
+FIELDS = ("position", "href", "text", "in_chrome", "near_date", "target_url")
+SECTION_FIELDS = ("position", "href", "near_date")  # what `section_links` asks of a link
 
-def page_links(raw: DataFrame, keep: tuple[str, ...] = ("source_id",), with_context: bool = False) -> DataFrame:
-    """One row per anchor: resolved URL, canonical URL, text and the date of its block.
+
+def page_links(raw: DataFrame, keep: tuple[str, ...] = ("source_id",), with_context: bool = False, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """One row per anchor: resolved URL, canonical URL, text and the date of its block; `fields` names those to be made.
 
     `with_context` adds the text of the enclosing block, which keyword search needs.
     """
-    pages = with_page_fields(raw, ["url", *keep], ("links", "blocks") if with_context else ("links",))
-    names = ["position", "href", "text", "in_chrome", "near_date", "resolved"]
-
-    def entry(link: Column) -> Column:
-        # The block text joins its link before the explode, so a row never carries the whole page.
-        block = [F.get(F.col("blocks"), link["block"]).alias("context")] if with_context else []
-        return F.struct(*[link[n].alias(n) for n in names], *block)
-
-    rows = pages.select(F.col("url").alias("page_url"), *keep, F.explode(F.transform("links", entry)).alias("link"))
-    return rows.select("page_url", *keep, "link.*").withColumn("target_url", url.canonical(F.col("resolved"))).drop("resolved")
+    if not with_context:
+        wanted = ["resolved" if f == "target_url" else f for f in fields]
+        rows = with_links(raw, ["url", *keep], tuple(wanted)).select(F.col("url").alias("page_url"), *keep, *wanted)
+    else:
+        pages = with_page_fields(raw, ["url", *keep], ("links", "blocks"))
+        names = [*(f for f in FIELDS if f != "target_url"), "resolved"]
+
+        def entry(link: Column) -> Column:
+            # The block text joins its link before the explode, so a row never carries the whole page.
+            return F.struct(*[link[n].alias(n) for n in names], F.get(F.col("blocks"), link["block"]).alias("context"))
+
+        rows = pages.select(F.col("url").alias("page_url"), *keep, F.explode(F.transform("links", entry)).alias("link")).select("page_url", *keep, "link.*")
+    if "target_url" not in fields:
+        return rows.drop("resolved")
+    return rows.withColumn("target_url", url.canonical(F.col("resolved"))).drop("resolved")
 
 
 def navigable(href: Column) -> Column:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from opporta.functions import link_batch
 from opporta.functions.html import Page, published_values, tidy
 
 PAGE_FIELDS = """h1 STRING, h1_spaced STRING, h1_title STRING, h1_heading STRING, h2 STRING, page_title STRING,
@@ -20,7 +23,10 @@ PAGE_FIELDS = """h1 STRING, h1_spaced STRING, h1_title STRING, h1_heading STRING
   block: INT, near_date: STRING>>, blocks ARRAY<STRING>, paragraphs ARRAY<STRING>,
  visible_text STRING, body_text STRING, parse_error STRING"""
 
+LINK_FIELDS = "position INT, href STRING, resolved STRING, text STRING, in_chrome BOOLEAN, near_date STRING"
+
 BATCH_PAGES = 200  # pages whose fields a task holds at once
+BATCH_BYTES = 1 << 20  # and what is read at once of plain pages
 
 CARD_FIELDS = """links ARRAY<STRUCT<resolved: STRING, text: STRING>>, title STRING, company STRING,
  card_text STRING, position INT, parse_error STRING"""
@@ -116,6 +122,47 @@ def with_page_fields(raw: DataFrame, keep: list[str], wanted: tuple[str, ...] |
     return kept.mapInArrow(walk, head)
 
 
+def with_links(raw: DataFrame, keep: list[str], wanted: tuple[str, ...]) -> DataFrame:
+    """One row per link of a page: `keep` columns and the `wanted` ones of LINK_FIELDS. A page that cannot be read has no links.
+
+    Pages are taken by about a megabyte. Plain ones are read all at once where that gives every wanted field.
+    """
+    keep = list(dict.fromkeys(keep))
+    kept = raw.select(*dict.fromkeys([*keep, "url", "html"]))
+    fields = [f for f in StructType.fromDDL(LINK_FIELDS).fields if f.name in wanted]
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*(f for f in kept.schema if f.name in keep), *fields])
+    kinds = {f.name: _arrow_type(f.dataType) for f in fields}
+
+    def rows(pages: pa.RecordBatch, owner: pa.Array, columns: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pages[c].take(owner) for c in keep), *columns], [*keep, *kinds])
+
+    def walked(pages: pa.RecordBatch) -> pa.RecordBatch:
+        owner, found = [], []
+        for n, (url, markup) in enumerate(zip(pages["url"].to_pylist(), pages["html"].to_pylist(), strict=True)):
+            try:
+                links = Page(markup or "").anchors(url or "", with_blocks=False, fields=kinds)[0]
+            except Exception:  # a bad page is data, not a reason to stop the job
+                continue
+            owner += [n] * len(links)
+            found += links
+        return rows(pages, pa.array(owner, pa.int32()), [pa.array([link[name] for link in found], kind) for name, kind in kinds.items()])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch["html"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1), batch.num_rows]
+            for start, stop in zip(cuts, cuts[1:]):
+                part = batch.slice(start, stop - start)
+                if link_batch.FIELDS >= set(kinds):
+                    read, table = link_batch.plain_links(part["html"], "near_date" in kinds)
+                    yield rows(part, table["page"].combine_chunks(), [table[name].combine_chunks() for name in kinds])
+                    part = part.filter(pa.array(~read))
+                for first in range(0, part.num_rows, BATCH_PAGES):
+                    yield walked(part.slice(first, BATCH_PAGES))
+
+    return kept.mapInArrow(walk, head)
+
+
 def _arrow_type(kind: DataType) -> pa.DataType:
     """Arrow form of the types in PAGE_FIELDS."""
     if isinstance(kind, ArrayType):

@@ -168,3 +168,58 @@ def test_pages_leave_in_small_batches(spark):
     assert got.columns == ["url", "fetched_at", "links", "parse_error"]  # nothing that was not asked for
     rows = got.collect()
     assert [r.links[0].resolved for r in rows] == [r.url for r in rows] and len(rows) == 950
+
+
+def test_links_of_a_batch_are_those_of_each_page():
+    import pyarrow as pa
+
+    from opporta.functions.link_batch import plain_links
+    drawn = random.Random(7)
+    tags = ["a", "a", "li", "li", "div", "tr", "article", "nav", "p", "b", "ul", "br", "img"]
+    texts = ["x", " ", "12/03/1998", "1", "2/3/19", "98 ", " 1/2/2003", "/03/1998", "&amp;", "&", "é ", "A > b", "٣/2/2003"]
+    attributes = ["", ' href="/a"', ' class="c" href=" /é "', ' title="x href=" href="/q"', ' href="/1" href="/2"', ' href=" "', ' href="/a&amp;b"', " href='x'", ' data-href="/d"', ' href="12/03/1999"']
+
+    def page():
+        out, opened = [], []
+        for _ in range(drawn.randrange(24)):
+            kind = drawn.random()
+            if kind < .4:
+                out.append(drawn.choice(texts[:7] if drawn.random() < .9 else texts))
+            elif kind < .7 or not opened:
+                tag = drawn.choice(tags) if drawn.random() < .99 else drawn.choice(["script", "textarea", "blockquote"])
+                out.append(f"<{tag}{drawn.choice(attributes) if tag == 'a' else ''}>")
+                opened += [tag] if tag not in ("br", "img") else []
+            else:
+                tag = opened.pop()
+                out.append(f"</{tag if drawn.random() < .98 else 'i'}>")
+        return "".join(out + [f"</{tag}>" for tag in reversed(opened) if drawn.random() < .97])
+
+    pages = [None, "", "<b>", *(page() for _ in range(8000))]
+    read, found = plain_links(pa.array(pages, pa.string()))
+    got = {}
+    for row in found.to_pylist():
+        got.setdefault(row["page"], []).append((row["position"], row["href"], row["near_date"]))
+    assert read.mean() > .4 and set(got) <= set(read.nonzero()[0])
+    for n in read.nonzero()[0]:
+        assert got.get(n, []) == [(x["position"], x["href"], x["near_date"]) for x in Page(pages[n] or "").anchors("https://a.vn/")[0]], pages[n]
+
+
+def test_section_pages_are_read_without_a_walk(spark, monkeypatch):
+    from opporta.functions import link_batch
+    from opporta.operators import pages as op
+    plain = "<ul><li class=\"i\"><a href=\"/goi-thau/mua-sam-he-thong-post{n}.html\">A</a> 0{n}/08/2026</li><li><p><b>x</b></p></li></ul><div><div><a href=\"/goi-thau/x-{n}\">B</a></div> 09/08/2026</div>"
+    htmls = [plain.replace("{n}", str(n)) for n in range(1, 8)] + [None, "<li><a href='/q'>no end 01/02/2026", "<!-- c --><li><a href=\"/r\">r</a>01/02/2026</li>"]
+    df = raw(spark, [(f"https://baodauthau.vn/{n}", "baodauthau", h) for n, h in enumerate(htmls)]).coalesce(1)
+    assert link_batch.plain_links(op.pa.array(htmls))[0].tolist() == [True] * 8 + [False] * 2
+    few = links.page_links(df, fields=links.SECTION_FIELDS)
+    assert few.columns == ["page_url", "source_id", "position", "href", "near_date"]
+    assert sorted(few.collect(), key=str) == sorted(links.page_links(df).select(*few.columns).collect(), key=str) and few.count() == 16
+
+
+def test_plain_days_are_read_as_other_dates(spark):
+    from opporta.functions import dates
+    texts = ["1/2/2024", "31/02/2024", "29/02/2024", "0/1/2024", "12/13/2024", "01/02/0000", "1/2/2024\n", "1/2/20245", "1/2/2024 08:30"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", dates.parse_datetime(F.col("t"), now()).cast("string").alias("d"))
+    assert {r.t: r.d for r in df.collect()} == {
+        "1/2/2024": "2024-02-01 00:00:00", "31/02/2024": None, "29/02/2024": "2024-02-29 00:00:00", "0/1/2024": None, "12/13/2024": None, "01/02/0000": "0000-02-01 00:00:00",
+        "1/2/2024\n": "2024-02-01 00:00:00", "1/2/20245": "2024-02-01 00:00:00", "1/2/2024 08:30": "2024-02-01 08:30:00"}

@@ -53,7 +53,8 @@ def parse_datetime(text: Column, now: Column) -> Column:
 
 def _plain_day(text: Column) -> Column:
     """The most frequent form, a day alone (d/m/yyyy), without the search for any other."""
-    day, month, year = (F.split_part(text, F.lit("/"), F.lit(n)).try_cast("int") for n in (1, 2, 3))
+    parts = F.substring_index(text, "/", 1), F.substring_index(F.substring_index(text, "/", 2), "/", -1), F.substring_index(text, "/", -1)
+    day, month, year = (part.try_cast("int") for part in parts)
     zero = F.lit(0)
     return F.try_make_timestamp_ntz(year, month, day, zero, zero, zero.cast("decimal(16,6)"))
 
